@@ -94,7 +94,7 @@ def _cell_counts() -> Column:
     return F.array(
         *[
             F.coalesce(
-                F.sum(F.call_function("getbit", F.col("bits"), F.lit(COLUMNS - 1 - c)).cast("bigint")),
+                F.sum(F.getbit(F.col("bits"), F.lit(COLUMNS - 1 - c)).cast("bigint")),
                 F.lit(0).cast("bigint"),
             )
             for c in range(COLUMNS)

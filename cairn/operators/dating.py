@@ -51,7 +51,7 @@ def datings_histogram(
     Each range becomes a bit mask over the bins. The masks of a site are or-ed
     together before the shuffle, so one short row per site reaches the counting
     step and nothing is exploded, however many ages a site has. The age limits
-    come back as a single broadcast row.
+    take one pass of their own and reach the ages as a single broadcast row.
 
     A range of length zero at the very maximum falls in no bin, because only
     the last index is capped; ``include_max`` caps the first index too.
@@ -75,22 +75,24 @@ def datings_histogram(
         first = F.least(F.lit(bins - 1), first)
     words = _bin_words(first, last, bins)
     names = [f"w{i}" for i in range(len(words))]
+    edges = ["lowest", "width"]
     per_site = (
-        placed.select("site_id", *[w.alias(n) for w, n in zip(words, names)])
+        placed.select("site_id", *edges, *[w.alias(n) for w, n in zip(words, names)])
         .groupBy("site_id")
-        .agg(*[F.bit_or(n).alias(n) for n in names])
+        .agg(*[F.bit_or(n).alias(n) for n in names], *[F.max(e).alias(e) for e in edges])
     )
     bit_counts = [
-        F.sum(F.call_function("getbit", F.col(names[i // _WORD_BITS]), F.lit(i % _WORD_BITS)).cast("bigint"))
+        F.sum(F.getbit(F.col(names[i // _WORD_BITS]), F.lit(i % _WORD_BITS)).cast("bigint"))
         for i in range(bins)
     ]
     counted = per_site.agg(
-        F.array(*bit_counts).alias("counts"), F.count(F.lit(1)).alias("sites_with_datings")
+        F.array(*bit_counts).alias("counts"),
+        F.count(F.lit(1)).alias("sites_with_datings"),
+        *[F.max(e).alias(e) for e in edges],
     )
     total = t["site"].agg(F.count(F.lit(1)).alias("total_sites"))
     return (
-        counted.crossJoin(F.broadcast(limits))
-        .crossJoin(F.broadcast(total))
+        counted.crossJoin(F.broadcast(total))
         .where(F.col("lowest").isNotNull())
         .select("*", F.posexplode("counts").alias("bin", "site_count"))
         .select(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.session import configure
 from cairn.sources.tables import Tables
 
 AGE_ORIGIN = "2002-01-01"
@@ -45,6 +46,7 @@ def _days_before_origin(day: str) -> Column:
 
 def bind(spark: SparkSession, folder: str) -> Tables:
     """Roles over the sample tables in ``folder``."""
+    configure(spark)
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
