@@ -6,6 +6,9 @@ third of all rows. Documents are therefore written in parts. A key with at most
 larger key gives ``ceil(rows / max_rows)`` parts; each child row goes to one of
 them by a hash of its own identity. The parts of a key hold every child once,
 and joining their lists gives the whole document.
+
+The number of parts travels with the row that links a child to its key, so
+placing the children needs no join and no shuffle of its own.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ def child_rows(
     df: DataFrame, keys: Sequence[str], field: str, identity: Sequence[str] | None = None
 ) -> DataFrame:
     """Keys, the child as one struct column named ``field``, and its slice."""
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c != PARTS]
     identity = [*keys, *rest] if identity is None else identity
     return df.select(
-        *keys, F.xxhash64(*identity).alias(SLICE), F.struct(*rest).alias(field)
+        *keys, PARTS, F.xxhash64(*identity).alias(SLICE), F.struct(*rest).alias(field)
     )
 
 
@@ -42,34 +45,25 @@ def header_rows(df: DataFrame, keys: Sequence[str], field: str, *, first: bool =
 
     ``first`` puts it into part 0.
     """
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c != PARTS]
     home = F.lit(0).cast("bigint") if first else F.xxhash64(*keys)
-    return df.select(*keys, home.alias(SLICE), F.struct(*rest).alias(field))
-
+    return df.select(*keys, PARTS, home.alias(SLICE), F.struct(*rest).alias(field))
 
-def large_keys(branches: Sequence[DataFrame], key: str, max_rows: int) -> DataFrame:
-    """Keys with more than ``max_rows`` child rows and their number of parts.
 
-    Counts combine on the map side. The result holds fewer than
-    total rows / ``max_rows`` keys, and Spark chooses how to join it by its size.
-    """
-    keys = reduce(lambda a, b: a.unionAll(b), [b.select(key) for b in branches])
-    return (
-        keys.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_rows)
-        .select(key, F.ceil(F.col("_n") / max_rows).cast("int").alias(PARTS))
+def part_counts(sizes: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """(key, parts) from (key, n): how many parts the key's documents take."""
+    return sizes.groupBy(key).agg(
+        F.greatest(F.lit(1), F.ceil(F.sum("n") / max_rows)).cast("int").alias(PARTS)
     )
 
 
-def into_parts(rows: DataFrame, key: str, large: DataFrame) -> DataFrame:
-    """Add part and parts, and bring each (key, part) into one partition.
+def into_parts(rows: DataFrame, key: str) -> DataFrame:
+    """Add part, and bring each (key, part) into one partition.
 
     The aggregations above all group by (key, part, ...), so this is the only
     shuffle of the child rows.
     """
-    marked = rows.join(large, key, "left").withColumn(PARTS, F.coalesce(PARTS, F.lit(1)))
-    placed = marked.withColumn(PART, F.pmod(F.col(SLICE), F.col(PARTS)).cast("int")).drop(SLICE)
+    placed = rows.withColumn(PART, F.pmod(F.col(SLICE), F.col(PARTS)).cast("int")).drop(SLICE)
     return placed.repartition(key, PART)
 
 
@@ -86,10 +80,15 @@ def flat_documents(
 ) -> DataFrame:
     """One level of nesting: a header and named lists of children per key."""
     fields = [c for c in header.columns if c != key]
-    branches = [header_rows(header, [key], "_header", first=True)]
-    branches += [child_rows(df, [key], name) for name, df in children.items()]
-    placed = into_parts(stack(branches), key, large_keys(branches, key, max_rows))
-    nested = placed.groupBy(key, PART, PARTS).agg(
+    counted = [df.groupBy(key).agg(F.count(F.lit(1)).alias("n")) for df in children.values()]
+    parts = part_counts(stack(counted), key, max_rows)
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(parts, key, "left").withColumn(PARTS, F.coalesce(PARTS, F.lit(1)))
+
+    branches = [header_rows(sized(header), [key], "_header", first=True)]
+    branches += [child_rows(sized(df), [key], name) for name, df in children.items()]
+    nested = into_parts(stack(branches), key).groupBy(key, PART, PARTS).agg(
         F.max("_header").alias("_header"), *[gather(name).alias(name) for name in children]
     )
     return nested.select(

@@ -17,7 +17,7 @@ from cairn.functions.nesting import (
     gather,
     header_rows,
     into_parts,
-    large_keys,
+    part_counts,
     stack,
 )
 from cairn.functions.semantics import SiteIds, best_by, ids_of, leading_number
@@ -71,139 +71,274 @@ TAXON_CHILDREN = {
     "identification_keys": "taxon_identification_key",
     "associations": "species_association",
 }
-SECTIONS = ("sample_groups", "datasets", "site")
 
 
-def _bound(t: Tables, children: dict[str, str]) -> dict[str, str]:
-    return {field: role for field, role in children.items() if role in t}
-
+class _Build:
+    """One build of site documents: the wanted paths and the sized group keys."""
+
+    def __init__(
+        self,
+        t: Tables,
+        site_ids: SiteIds,
+        paths: Sequence[str] | None,
+        max_rows: int,
+        data_groups: DataFrame | None,
+    ):
+        self.t, self.site_ids, self.paths = t, site_ids, paths
+        self.data_groups = data_groups
+        self.max_rows = max_rows
+        sizes = self._sizes()
+        # Group and site keys with their number of parts: every child row
+        # already joins one of the two to learn its site.
+        own = ids_of(t["site"], site_ids).select("site_id")
+        if sizes is None:
+            self.sites = own.withColumn(PARTS, F.lit(1))
+            self.groups = groups(t, site_ids).withColumn(PARTS, F.lit(1))
+        else:
+            parts = part_counts(sizes, "site_id", max_rows)
+            one = F.coalesce(PARTS, F.lit(1)).alias(PARTS)
+            self.sites = own.join(parts, "site_id", "left").select("site_id", one)
+            self.groups = (
+                groups(t, site_ids)
+                .join(parts, "site_id", "left")
+                .select("sample_group_id", "site_id", one)
+            )
 
-def _group_branch(t: Tables, site_ids: SiteIds) -> DataFrame:
+    def wants(self, path: str) -> bool:
+        if self.paths is None:
+            return True
+        return any(p == path or p.startswith(f"{path}.") for p in self.paths)
+
+    def children(self, prefix: str, roles: dict[str, str]) -> dict[str, str]:
+        return {
+            field: role
+            for field, role in roles.items()
+            if role in self.t and self.wants(f"{prefix}{field}")
+        }
+
+    def group_children(self) -> dict[str, str]:
+        return self.children("sample_groups.", GROUP_CHILDREN)
+
+    def sample_children(self) -> dict[str, str]:
+        return self.children("sample_groups.physical_samples.", SAMPLE_CHILDREN)
+
+    def site_children(self) -> dict[str, str]:
+        return self.children("", SITE_CHILDREN)
+
+    def leaves(self) -> list[DataFrame]:
+        """The sample group of every child row that will be nested."""
+        t, frames = self.t, []
+        if self.wants("sample_groups"):
+            frames.append(ids_of(t["sample_group"], self.site_ids))
+            frames += [t[role] for role in self.group_children().values()]
+        if self.wants("sample_groups.physical_samples"):
+            frames.append(t["physical_sample"])
+            frames += [
+                sample_rows(t, role, site=False) for role in self.sample_children().values()
+            ]
+        if self.wants("datasets"):
+            frames.append(entities(t))
+        if self.wants("datasets.analysis_entities.prep_methods") and "prep_method" in t:
+            frames.append(_prep_rows(t))
+        return [f.select("sample_group_id") for f in frames]
+
+    def _sizes(self) -> DataFrame | None:
+        """(site_id, n): child rows per site, folded per group before the site is known."""
+        counted = []
+        leaves = self.leaves()
+        if leaves:
+            per_group = (
+                stack(leaves).groupBy("sample_group_id").agg(F.count(F.lit(1)).alias("n"))
+            )
+            counted.append(
+                per_group.join(groups(self.t, self.site_ids), "sample_group_id")
+                .groupBy("site_id")
+                .agg(F.sum("n").alias("n"))
+            )
+        direct = [self.t[role] for role in self.site_children().values()]
+        if self.data_groups is not None:
+            direct.append(self.data_groups)
+        counted += [
+            ids_of(df, self.site_ids).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+            for df in direct
+        ]
+        return stack(counted) if counted else None
+
+    def with_site(self, df: DataFrame) -> DataFrame:
+        """Add site_id and parts through the sample group."""
+        return df.drop("site_id").join(self.groups, "sample_group_id")
+
+    def of_site(self, df: DataFrame) -> DataFrame:
+        """Add parts to rows that carry site_id."""
+        return df.join(self.sites, "site_id")
+
+
+def _prep_rows(t: Tables) -> DataFrame:
+    """Preparation methods with the keys of their entity."""
+    prep = t["prep_method"]
+    if "sample_group_id" in prep.columns and "dataset_id" in prep.columns:
+        return prep
+    own = entities(t).select("analysis_entity_id", "sample_group_id", "dataset_id")
+    return prep.select("analysis_entity_id", "method_id").join(own, "analysis_entity_id")
+
+
+def _group_branch(b: _Build) -> DataFrame:
     """Headers and children of sample groups and samples, as rows of one table."""
+    t = b.t
     group_key = ["site_id", "sample_group_id"]
     sample_key = [*group_key, "physical_sample_id"]
-    frames = [header_rows(ids_of(t["sample_group"], site_ids), group_key, "_group")]
-    for field, role in _bound(t, GROUP_CHILDREN).items():
-        frames.append(child_rows(with_site(t, t[role], site_ids), group_key, f"g_{field}"))
-    frames.append(header_rows(sample_rows(t, "physical_sample", site_ids), sample_key, "_sample"))
-    for field, role in _bound(t, SAMPLE_CHILDREN).items():
-        frames.append(child_rows(sample_rows(t, role, site_ids), sample_key, f"s_{field}"))
-    links = with_site(t, entities(t).select("sample_group_id", "dataset_id").distinct(), site_ids)
-    frames.append(
-        links.select(
-            *group_key,
-            F.xxhash64("sample_group_id", "dataset_id").alias(SLICE),
-            F.col("dataset_id").alias("g_dataset_ids"),
+    frames = [header_rows(b.with_site(t["sample_group"]), group_key, "_group")]
+    for field, role in b.group_children().items():
+        frames.append(child_rows(b.with_site(t[role]), group_key, f"g_{field}"))
+    if b.wants("sample_groups.physical_samples"):
+        own = sample_rows(t, "physical_sample", site=False)
+        frames.append(header_rows(b.with_site(own), sample_key, "_sample"))
+        for field, role in b.sample_children().items():
+            rows = sample_rows(t, role, site=False)
+            frames.append(child_rows(b.with_site(rows), sample_key, f"s_{field}"))
+    if b.wants("sample_groups.dataset_ids"):
+        links = b.with_site(entities(t).select("sample_group_id", "dataset_id").distinct())
+        frames.append(
+            links.select(
+                *group_key,
+                PARTS,
+                F.xxhash64("sample_group_id", "dataset_id").alias(SLICE),
+                F.col("dataset_id").alias("g_dataset_ids"),
+            )
         )
-    )
     return stack(frames)
 
 
-def _nest_groups(t: Tables, rows: DataFrame) -> DataFrame:
-    group_lists = [f"g_{f}" for f in _bound(t, GROUP_CHILDREN)] + ["g_dataset_ids"]
-    sample_lists = [f"s_{f}" for f in _bound(t, SAMPLE_CHILDREN)]
-    # Group rows have no sample id: they form one extra row beside the samples.
-    per_sample = rows.groupBy(
-        "site_id", PART, PARTS, "sample_group_id", "physical_sample_id"
-    ).agg(
-        F.max("_group").alias("_group"),
-        F.max("_sample").alias("_sample"),
-        *[gather(c).alias(c) for c in (*group_lists, *sample_lists)],
-    )
-    is_sample = F.col("physical_sample_id").isNotNull()
-    sample = F.struct(
-        "physical_sample_id",
-        *_header_fields(rows, "_sample"),
-        *[F.col(c).alias(c[2:]) for c in sample_lists],
-    )
-    per_group = per_sample.groupBy("site_id", PART, PARTS, "sample_group_id").agg(
-        F.max("_group").alias("_group"),
-        *[
+def _lists(rows: DataFrame, prefix: str) -> list[str]:
+    return [c for c in rows.columns if c.startswith(prefix)]
+
+
+def _header_fields(rows: DataFrame, header: str, skip: Sequence[str] = ()) -> list:
+    names = rows.schema[header].dataType.fieldNames()
+    return [F.col(f"{header}.{n}").alias(n) for n in names if n not in skip]
+
+
+def _home(header: str) -> object:
+    """True in the one part that holds the header of a group, sample or dataset."""
+    return F.col(header).isNotNull().alias("is_home")
+
+
+def _nest_groups(rows: DataFrame) -> DataFrame:
+    group_lists, sample_lists = _lists(rows, "g_"), _lists(rows, "s_")
+    has_samples = "_sample" in rows.columns
+    group_rows = rows
+    if has_samples:
+        # Group rows have no sample id: they form one extra row beside the samples.
+        per_sample = rows.groupBy(
+            "site_id", PART, PARTS, "sample_group_id", "physical_sample_id"
+        ).agg(
+            F.max("_group").alias("_group"),
+            F.max("_sample").alias("_sample"),
+            *[gather(c).alias(c) for c in (*group_lists, *sample_lists)],
+        )
+        is_sample = F.col("physical_sample_id").isNotNull()
+        sample = F.struct(
+            "physical_sample_id",
+            *_header_fields(rows, "_sample"),
+            _home("_sample"),
+            *[F.col(c).alias(c[2:]) for c in sample_lists],
+        )
+        lists = [
             F.coalesce(F.max(F.when(~is_sample, F.col(c))), F.array()).alias(c)
             for c in group_lists
-        ],
-        gather(F.when(is_sample, sample)).alias("physical_samples"),
+        ]
+        lists.append(gather(F.when(is_sample, sample)).alias("physical_samples"))
+        group_rows = per_sample
+    else:
+        lists = [gather(c).alias(c) for c in group_lists]
+    per_group = group_rows.groupBy("site_id", PART, PARTS, "sample_group_id").agg(
+        F.max("_group").alias("_group"), *lists
     )
     group = F.struct(
         "sample_group_id",
         *_header_fields(rows, "_group"),
+        _home("_group"),
         *[F.col(c).alias(c[2:]) for c in group_lists],
-        "physical_samples",
+        *(["physical_samples"] if has_samples else []),
     )
     return per_group.groupBy("site_id", PART, PARTS).agg(gather(group).alias("sample_groups"))
 
 
-def _header_fields(rows: DataFrame, header: str) -> list:
-    names = rows.schema[header].dataType.fieldNames()
-    return [F.col(f"{header}.{n}").alias(n) for n in names]
-
+def _dataset_branch(b: _Build) -> DataFrame:
+    """Dataset headers, entities and preparation methods, as rows of one table.
 
-def _dataset_branch(t: Tables, site_ids: SiteIds) -> DataFrame:
-    """Dataset headers, entities and preparation methods, as rows of one table."""
-    key = ["site_id", "dataset_id"]
-    heads = site_datasets(t, site_ids).join(t["dataset"], "dataset_id")
-    rows = with_site(t, entities(t), site_ids).select(
-        *key, "analysis_entity_id", "physical_sample_id", "sample_group_id"
-    )
-    members = rows.select(
-        *key,
-        F.xxhash64("analysis_entity_id").alias(SLICE),
-        "analysis_entity_id",
-        F.struct("physical_sample_id", "sample_group_id").alias("_entity"),
-    )
-    frames = [header_rows(heads, key, "_dataset"), members]
-    if "prep_method" in t:
-        prep = t["prep_method"]
-        if "sample_group_id" in prep.columns and "dataset_id" in prep.columns:
-            prep = with_site(t, prep, site_ids)
-        else:
-            own = rows.select(*key, "analysis_entity_id")
-            prep = prep.select("analysis_entity_id", "method_id").join(own, "analysis_entity_id")
+    Entity rows carry the method of their dataset, so a part can be cut by
+    method wherever the header itself lies.
+    """
+    t, key = b.t, ["site_id", "dataset_id"]
+    pairs = b.with_site(entities(t).select("sample_group_id", "dataset_id"))
+    heads = pairs.select(*key, PARTS).distinct().join(t["dataset"], "dataset_id")
+    frames = [header_rows(heads, key, "_dataset")]
+    place = [*key, PARTS, F.xxhash64("analysis_entity_id").alias(SLICE), "analysis_entity_id"]
+    if b.wants("datasets.analysis_entities"):
+        members = of_methods(t, b.with_site(entities(t)))
         frames.append(
-            prep.select(
-                *key,
-                F.xxhash64("analysis_entity_id").alias(SLICE),
-                "analysis_entity_id",
-                F.col("method_id").alias("_prep"),
+            members.select(
+                *place,
+                F.col("method_id").alias("_method_id"),
+                F.struct("physical_sample_id", "sample_group_id").alias("_entity"),
             )
         )
+    if b.wants("datasets.analysis_entities.prep_methods") and "prep_method" in t:
+        prep = b.with_site(_prep_rows(t))
+        frames.append(prep.select(*place, F.col("method_id").alias("_prep")))
     return stack(frames)
 
 
 def _nest_datasets(rows: DataFrame) -> DataFrame:
-    prep = (
-        F.sort_array(F.collect_set("_prep"))
+    if "_entity" not in rows.columns:
+        dataset = F.struct("dataset_id", *_header_fields(rows, "_dataset"), _home("_dataset"))
+        return rows.groupBy("site_id", PART, PARTS).agg(gather(dataset).alias("datasets"))
+    lists = (
+        [F.sort_array(F.collect_set("_prep")).alias("prep_methods")]
         if "_prep" in rows.columns
-        else F.array().cast("array<bigint>")
+        else []
     )
     per_entity = rows.groupBy("site_id", PART, PARTS, "dataset_id", "analysis_entity_id").agg(
         F.max("_dataset").alias("_dataset"),
         F.max("_entity").alias("_entity"),
-        (prep if "_prep" in rows.columns else F.first(prep)).alias("prep_methods"),
+        F.max("_method_id").alias("_method_id"),
+        *lists,
     )
     entity = F.struct(
-        "analysis_entity_id", "_entity.physical_sample_id", "_entity.sample_group_id", "prep_methods"
+        "analysis_entity_id",
+        "_entity.physical_sample_id",
+        "_entity.sample_group_id",
+        *(["prep_methods"] if lists else []),
     )
     per_dataset = per_entity.groupBy("site_id", PART, PARTS, "dataset_id").agg(
         F.max("_dataset").alias("_dataset"),
+        F.max("_method_id").alias("_method_id"),
         gather(F.when(F.col("analysis_entity_id").isNotNull(), entity)).alias("analysis_entities"),
     )
-    dataset = F.struct("dataset_id", *_header_fields(rows, "_dataset"), "analysis_entities")
+    dataset = F.struct(
+        "dataset_id",
+        F.coalesce("_dataset.method_id", "_method_id").alias("method_id"),
+        *_header_fields(rows, "_dataset", skip=["method_id"]),
+        _home("_dataset"),
+        "analysis_entities",
+    )
     return per_dataset.groupBy("site_id", PART, PARTS).agg(gather(dataset).alias("datasets"))
 
 
-def _site_branch(t: Tables, site_ids: SiteIds) -> DataFrame:
-    frames = [header_rows(ids_of(t["site"], site_ids), ["site_id"], "_site", first=True)]
-    if "site_location" in t:
-        places = ids_of(t["site_location"], site_ids).join(t["location"], "location_id", "left")
+def _site_branch(b: _Build) -> DataFrame:
+    t = b.t
+    frames = [header_rows(b.of_site(t["site"]), ["site_id"], "_site", first=True)]
+    if "site_location" in t and b.wants("location"):
+        places = b.of_site(t["site_location"]).join(t["location"], "location_id", "left")
         frames.append(child_rows(places, ["site_id"], "l_location"))
-    for field, role in _bound(t, SITE_CHILDREN).items():
-        frames.append(child_rows(ids_of(t[role], site_ids), ["site_id"], f"l_{field}"))
+    for field, role in b.site_children().items():
+        frames.append(child_rows(b.of_site(t[role]), ["site_id"], f"l_{field}"))
     return stack(frames)
 
 
 def _nest_site(rows: DataFrame) -> DataFrame:
-    lists = [c for c in rows.columns if c.startswith("l_")]
+    lists = _lists(rows, "l_")
     nested = rows.groupBy("site_id", PART, PARTS).agg(
         F.max("_site").alias("_site"), *[gather(c).alias(c) for c in lists]
     )
@@ -216,9 +351,12 @@ def _nest_site(rows: DataFrame) -> DataFrame:
     )
 
 
-def _group_branch_of_data(rows: DataFrame) -> DataFrame:
+def _data_branch(b: _Build) -> DataFrame:
     return child_rows(
-        rows, ["site_id", "type", "data_group_id"], "_value", ["data_group_id", "analysis_entity_id", "key"]
+        b.of_site(b.data_groups),
+        ["site_id", "type", "data_group_id"],
+        "_value",
+        ["data_group_id", "analysis_entity_id", "key"],
     )
 
 
@@ -235,47 +373,40 @@ def site_documents(
     t: Tables,
     site_ids: SiteIds = None,
     *,
-    sections: Sequence[str] = SECTIONS,
+    paths: Sequence[str] | None = None,
     data_groups: DataFrame | None = None,
     max_rows: int = DEFAULT_MAX_ROWS,
 ) -> DataFrame:
     """One document per site: groups with samples, datasets with entities, places.
 
     Every level keeps parents without children. Entities sit under their
-    dataset; a sample group lists the datasets reached through its samples. A
-    site with more than ``max_rows`` child rows comes in several parts (see
-    :mod:`cairn.functions.nesting`). ``sections`` limits what is built, and
-    ``data_groups`` adds the long rows of the measurement families.
+    dataset; a sample group lists the datasets reached through its samples.
+    ``paths`` names the lists that are needed, with dots between levels (all
+    when omitted): nothing else is read. ``data_groups`` adds the long rows of
+    the measurement families.
+
+    A site with more than ``max_rows`` child rows comes in several parts (see
+    :mod:`cairn.functions.nesting`). A group, sample or dataset then shows up in
+    each part that holds some of its children, and ``is_home`` marks the one
+    that holds its own fields.
     """
-    branches = {}
-    if "sample_groups" in sections:
-        branches["sample_groups"] = _group_branch(t, site_ids)
-    if "datasets" in sections:
-        branches["datasets"] = _dataset_branch(t, site_ids)
-    branches["site"] = (
-        _site_branch(t, site_ids)
-        if "site" in sections
-        else header_rows(ids_of(t["site"], site_ids), ["site_id"], "_site", first=True)
-    )
+    b = _Build(t, site_ids, paths, max_rows, data_groups)
+    nested = [_nest_site(into_parts(_site_branch(b), "site_id"))]
+    if b.wants("sample_groups"):
+        nested.append(_nest_groups(into_parts(_group_branch(b), "site_id")))
+    if b.wants("datasets"):
+        nested.append(_nest_datasets(into_parts(_dataset_branch(b), "site_id")))
     if data_groups is not None:
-        branches["data_groups"] = _group_branch_of_data(data_groups)
-    large = large_keys(list(branches.values()), "site_id", max_rows)
-    nest = {
-        "sample_groups": lambda rows: _nest_groups(t, rows),
-        "datasets": _nest_datasets,
-        "site": _nest_site,
-        "data_groups": _nest_data_groups,
-    }
-    document = None
-    for name, rows in branches.items():
-        nested = nest[name](into_parts(rows, "site_id", large))
-        # Same partitioning on both sides: this join moves no rows.
+        nested.append(_nest_data_groups(into_parts(_data_branch(b), "site_id")))
+    document = nested[0]
+    for other in nested[1:]:
+        # Both sides are partitioned by exactly these keys: no rows move.
         document = (
-            nested
-            if document is None
-            else document.join(nested, ["site_id", PART, PARTS], "full_outer")
+            document.join(other.withColumnRenamed(PARTS, "_parts"), ["site_id", PART], "full_outer")
+            .withColumn(PARTS, F.coalesce(PARTS, "_parts"))
+            .drop("_parts")
         )
-    for name in ("sample_groups", "datasets", "data_groups"):
+    for name in ("sample_groups", "datasets", "data_groups", "location", *SITE_CHILDREN):
         if name in document.columns:
             document = document.withColumn(name, F.coalesce(name, F.array()))
     lead = ["site_id", PART, PARTS]
@@ -283,7 +414,7 @@ def site_documents(
 
 
 def sample_rows_of(documents: DataFrame) -> DataFrame:
-    """Documents back to one row per sample header."""
+    """Documents back to one row per sample (and part, for a sample in several)."""
     group = documents.select("site_id", F.explode("sample_groups").alias("g"))
     sample = group.select(
         "site_id", "g.sample_group_id", F.explode("g.physical_samples").alias("s")
@@ -477,6 +608,7 @@ def taxon_documents(
     )
     children = {
         field: ids_of(t[role], taxon_ids, "taxon_id")
-        for field, role in _bound(t, TAXON_CHILDREN).items()
+        for field, role in TAXON_CHILDREN.items()
+        if role in t
     }
     return flat_documents("taxon_id", header, children, max_rows)

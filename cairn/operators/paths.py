@@ -11,10 +11,11 @@ def path_rows(documents: DataFrame, path: str) -> DataFrame:
     """One row per element at ``path``, as ``site_id`` and ``item``.
 
     Array segments explode, so a document with a missing or empty array gives
-    no row. Struct segments are only stepped into.
+    no row. Struct segments are only stepped into. An element spread over
+    several parts of a document counts once, in its home part.
     """
     rows, column = documents, None
-    for depth, name in enumerate(path.split(".")):
+    for name in path.split("."):
         column = F.col(name) if column is None else column.getField(name)
         picked = rows.select("site_id", column.alias("item"))
         kind = picked.schema["item"].dataType
@@ -23,6 +24,9 @@ def path_rows(documents: DataFrame, path: str) -> DataFrame:
         else:
             rows = picked.where(F.col("item").isNotNull())
         column = F.col("item")
+    kind = rows.schema["item"].dataType
+    if isinstance(kind, T.StructType) and "is_home" in kind.fieldNames():
+        rows = rows.where("item.is_home")
     return rows
 
 

@@ -178,7 +178,7 @@ def grouped_by_variable(t: Tables, name: str, site_ids: SiteIds = None) -> DataF
     if name not in VARIABLE_PATHS:
         raise ValueError(f"unknown variable {name!r}")
     path, id_field, name_field = VARIABLE_PATHS[name]
-    return path_summary(site_documents(t, site_ids), path, id_field, name_field)
+    return path_summary(site_documents(t, site_ids, paths=[path]), path, id_field, name_field)
 
 
 def building_types(t: Tables, site_ids: SiteIds = None) -> DataFrame:

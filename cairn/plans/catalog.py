@@ -87,13 +87,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("sum8_path_summary")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, sections=("datasets",))
+    docs = documents.site_documents(t, paths=["datasets"])
     return summaries.path_summary(docs, "datasets", "method_id", "dataset_name")
 
 
 @query("sum8_path_summary_per_site")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, sections=("sample_groups",))
+    docs = documents.site_documents(t, paths=["sample_groups.physical_samples"])
     return summaries.path_summary(
         docs, "sample_groups.physical_samples", "sample_type_id", "sample_type_name", per_site=True
     )
@@ -101,8 +101,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("sum9_path_count")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, sections=("sample_groups",))
-    return summaries.path_count(docs, "sample_groups.physical_samples.features")
+    path = "sample_groups.physical_samples.features"
+    return summaries.path_count(documents.site_documents(t, paths=[path]), path)
 
 
 @query("sum10_grouped_by_sample_features")
@@ -412,35 +412,29 @@ def _(t: Tables) -> DataFrame:
     return find.free_text(named, "thé que nation", texts=texts)
 
 
-def _datasets_documents(t: Tables) -> DataFrame:
-    return documents.site_documents(t, sections=("datasets",))
-
-
-def _groups_documents(t: Tables) -> DataFrame:
-    return documents.site_documents(t, sections=("sample_groups",))
+def _search_sites(t: Tables, path: str, value: str) -> DataFrame:
+    return find.search_sites(documents.site_documents(t, paths=[path]), path, value)
 
 
 @query("qry1_search_sites_equal")
 def _(t: Tables) -> DataFrame:
-    return find.search_sites(_datasets_documents(t), "datasets.method_id", "3")
+    return _search_sites(t, "datasets.method_id", "3")
 
 
 @query("qry1_search_sites_not")
 def _(t: Tables) -> DataFrame:
-    return find.search_sites(_datasets_documents(t), "datasets.method_id", "not:3")
+    return _search_sites(t, "datasets.method_id", "not:3")
 
 
 @query("qry1_search_sites_greater")
 def _(t: Tables) -> DataFrame:
-    docs = _groups_documents(t)
     path = "sample_groups.physical_samples.coordinates.measurement"
-    return find.search_sites(docs, path, "gt:90000")
+    return _search_sites(t, path, "gt:90000")
 
 
 @query("qry1_search_sites_text")
 def _(t: Tables) -> DataFrame:
-    path = "sample_groups.descriptions.group_description"
-    return find.search_sites(_groups_documents(t), path, "P")
+    return _search_sites(t, "sample_groups.descriptions.group_description", "P")
 
 
 @query("qry2_search_taxa")
@@ -569,13 +563,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("doc1_site_documents_entities")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, sections=("datasets",))
+    docs = documents.site_documents(t, paths=["datasets.analysis_entities.prep_methods"])
     return documents.entity_rows_of(docs).withColumn("prep_methods", joined("prep_methods"))
 
 
 @query("doc1_site_documents_samples")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, sections=("sample_groups",))
+    inner = "sample_groups.physical_samples"
+    docs = documents.site_documents(t, paths=[f"{inner}.features", f"{inner}.coordinates"])
     return documents.sample_rows_of(docs).select(
         "site_id",
         "sample_group_id",
@@ -591,28 +586,30 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Sizes of the whole documents, put together from parts of 100 rows."""
     docs = documents.site_documents(t, max_rows=100)
-    per_site = docs.groupBy("site_id").agg(
+    nothing = F.lit(0).cast("bigint")
+
+    def homes(items: Column) -> Column:
+        return F.size(F.filter(items, lambda x: x.is_home))
+
+    return docs.groupBy("site_id").agg(
         F.max("site_name").alias("site_name"),
         F.sum(F.size("location")).alias("locations"),
-        F.sum(F.aggregate("datasets", F.lit(0), lambda a, d: a + F.size(d.analysis_entities))).alias(
-            "entities"
-        ),
+        F.sum(homes(F.col("datasets"))).alias("datasets"),
+        F.sum(
+            F.aggregate("datasets", nothing, lambda a, d: a + F.size(d.analysis_entities))
+        ).alias("entities"),
         F.sum(
-            F.aggregate(
-                "sample_groups",
-                F.lit(0),
-                lambda a, g: a
-                + F.size(F.filter(g.physical_samples, lambda s: s.sample_name.isNotNull())),
-            )
+            F.aggregate("sample_groups", nothing, lambda a, g: a + homes(g.physical_samples))
         ).alias("samples"),
         F.count_if(F.col(PART) >= F.col(PARTS)).alias("misplaced"),
     )
-    return per_site
 
 
 @query("doc2_sample_group_children")
 def _(t: Tables) -> DataFrame:
-    group = _groups_documents(t).select("site_id", F.explode("sample_groups").alias("g"))
+    names = ["descriptions", "biblio", "physical_samples"]
+    docs = documents.site_documents(t, paths=[f"sample_groups.{n}" for n in names])
+    group = docs.select("site_id", F.explode("sample_groups").alias("g"))
     return group.select(
         "site_id",
         "g.sample_group_id",
@@ -625,7 +622,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("doc3_sample_children")
 def _(t: Tables) -> DataFrame:
-    sample = documents.sample_rows_of(_groups_documents(t))
+    docs = documents.site_documents(t, paths=["sample_groups.physical_samples.features"])
+    sample = documents.sample_rows_of(docs)
     return sample.select("physical_sample_id", F.explode("features").alias("f")).select(
         "physical_sample_id", "f.feature_id", "f.feature_type_id", "f.feature_type_name"
     )
@@ -638,7 +636,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("doc5_site_datasets")
 def _(t: Tables) -> DataFrame:
-    rows = _datasets_documents(t).select("site_id", F.explode("datasets").alias("d"))
+    docs = documents.site_documents(t, paths=["datasets.analysis_entities"])
+    rows = docs.select("site_id", F.explode("datasets").alias("d"))
     return rows.select(
         "site_id",
         "d.dataset_id",
@@ -651,7 +650,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("doc6_site_locations_and_references")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, sections=("site",))
+    docs = documents.site_documents(t, paths=["location", "biblio"])
     return docs.select(
         "site_id",
         "site_name",
@@ -699,7 +698,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("doc11_document_dataset_links")
 def _(t: Tables) -> DataFrame:
-    group = _groups_documents(t).select("site_id", F.explode("sample_groups").alias("g"))
+    docs = documents.site_documents(t, paths=["sample_groups.dataset_ids"])
+    group = docs.select("site_id", F.explode("sample_groups").alias("g"))
     return group.select("site_id", "g.sample_group_id", joined("g.dataset_ids").alias("dataset_ids"))
 
 
@@ -767,7 +767,7 @@ def _(t: Tables) -> DataFrame:
 @query("src5_export_sites")
 def _(t: Tables) -> DataFrame:
     rows = datagroups.measured_values(t)
-    docs = documents.site_documents(t, sections=("datasets",), data_groups=rows)
+    docs = documents.site_documents(t, paths=["datasets"], data_groups=rows)
     cut = sinks.export_sites(docs, [2, 7])
     return cut.select(
         "site_id",

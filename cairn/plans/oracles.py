@@ -923,8 +923,10 @@ oracle(
 oracle(
     "doc1_site_documents_in_parts",
     """SELECT c_custkey AS site_id, c_name AS site_name, CAST(2 AS BIGINT) AS locations,
-              coalesce(e.n, 0) AS entities, coalesce(e.s, 0) AS samples, CAST(0 AS BIGINT) AS misplaced
-       FROM customer LEFT JOIN (SELECT site_id, count(*) AS n, count(DISTINCT sample_id) AS s
+              coalesce(e.d, 0) AS datasets, coalesce(e.n, 0) AS entities, coalesce(e.s, 0) AS samples,
+              CAST(0 AS BIGINT) AS misplaced
+       FROM customer LEFT JOIN (SELECT site_id, count(*) AS n, count(DISTINCT sample_id) AS s,
+                                       count(DISTINCT dataset_id) AS d
                                 FROM v_entity GROUP BY 1) e ON e.site_id = c_custkey""",
 )
 oracle(
