@@ -59,8 +59,10 @@ def test_feature_types(roles):
 
 
 @pytest.mark.parametrize("max_rows", [1, 3, 1000])
-def test_paths_count_the_same_for_any_part_size(roles, max_rows):
-    docs = site_documents(roles, max_rows=max_rows)
+def test_paths_count_the_same_for_any_part_size(spark, roles, tmp_path, max_rows):
+    path = str(tmp_path / "documents")
+    site_documents(roles, max_rows=max_rows).write.parquet(path)
+    docs = spark.read.parquet(path)
     count = lambda path, ids=None: summaries.path_count(docs, path, ids).first()[0]
     assert count("sample_groups") == 5
     assert count("sample_groups.physical_samples") == 6
