@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What separates tokens, and the rank weight of each label.
-TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+# The characters of a token, and the rank weight of each label.
+TOKEN = r"[\p{L}\p{N}]"
 RANK_WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 
@@ -46,29 +47,38 @@ def query_terms(query: str) -> list[list[Term]]:
     return [terms for terms in alternatives if terms]
 
 
-def tokens(text: Column) -> Column:
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK)
-    return F.filter(parts, lambda p: p != "")
+def _word_pattern(*words: str) -> str:
+    """Any of the words, standing as a whole token."""
+    return f"(?<!{TOKEN})(?:{'|'.join(words)})(?!{TOKEN})"
 
 
-def _occurrences(words: Column, term: Term) -> Column:
-    if len(term.tokens) == 1:
-        hits = F.filter(words, lambda w: w == term.tokens[0])
-    else:
-        phrase = F.array(*[F.lit(w) for w in term.tokens])
-        starts = F.transform(words, lambda w, i: F.slice(words, i + 1, len(term.tokens)) == phrase)
-        hits = F.filter(starts, lambda hit: hit)
-    return F.size(hits)
+def count_words(text: Column, words: Sequence[str]) -> Column:
+    """Tokens of the lower-case text that are among the words.
+
+    One scan over the text; no list of tokens is built.
+    """
+    if not words:
+        return F.lit(0)
+    return F.regexp_count(text, F.lit(_word_pattern(*words)))
+
+
+def _occurrences(text: Column, term: Term) -> Column:
+    first, *rest = term.tokens
+    pattern = _word_pattern(first)
+    if rest:
+        # The tokens that follow are looked ahead at, so phrases may overlap.
+        gap = f"[^{TOKEN[1:]}+"
+        pattern += f"(?={gap}{gap.join(rest)}(?!{TOKEN}))"
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern))
 
 
 def matches(text: Column, alternatives: list[list[Term]]) -> Column:
     """Whether the text satisfies the query."""
-    words = tokens(text)
     found = F.lit(False)
     for terms in alternatives:
         all_hold = F.lit(True)
         for term in terms:
-            present = _occurrences(words, term) > 0
+            present = _occurrences(text, term) > 0
             all_hold = all_hold & (present if term.wanted else ~present)
         found = found | all_hold
     return found
@@ -81,10 +91,9 @@ def rank(text: Column, alternatives: list[list[Term]], label: str) -> Column:
     counts, and of several alternatives the best one; this approximates cover
     density, while :func:`matches` stays exact.
     """
-    words = tokens(text)
     best = F.lit(0.0)
     for terms in alternatives:
-        wanted = [_occurrences(words, t) for t in terms if t.wanted]
+        wanted = [_occurrences(text, t) for t in terms if t.wanted]
         if not wanted:
             continue
         scarcest = F.least(*wanted) if len(wanted) > 1 else wanted[0]
@@ -93,11 +102,15 @@ def rank(text: Column, alternatives: list[list[Term]], label: str) -> Column:
     return best / (best + 1)
 
 
+# Accented letters and the letters they stand for.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
 def folded(text: Column) -> Column:
     """Lower case without accents, for comparisons that ignore both."""
-    plain = F.translate(
-        F.lower(text),
-        "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ",
-        "aaaaaaceeeeiiiinooooouuuuyy",
-    )
-    return plain
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
+def fold_word(word: str) -> str:
+    return word.lower().translate(str.maketrans(ACCENTED, PLAIN))

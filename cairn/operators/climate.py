@@ -44,12 +44,8 @@ def taxon_matrix(t: Tables) -> DataFrame:
 
 def taxon_mcr(t: Tables, taxon_ids: SiteIds = None) -> DataFrame:
     """Envelope of each named taxon: name, climate summary and ordered rows."""
-    rows = (
-        t["mcr_matrix"]
-        .groupBy("taxon_id")
-        .agg(F.sort_array(F.collect_list(F.struct("mcr_row", "mcr_data"))).alias("m"))
-        .select("taxon_id", F.col("m.mcr_data").alias("matrix"))
-    )
+    row = [F.max(F.when(F.col("mcr_row") == r, F.col("mcr_data"))) for r in range(1, ROWS + 1)]
+    rows = t["mcr_matrix"].groupBy("taxon_id").agg(F.array_compact(F.array(*row)).alias("matrix"))
     names = ids_of(t["mcr_name"], taxon_ids, "taxon_id")
     return names.join(t["mcr_summary"], "taxon_id", "left").join(rows, "taxon_id", "left")
 

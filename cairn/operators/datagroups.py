@@ -89,14 +89,15 @@ def abundance_details(
 ) -> DataFrame:
     """Abundances with their identification levels and modifications.
 
-    Both lists hold the few entries of one counted item.
+    Both lists hold distinct entries, folded on the map side, so their length is
+    bounded by the short tables of levels and modification types.
     """
     levels = t["identification_level"].groupBy("abundance_id").agg(
-        F.sort_array(F.collect_list(F.struct("level_id", "level_name"))).alias("levels")
+        F.sort_array(F.collect_set(F.struct("level_id", "level_name"))).alias("levels")
     )
     changes = t["modification"].groupBy("abundance_id").agg(
         F.sort_array(
-            F.collect_list(F.struct("modification_type_id", "modification_type_name"))
+            F.collect_set(F.struct("modification_type_id", "modification_type_name"))
         ).alias("modifications")
     )
     return (

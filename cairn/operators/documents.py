@@ -545,7 +545,8 @@ def datasets_extract(
     rows = with_site(t, of_methods(t, entities(t), method_ids), site_ids)
     if covered is not None:
         rows = rows.join(covered, ["site_id", "dataset_id"], "left_anti")
-    measured = leaf(t, "measured_value").select(
+    # Cut both sides by method before the join on the entity.
+    measured = of_methods(t, leaf(t, "measured_value"), method_ids).select(
         "analysis_entity_id", leading_number(F.col("measured_value")).alias("measured_value")
     )
     names = t["physical_sample"].select("physical_sample_id", "sample_name")

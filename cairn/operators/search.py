@@ -9,7 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.semantics import best_by
-from cairn.functions.text import Term, clean_query, folded, matches, query_terms, rank, tokens
+from cairn.functions.text import (
+    Term,
+    clean_query,
+    count_words,
+    fold_word,
+    folded,
+    matches,
+    query_terms,
+    rank,
+)
 from cairn.operators.facts import entities, groups, methods, of_methods, site_datasets
 from cairn.operators.paths import path_matches, schema_path
 from cairn.operators.taxa import taxonomy
@@ -316,10 +325,8 @@ def free_text(t: Tables, query: str, k: int = 50, texts: DataFrame | None = None
     """
     words = sorted({w for terms in query_terms(query) for x in terms if x.wanted for w in x.tokens})
     rows = site_texts(t) if texts is None else texts
-    wanted = [folded(F.lit(w)) for w in words]
-    found = F.filter(tokens(folded(F.col("text"))), lambda w: w.isin(*wanted))
     scored = (
-        rows.withColumn("hits", F.size(found) if words else F.lit(0))
+        rows.withColumn("hits", count_words(folded(F.col("text")), [fold_word(w) for w in words]))
         .where("hits > 0")
         .groupBy("site_id")
         .agg(F.sum(F.col("hits") * F.col("weight")).cast("bigint").alias("score"))
