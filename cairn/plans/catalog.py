@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 DATING_METHODS = (1, 7, 12)
 CERAMIC_METHODS = (17, 18)
 ADNA_METHODS = (19,)
+ISOTOPE_METHODS = (4, 9)
 GERMINATION_CLASS = len("view")
 FELLING_CLASS = len("purchase")
 
@@ -173,6 +174,13 @@ def _(t: Tables) -> DataFrame:
     return taxa.site_taxa(t)
 
 
+@query("tax6_species_associations")
+def _(t: Tables) -> DataFrame:
+    return taxa.species_associations(t).select(
+        "taxon_id", "association_type", "associated_taxon_id", "species", "genus_name", "order_name"
+    )
+
+
 # --- habitat codes -----------------------------------------------------------------
 
 
@@ -494,6 +502,12 @@ def _(t: Tables) -> DataFrame:
     return datagroups.measured_values(t)
 
 
+@query("grp6_isotopes")
+def _(t: Tables) -> DataFrame:
+    rows = datagroups.isotopes(t, method_ids=ISOTOPE_METHODS)
+    return rows.withColumn("data", F.get_json_object("data", "$.measurement_name"))
+
+
 @query("grp7_ceramics")
 def _(t: Tables) -> DataFrame:
     return datagroups.ceramics(t, method_ids=CERAMIC_METHODS).drop("data")
@@ -518,6 +532,11 @@ def _(t: Tables) -> DataFrame:
     return variables.value_classes_used(t)
 
 
+@query("grp11_dating_uncertainties")
+def _(t: Tables) -> DataFrame:
+    return variables.dating_uncertainties(t, (GERMINATION_CLASS, FELLING_CLASS))
+
+
 @query("grp12_dendro_sites")
 def _(t: Tables) -> DataFrame:
     return datagroups.dendro_sites(t)
@@ -779,6 +798,18 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query("src6_replaced_documents")
+def _(t: Tables) -> DataFrame:
+    current = sinks.site_headers(t)
+    fresh = current.where("latitude_dd < 20").withColumn("site_name", F.upper("site_name"))
+    return sinks.replace_documents(current, fresh, "site_id")
+
+
+@query("src7_domain_clauses")
+def _(t: Tables) -> DataFrame:
+    return t["domain_clause"]
+
+
 @query("src2_keyed_lookup")
 def _(t: Tables) -> DataFrame:
     return t.lookup("sample_group", "sample_group_name", "2-HIGH").select(

@@ -256,6 +256,7 @@ oracle(
        SELECT entity_id, 'abundance' AS table_name, n FROM e
        UNION ALL SELECT entity_id, 'ceramic', n FROM e
        UNION ALL SELECT entity_id, 'entity_age', n FROM e
+       UNION ALL SELECT entity_id, 'isotope', n FROM e
        UNION ALL SELECT entity_id, 'measured_value', n FROM e
        UNION ALL SELECT entity_id, 'prep_method', preps FROM e""",
 )
@@ -297,6 +298,14 @@ oracle(
        JOIN part p ON p.p_partkey = e.taxon_id""",
 )
 
+oracle(
+    "tax6_species_associations",
+    """SELECT p.p_partkey AS taxon_id, r.r_name AS association_type,
+              CAST(p.p_size AS BIGINT) AS associated_taxon_id, o.species, o.genus_name, o.order_name
+       FROM part p JOIN region r ON r.r_regionkey = p.p_size % 7
+       JOIN v_taxonomy o ON o.taxon_id = p.p_size""",
+)
+
 # --- habitat codes -----------------------------------------------------------------
 
 oracle(
@@ -831,6 +840,12 @@ _MEASURED = f"""SELECT site_id, {_value_row(
              ELSE CAST(abundance AS VARCHAR) END AS data
        FROM v_entity WHERE method_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"""
 oracle("grp5_measured_values", _MEASURED)
+oracle(
+    "grp6_isotopes",
+    f"""SELECT site_id, {_value_row("isotope", "CAST(sample_id AS VARCHAR)",
+        "CAST(abundance AS VARCHAR)", _NUMBER, "complex")}, n_name AS data
+       FROM v_entity JOIN nation ON n_nationkey = l_linenumber WHERE method_id IN (4, 9)""",
+)
 _CERAMIC = f"""SELECT g.site_id, 'ceramic' AS type, CAST(sample_id AS VARCHAR) AS data_group_id,
               l_suppkey AS dataset_id, sample_id AS physical_sample_id, entity_id AS analysis_entity_id,
               {_NULL} AS method_id, 'Attribute ' || l_linenumber AS key, l_returnflag AS value_string,
@@ -860,6 +875,12 @@ oracle(
               CAST(length(event_type) % 2 AS BIGINT) AS value_type_id
        FROM events GROUP BY 1, 3""",
 )
+oracle(
+    "grp11_dating_uncertainties",
+    """SELECT CAST(r_regionkey AS BIGINT) AS dating_uncertainty_id, r_name AS description
+       FROM region WHERE r_regionkey IN (
+         SELECT event_id % 4 FROM events WHERE event_type IN ('view', 'purchase'))""",
+)
 oracle(
     "grp12_dendro_sites",
     f"""SELECT site_id, sample_id AS physical_sample_id, value_class_id, key, value AS value_string,
@@ -1073,6 +1094,20 @@ oracle(
                   WHERE method_group_id = 2 AND method_id IN (2, 7) GROUP BY 1) g
          ON g.site_id = c_custkey""",
 )
+oracle(
+    "src6_replaced_documents",
+    """SELECT c_custkey AS site_id,
+              CASE WHEN c_acctbal / 100 < 20 THEN upper(c_name) ELSE c_name END AS site_name,
+              c_mktsegment AS national_site_identifier, 'Segment ' || lower(c_mktsegment) AS site_description,
+              c_acctbal / 100 AS latitude_dd, CAST(c_nationkey AS DOUBLE) AS longitude_dd
+       FROM customer""",
+)
+oracle(
+    "src7_domain_clauses",
+    """SELECT CAST(r_regionkey AS BIGINT) AS facet_id, lower(r_name) AS facet_code, r_name AS display_title,
+              'method_id in (' || string_agg(CAST(n_nationkey AS VARCHAR), ', ' ORDER BY n_nationkey) || ')' AS clause
+       FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2, 3""",
+)
 oracle(
     "src2_keyed_lookup",
     """SELECT sample_group_id, site_id, method_id FROM v_group WHERE sample_group_name = '2-HIGH'""",

@@ -173,13 +173,8 @@ def bind(spark: SparkSession, folder: str) -> Tables:
 
     def prep_method() -> DataFrame:
         codes = F.array(F.col("l_linenumber") + 300, F.ascii("l_returnflag") + 300)
-        return raw["lineitem"].select(
-            _entity_id().alias("analysis_entity_id"),
-            _sample_id().alias("physical_sample_id"),
-            F.col("l_orderkey").alias("sample_group_id"),
-            F.col("l_suppkey").alias("dataset_id"),
-            F.explode(codes.cast("array<bigint>")).alias("method_id"),
-        )
+        rows = entity_flat_with(codes.cast("array<bigint>").alias("codes"))
+        return rows.select("*", F.explode("codes").alias("method_id")).drop("codes")
 
     def dataset() -> DataFrame:
         return raw["supplier"].select(
@@ -576,6 +571,46 @@ def bind(spark: SparkSession, folder: str) -> Tables:
             F.col("n_name").alias("description"),
         )
 
+    def isotope_flat() -> DataFrame:
+        line = F.col("l_linenumber").cast("bigint")
+        return entity_flat_with(
+            _entity_id().alias("isotope_id"),
+            line.alias("isotope_measurement_id"),
+            F.col("l_quantity").cast("bigint").cast("string").alias("measurement_value"),
+            (line % 3).alias("unit_id"),
+        )
+
+    def isotope_measurement() -> DataFrame:
+        return raw["nation"].select(
+            F.col("n_nationkey").cast("bigint").alias("isotope_measurement_id"),
+            F.col("n_name").alias("measurement_name"),
+        )
+
+    def unit() -> DataFrame:
+        return raw["region"].select(
+            F.col("r_regionkey").cast("bigint").alias("unit_id"),
+            F.lower("r_name").alias("unit_name"),
+        )
+
+    def dating_uncertainty() -> DataFrame:
+        return raw["region"].select(
+            F.col("r_regionkey").cast("bigint").alias("dating_uncertainty_id"),
+            F.col("r_name").alias("description"),
+        )
+
+    def species_association() -> DataFrame:
+        return raw["part"].select(
+            F.col("p_partkey").alias("taxon_id"),
+            F.col("p_size").cast("bigint").alias("associated_taxon_id"),
+            (F.col("p_size") % 7).cast("bigint").alias("association_type_id"),
+        )
+
+    def association_type() -> DataFrame:
+        return raw["region"].select(
+            F.col("r_regionkey").cast("bigint").alias("association_type_id"),
+            F.col("r_name").alias("association_type"),
+        )
+
     # --- climate matrices -----------------------------------------------------------
 
     def mcr_matrix() -> DataFrame:
@@ -631,6 +666,8 @@ def bind(spark: SparkSession, folder: str) -> Tables:
             abundance_flat, abundance, abundance_element, identification_level, modification,
             entity_age_flat, dating_flat, dating_lab, value_flat, value_class, dating_range,
             measured_value_flat, ceramic_flat, ceramic_lookup,
+            isotope_flat, isotope_measurement, unit, dating_uncertainty,
+            species_association, association_type,
             mcr_matrix, mcr_summary, mcr_name, raw_document,
         )
     }

@@ -56,6 +56,15 @@ def save_documents(
     )
 
 
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Write a flat table in buckets of ``key``, sorted within each.
+
+    Entities, abundances and sample groups saved with the same key and bucket
+    count join on it without a shuffle.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def replace_documents(current: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """The stored documents with those of ``fresh`` put in place of the same keys."""
     kept = current.join(fresh.select(key).distinct(), key, "left_anti")
