@@ -19,7 +19,18 @@ from cairn.functions.text import (
     query_terms,
     rank,
 )
-from cairn.operators.facts import entities, groups, methods, of_methods, site_datasets
+from cairn.operators.datagroups import abundance_lookups
+from cairn.operators.documents import site_biblio_lookup
+from cairn.operators.domains import domains
+from cairn.operators.facts import (
+    abundance_facts,
+    entities,
+    groups,
+    methods,
+    of_methods,
+    sample_rows,
+    site_datasets,
+)
 from cairn.operators.paths import path_matches, schema_path
 from cairn.operators.taxa import taxonomy
 from cairn.sources.tables import Tables
@@ -276,47 +287,53 @@ def search(
 
 
 def site_texts(t: Tables) -> DataFrame:
-    """(site_id, weight, text): every searchable field of a site, once per value.
+    """(site_id, weight, text): every searchable field of a site.
 
-    Shared names (methods, taxa, datasets) appear once per site however often
-    the site uses them.
+    Names that belong to a lookup (methods, taxa, datasets, references) appear
+    once per site however often the site uses them. Tables that are not bound
+    leave their fields out.
     """
+    parts: list[DataFrame] = []
+
     # The weight of each field.
-    parts = [
-        t["site"].select("site_id", F.lit(10).alias("weight"), F.col("site_name").alias("text")),
-        t["site"].select("site_id", F.lit(5), "site_description"),
-        t["site"].select("site_id", F.lit(2), "national_site_identifier"),
-        t["site_location"]
-        .join(t["location"], "location_id")
-        .select("site_id", F.lit(5), "location_name"),
-    ]
-    reference = t["site_reference"]
-    parts += [
-        reference.select("site_id", F.lit(10), "title"),
-        reference.select("site_id", F.lit(5), "authors"),
-        reference.select("site_id", F.lit(2), "year"),
-    ]
+    def add(df: DataFrame, **weights: int) -> None:
+        for column, weight in weights.items():
+            if column in df.columns:
+                text = F.col(column).alias("text")
+                parts.append(df.select("site_id", F.lit(weight).alias("weight"), text))
+
+    add(t["site"], site_name=10, site_description=5, national_site_identifier=2)
+    if "site_location" in t:
+        add(t["site_location"].join(t["location"], "location_id"), location_name=5)
+    if "site_reference" in t:
+        add(t["site_reference"], title=10, authors=5, full_reference=5, isbn=2, year=2)
+    if "group_reference" in t:
+        lookup = site_biblio_lookup(t)
+        add(lookup, title=2, isbn=2, year=2, authors=2, full_reference=2)
     owned = site_datasets(t)
-    dataset = t["dataset"].select("dataset_id", "dataset_name", "method_id")
-    parts.append(owned.join(dataset, "dataset_id").select("site_id", F.lit(10), "dataset_name"))
-    used = of_methods(t, owned).select("site_id", "method_id").distinct()
-    parts.append(
-        used.join(methods(t), "method_id").select("site_id", F.lit(5), "method_name")
-    )
+    add(owned.join(t["dataset"].select("dataset_id", "dataset_name"), "dataset_id"), dataset_name=10)
+    used = of_methods(t, owned).select("site_id", "method_id")
+    sampling = t["sample_group"].select("site_id", "method_id")
+    named = used.union(sampling).distinct().join(t["method"], "method_id")
+    add(named, method_name=5, description=2)
+    if "abundance" in t or "abundance_flat" in t:
+        pairs = abundance_facts(t).select("site_id", "taxon_id").distinct()
+        ranks = F.explode(F.array("family_name", "genus_name", "order_name")).alias("name")
+        names = taxonomy(t).select("taxon_id", ranks)
+        add(pairs.join(names, "taxon_id").select("site_id", "name").distinct(), name=5)
+        add(abundance_lookups(t), name=2)
+    if "sample_feature" in t:
+        add(sample_rows(t, "sample_feature"), feature_type_name=8)
+    if "domain_clause" in t:
+        # The titles of all domains belong to every site: one text of a few words.
+        titles = domains(t).agg(F.concat_ws(" ", F.sort_array(F.collect_set("title"))).alias("titles"))
+        add(t["site"].select("site_id").crossJoin(F.broadcast(titles)), titles=5)
     texts = parts[0]
     for part in parts[1:]:
         texts = texts.union(part)
     return texts.where("text IS NOT NULL AND text <> ''")
 
 
-def taxon_texts(t: Tables, pairs: DataFrame) -> DataFrame:
-    """Family, genus and order names per site, each distinct name once."""
-    names = taxonomy(t).select(
-        "taxon_id", F.explode(F.array("family_name", "genus_name", "order_name")).alias("text")
-    )
-    return pairs.join(names, "taxon_id").select("site_id", F.lit(5).alias("weight"), "text").distinct()
-
-
 def free_text(t: Tables, query: str, k: int = 50, texts: DataFrame | None = None) -> DataFrame:
     """The k sites with the largest weighted term count, accents ignored.
 
@@ -394,5 +411,4 @@ __all__ = [
     "search_sites",
     "search_taxa",
     "site_texts",
-    "taxon_texts",
 ]

@@ -413,6 +413,11 @@ def _(t: Tables) -> DataFrame:
     return find.free_text(t, "furniture nation")
 
 
+@query("srch7_free_text_in_lookups")
+def _(t: Tables) -> DataFrame:
+    return find.free_text(t, "asia brand element f y7 high")
+
+
 @query("srch7_free_text_whole_documents")
 def _(t: Tables) -> DataFrame:
     texts = t["raw_document"].select("site_id", F.lit(5).alias("weight"), "text")

@@ -723,10 +723,7 @@ def _weighted(texts: str, words: str, names: str) -> str:
        SELECT s.site_id, n.site_name, s.score FROM s LEFT JOIN ({names}) n USING (site_id)"""
 
 
-oracle(
-    "srch7_free_text",
-    _weighted(
-        """SELECT c_custkey AS site_id, 10 AS weight, c_name AS text FROM customer
+_SITE_TEXTS = """SELECT c_custkey AS site_id, 10 AS weight, c_name AS text FROM customer
          UNION ALL SELECT c_custkey, 5, 'Segment ' || lower(c_mktsegment) FROM customer
          UNION ALL SELECT c_custkey, 2, c_mktsegment FROM customer
          UNION ALL SELECT c_custkey, 5, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey
@@ -735,10 +732,26 @@ oracle(
          UNION ALL SELECT c_custkey, 10, 'Work ' || (c_custkey % 150) FROM customer
          UNION ALL SELECT site_id, 10, s_name FROM v_site_dataset JOIN supplier ON s_suppkey = dataset_id
          UNION ALL SELECT DISTINCT site_id, 5, n_name FROM v_site_dataset
-                   JOIN nation ON n_nationkey = method_id""",
-        "['furniture', 'nation']",
-        "SELECT c_custkey AS site_id, c_name AS site_name FROM customer",
-    ),
+                   JOIN nation ON n_nationkey = method_id
+         UNION ALL SELECT DISTINCT o_custkey, 5, o_orderpriority FROM orders
+         UNION ALL SELECT site_id, 2, unnest(['Work ' || biblio_id,
+                          CASE WHEN filled > 1 THEN 'y' || biblio_id END,
+                          CASE WHEN filled > 2 THEN 'a' || biblio_id END]) FROM (
+                   SELECT site_id, biblio_id, max(filled) AS filled FROM (
+                     SELECT c_custkey AS site_id, c_custkey % 150 AS biblio_id, 1 AS filled FROM customer
+                     UNION ALL SELECT o_custkey, o_orderkey % 170, 2 FROM orders
+                     UNION ALL SELECT site_id, dataset_id % 200, 3 FROM v_site_dataset) GROUP BY 1, 2)
+         UNION ALL (SELECT DISTINCT site_id, 5, unnest([family_name, genus_name, order_name])
+                    FROM v_entity JOIN v_taxonomy USING (taxon_id))
+         UNION ALL (SELECT DISTINCT site_id, 2, 'Element ' || l_returnflag FROM v_entity)
+         UNION ALL (SELECT DISTINCT site_id, 2, l_linestatus FROM v_entity WHERE l_returnflag = 'R')
+         UNION ALL SELECT site_id, 8, l_linestatus FROM v_entity
+         UNION ALL SELECT c_custkey, 5, (SELECT string_agg(r_name, ' ') FROM region) FROM customer"""
+_SITE_NAMES = "SELECT c_custkey AS site_id, c_name AS site_name FROM customer"
+oracle("srch7_free_text", _weighted(_SITE_TEXTS, "['furniture', 'nation']", _SITE_NAMES))
+oracle(
+    "srch7_free_text_in_lookups",
+    _weighted(_SITE_TEXTS, "['asia', 'brand', 'element', 'f', 'y7', 'high']", _SITE_NAMES),
 )
 oracle(
     "srch7_free_text_whole_documents",
