@@ -449,8 +449,12 @@ def abundance_lookups(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     changes = (
         facts.select("site_id", "abundance_id")
         .join(t["modification"], "abundance_id")
-        .groupBy("site_id", F.col("modification_type_id").alias("id"))
-        .agg(F.min("modification_type_name").alias("name"))
+        .select(
+            "site_id",
+            F.col("modification_type_id").alias("id"),
+            F.col("modification_type_name").alias("name"),
+        )
+        .distinct()
     )
     columns = ["site_id", "kind", "id", "name"]
     return (

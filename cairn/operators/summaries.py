@@ -31,6 +31,20 @@ def _count() -> object:
     return F.count(F.lit(1))
 
 
+def _named_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key and ``id`` with the first name of each id.
+
+    Counting per (id, name) first keeps the large step a hash aggregation; only
+    its short result meets the minimum over texts.
+    """
+    per_name = rows.groupBy(*keys, "id", "name").agg(_count().alias("n"))
+    return (
+        per_name.groupBy(*keys, "id")
+        .agg(F.min("name").alias("name"), F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), *keys, "id")
+    )
+
+
 def dataset_summaries(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     """Per method: distinct sites and (site, dataset) pairs."""
     pairs = of_methods(t, site_datasets(t, site_ids))
@@ -136,11 +150,10 @@ def feature_types(
     site = per_site or site_ids is not None
     rows = sample_rows(t, "sample_feature", site_ids, site=site)
     keys = ["site_id"] if per_site else []
-    return (
-        rows.groupBy(*keys, F.col("feature_type_id").alias("id"))
-        .agg(F.min("feature_type_name").alias("name"), _count().alias("n"))
-        .orderBy(F.desc("n"), *keys, "id")
+    named = rows.select(
+        *keys, F.col("feature_type_id").alias("id"), F.col("feature_type_name").alias("name")
     )
+    return _named_counts(named, keys)
 
 
 # The variables the grouped summary knows, as document paths.
@@ -162,11 +175,10 @@ def path_summary(
     """Count the elements at a nested document path by one of their fields."""
     item = path_rows(ids_of(documents, site_ids), path)
     keys = ["site_id"] if per_site else []
-    return (
-        item.groupBy(*keys, F.col(f"item.{id_field}").alias("id"))
-        .agg(F.min(f"item.{name_field}").alias("name"), _count().alias("n"))
-        .orderBy(F.desc("n"), *keys, "id")
+    named = item.select(
+        *keys, F.col(f"item.{id_field}").alias("id"), F.col(f"item.{name_field}").alias("name")
     )
+    return _named_counts(named, keys)
 
 
 def path_count(documents: DataFrame, path: str, site_ids: SiteIds = None) -> DataFrame:

@@ -124,7 +124,10 @@ def bind(spark: SparkSession, folder: str) -> Tables:
         return (
             raw["lineitem"]
             .groupBy("l_orderkey", "l_linenumber")
-            .agg(F.min("l_returnflag").alias("flag"), F.min("l_shipdate").alias("day"))
+            .agg(
+                F.char(F.min(F.ascii("l_returnflag"))).alias("flag"),
+                F.min("l_shipdate").alias("day"),
+            )
             .select(
                 _sample_id().alias("physical_sample_id"),
                 F.col("l_orderkey").alias("sample_group_id"),
