@@ -53,13 +53,14 @@ def _word_pattern(*words: str) -> str:
 
 
 def count_words(text: Column, words: Sequence[str]) -> Column:
-    """Tokens of the lower-case text that are among the words.
+    """Tokens of the text that are among the words, ignoring case and accents.
 
     One scan over the text; no list of tokens is built.
     """
     if not words:
         return F.lit(0)
-    return F.regexp_count(text, F.lit(_word_pattern(*words)))
+    pattern = _word_pattern(*[any_accent(w) for w in words])
+    return F.regexp_count(F.lower(text), F.lit(pattern))
 
 
 def _occurrences(text: Column, term: Term) -> Column:
@@ -107,10 +108,18 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-def folded(text: Column) -> Column:
-    """Lower case without accents, for comparisons that ignore both."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
-
-
 def fold_word(word: str) -> str:
     return word.lower().translate(str.maketrans(ACCENTED, PLAIN))
+
+
+def any_accent(word: str) -> str:
+    """Pattern of a word that matches it with any accents.
+
+    The pattern carries the variants so that the text, which is far longer than
+    the words, need not be rewritten.
+    """
+    letters = []
+    for letter in fold_word(word):
+        variants = [a for a, p in zip(ACCENTED, PLAIN) if p == letter]
+        letters.append(f"[{letter}{''.join(variants)}]" if variants else letter)
+    return "".join(letters)

@@ -13,8 +13,6 @@ from cairn.functions.text import (
     Term,
     clean_query,
     count_words,
-    fold_word,
-    folded,
     matches,
     query_terms,
     rank,
@@ -343,7 +341,7 @@ def free_text(t: Tables, query: str, k: int = 50, texts: DataFrame | None = None
     words = sorted({w for terms in query_terms(query) for x in terms if x.wanted for w in x.tokens})
     rows = site_texts(t) if texts is None else texts
     scored = (
-        rows.withColumn("hits", count_words(folded(F.col("text")), [fold_word(w) for w in words]))
+        rows.withColumn("hits", count_words(F.col("text"), words))
         .where("hits > 0")
         .groupBy("site_id")
         .agg(F.sum(F.col("hits") * F.col("weight")).cast("bigint").alias("score"))
