@@ -4,8 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.decontaminate import contaminated
 from cairn.llm.jobs import read
 from cairn.llm.neardup import NearDup, near_duplicates
+from cairn.llm.secrets import scan
+
+
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(read(spark, folder, "documents"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,5 +23,7 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
