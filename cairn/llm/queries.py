@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm.decontaminate import contaminated
 from cairn.llm.jobs import read
 from cairn.llm.neardup import NearDup, near_duplicates
+from cairn.llm.resample import resample
 from cairn.llm.secrets import scan
 
 
@@ -22,8 +23,13 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), NearDup(words=4))
 
 
+def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op10_importance_resampling": op10_importance_resampling,
 }
