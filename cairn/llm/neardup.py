@@ -9,7 +9,11 @@
    the pair is dropped. Survivors are verified on their full sets.
 4. Verified links form components. Where a bucket holds classes outside its largest component, these
    outsiders (and only these) are compared with the rest of the bucket, block against block, by the
-   same pruning and verification. Pairs already in one component need no test.
+   same pruning and verification. A pair is looked at in the first band it shares only, pairs already
+   in one component not at all, and no pair leaves a task but a verified link.
+
+Full sets are made once, of classes that share a bucket. A bitmap of fixed size, sent to the tasks, spares
+most other texts that work; what it lets through by chance is dropped by a join.
 
 A pair is missed only if no band agrees (5e-6 at the threshold with the defaults) or if the pruning
 is wrong (``miss``). Shingles are compared by 64-bit digests.
@@ -34,7 +38,7 @@ from cairn.llm.textblocks import Hasher, blocks, shingles
 @dataclass(frozen=True)
 class NearDup:
     """Parameters: words a shingle, similarity in percent, bands of ``rows`` values, values a comparison
-    batch, the pruning's miss probability, classes a block of step 4."""
+    batch, the pruning's miss probability, classes a block of step 4, bits of the bitmap."""
 
     words: int = 5
     percent: int = 80
@@ -43,6 +47,7 @@ class NearDup:
     batch: int = 40
     miss: float = 1e-5
     block: int = 512
+    bitmap: int = 1 << 24
     seed: int = 11
 
     @property
@@ -112,78 +117,105 @@ def plausible(batches: Iterator[pa.RecordBatch], how: NearDup) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([part.column("lo").take(pa.array(alive)), part.column("hi").take(pa.array(alive))], ["lo", "hi"])
 
 
-def plausible_blocks(key: tuple, left: pa.Table, right: pa.Table, how: NearDup) -> pa.Table:
-    """All plausible pairs of one block of outsiders and one block of members, but for pairs of one component."""
-    limits = least_matches(how)
-    a, b = (_matrix(t.column("signature").combine_chunks(), how) if t.num_rows else np.empty((0, how.values), "<u2") for t in (left, right))
-    ia, ib = (t.column("id").to_numpy() for t in (left, right))
-    ca, cb = (t.column("root").to_numpy() for t in (left, right))
-    lo, hi = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for row in range(len(ia)):
-        alive = np.flatnonzero(cb != ca[row])
-        matches = np.zeros(len(ib), np.int64)
-        for k, limit in enumerate(limits):
-            cols = slice(k * how.batch, (k + 1) * how.batch)
-            matches[alive] += (b[alive, cols] == a[row, cols]).sum(axis=1)
-            alive = alive[matches[alive] >= limit]
-        lo.append(np.minimum(ib[alive], ia[row]))
-        hi.append(np.maximum(ib[alive], ia[row]))
-    pairs = np.unique(np.stack([np.concatenate(lo), np.concatenate(hi)], axis=1), axis=0)
-    return pa.table({"lo": pa.array(pairs[:, 0], pa.int64()), "hi": pa.array(pairs[:, 1], pa.int64())})
-
-
-def full_sets(batches: Iterator[pa.RecordBatch], how: NearDup) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
-    for block in blocks(batches):
-        sets = [s.view(np.int64) for s in shingles(hasher.words(block.data, block.starts, block.ends), block.first, how.words)]
-        yield pa.RecordBatch.from_arrays([block.rows.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "found"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (lo, hi) whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(lambda b: full_sets(b, how), "id long, found array<long>")
-    sets = cut(sets)
-    both = (
-        pairs.join(sets.select(F.col("id").alias("lo"), F.col("found").alias("a")), "lo")
-        .join(sets.select(F.col("id").alias("hi"), F.col("found").alias("b")), "hi")
-        .withColumn("common", F.size(F.array_intersect("a", "b")))
-    )
-    return both.where(F.lit(100) * F.col("common") >= F.lit(how.percent) * (F.size("a") + F.size("b") - F.col("common"))).select("lo", "hi")
-
-
-def _pairs(buckets: DataFrame, signatures: DataFrame, how: NearDup) -> DataFrame:
-    """Plausible pairs of each bucket's least class with the others."""
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int((b[at] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def linked_blocks(left: pa.Table, right: pa.Table, how: NearDup) -> pa.Table:
+    """Verified links between a block of a bucket's outsiders and a block of its members."""
+    links: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        limits = least_matches(how)
+        band = left.column("band")[0].as_py()
+        a, b = (_matrix(t.column("signature").combine_chunks(), how) for t in (left, right))
+        sets = [[np.asarray(x.values) for x in t.column("found").combine_chunks()] for t in (left, right)]
+        (ia, ib), (ca, cb), (ra, rb) = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "center", "root"))
+        also = right.column("outside").to_numpy(zero_copy_only=False)
+        for row in range(len(ia)):
+            # The bucket's center has met all; two outsiders meet once.
+            alive = np.flatnonzero((rb != ra[row]) & (ib != cb) & (ia[row] != ca[row]) & ~(also & (ib < ia[row])))
+            matches = np.zeros(len(ib), np.int64)
+            for k, limit in enumerate(limits):
+                cols = slice(k * how.batch, (k + 1) * how.batch)
+                matches[alive] += (b[alive, cols] == a[row, cols]).sum(axis=1)
+                alive = alive[matches[alive] >= limit]
+            if not len(alive):
+                continue
+            shared = (b[alive] == a[row]).reshape(len(alive), how.bands, how.rows).all(axis=2).argmax(axis=1)
+            alive = alive[shared == band]
+            reached: set[int] = set()
+            for other in alive[np.argsort(-matches[alive], kind="stable")].tolist():
+                if rb[other] not in reached and _linked(sets[0][row], sets[1][other], how.percent):
+                    reached.add(rb[other])
+                    links.append((min(ia[row], ib[other]), max(ia[row], ib[other])))
+    return pa.table({"lo": pa.array([x[0] for x in links], pa.int64()), "hi": pa.array([x[1] for x in links], pa.int64())})
+
+
+def _sets_of(ids: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """(id, found) with the full sets of the texts whose id is in ``ids``."""
+    place = F.pmod(F.xxhash64("id"), F.lit(how.bitmap))
+    words = ids.select((place / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {how.bitmap}) % 32 as int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(how.bitmap // 32, np.uint32)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bitmap = Hasher(), shared.value
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            batch = batch.filter(pa.array((bitmap[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1))
+            for block in blocks(iter([batch])):
+                found = [np.sort(s.view(np.int64)) for s in shingles(hasher.words(block.data, block.starts, block.ends), block.first, how.words)]
+                yield pa.RecordBatch.from_arrays([block.rows.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "found"])
+
+    return texts.withColumn("place", place).mapInArrow(sets, "id long, found array<long>").join(ids, "id", "left_semi")
+
+
+def _star_links(buckets: DataFrame, signatures: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Verified links of each bucket's least class with the others."""
     stars = buckets.where("id <> center").select(F.col("center").alias("lo"), F.col("id").alias("hi")).distinct()
-    return (
+    pairs = (
         stars.join(signatures.select(F.col("id").alias("lo"), F.col("signature").alias("signature_lo")), "lo")
         .join(signatures.select(F.col("id").alias("hi"), F.col("signature").alias("signature_hi")), "hi")
         .mapInArrow(lambda b: plausible(b, how), "lo long, hi long")
     )
+    both = (
+        cut(pairs)
+        .join(sets.select(F.col("id").alias("lo"), F.col("found").alias("a")), "lo")
+        .join(sets.select(F.col("id").alias("hi"), F.col("found").alias("b")), "hi")
+        .withColumn("common", F.size(F.array_intersect("a", "b")))
+    )
+    return both.where(F.lit(100) * F.col("common") >= F.lit(how.percent) * (F.size("a") + F.size("b") - F.col("common"))).select("lo", "hi")
 
 
-def _outsider_pairs(buckets: DataFrame, roots: DataFrame, signatures: DataFrame, how: NearDup) -> DataFrame:
-    """Plausible untested pairs of classes that share a bucket but no component."""
+def _outsider_links(buckets: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Verified links between classes that share a bucket but, so far, no component."""
     placed = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
     # A bucket of two needs no second look: its only pair has been compared.
     mixed = main.where("roots > 1 and size > 2").select("bucket", "main", F.ceil(F.col("size") / how.block).cast("int").alias("parts"))
-    rows = placed.join(mixed, "bucket").join(signatures, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    rows = cut(rows.select("bucket", "part", "parts", "id", "root", "main", "signature"))
-    outsiders = rows.where("root <> main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    outsiders = outsiders.select("bucket", F.col("other").cast("long").alias("part"), F.col("part").alias("own"), "id", "root", "signature")
+    rows = placed.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("outside", F.expr("root <> main"))
+    rows = cut(rows.select("bucket", "band", "part", "parts", "id", "center", "root", "outside"))
+    known = signatures.join(sets, "id")
+    keys, columns = ("bucket", "part", "own"), ("band", "id", "center", "root", "outside")
+    outsiders = rows.where("outside").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    outsiders = outsiders.select("bucket", F.col("other").cast("long").alias("part"), F.col("part").alias("own"), *columns)
     # Members go to a task for each part that outsiders come from.
-    members = rows.join(outsiders.select("bucket", "own").distinct(), "bucket")
-    keys = ("bucket", "part", "own")
-    members = members.select(*(F.col(c).alias(c) for c in (*keys, "id", "root", "signature")))
-    return (
-        outsiders.groupBy(*keys)
-        .cogroup(members.groupBy(*keys))
-        .applyInArrow(lambda key, a, b: plausible_blocks(key, a, b, how), "lo long, hi long")
-        .distinct()
-        .join(buckets.where("id <> center").select(F.col("center").alias("lo"), F.col("id").alias("hi")).distinct(), ["lo", "hi"], "left_anti")
+    members = rows.join(outsiders.select("bucket", "own").distinct(), "bucket").select(*(F.col(c).alias(c) for c in (*keys, *columns)))
+    outsiders, members = (
+        side.join(known.select(*(F.col(c).alias(c) for c in ("id", "signature", "found"))), "id") for side in (outsiders, members)
     )
+    return outsiders.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(lambda _, a, b: linked_blocks(a, b, how), "lo long, hi long")
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,16 +233,16 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id
     classes = cut(classes)
     signatures = classes.groupBy(F.col("class").alias("id")).agg(F.min("signature").alias("signature"))
     width = 2 * how.rows
-    bands = classes.select(
-        F.col("class").alias("id"),
-        F.explode(F.expr(f"transform(sequence(0, {how.bands - 1}), i -> xxhash64(i, substring(signature, i * {width} + 1, {width})))")).alias("bucket"),
-    )
+    bands = classes.select(F.col("class").alias("id"), "signature", F.explode(F.sequence(F.lit(0), F.lit(how.bands - 1))).alias("band"))
+    bands = bands.select("id", "band", F.expr(f"xxhash64(band, substring(signature, band * {width} + 1, {width}))").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = cut(bands.join(shared, "bucket").select("bucket", "id", "center"))
-    ids = texts.where("id is not null")
-    links = cut(_verified(cut(_pairs(buckets, signatures, how)), ids, how))
+    buckets = cut(bands.join(shared, "bucket").select("bucket", "band", "id", "center"))
+    in_buckets = buckets.select("id").distinct()
+    sets = cut(_sets_of(in_buckets, texts.where("id is not null"), how))
+    signatures = cut(signatures.join(in_buckets, "id", "left_semi"))
+    links = _star_links(buckets, signatures, sets, how)
     roots = components(links.select("hi", "lo"))
-    more = _verified(cut(_outsider_pairs(buckets, roots, signatures, how)), ids, how)
+    more = _outsider_links(buckets, roots, signatures, sets, how)
     roots = components(roots.select(F.col("node").alias("hi"), F.col("root").alias("lo")).union(more.select("hi", "lo")))
     of_class = classes.select("digest", "class").join(roots, F.col("class") == F.col("node"), "left").select("digest", F.coalesce("root", "class").alias("root"))
     return (
