@@ -2,4 +2,52 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: Sizes, targets and taken words by running sums; positions by the quadratic of each schedule's piece.
+OP1 = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':1') AS ord
+    FROM documents
+),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank
+    FROM sized GROUP BY source
+),
+weighed AS (
+    SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM sources
+),
+levels AS (
+    SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           / CAST(sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lambda_,
+           cap / weight AS level
+    FROM weighed
+),
+targets AS (
+    SELECT source, source_size, (rank - 1) % 3 AS place,
+           CASE WHEN lambda_ >= level THEN CAST(cap AS DOUBLE)
+                ELSE (min({'level': level, 'rank': rank, 'l': lambda_}) FILTER (WHERE lambda_ < level) OVER ()).l * weight END AS target
+    FROM levels
+),
+placed AS (
+    SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, t.source_size, t.target, t.place, CAST(round(t.target) AS BIGINT) AS quota,
+           CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+),
+counted AS (
+    SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE quota // source_size END AS whole FROM placed
+),
+taken AS (
+    SELECT *, CAST(whole * size + least(greatest(quota - whole * source_size - at_, 0), size) AS BIGINT) AS taken, at_ / quota AS f FROM counted
+)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken = 0 THEN NULL
+            WHEN f = 0 THEN 0.0
+            WHEN place = 0 THEN least(2.0 * f / (1.5 + sqrt(greatest(2.25 - 2.0 * f, 0.0))), 1.0)
+            WHEN place = 1 THEN least(2.0 * f / (1.0 + sqrt(1.0)), 1.0)
+            WHEN f = 0.3125 / 1.0 THEN 0.5
+            WHEN f < 0.3125 THEN least(2.0 * f / (0.5 + sqrt(greatest(0.25 + 1.0 * f, 0.0))), 0.5)
+            ELSE 0.5 + least(2.0 * (f - 0.3125) / (0.75 + sqrt(greatest(0.5625 + 5.0 * (f - 0.3125), 0.0))), 0.5) END AS first_position
+FROM taken
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing_curriculum": OP1}

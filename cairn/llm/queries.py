@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm.decontaminate import contaminated
 from cairn.llm.jobs import read
+from cairn.llm.mixing import mix
 from cairn.llm.neardup import NearDup, near_duplicates
 from cairn.llm.resample import resample
 from cairn.llm.secrets import scan
 
 
+def op1_mixing_curriculum(spark: SparkSession, folder: str) -> DataFrame:
+    found = mix(read(spark, folder, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -28,6 +35,7 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing_curriculum": op1_mixing_curriculum,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
