@@ -9,6 +9,7 @@ from cairn.llm.decontaminate import contaminated
 from cairn.llm.jobs import read
 from cairn.llm.mixing import mix
 from cairn.llm.neardup import NearDup, near_duplicates
+from cairn.llm.outliers import outliers
 from cairn.llm.resample import resample
 from cairn.llm.secrets import scan
 
@@ -18,6 +19,10 @@ def op1_mixing_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
 
 
+def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers(read(spark, folder, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -36,6 +41,7 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing_curriculum": op1_mixing_curriculum,
+    "op2_robust_outliers": op2_robust_outliers,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
