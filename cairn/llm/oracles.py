@@ -50,4 +50,55 @@ SELECT doc_id, size, source_size, target, taken,
 FROM taken
 """
 
-ORACLES: dict[str, str] = {"op1_mixing_curriculum": OP1}
+#: A turn is rendered so that a prefix of turns is a prefix of text, and nothing else is.
+OP7 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+),
+lines AS (
+    SELECT conv_id, turn, role, text,
+           '<|im_start|>' || replace(replace(role, '\', '\\'), '<|', '<\|') || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS line
+    FROM turns
+),
+whole AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(line, '' ORDER BY turn NULLS FIRST, role, text) AS body,
+           first(line ORDER BY turn NULLS FIRST, role, text) AS opening
+    FROM lines GROUP BY conv_id
+),
+kept AS (
+    SELECT a.conv_id, a.n_turns FROM whole a
+    WHERE NOT EXISTS (
+        SELECT 1 FROM whole b WHERE b.opening = a.opening AND starts_with(b.body, a.body)
+        AND (b.n_turns > a.n_turns OR b.n_turns = a.n_turns AND b.conv_id < a.conv_id))
+),
+parts AS (
+    SELECT l.conv_id, k.n_turns, coalesce(floor(l.turn / 256), -1e18) AS piece, string_agg(line, '' ORDER BY turn NULLS FIRST, role, text) AS text
+    FROM lines l JOIN kept k ON l.conv_id = k.conv_id GROUP BY ALL
+)
+SELECT conv_id, n_turns, row_number() OVER (PARTITION BY conv_id ORDER BY piece) - 1 AS part, text FROM parts
+"""
+
+#: Where the records of the worn pages lie in the first archive.
+OP8 = r"""
+WITH dealt AS (
+    SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url,
+           CAST('0x' || substr(md5(concat_ws('|', CAST(page_id AS VARCHAR), url, md5(html))), 1, 8) AS BIGINT)
+           % greatest(1, CAST(ceil((SELECT count(*) FROM pages) / 2000.0) AS BIGINT)) AS file
+    FROM pages
+),
+sized AS (
+    SELECT file, page_id, html, url,
+           strlen('WARC/1.1##WARC-Type: resource##WARC-Record-ID: <urn:page:') + strlen(coalesce(CAST(page_id AS VARCHAR), ''))
+           + strlen('>##WARC-Target-URI: ') + strlen(url)
+           + strlen('##WARC-Date: 2020-01-01T00:00:00Z##Content-Type: text/html##WARC-Block-Digest: sha256:') + 64
+           + strlen('##Content-Length: ') + strlen(CAST(strlen(html) AS VARCHAR)) + 4 + strlen(html) + 4 AS length
+    FROM dealt
+),
+placed AS (
+    SELECT file, page_id, length, row_number() OVER w - 1 AS place, sum(length) OVER w - length AS start FROM sized
+    WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST)
+)
+SELECT CAST(file AS BIGINT) AS file, place, page_id, CAST(start AS BIGINT) AS start, length, 'damaged' AS state FROM placed WHERE page_id % 41 = 5
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing_curriculum": OP1, "op7_snapshot_collapse": OP7, "op8_merkle_fixity": OP8}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm import warc
+from cairn.llm.chat import format_chats
 from cairn.llm.decontaminate import contaminated
 from cairn.llm.jobs import read
 from cairn.llm.mixing import mix
@@ -12,6 +14,7 @@ from cairn.llm.neardup import NearDup, near_duplicates
 from cairn.llm.outliers import outliers
 from cairn.llm.resample import resample
 from cairn.llm.secrets import scan
+from cairn.llm.wrappers import main_texts
 
 
 def op1_mixing_curriculum(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +38,22 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), NearDup(words=4))
 
 
+def op7_snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    return format_chats(read(spark, folder, "conversations"))
+
+
+def op8_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive of all pages against a replica in which one byte of every 41st page's record has changed."""
+    records = warc.archive(read(spark, folder, "pages"))
+    worn = F.concat(F.expr("substring(payload, 1, octet_length(payload) - 7)"), F.lit(b"\x00"), F.expr("substring(payload, octet_length(payload) - 5)"))
+    replica = records.withColumn("payload", F.when((F.col("page_id") % 41 == 5), worn).otherwise(F.col("payload")))
+    return warc.audit(warc.leaves(records), warc.leaves(replica))
+
+
+def op9_html_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(read(spark, folder, "pages"))
+
+
 def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resample(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -45,5 +64,8 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_snapshot_collapse": op7_snapshot_collapse,
+    "op8_merkle_fixity": op8_merkle_fixity,
+    "op9_html_wrappers": op9_html_wrappers,
     "op10_importance_resampling": op10_importance_resampling,
 }
