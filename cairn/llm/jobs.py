@@ -33,3 +33,11 @@ def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFra
 def text_column(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def folded(frame: DataFrame, keys: tuple[str, ...], merge, shape: str, parts: int, fanout: int = 16) -> DataFrame:
+    """Rows of one key merged ``fanout`` at a time, by their column ``part`` (below ``parts``), until one is left."""
+    while parts > 1:
+        frame = frame.withColumn("part", F.expr(f"part div {fanout}")).groupBy(*keys, "part").applyInArrow(merge, shape)
+        parts = -(-parts // fanout)
+    return frame

@@ -255,3 +255,17 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id
             F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def keep_first(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, all columns unchanged.
+
+    Of rows equal in id and text one stays. Rows without words or with a null id all stay.
+    """
+    gone = near_duplicates(docs, how, id, text).where("not kept").select(id).distinct()
+    left = docs.join(gone, id, "left_anti").select(*docs.columns)
+    again = cut(docs.groupBy(id).agg(F.count("*").alias("n")).where(F.col(id).isNotNull() & (F.col("n") > 1)).select(id))
+    if again.isEmpty():
+        return left
+    once = left.join(again, id, "left_anti").select(*docs.columns)
+    return once.union(left.join(again, id, "left_semi").select(*docs.columns).dropDuplicates([id, text]))

@@ -13,6 +13,7 @@ from cairn.llm.mixing import mix
 from cairn.llm.neardup import NearDup, near_duplicates
 from cairn.llm.outliers import outliers
 from cairn.llm.resample import resample
+from cairn.llm.scoring import score
 from cairn.llm.secrets import scan
 from cairn.llm.wrappers import main_texts
 
@@ -38,6 +39,10 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), NearDup(words=4))
 
 
+def op6_log_bilinear_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score(read(spark, folder, "documents"))
+
+
 def op7_snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return format_chats(read(spark, folder, "conversations"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_log_bilinear_scoring": op6_log_bilinear_scoring,
     "op7_snapshot_collapse": op7_snapshot_collapse,
     "op8_merkle_fixity": op8_merkle_fixity,
     "op9_html_wrappers": op9_html_wrappers,
