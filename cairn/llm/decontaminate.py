@@ -234,16 +234,18 @@ def shards(items: DataFrame, how: Decontamination, id: str, text: str) -> Iterat
             yield pa.RecordBatch.from_arrays([*batch.columns, terms, pa.array([len(f) for f in found], pa.int64())], ["item_id", "text", "own", "size"])
 
     rows = items.select(F.col(id).cast("long").alias("item_id"), text_column(text).alias("text")).distinct()
-    rows = cut(rows.mapInArrow(terms_of, "item_id long, text string, own array<long>, size long").where("size > 0"))
+    rows = rows.mapInArrow(terms_of, "item_id long, text string, own array<long>, size long").where("size > 0")
+    rows = cut(rows.withColumn("item", F.xxhash64("item_id", "text")))
     count, mean = rows.agg(F.count("*"), F.avg("size")).first()
     if not count:
         return
-    each = rows.withColumn("term", F.explode("own"))
+    each = rows.select("item", F.explode("own").alias("term"))
     frequency = each.groupBy("term").agg(F.count("*").alias("df"))
-    full = cut(each.join(frequency, "term").groupBy("item_id", "text").agg(F.collect_list(F.struct("term", "df")).alias("terms")))
+    terms = each.join(frequency, "term").groupBy("item").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+    full = cut(rows.select("item", "item_id", "text").join(terms, "item"))
     parts = -(-count // how.shard)
     for part in range(parts):
-        own = full.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        own = full.where(F.pmod(F.col("item"), F.lit(parts)) == part).collect()
         if own:
             own.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
             yield build_index(own, count, mean, how)
