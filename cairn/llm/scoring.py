@@ -37,11 +37,14 @@ END = np.uint64(0xE17D0FE17D0FE17D)
 class Bilinear:
     words: int = 128
     size: int = 24
-    rounds: int = 4
+    rounds: int = 3
     noise: int = 64
     ratio: float = 16.0
     step: float = 0.15
     batch: int = 4096
+    least_batch: int = 64
+    batches: int = 200
+    tasks: int = 16
     table: int = 1 << 19
     seed: int = 5
 
@@ -220,12 +223,16 @@ def first_model(unigrams: np.ndarray, how: Bilinear) -> Model:
 
 
 def train(model: Model, keys: np.ndarray, counts: np.ndarray, noise: np.ndarray, how: Bilinear, seed: int) -> Model:
-    """One pass of noise-contrastive steps (Adagrad) over weighted trigrams; ``noise`` is the classes' distribution."""
+    """One pass of noise-contrastive steps (Adagrad) over weighted trigrams; ``noise`` is the classes' distribution.
+
+    A pass has at least ``batches`` steps, unless batches would be smaller than ``least_batch``.
+    """
     model = {k: v.copy() for k, v in model.items()}
     sums = {k: np.full(v.shape, 1e-3) for k, v in model.items()}
     rng = np.random.default_rng([how.seed, seed])
     lift = np.log(how.ratio * noise)
     order = rng.permutation(len(keys))
+    size = min(how.batch, max(how.least_batch, len(order) // how.batches))
 
     def update(name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
         total = np.zeros_like(model[name])
@@ -234,8 +241,8 @@ def train(model: Model, keys: np.ndarray, counts: np.ndarray, noise: np.ndarray,
         sums[name][hit] += total[hit] ** 2
         model[name][hit] += how.step * total[hit] / np.sqrt(sums[name][hit])
 
-    for at in range(0, len(order), how.batch):
-        part = order[at : at + how.batch]
+    for at in range(0, len(order), size):
+        part = order[at : at + size]
         key, weight = keys[part], counts[part] / counts[part].sum()
         two, one, word = key >> 16, (key >> 8) & 255, key & 255
         drawn = rng.choice(CLASSES, how.noise, p=noise)
@@ -269,6 +276,8 @@ def fit(counts: DataFrame, unigrams: np.ndarray, how: Bilinear) -> Model:
     """Rounds of local passes and averages weighted by tokens."""
     model = first_model(unigrams, how)
     noise = (unigrams + 0.5) / (unigrams + 0.5).sum()
+    # The table has a fixed most of rows, so a fixed number of tasks will do; fewer tasks make better averages.
+    counts = counts.coalesce(how.tasks)
     spark, parts = counts.sparkSession, counts.rdd.getNumPartitions()
     shape = "part long, weight double, model binary"
 

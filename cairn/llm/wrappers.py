@@ -15,6 +15,7 @@ wrapper's main element is judged by its own tree.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -47,6 +48,8 @@ BOILERPLATE_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("articlebody article-body entry-content post-content story-body main-content".split())
 FANOUT = 16
+#: Elements nested deeper than this count as part of the last one that is not.
+DEEPEST = 200
 
 
 def key_of(tag: str, attributes: str) -> str:
@@ -75,6 +78,11 @@ def is_main(key: str) -> bool:
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("open", tag, key), ("close", tag, ""), ("void", tag, ""), ("text", text, "") with all elements closed in order."""
     open_: list[str] = []
+
+    def closed() -> tuple[str, str, str]:
+        tag = open_.pop()
+        return ("close" if len(open_) < DEEPEST else "void", tag, "")
+
     for match in TOKEN.finditer(page):
         text = match[5]
         if text is not None:
@@ -86,11 +94,10 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         tag = tag.lower()
         if match[2]:
             if tag in open_:
-                while True:
-                    last = open_.pop()
-                    yield "close", last, ""
-                    if last == tag:
-                        break
+                last = None
+                while last != tag:
+                    last = open_[-1]
+                    yield closed()
             continue
         if tag in VOID:
             yield "void", tag, ""
@@ -104,19 +111,19 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             inside = [k for k in range(at, len(open_)) if open_[k] in ended]
             if inside:
                 while len(open_) > inside[0]:
-                    yield "close", open_.pop(), ""
+                    yield closed()
         open_.append(tag)
-        yield "open", tag, key_of(tag, match[4])
+        yield ("open", tag, key_of(tag, match[4])) if len(open_) <= DEEPEST else ("void", tag, "")
         if match[4].endswith("/") and tag not in INLINE and tag not in ENDS_P and tag not in ENDS:
-            yield "close", open_.pop(), ""
+            yield closed()
     while open_:
-        yield "close", open_.pop(), ""
+        yield closed()
 
 
 @dataclass
 class Node:
     """A wrapper's element, or the text slot ``#``: the pages that have it, the characters of text right in it and of that in
-    links, the one text that all pages have there (None once they differ), whether it repeats, and its children."""
+    links, the one text that all pages have there (a long one's digest; None once they differ), whether it repeats, and its children."""
 
     key: str
     seen: int = 1
@@ -203,7 +210,7 @@ def page_tree(page: str) -> Node:
                     slot = top.kids[-1]
                     slot.text, slot.repeated = None, True
                 else:
-                    slot = Node("#", text=value if size <= 200 else "")
+                    slot = Node("#", text=value if size <= 200 else hashlib.md5(value.encode("utf-8", "replace")).hexdigest())
                     top.kids.append(slot)
                 slot.chars += size
                 slot.links += size * (links > 0)
@@ -228,7 +235,7 @@ def _mass(node: Node, pages: int) -> int:
 
 
 def main_path(root: Node) -> list[str]:
-    """Keys from the root to the main element; empty if the tree holds no text that counts."""
+    """Keys from the root to the main element, [""] if that is the whole page; empty if the tree holds no text that counts."""
     pages, named, best = root.seen, None, (0, [])
 
     def walk(node: Node, path: list[str]) -> None:
@@ -240,8 +247,8 @@ def main_path(root: Node) -> list[str]:
         score = max(inline, own if _mass(node, pages) else 0)
         if is_main(node.key) and _mass(node, pages) and named is None and 2 * node.seen >= pages:
             named = path
-        if score > best[0] and path and node.key.partition("|")[0] not in INLINE and node.key.partition("|")[0] not in ("p", "li", "h1", "h2", "h3", "td"):
-            best = (score, path)
+        if score > best[0] and node.key.partition("|")[0] not in INLINE and node.key.partition("|")[0] not in ("p", "li", "h1", "h2", "h3", "td"):
+            best = (score, path or [""])
         for kid in node.kids:
             walk(kid, [*path, kid.key])
 
@@ -252,7 +259,7 @@ def main_path(root: Node) -> list[str]:
 def main_text(page: str, path: list[str]) -> str | None:
     """Text of the elements at ``path``, boilerplate left out; None if the page has no such element."""
     keys: list[str] = []
-    found, inside, skip = False, 0, 0
+    found, inside, skip = path == [""], -int(path == [""]), 0
     blocks: list[str] = []
     current: list[str] = []
 

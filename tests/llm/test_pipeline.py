@@ -1,0 +1,48 @@
+"""The pipeline and the registered queries of this package."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from cairn.llm.oracles import ORACLES
+from cairn.llm.queries import QUERIES
+from tests.llm.data import awkward, clashing, empty
+from tools.compare import compare, duck
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no sample tables here")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    line = compare(spark, duck(FOLDER), name, FOLDER)
+    assert line.startswith("ok "), line
+
+
+def test_all_are_registered():
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    ids = {r["doc_id"] for r in docs.collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.cut(stage(spark, docs, FOLDER))
+        left = {r["doc_id"] for r in docs.collect()}
+        assert left <= ids and left, name
+        ids = left
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    assert docs.columns[-2:] == ["taken", "positions"]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()) == sorted(left)
+
+
+def test_stages_stand_awkward_rows(spark):
+    for docs in (clashing(awkward(spark)), empty(spark)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            docs = corpus_pipeline.cut(stage(spark, docs, FOLDER))
+            assert k + 1 == len(corpus_pipeline.STAGES) or docs.columns == columns
