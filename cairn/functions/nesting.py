@@ -1,14 +1,11 @@
 """Nesting child rows into documents of bounded size.
 
 A document gathers every child of one key into one row, and one key may own a
-third of all rows. Documents are therefore written in parts. A key with at most
-``max_rows`` child rows gives exactly one part that is the whole document. A
-larger key gives ``ceil(rows / max_rows)`` parts; each child row goes to one of
-them by a hash of its own identity. The parts of a key hold every child once,
-and joining their lists gives the whole document.
-
-The number of parts travels with the row that links a child to its key, so
-placing the children needs no join and no shuffle of its own.
+third of all rows. The caller therefore says into how many slices the documents
+of every key are cut. A child row goes to one slice by a hash of its own
+identity, whatever the size of the key, and a slice without rows is left out.
+The slices of a key hold every child once, and joining their lists gives the
+whole document; one slice is the whole document.
 """
 
 from __future__ import annotations
@@ -19,8 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_ROWS = 100_000
-
 SLICE, PART, PARTS = "_slice", "part", "parts"
 
 
@@ -33,11 +28,9 @@ def child_rows(
     df: DataFrame, keys: Sequence[str], field: str, identity: Sequence[str] | None = None
 ) -> DataFrame:
     """Keys, the child as one struct column named ``field``, and its slice."""
-    rest = [c for c in df.columns if c not in keys and c != PARTS]
+    rest = [c for c in df.columns if c not in keys]
     identity = [*keys, *rest] if identity is None else identity
-    return df.select(
-        *keys, PARTS, F.xxhash64(*identity).alias(SLICE), F.struct(*rest).alias(field)
-    )
+    return df.select(*keys, F.xxhash64(*identity).alias(SLICE), F.struct(*rest).alias(field))
 
 
 def header_rows(df: DataFrame, keys: Sequence[str], field: str, *, first: bool = False) -> DataFrame:
@@ -45,25 +38,18 @@ def header_rows(df: DataFrame, keys: Sequence[str], field: str, *, first: bool =
 
     ``first`` puts it into part 0.
     """
-    rest = [c for c in df.columns if c not in keys and c != PARTS]
+    rest = [c for c in df.columns if c not in keys]
     home = F.lit(0).cast("bigint") if first else F.xxhash64(*keys)
-    return df.select(*keys, PARTS, home.alias(SLICE), F.struct(*rest).alias(field))
+    return df.select(*keys, home.alias(SLICE), F.struct(*rest).alias(field))
 
 
-def part_counts(sizes: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """(key, parts) from (key, n): how many parts the key's documents take."""
-    return sizes.groupBy(key).agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("n") / max_rows)).cast("int").alias(PARTS)
-    )
-
-
-def into_parts(rows: DataFrame, key: str) -> DataFrame:
+def into_parts(rows: DataFrame, key: str, slices: int) -> DataFrame:
     """Add part, and bring each (key, part) into one partition.
 
     The aggregations above all group by (key, part, ...), so this is the only
     shuffle of the child rows.
     """
-    placed = rows.withColumn(PART, F.pmod(F.col(SLICE), F.col(PARTS)).cast("int")).drop(SLICE)
+    placed = rows.withColumn(PART, F.pmod(F.col(SLICE), F.lit(slices)).cast("int")).drop(SLICE)
     return placed.repartition(key, PART)
 
 
@@ -76,21 +62,19 @@ def flat_documents(
     key: str,
     header: DataFrame,
     children: Mapping[str, DataFrame],
-    max_rows: int = DEFAULT_MAX_ROWS,
+    slices: int,
 ) -> DataFrame:
     """One level of nesting: a header and named lists of children per key."""
     fields = [c for c in header.columns if c != key]
-    counted = [df.groupBy(key).agg(F.count(F.lit(1)).alias("n")) for df in children.values()]
-    parts = part_counts(stack(counted), key, max_rows)
-
-    def sized(df: DataFrame) -> DataFrame:
-        return df.join(parts, key, "left").withColumn(PARTS, F.coalesce(PARTS, F.lit(1)))
-
-    branches = [header_rows(sized(header), [key], "_header", first=True)]
-    branches += [child_rows(sized(df), [key], name) for name, df in children.items()]
-    nested = into_parts(stack(branches), key).groupBy(key, PART, PARTS).agg(
+    branches = [header_rows(header, [key], "_header", first=True)]
+    branches += [child_rows(df, [key], name) for name, df in children.items()]
+    nested = into_parts(stack(branches), key, slices).groupBy(key, PART).agg(
         F.max("_header").alias("_header"), *[gather(name).alias(name) for name in children]
     )
     return nested.select(
-        key, PART, PARTS, *[F.col(f"_header.{f}").alias(f) for f in fields], *children
+        key,
+        PART,
+        F.lit(slices).alias(PARTS),
+        *[F.col(f"_header.{f}").alias(f) for f in fields],
+        *children,
     )

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.nesting import (
-    DEFAULT_MAX_ROWS,
     PART,
     PARTS,
     SLICE,
@@ -17,7 +17,6 @@ from cairn.functions.nesting import (
     gather,
     header_rows,
     into_parts,
-    part_counts,
     stack,
 )
 from cairn.functions.semantics import SiteIds, best_by, ids_of, leading_number
@@ -74,35 +73,20 @@ TAXON_CHILDREN = {
 
 
 class _Build:
-    """One build of site documents: the wanted paths and the sized group keys."""
+    """One build of site documents: the wanted paths, the sites and their groups."""
 
     def __init__(
         self,
         t: Tables,
         site_ids: SiteIds,
         paths: Sequence[str] | None,
-        max_rows: int,
+        slices: int,
         data_groups: DataFrame | None,
     ):
         self.t, self.site_ids, self.paths = t, site_ids, paths
-        self.data_groups = data_groups
-        self.max_rows = max_rows
-        sizes = self._sizes()
-        # Group and site keys with their number of parts: every child row
-        # already joins one of the two to learn its site.
-        own = ids_of(t["site"], site_ids).select("site_id")
-        if sizes is None:
-            self.sites = own.withColumn(PARTS, F.lit(1))
-            self.groups = groups(t, site_ids).withColumn(PARTS, F.lit(1))
-        else:
-            parts = part_counts(sizes, "site_id", max_rows)
-            one = F.coalesce(PARTS, F.lit(1)).alias(PARTS)
-            self.sites = own.join(parts, "site_id", "left").select("site_id", one)
-            self.groups = (
-                groups(t, site_ids)
-                .join(parts, "site_id", "left")
-                .select("sample_group_id", "site_id", one)
-            )
+        self.data_groups, self.slices = data_groups, slices
+        self.sites = ids_of(t["site"], site_ids).select("site_id")
+        self.groups = groups(t, site_ids)
 
     def wants(self, path: str) -> bool:
         if self.paths is None:
@@ -125,51 +109,12 @@ class _Build:
     def site_children(self) -> dict[str, str]:
         return self.children("", SITE_CHILDREN)
 
-    def leaves(self) -> list[DataFrame]:
-        """The sample group of every child row that will be nested."""
-        t, frames = self.t, []
-        if self.wants("sample_groups"):
-            frames.append(ids_of(t["sample_group"], self.site_ids))
-            frames += [t[role] for role in self.group_children().values()]
-        if self.wants("sample_groups.physical_samples"):
-            frames.append(t["physical_sample"])
-            frames += [
-                sample_rows(t, role, site=False) for role in self.sample_children().values()
-            ]
-        if self.wants("datasets"):
-            frames.append(entities(t))
-        if self.wants("datasets.analysis_entities.prep_methods") and "prep_method" in t:
-            frames.append(_prep_rows(t))
-        return [f.select("sample_group_id") for f in frames]
-
-    def _sizes(self) -> DataFrame | None:
-        """(site_id, n): child rows per site, folded per group before the site is known."""
-        counted = []
-        leaves = self.leaves()
-        if leaves:
-            per_group = (
-                stack(leaves).groupBy("sample_group_id").agg(F.count(F.lit(1)).alias("n"))
-            )
-            counted.append(
-                per_group.join(groups(self.t, self.site_ids), "sample_group_id")
-                .groupBy("site_id")
-                .agg(F.sum("n").alias("n"))
-            )
-        direct = [self.t[role] for role in self.site_children().values()]
-        if self.data_groups is not None:
-            direct.append(self.data_groups)
-        counted += [
-            ids_of(df, self.site_ids).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
-            for df in direct
-        ]
-        return stack(counted) if counted else None
-
     def with_site(self, df: DataFrame) -> DataFrame:
-        """Add site_id and parts through the sample group."""
+        """Add site_id through the sample group."""
         return df.drop("site_id").join(self.groups, "sample_group_id")
 
     def of_site(self, df: DataFrame) -> DataFrame:
-        """Add parts to rows that carry site_id."""
+        """Rows that carry the site_id of a wanted site."""
         return df.join(self.sites, "site_id")
 
 
@@ -201,7 +146,6 @@ def _group_branch(b: _Build) -> DataFrame:
         frames.append(
             links.select(
                 *group_key,
-                PARTS,
                 F.xxhash64("sample_group_id", "dataset_id").alias(SLICE),
                 F.col("dataset_id").alias("g_dataset_ids"),
             )
@@ -230,7 +174,7 @@ def _nest_groups(rows: DataFrame) -> DataFrame:
     if has_samples:
         # Group rows have no sample id: they form one extra row beside the samples.
         per_sample = rows.groupBy(
-            "site_id", PART, PARTS, "sample_group_id", "physical_sample_id"
+            "site_id", PART, "sample_group_id", "physical_sample_id"
         ).agg(
             F.max("_group").alias("_group"),
             F.max("_sample").alias("_sample"),
@@ -251,7 +195,7 @@ def _nest_groups(rows: DataFrame) -> DataFrame:
         group_rows = per_sample
     else:
         lists = [gather(c).alias(c) for c in group_lists]
-    per_group = group_rows.groupBy("site_id", PART, PARTS, "sample_group_id").agg(
+    per_group = group_rows.groupBy("site_id", PART, "sample_group_id").agg(
         F.max("_group").alias("_group"), *lists
     )
     group = F.struct(
@@ -261,7 +205,7 @@ def _nest_groups(rows: DataFrame) -> DataFrame:
         *[F.col(c).alias(c[2:]) for c in group_lists],
         *(["physical_samples"] if has_samples else []),
     )
-    return per_group.groupBy("site_id", PART, PARTS).agg(gather(group).alias("sample_groups"))
+    return per_group.groupBy("site_id", PART).agg(gather(group).alias("sample_groups"))
 
 
 def _dataset_branch(b: _Build) -> DataFrame:
@@ -272,9 +216,9 @@ def _dataset_branch(b: _Build) -> DataFrame:
     """
     t, key = b.t, ["site_id", "dataset_id"]
     pairs = b.with_site(entities(t).select("sample_group_id", "dataset_id"))
-    heads = pairs.select(*key, PARTS).distinct().join(t["dataset"], "dataset_id")
+    heads = pairs.select(*key).distinct().join(t["dataset"], "dataset_id")
     frames = [header_rows(heads, key, "_dataset")]
-    place = [*key, PARTS, F.xxhash64("analysis_entity_id").alias(SLICE), "analysis_entity_id"]
+    place = [*key, F.xxhash64("analysis_entity_id").alias(SLICE), "analysis_entity_id"]
     if b.wants("datasets.analysis_entities"):
         members = of_methods(t, b.with_site(entities(t)))
         frames.append(
@@ -293,13 +237,13 @@ def _dataset_branch(b: _Build) -> DataFrame:
 def _nest_datasets(rows: DataFrame) -> DataFrame:
     if "_entity" not in rows.columns:
         dataset = F.struct("dataset_id", *_header_fields(rows, "_dataset"), _home("_dataset"))
-        return rows.groupBy("site_id", PART, PARTS).agg(gather(dataset).alias("datasets"))
+        return rows.groupBy("site_id", PART).agg(gather(dataset).alias("datasets"))
     lists = (
         [F.sort_array(F.collect_set("_prep")).alias("prep_methods")]
         if "_prep" in rows.columns
         else []
     )
-    per_entity = rows.groupBy("site_id", PART, PARTS, "dataset_id", "analysis_entity_id").agg(
+    per_entity = rows.groupBy("site_id", PART, "dataset_id", "analysis_entity_id").agg(
         F.max("_dataset").alias("_dataset"),
         F.max("_entity").alias("_entity"),
         F.max("_method_id").alias("_method_id"),
@@ -311,7 +255,7 @@ def _nest_datasets(rows: DataFrame) -> DataFrame:
         "_entity.sample_group_id",
         *(["prep_methods"] if lists else []),
     )
-    per_dataset = per_entity.groupBy("site_id", PART, PARTS, "dataset_id").agg(
+    per_dataset = per_entity.groupBy("site_id", PART, "dataset_id").agg(
         F.max("_dataset").alias("_dataset"),
         F.max("_method_id").alias("_method_id"),
         gather(F.when(F.col("analysis_entity_id").isNotNull(), entity)).alias("analysis_entities"),
@@ -323,7 +267,7 @@ def _nest_datasets(rows: DataFrame) -> DataFrame:
         _home("_dataset"),
         "analysis_entities",
     )
-    return per_dataset.groupBy("site_id", PART, PARTS).agg(gather(dataset).alias("datasets"))
+    return per_dataset.groupBy("site_id", PART).agg(gather(dataset).alias("datasets"))
 
 
 def _site_branch(b: _Build) -> DataFrame:
@@ -339,13 +283,12 @@ def _site_branch(b: _Build) -> DataFrame:
 
 def _nest_site(rows: DataFrame) -> DataFrame:
     lists = _lists(rows, "l_")
-    nested = rows.groupBy("site_id", PART, PARTS).agg(
+    nested = rows.groupBy("site_id", PART).agg(
         F.max("_site").alias("_site"), *[gather(c).alias(c) for c in lists]
     )
     return nested.select(
         "site_id",
         PART,
-        PARTS,
         *_header_fields(rows, "_site"),
         *[F.col(c).alias(c[2:]) for c in lists],
     )
@@ -361,12 +304,12 @@ def _data_branch(b: _Build) -> DataFrame:
 
 
 def _nest_data_groups(rows: DataFrame) -> DataFrame:
-    per_group = rows.groupBy("site_id", PART, PARTS, "type", "data_group_id").agg(
+    per_group = rows.groupBy("site_id", PART, "type", "data_group_id").agg(
         F.sort_array(F.collect_set("_value.method_id")).alias("method_ids"),
         gather("_value").alias("values"),
     )
     group = F.struct("type", "data_group_id", "method_ids", "values")
-    return per_group.groupBy("site_id", PART, PARTS).agg(gather(group).alias("data_groups"))
+    return per_group.groupBy("site_id", PART).agg(gather(group).alias("data_groups"))
 
 
 def site_documents(
@@ -375,7 +318,7 @@ def site_documents(
     *,
     paths: Sequence[str] | None = None,
     data_groups: DataFrame | None = None,
-    max_rows: int = DEFAULT_MAX_ROWS,
+    slices: int,
 ) -> DataFrame:
     """One document per site: groups with samples, datasets with entities, places.
 
@@ -385,27 +328,24 @@ def site_documents(
     when omitted): nothing else is read. ``data_groups`` adds the long rows of
     the measurement families.
 
-    A site with more than ``max_rows`` child rows comes in several parts (see
+    The document of every site is cut into ``slices`` (see
     :mod:`cairn.functions.nesting`). A group, sample or dataset then shows up in
-    each part that holds some of its children, and ``is_home`` marks the one
-    that holds its own fields.
+    each slice that holds some of its children, and ``is_home`` marks the one
+    that holds its own fields. The functions ``*_rows_of`` bring slices together.
     """
-    b = _Build(t, site_ids, paths, max_rows, data_groups)
-    nested = [_nest_site(into_parts(_site_branch(b), "site_id"))]
+    b = _Build(t, site_ids, paths, slices, data_groups)
+    nested = [_nest_site(into_parts(_site_branch(b), "site_id", slices))]
     if b.wants("sample_groups"):
-        nested.append(_nest_groups(into_parts(_group_branch(b), "site_id")))
+        nested.append(_nest_groups(into_parts(_group_branch(b), "site_id", slices)))
     if b.wants("datasets"):
-        nested.append(_nest_datasets(into_parts(_dataset_branch(b), "site_id")))
+        nested.append(_nest_datasets(into_parts(_dataset_branch(b), "site_id", slices)))
     if data_groups is not None:
-        nested.append(_nest_data_groups(into_parts(_data_branch(b), "site_id")))
+        nested.append(_nest_data_groups(into_parts(_data_branch(b), "site_id", slices)))
     document = nested[0]
     for other in nested[1:]:
         # Both sides are partitioned by exactly these keys: no rows move.
-        document = (
-            document.join(other.withColumnRenamed(PARTS, "_parts"), ["site_id", PART], "full_outer")
-            .withColumn(PARTS, F.coalesce(PARTS, "_parts"))
-            .drop("_parts")
-        )
+        document = document.join(other, ["site_id", PART], "full_outer")
+    document = document.withColumn(PARTS, F.lit(slices))
     for name in ("sample_groups", "datasets", "data_groups", "location", *SITE_CHILDREN):
         if name in document.columns:
             document = document.withColumn(name, F.coalesce(name, F.array()))
@@ -413,28 +353,112 @@ def site_documents(
     return document.select(*lead, *[c for c in document.columns if c not in lead])
 
 
+# The key that the elements of a document list carry.
+LIST_KEYS = {
+    "sample_groups": "sample_group_id",
+    "physical_samples": "physical_sample_id",
+    "datasets": "dataset_id",
+    "analysis_entities": "analysis_entity_id",
+}
+
+
+def child_rows_of(documents: DataFrame, path: str, key: str = "site_id") -> DataFrame:
+    """The elements at a path of lists, with the keys of the levels above.
+
+    An element that has children of its own comes once for each slice that
+    holds some of them.
+    """
+    keys, item = [key], None
+    *above, last = path.split(".")
+    rows = documents
+    for name in above:
+        column = F.col(name) if item is None else F.col(f"item.{name}")
+        rows = rows.select(*keys, F.explode(column).alias("item"))
+        own = LIST_KEYS[name]
+        rows, item = rows.select(*keys, F.col(f"item.{own}").alias(own), "item"), name
+        keys.append(own)
+    rows = rows.select(*keys, F.explode(last if item is None else f"item.{last}").alias("item"))
+    kind = rows.schema["item"].dataType
+    if not isinstance(kind, T.StructType):
+        return rows.withColumnRenamed("item", last)
+    return rows.select(*keys, *[f"item.{f}" for f in kind.fieldNames() if f not in keys])
+
+
+def _together(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key from its slices: its own fields, and the length of every list.
+
+    Of elements that may lie in several slices the home one counts.
+    """
+    out = []
+    for field in rows.schema.fields:
+        if field.name in keys or field.name == "is_home":
+            continue
+        if not isinstance(field.dataType, T.ArrayType):
+            out.append(F.max(field.name).alias(field.name))
+            continue
+        inner, column = field.dataType.elementType, F.col(field.name)
+        if isinstance(inner, T.StructType) and "is_home" in inner.fieldNames():
+            column = F.filter(column, lambda x: x.is_home)
+        out.append(F.sum(F.size(column)).cast("bigint").alias(field.name))
+    return rows.groupBy(*keys).agg(*out)
+
+
+def site_rows_of(documents: DataFrame) -> DataFrame:
+    """One row per site, with the lengths of its lists."""
+    return _together(documents.drop(PART, PARTS), ["site_id"])
+
+
+def group_rows_of(documents: DataFrame) -> DataFrame:
+    """One row per sample group, with the lengths of its lists."""
+    return _together(child_rows_of(documents, "sample_groups"), ["site_id", "sample_group_id"])
+
+
 def sample_rows_of(documents: DataFrame) -> DataFrame:
-    """Documents back to one row per sample (and part, for a sample in several)."""
-    group = documents.select("site_id", F.explode("sample_groups").alias("g"))
-    sample = group.select(
-        "site_id", "g.sample_group_id", F.explode("g.physical_samples").alias("s")
-    )
-    return sample.select("site_id", "sample_group_id", "s.*")
+    """One row per sample, with the lengths of its lists."""
+    rows = child_rows_of(documents, "sample_groups.physical_samples")
+    return _together(rows, ["site_id", "sample_group_id", "physical_sample_id"])
+
+
+def dataset_rows_of(documents: DataFrame) -> DataFrame:
+    """One row per (site, dataset), with the number of its entities."""
+    return _together(child_rows_of(documents, "datasets"), ["site_id", "dataset_id"])
 
 
 def entity_rows_of(documents: DataFrame) -> DataFrame:
-    """Documents back to one row per analysis entity."""
-    dataset = documents.select("site_id", F.explode("datasets").alias("d"))
-    entity = dataset.select("site_id", "d.dataset_id", F.explode("d.analysis_entities").alias("e"))
-    return entity.select("site_id", "dataset_id", "e.*")
+    """Documents back to one row per analysis entity; an entity lies in one slice."""
+    return child_rows_of(documents, "datasets.analysis_entities")
+
+
+def path_table(t: Tables, path: str, site_ids: SiteIds = None) -> DataFrame:
+    """The rows that fill a list of the site document, with their site, from the flat tables.
+
+    An unknown path, or one whose role is not bound, raises ``KeyError``.
+    """
+    *above, last = path.split(".")
+    if path == "datasets":
+        pairs = with_site(t, entities(t).select("sample_group_id", "dataset_id").distinct(), site_ids)
+        return pairs.select("site_id", "dataset_id").distinct().join(t["dataset"], "dataset_id")
+    if path == "datasets.analysis_entities":
+        return with_site(t, entities(t), site_ids)
+    if path == "location":
+        return ids_of(t["site_location"], site_ids).join(t["location"], "location_id", "left")
+    if not above:
+        return ids_of(t["sample_group" if last == "sample_groups" else SITE_CHILDREN[last]], site_ids)
+    if above == ["sample_groups"]:
+        if last == "physical_samples":
+            return sample_rows(t, "physical_sample", site_ids)
+        return with_site(t, t[GROUP_CHILDREN[last]], site_ids)
+    if above == ["sample_groups", "physical_samples"]:
+        return sample_rows(t, SAMPLE_CHILDREN[last], site_ids)
+    raise KeyError(path)
 
 
 def group_entities_by_dataset(
-    rows: DataFrame, key: str = "dataset_id", max_rows: int = DEFAULT_MAX_ROWS
+    rows: DataFrame, key: str = "dataset_id", *, slices: int
 ) -> DataFrame:
-    """Entities re-homed under their dataset, in bounded parts."""
+    """Entities re-homed under their dataset, in slices."""
     header = rows.select(key).distinct()
-    return flat_documents(key, header, {"analysis_entities": rows}, max_rows)
+    return flat_documents(key, header, {"analysis_entities": rows}, slices)
 
 
 def sample_datasets(t: Tables, sample_ids: SiteIds = None) -> DataFrame:
@@ -597,7 +621,7 @@ def ecocode_tree(t: Tables, taxon_ids: SiteIds = None, systems: Sequence[int] =
 
 
 def taxon_documents(
-    t: Tables, taxon_ids: SiteIds = None, max_rows: int = DEFAULT_MAX_ROWS
+    t: Tables, taxon_ids: SiteIds = None, *, slices: int
 ) -> DataFrame:
     """One document per taxon: taxonomy, author, habitat codes and attribute lists."""
     own = ids_of(t["taxon"], taxon_ids, "taxon_id").select("taxon_id", "species", "author_id")
@@ -612,4 +636,4 @@ def taxon_documents(
         for field, role in TAXON_CHILDREN.items()
         if role in t
     }
-    return flat_documents("taxon_id", header, children, max_rows)
+    return flat_documents("taxon_id", header, children, slices)

@@ -18,7 +18,7 @@ from cairn.functions.text import (
     rank,
 )
 from cairn.operators.datagroups import abundance_lookups
-from cairn.operators.documents import site_biblio_lookup
+from cairn.operators.documents import TAXON_CHILDREN, path_table, site_biblio_lookup
 from cairn.operators.domains import domains
 from cairn.operators.facts import (
     abundance_facts,
@@ -392,16 +392,50 @@ def search_documents(documents: DataFrame, key: str, path: str, value: str) -> D
     return found.where(~F.col("hit") if operator == "ne" else F.col("hit")).select("id")
 
 
-def search_sites(documents: DataFrame, path: str, value: str) -> DataFrame:
-    return search_documents(documents, "site_id", path, value)
-
-
-def search_taxa(documents: DataFrame, path: str, value: str) -> DataFrame:
-    return search_documents(documents, "taxon_id", path, value)
+def _by_rows(owners: DataFrame, rows: DataFrame | None, key: str, field: str, value: str) -> DataFrame:
+    """Ids of the owners one of whose rows passes the test, or none for "not"."""
+    operator, wanted = path_test(value)
+    hit = F.lit(False)
+    if rows is not None and field in rows.columns:
+        test = ("eq" if operator == "ne" else operator, wanted)
+        hit = path_matches(rows.schema[field].dataType, F.col(field), [], test)
+    ids = owners.select(F.col(key).alias("id")).distinct()
+    if rows is None:
+        return ids if operator == "ne" else ids.where("false")
+    found = rows.where(hit).select(F.col(key).alias("id"))
+    return ids.join(found, "id", "left_anti" if operator == "ne" else "left_semi")
+
+
+def search_sites(source: Tables | DataFrame, path: str, value: str) -> DataFrame:
+    """Sites by the value at a document path.
+
+    From tables, only the one flat table that fills the path is read; documents
+    read from storage are tested as they are.
+    """
+    if isinstance(source, DataFrame):
+        return search_documents(source, "site_id", path, value)
+    above, _, field = path.rpartition(".")
+    try:
+        rows = path_table(source, above) if above else source["site"]
+    except KeyError:
+        rows = None
+    return _by_rows(source["site"], rows, "site_id", field, value)
+
+
+def search_taxa(source: Tables | DataFrame, path: str, value: str) -> DataFrame:
+    """Taxa by the value at a document path, as :func:`search_sites`."""
+    if isinstance(source, DataFrame):
+        return search_documents(source, "taxon_id", path, value)
+    above, _, field = path.rpartition(".")
+    if above:
+        role = TAXON_CHILDREN.get(above)
+        rows = source[role] if role in source else None
+    else:
+        rows = taxonomy(source)
+    return _by_rows(source["taxon"], rows, "taxon_id", field, value)
 
 
 __all__ = [
-    "Term",
     "free_text",
     "path_test",
     "search",

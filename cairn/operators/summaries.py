@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.semantics import SiteIds, ids_of, truthy_text
 from cairn.operators.dating import site_age_summary
-from cairn.operators.documents import site_documents
+from cairn.operators.documents import path_table
 from cairn.operators.domains import domain_methods
 from cairn.operators.facts import (
     entities,
@@ -163,8 +163,15 @@ VARIABLE_PATHS = {
 }
 
 
+def _elements(source: Tables | DataFrame, path: str, site_ids: SiteIds) -> DataFrame:
+    """The elements at a document path: from flat tables, or from stored documents."""
+    if isinstance(source, Tables):
+        return path_table(source, path, site_ids)
+    return path_rows(ids_of(source, site_ids), path).select("site_id", "item.*")
+
+
 def path_summary(
-    documents: DataFrame,
+    source: Tables | DataFrame,
     path: str,
     id_field: str = "id",
     name_field: str = "name",
@@ -172,25 +179,27 @@ def path_summary(
     *,
     per_site: bool = False,
 ) -> DataFrame:
-    """Count the elements at a nested document path by one of their fields."""
-    item = path_rows(ids_of(documents, site_ids), path)
+    """Count the elements at a document path by one of their fields.
+
+    ``source`` is the tables, whose one flat table for the path is read, or
+    documents read from storage.
+    """
     keys = ["site_id"] if per_site else []
-    named = item.select(
-        *keys, F.col(f"item.{id_field}").alias("id"), F.col(f"item.{name_field}").alias("name")
-    )
+    rows = _elements(source, path, site_ids)
+    named = rows.select(*keys, F.col(id_field).alias("id"), F.col(name_field).alias("name"))
     return _named_counts(named, keys)
 
 
-def path_count(documents: DataFrame, path: str, site_ids: SiteIds = None) -> DataFrame:
-    """Number of elements at a nested document path; one row, 0 when empty."""
-    return path_rows(ids_of(documents, site_ids), path).agg(_count().alias("n"))
+def path_count(source: Tables | DataFrame, path: str, site_ids: SiteIds = None) -> DataFrame:
+    """Number of elements at a document path; one row, 0 when empty."""
+    return _elements(source, path, site_ids).agg(_count().alias("n"))
 
 
 def grouped_by_variable(t: Tables, name: str, site_ids: SiteIds = None) -> DataFrame:
     if name not in VARIABLE_PATHS:
         raise ValueError(f"unknown variable {name!r}")
     path, id_field, name_field = VARIABLE_PATHS[name]
-    return path_summary(site_documents(t, site_ids, paths=[path]), path, id_field, name_field)
+    return path_summary(t, path, id_field, name_field, site_ids)
 
 
 def building_types(t: Tables, site_ids: SiteIds = None) -> DataFrame:

@@ -88,22 +88,19 @@ def _(t: Tables) -> DataFrame:
 
 @query("sum8_path_summary")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, paths=["datasets"])
-    return summaries.path_summary(docs, "datasets", "method_id", "dataset_name")
+    return summaries.path_summary(t, "datasets", "method_id", "dataset_name")
 
 
 @query("sum8_path_summary_per_site")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, paths=["sample_groups.physical_samples"])
     return summaries.path_summary(
-        docs, "sample_groups.physical_samples", "sample_type_id", "sample_type_name", per_site=True
+        t, "sample_groups.physical_samples", "sample_type_id", "sample_type_name", per_site=True
     )
 
 
 @query("sum9_path_count")
 def _(t: Tables) -> DataFrame:
-    path = "sample_groups.physical_samples.features"
-    return summaries.path_count(documents.site_documents(t, paths=[path]), path)
+    return summaries.path_count(t, "sample_groups.physical_samples.features")
 
 
 @query("sum10_grouped_by_sample_features")
@@ -426,7 +423,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _search_sites(t: Tables, path: str, value: str) -> DataFrame:
-    return find.search_sites(documents.site_documents(t, paths=[path]), path, value)
+    return find.search_sites(t, path, value)
 
 
 @query("qry1_search_sites_equal")
@@ -452,13 +449,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("qry2_search_taxa")
 def _(t: Tables) -> DataFrame:
-    return find.search_taxa(documents.taxon_documents(t), "common_names.common_name", "anvil")
+    return find.search_taxa(t, "common_names.common_name", "anvil")
 
 
 @query("qry2_search_taxa_not")
 def _(t: Tables) -> DataFrame:
-    docs = documents.taxon_documents(t)
-    return find.search_taxa(docs, "measured_attributes.data", "not:12")
+    return find.search_taxa(t, "measured_attributes.data", "not:12")
 
 
 # --- data groups ---------------------------------------------------------------------
@@ -585,31 +581,37 @@ def _(t: Tables) -> DataFrame:
 # --- documents -----------------------------------------------------------------------
 
 
+# Into how many slices the documents of the queries are cut; results do not depend on it.
+SLICES = 4
+
+
 @query("doc1_site_documents_entities")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, paths=["datasets.analysis_entities.prep_methods"])
+    paths = ["datasets.analysis_entities.prep_methods"]
+    docs = documents.site_documents(t, paths=paths, slices=SLICES)
     return documents.entity_rows_of(docs).withColumn("prep_methods", joined("prep_methods"))
 
 
 @query("doc1_site_documents_samples")
 def _(t: Tables) -> DataFrame:
     inner = "sample_groups.physical_samples"
-    docs = documents.site_documents(t, paths=[f"{inner}.features", f"{inner}.coordinates"])
+    paths = [f"{inner}.features", f"{inner}.coordinates"]
+    docs = documents.site_documents(t, paths=paths, slices=SLICES)
     return documents.sample_rows_of(docs).select(
         "site_id",
         "sample_group_id",
         "physical_sample_id",
         "sample_type_name",
         "date_sampled",
-        F.size("features").cast("bigint").alias("features"),
-        F.size("coordinates").cast("bigint").alias("coordinates"),
+        "features",
+        "coordinates",
     )
 
 
 @query("doc1_site_documents_in_parts")
 def _(t: Tables) -> DataFrame:
-    """Sizes of the whole documents, put together from parts of 100 rows."""
-    docs = documents.site_documents(t, max_rows=100)
+    """Sizes of the whole documents, put together from slices."""
+    docs = documents.site_documents(t, slices=7)
     nothing = F.lit(0).cast("bigint")
 
     def homes(items: Column) -> Column:
@@ -632,24 +634,22 @@ def _(t: Tables) -> DataFrame:
 @query("doc2_sample_group_children")
 def _(t: Tables) -> DataFrame:
     names = ["descriptions", "biblio", "physical_samples"]
-    docs = documents.site_documents(t, paths=[f"sample_groups.{n}" for n in names])
-    group = docs.select("site_id", F.explode("sample_groups").alias("g"))
-    return group.select(
-        "site_id",
-        "g.sample_group_id",
-        "g.method_id",
-        F.col("g.descriptions")[0]["group_description"].alias("description"),
-        F.col("g.biblio")[0]["biblio_id"].alias("biblio_id"),
-        F.size("g.physical_samples").cast("bigint").alias("samples"),
-    )
+    docs = documents.site_documents(t, paths=[f"sample_groups.{n}" for n in names], slices=SLICES)
+    keys = ["site_id", "sample_group_id"]
+    rows = documents.group_rows_of(docs).select(*keys, "method_id", F.col("physical_samples").alias("samples"))
+    description = documents.child_rows_of(docs, "sample_groups.descriptions")
+    biblio = documents.child_rows_of(docs, "sample_groups.biblio")
+    first_text = description.groupBy(*keys).agg(F.min("group_description").alias("description"))
+    first_biblio = biblio.groupBy(*keys).agg(F.min("biblio_id").alias("biblio_id"))
+    return rows.join(first_text, keys, "left").join(first_biblio, keys, "left")
 
 
 @query("doc3_sample_children")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, paths=["sample_groups.physical_samples.features"])
-    sample = documents.sample_rows_of(docs)
-    return sample.select("physical_sample_id", F.explode("features").alias("f")).select(
-        "physical_sample_id", "f.feature_id", "f.feature_type_id", "f.feature_type_name"
+    path = "sample_groups.physical_samples.features"
+    docs = documents.site_documents(t, paths=[path], slices=SLICES)
+    return documents.child_rows_of(docs, path).select(
+        "physical_sample_id", "feature_id", "feature_type_id", "feature_type_name"
     )
 
 
@@ -660,27 +660,32 @@ def _(t: Tables) -> DataFrame:
 
 @query("doc5_site_datasets")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, paths=["datasets.analysis_entities"])
-    rows = docs.select("site_id", F.explode("datasets").alias("d"))
-    return rows.select(
+    docs = documents.site_documents(t, paths=["datasets.analysis_entities"], slices=SLICES)
+    return documents.dataset_rows_of(docs).select(
         "site_id",
-        "d.dataset_id",
-        "d.dataset_name",
-        "d.method_id",
-        "d.project_id",
-        F.size("d.analysis_entities").cast("bigint").alias("entities"),
+        "dataset_id",
+        "dataset_name",
+        "method_id",
+        "project_id",
+        F.col("analysis_entities").alias("entities"),
     )
 
 
 @query("doc6_site_locations_and_references")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, paths=["location", "biblio"])
-    return docs.select(
-        "site_id",
-        "site_name",
-        "national_site_identifier",
-        joined("location.location_name").alias("locations"),
-        joined("biblio.title").alias("references"),
+    docs = documents.site_documents(t, paths=["location", "biblio"], slices=SLICES)
+
+    def texts(path: str, key: str, field: str, name: str) -> DataFrame:
+        rows = documents.child_rows_of(docs, path).groupBy("site_id")
+        pairs = F.sort_array(F.collect_list(F.struct(key, field)))
+        return rows.agg(joined(pairs[field]).alias(name))
+
+    return (
+        documents.site_rows_of(docs)
+        .select("site_id", "site_name", "national_site_identifier")
+        .join(texts("location", "location_id", "location_name", "locations"), "site_id", "left")
+        .join(texts("biblio", "biblio_id", "title", "references"), "site_id", "left")
+        .na.fill("", ["locations", "references"])
     )
 
 
@@ -707,7 +712,7 @@ def _(t: Tables) -> DataFrame:
 @query("doc10_entities_by_dataset")
 def _(t: Tables) -> DataFrame:
     rows = facts.entities(t).select("dataset_id", "analysis_entity_id", "physical_sample_id")
-    nested = documents.group_entities_by_dataset(rows, max_rows=200)
+    nested = documents.group_entities_by_dataset(rows, slices=SLICES)
     return nested.groupBy("dataset_id").agg(
         F.sum(F.size("analysis_entities")).alias("entities"),
         F.min(F.array_min("analysis_entities.physical_sample_id")).alias("first_sample"),
@@ -722,24 +727,31 @@ def _(t: Tables) -> DataFrame:
 
 @query("doc11_document_dataset_links")
 def _(t: Tables) -> DataFrame:
-    docs = documents.site_documents(t, paths=["sample_groups.dataset_ids"])
-    group = docs.select("site_id", F.explode("sample_groups").alias("g"))
-    return group.select("site_id", "g.sample_group_id", joined("g.dataset_ids").alias("dataset_ids"))
+    docs = documents.site_documents(t, paths=["sample_groups.dataset_ids"], slices=SLICES)
+    keys = ["site_id", "sample_group_id"]
+    links = documents.child_rows_of(docs, "sample_groups.dataset_ids").groupBy(*keys)
+    lists = links.agg(joined(F.sort_array(F.collect_list("dataset_ids"))).alias("dataset_ids"))
+    found = documents.group_rows_of(docs).select(*keys).join(lists, keys, "left")
+    return found.na.fill("", ["dataset_ids"])
 
 
 @query("doc12_taxon_documents")
 def _(t: Tables) -> DataFrame:
-    docs = documents.taxon_documents(t)
-    return docs.select(
-        "taxon_id",
-        "species",
-        "genus_name",
-        "family_name",
-        "order_name",
-        "author_name",
-        joined("common_names.common_name").alias("common_names"),
-        joined("notes.taxonomy_notes").alias("notes"),
-        F.element_at("measured_attributes.data", 1).alias("size"),
+    docs = documents.taxon_documents(t, slices=SLICES)
+
+    def texts(path: str, field: str) -> DataFrame:
+        rows = documents.child_rows_of(docs, path, "taxon_id").groupBy("taxon_id")
+        return rows.agg(joined(F.sort_array(F.collect_list(field))).alias(path))
+
+    measured = documents.child_rows_of(docs, "measured_attributes", "taxon_id")
+    header = ["species", "genus_name", "family_name", "order_name", "author_name"]
+    return (
+        docs.groupBy("taxon_id")
+        .agg(*[F.max(c).alias(c) for c in header])
+        .join(texts("common_names", "common_name"), "taxon_id", "left")
+        .join(texts("notes", "taxonomy_notes"), "taxon_id", "left")
+        .na.fill("", ["common_names", "notes"])
+        .join(measured.groupBy("taxon_id").agg(F.min("data").alias("size")), "taxon_id", "left")
     )
 
 
@@ -791,15 +803,17 @@ def _(t: Tables) -> DataFrame:
 @query("src5_export_sites")
 def _(t: Tables) -> DataFrame:
     rows = datagroups.measured_values(t)
-    docs = documents.site_documents(t, paths=["datasets"], data_groups=rows)
+    docs = documents.site_documents(t, paths=["datasets"], data_groups=rows, slices=SLICES)
     cut = sinks.export_sites(docs, [2, 7])
-    return cut.select(
-        "site_id",
-        F.size("datasets").cast("bigint").alias("datasets"),
-        F.size("data_groups").cast("bigint").alias("data_groups"),
-        F.aggregate(
-            "data_groups", F.lit(0).cast("bigint"), lambda a, g: a + F.size(g["values"])
-        ).alias("values"),
+    values = documents.child_rows_of(cut, "data_groups").groupBy("site_id").agg(
+        F.count_distinct("type", "data_group_id").alias("data_groups"),
+        F.sum(F.size("values")).cast("bigint").alias("values"),
+    )
+    return (
+        documents.site_rows_of(cut)
+        .select("site_id", "datasets")
+        .join(values, "site_id", "left")
+        .na.fill(0, ["data_groups", "values"])
     )
 
 

@@ -37,34 +37,43 @@ def export_sites(documents: DataFrame, method_ids: Sequence[int] = ()) -> DataFr
     if "data_groups" in documents.columns:
         cut = cut.withColumn(
             "data_groups",
-            F.filter("data_groups", lambda g: F.arrays_overlap(g.method_ids, wanted)),
+            F.filter(
+                F.transform(
+                    "data_groups",
+                    lambda g: g.withField(
+                        "values", F.filter(g["values"], lambda v: F.array_contains(wanted, v.method_id))
+                    ),
+                ),
+                lambda g: F.size(g["values"]) > 0,
+            ),
         )
     return cut
 
 
 def save_documents(
-    documents: DataFrame, path: str, key: str, buckets: int = 64, fmt: str = "parquet"
+    documents: DataFrame, path: str, key: str, *, stored: str | None = None, buckets: int, fmt: str = "parquet"
 ) -> None:
-    """Write documents by a bucket of their key; only buckets present are replaced."""
-    placed = documents.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    """Write documents to the new folder ``path``, by a bucket of their key.
+
+    The documents stored in ``stored``, if given, come along unless their key is
+    written anew, with all slices of a key together. The old folder stays as it
+    is, so readers move on when the new one is complete. A folder that exists
+    already is an error, never overwritten.
+    """
+    whole = documents
+    if stored is not None:
+        current = documents.sparkSession.read.format(fmt).load(stored).drop("bucket")
+        whole = replace_documents(current, documents, key)
+    placed = whole.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     (
-        placed.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        placed.repartition(buckets, "bucket", F.pmod(F.xxhash64(*[c for c in (key, "part") if c in whole.columns]), F.lit(8)))
+        .write.mode("error")
         .partitionBy("bucket")
         .format(fmt)
         .save(path)
     )
 
 
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Write a flat table in buckets of ``key``, sorted within each.
-
-    Entities, abundances and sample groups saved with the same key and bucket
-    count join on it without a shuffle.
-    """
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-
-
 def replace_documents(current: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """The stored documents with those of ``fresh`` put in place of the same keys."""
     kept = current.join(fresh.select(key).distinct(), key, "left_anti")

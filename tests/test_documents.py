@@ -106,7 +106,7 @@ def test_family_gate_and_union(roles):
 
 
 def test_documents_keep_empty_parents(roles):
-    docs = by(documents.site_documents(roles), "site_id")
+    docs = by(documents.site_documents(roles, slices=1), "site_id")
     assert len(docs) == 5
     assert docs[3]["sample_groups"] == [] and docs[3]["datasets"] == []
     groups = {g["sample_group_id"]: g for g in docs[2]["sample_groups"]}
@@ -122,30 +122,52 @@ def test_documents_keep_empty_parents(roles):
     assert {d["parts"] for d in docs.values()} == {1}
 
 
-@pytest.mark.parametrize("max_rows", [1, 4])
-def test_parts_hold_every_child_once(spark, roles, tmp_path, max_rows):
+@pytest.mark.parametrize("slices", [2, 7, 40])
+def test_slices_hold_every_child_once(spark, roles, tmp_path, slices):
     path = str(tmp_path / "documents")
-    documents.site_documents(roles, max_rows=max_rows).write.parquet(path)
+    documents.site_documents(roles, slices=slices).write.parquet(path)
     docs = spark.read.parquet(path)
     parts = docs.groupBy("site_id").agg(F.max("parts").alias("parts"), F.max("part").alias("last"))
-    assert by(parts, "site_id")[1]["parts"] > 2
+    assert by(parts, "site_id")[1]["parts"] == slices
     assert parts.where("last >= parts").count() == 0
     entities = documents.entity_rows_of(docs)
     assert sorted(r.analysis_entity_id for r in entities.collect()) == [r[0] for r in ROWS["analysis_entity"]]
     samples = documents.sample_rows_of(docs)
-    assert sorted(r.physical_sample_id for r in samples.where("is_home").collect()) == [
-        r[0] for r in ROWS["physical_sample"]
-    ]
-    features = samples.select("physical_sample_id", F.explode("features.feature_id"))
-    assert rows(features) == sorted((r[0], r[1]) for r in ROWS["sample_feature"])
-    # Cutting by method reaches entities in every part.
+    assert sorted(r.physical_sample_id for r in samples.collect()) == [r[0] for r in ROWS["physical_sample"]]
+    features = documents.child_rows_of(docs, "sample_groups.physical_samples.features")
+    assert rows(features.select("physical_sample_id", "feature_id")) == sorted((r[0], r[1]) for r in ROWS["sample_feature"])
+    # Cutting by method reaches entities in every slice.
     cut = documents.entity_rows_of(sinks.export_sites(docs, [3]))
     assert sorted(r.analysis_entity_id for r in cut.collect()) == [1, 3, 4, 5, 12]
 
 
+def test_rows_of_documents_do_not_depend_on_slices(roles):
+    found = []
+    for slices in (1, 3, 20):
+        docs = documents.site_documents(roles, slices=slices)
+        data = datagroups.abundance_values(roles)
+        some = documents.site_documents(roles, paths=["datasets"], data_groups=data, slices=slices)
+        cut = sinks.export_sites(some, [8])
+        values = documents.child_rows_of(cut, "data_groups").select("site_id", "data_group_id", F.explode("values.key"))
+        taxa = documents.taxon_documents(roles, slices=slices)
+        found.append(
+            [
+                rows(frame)
+                for frame in (
+                    documents.site_rows_of(docs), documents.group_rows_of(docs), documents.sample_rows_of(docs),
+                    documents.dataset_rows_of(docs), documents.entity_rows_of(docs), documents.dataset_rows_of(cut), values,
+                    documents.child_rows_of(docs, "location"), documents.child_rows_of(docs, "sample_groups.dataset_ids"),
+                    documents.child_rows_of(taxa, "common_names", "taxon_id"),
+                )
+            ]
+        )
+    assert found[0] == found[1] == found[2]
+    assert all(found[0])
+
+
 def test_export_cuts_datasets_and_groups(roles):
     data = datagroups.abundance_values(roles)
-    docs = documents.site_documents(roles, [1], paths=["datasets"], data_groups=data)
+    docs = documents.site_documents(roles, [1], paths=["datasets"], data_groups=data, slices=1)
     nothing = sinks.export_sites(docs).first()
     assert nothing.datasets == [] and nothing.data_groups == []
     some = sinks.export_sites(docs, [8]).first()
@@ -173,14 +195,14 @@ def test_fullest_reference_wins(roles):
 
 
 def test_taxon_documents(roles):
-    docs = by(documents.taxon_documents(roles), "taxon_id")
+    docs = by(documents.taxon_documents(roles, slices=1), "taxon_id")
     assert docs[20]["order_name"] == "Coleoptera"
     assert [x["common_name"] for x in docs[20]["common_names"]] == ["black one", "svart"]
     systems = {s["ecocode_system_id"]: s["groups"] for s in docs[20]["ecocodes"]}
     assert [c["name"] for c in systems[2][0]["codes"]] == ["Wet", "Wetland"]
     assert set(systems) == {2, 3}
     assert docs[24]["ecocodes"] is None and docs[24]["common_names"] == []
-    split = documents.taxon_documents(roles, max_rows=1)
+    split = documents.taxon_documents(roles, slices=9)
     assert split.where("taxon_id = 20").count() > 1
     assert split.select(F.sum(F.size("common_names"))).first()[0] == 3
 
@@ -196,15 +218,18 @@ def test_extracts(spark, roles):
     assert documents.analysis_values(roles).where("class_name = 'Felling'").count() == 2
 
 
-def test_sink_replaces_by_key(spark, roles, tmp_path):
-    path = str(tmp_path / "store")
-    head = sinks.site_headers(roles)
-    assert head.columns == list(sinks.HEADER_COLUMNS)
-    sinks.save_documents(head, path, "site_id", buckets=3)
-    changed = head.where("site_id = 2").withColumn("site_name", F.lit("New"))
-    stored = spark.read.parquet(path).drop("bucket")
-    sinks.save_documents(
-        sinks.replace_documents(stored, changed, "site_id"), str(tmp_path / "next"), "site_id", 3
-    )
-    got = by(spark.read.parquet(str(tmp_path / "next")), "site_id")
-    assert got[2]["site_name"] == "New" and len(got) == 5
+@pytest.mark.parametrize("slices", [1, 5])
+def test_sink_keeps_the_other_documents(spark, roles, tmp_path, slices):
+    docs = documents.site_documents(roles, slices=slices)
+    first, second = str(tmp_path / "first"), str(tmp_path / "second")
+    sinks.save_documents(docs, first, "site_id", buckets=3)
+    changed = docs.where("site_id = 2").withColumn("site_name", F.when(F.col("site_name").isNotNull(), F.lit("New")))
+    sinks.save_documents(changed, second, "site_id", stored=first, buckets=3)
+    before, after = (documents.site_rows_of(spark.read.parquet(p).drop("bucket")) for p in (first, second))
+    old, new = by(before, "site_id"), by(after, "site_id")
+    assert len(old) == len(new) == 5 and new[2]["site_name"] == "New"
+    assert {k: v for k, v in old.items() if k != 2} == {k: v for k, v in new.items() if k != 2}
+    assert {**old[2], "site_name": "New"} == new[2]
+    with pytest.raises(Exception, match="exist"):
+        sinks.save_documents(changed, first, "site_id", buckets=3)
+    assert sinks.site_headers(roles).columns == list(sinks.HEADER_COLUMNS)
