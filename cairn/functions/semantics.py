@@ -19,9 +19,6 @@ WHOLE_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 SiteIds = Sequence[int] | DataFrame | None
 
-# Id lists longer than this become a semi join instead of an IN predicate.
-INLINE_ID_LIMIT = 1000
-
 
 def leading_number(text: Column) -> Column:
     """The number a text starts with, null when it starts with none."""
@@ -59,21 +56,16 @@ def half_up(value: Column) -> Column:
 def ids_of(df: DataFrame, ids: SiteIds, column: str = "site_id") -> DataFrame:
     """Keep the rows whose ``column`` is among ``ids``.
 
-    ``None`` keeps every row and an empty list keeps none. Short lists become an
-    IN predicate that reaches the scan; long lists and DataFrames become a left
-    semi join, whose strategy Spark picks from the size of the id side.
+    ``None`` keeps every row and an empty list keeps none. A list becomes an IN
+    predicate that reaches the scan, whatever its length and type; a DataFrame
+    of ids becomes a left semi join, whose strategy Spark picks from its size.
     """
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
         return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
     wanted = list(dict.fromkeys(ids))
-    if not wanted:
-        return df.where(F.lit(False))
-    if len(wanted) <= INLINE_ID_LIMIT:
-        return df.where(F.col(column).isin(wanted))
-    listed = df.sparkSession.createDataFrame([(i,) for i in wanted], f"{column} bigint")
-    return df.join(listed, column, "left_semi")
+    return df.where(F.col(column).isin(wanted)) if wanted else df.where(F.lit(False))
 
 
 def best_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

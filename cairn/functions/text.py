@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,12 +57,41 @@ def _word_pattern(*words: str) -> str:
 def count_words(text: Column, words: Sequence[str]) -> Column:
     """Tokens of the text that are among the words, ignoring case and accents.
 
-    One scan over the text; no list of tokens is built.
+    Texts without any of them are passed over before occurrences are listed.
     """
     if not words:
         return F.lit(0)
-    pattern = _word_pattern(*[any_accent(w) for w in words])
-    return F.regexp_count(F.lower(text), F.lit(pattern))
+    pattern = F.lit(_word_pattern(*[any_accent(w) for w in words]))
+    lowered = F.lower(text)
+    return F.when(F.rlike(lowered, pattern), F.regexp_count(lowered, pattern)).otherwise(F.lit(0))
+
+
+def holds_words(text: Column, words: Sequence[str]) -> Column:
+    """Whether the words follow each other in the text, ignoring case and accents."""
+    gap = f"[^{TOKEN[1:]}+"
+    pattern = f"(?<!{TOKEN}){gap.join(any_accent(w) for w in words)}(?!{TOKEN})"
+    return F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern))
+
+
+def free_terms(query: str) -> tuple[list[str], list[tuple[str, ...]], list[tuple[str, ...]]]:
+    """The words that score, the phrases that must stand, and what must not.
+
+    Quoted parts are phrases; their words score too. A leading minus excludes a
+    word or a phrase. The word ``or`` says nothing.
+    """
+    words: set[str] = set()
+    phrases, unwanted = [], []
+    for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
+        tokens = tuple(re.findall(r"[^\W_]+", (quoted or word).lower()))
+        if not tokens or tokens == ("or",):
+            continue
+        if minus:
+            unwanted += [tokens] if quoted else [(t,) for t in tokens]
+            continue
+        words.update(tokens)
+        if quoted:
+            phrases.append(tokens)
+    return sorted(words), phrases, unwanted
 
 
 def _occurrences(text: Column, term: Term) -> Column:
@@ -103,23 +134,44 @@ def rank(text: Column, alternatives: list[list[Term]], label: str) -> Column:
     return best / (best + 1)
 
 
-# Accented letters and the letters they stand for.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Letters that stand for a plain one without a mark of their own.
+STROKED = {"ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i"}
+# The blocks of precomposed Latin letters.
+_LATIN = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+
+
+def like_pattern(text: str) -> str:
+    """A search text as a LIKE pattern: a backslash makes the next character a plain one."""
+    out, at = [], 0
+    while at < len(text):
+        c = text[at]
+        if c == "\\" and at + 1 < len(text):
+            at += 1
+            c = text[at]
+            c = f"\\{c}" if c in "%_\\" else c
+        elif c == "\\":
+            c = "\\\\"
+        out.append(c)
+        at += 1
+    return "".join(out)
 
 
 def fold_word(word: str) -> str:
-    return word.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    """Lower case, without accents."""
+    plain = unicodedata.normalize("NFD", word.lower())
+    return "".join(STROKED.get(c, c) for c in plain if not unicodedata.combining(c))
+
+
+@cache
+def _variants(letter: str) -> str:
+    """The lower-case letters that fold to a letter."""
+    return "".join(c for c in _LATIN if c == c.lower() and c != letter and fold_word(c) == letter)
 
 
 def any_accent(word: str) -> str:
-    """Pattern of a word that matches it with any accents.
+    """Pattern of a word that matches it with any accents, precomposed or not.
 
     The pattern carries the variants so that the text, which is far longer than
     the words, need not be rewritten.
     """
-    letters = []
-    for letter in fold_word(word):
-        variants = [a for a, p in zip(ACCENTED, PLAIN) if p == letter]
-        letters.append(f"[{letter}{''.join(variants)}]" if variants else letter)
-    return "".join(letters)
+    return "".join(f"[{c}{_variants(c)}]\\p{{M}}*" if c.isalpha() else c for c in fold_word(word))

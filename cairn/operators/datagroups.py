@@ -24,11 +24,11 @@ from cairn.operators.facts import (
     abundance_facts,
     age_facts,
     dating_facts,
-    entity_facts,
     leaf,
     methods,
     of_methods,
     sample_rows,
+    site_datasets,
     sites_using,
     value_facts,
     with_site,
@@ -223,18 +223,28 @@ def group_headers(t: Tables, rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     )
     references = (
-        rows.select("site_id", "type", "data_group_id", "dataset_id")
-        .distinct()
-        .join(t["dataset"].select("dataset_id", "biblio_id"), "dataset_id")
-        .where(truthy(F.col("biblio_id")))
+        group_references(t, rows)
         .groupBy("site_id", "type", "data_group_id")
-        .agg(F.count_distinct("biblio_id").alias("biblio_count"), F.min("biblio_id").alias("first_biblio_id"))
+        .agg(F.count(F.lit(1)).alias("biblio_count"), F.min("biblio_id").alias("first_biblio_id"))
     )
     return heads.join(references, ["site_id", "type", "data_group_id"], "left").fillna(
         0, ["biblio_count"]
     )
 
 
+def group_references(t: Tables, rows: DataFrame) -> DataFrame:
+    """Distinct (site, type, group, reference) over the datasets of each group."""
+    keys = ["site_id", "type", "data_group_id"]
+    return (
+        rows.select(*keys, "dataset_id")
+        .distinct()
+        .join(t["dataset"].select("dataset_id", "biblio_id"), "dataset_id")
+        .where(truthy(F.col("biblio_id")))
+        .select(*keys, "biblio_id")
+        .distinct()
+    )
+
+
 def measured_values(
     t: Tables,
     site_ids: SiteIds = None,
@@ -242,8 +252,9 @@ def measured_values(
 ) -> DataFrame:
     """Leading number where there is one, else the text; raw text in ``data``."""
     wanted = methods(t).where(F.col("method_group_id").isin(list(method_group_ids)))
-    rows = of_methods(t, leaf(t, "measured_value"))
-    rows = rows.join(wanted.select("method_id"), "method_id", "left_semi")
+    datasets = t["dataset"].select("dataset_id", "method_id")
+    datasets = datasets.join(wanted.select("method_id"), "method_id", "left_semi")
+    rows = leaf(t, "measured_value").drop("method_id").join(datasets, "dataset_id")
     rows = with_site(t, rows, site_ids)
     raw = F.col("measured_value")
     number = leading_number(raw)
@@ -299,10 +310,11 @@ def ceramics(
 ) -> DataFrame:
     """Ceramic attributes, one group per sample of every site that has ceramics.
 
-    A sample without attributes keeps one row with a null key.
+    A sample without attributes keeps one row with a null key and no method;
+    the others carry the method of their attribute.
     """
     inside = sites_using(t, method_ids)
-    lookup = t["ceramic_lookup"].select("ceramics_lookup_id", F.col("name").alias("key"))
+    lookup = t["ceramic_lookup"].select("ceramics_lookup_id", F.col("name").alias("key"), "method_id")
     values = (
         leaf(t, "ceramic")
         .select(
@@ -319,9 +331,8 @@ def ceramics(
         .select("site_id", "physical_sample_id")
         .join(inside, "site_id", "left_semi")
     )
-    rows = every.join(values, "physical_sample_id", "left").withColumn("method_id", F.lit(None))
     return _rows(
-        rows,
+        every.join(values, "physical_sample_id", "left"),
         "ceramic",
         group=F.col("physical_sample_id"),
         key=F.col("key"),
@@ -429,7 +440,7 @@ def family_sites(t: Tables) -> DataFrame:
         .select("method_id", F.explode(rules).alias("family"))
         .where("family IS NOT NULL")
     )
-    used = entity_facts(t).select("site_id", "method_id").distinct()
+    used = of_methods(t, site_datasets(t)).select("site_id", "method_id").distinct()
     return used.join(method_families, "method_id").select("family", "site_id").distinct()
 
 
@@ -483,6 +494,7 @@ def data_groups(
         "ceramic": ceramics,
         "adna": adna_values,
         "dendro": dendro_values,
+        "isotope": isotopes,
     }
     chosen = options if options else {name: {} for name in builders}
     united = None

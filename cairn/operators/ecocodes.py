@@ -91,7 +91,7 @@ def site_ecocode_taxa(t: Tables, site_ids: SiteIds = None) -> DataFrame:
 
 def site_ecocodes_by_sample(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     """Per (site, sample, code); a sample without codes keeps one empty row."""
-    facts = abundance_facts(t, site_ids, [ABUNDANCE_METHOD])
+    facts = abundance_facts(t, site_ids, [ABUNDANCE_METHOD], site=site_ids is not None)
     per_sample = _bundles(t, facts, ["physical_sample_id"])
     every = sample_rows(t, "physical_sample", site_ids).select("site_id", "physical_sample_id")
     return every.join(per_sample, "physical_sample_id", "left").select(
@@ -200,7 +200,7 @@ def ecocodes_for_sites(
         best = best.where(F.lit(False))
     codes = _codes(t).withColumnRenamed("ecocode_definition_id", "definition_id")
     return (
-        codes.join(F.broadcast(best), "taxon_id")
+        codes.join(best, "taxon_id")
         .groupBy("definition_id")
         .agg(F.count(F.lit(1)).alias("species"), weight.alias("abundance"))
     )

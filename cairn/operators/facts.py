@@ -169,15 +169,8 @@ def dating_facts(
 
 def site_datasets(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     """Distinct (site, dataset): a site owns the datasets of its entities."""
-    rows = with_site(t, entities(t).select("sample_group_id", "dataset_id"), site_ids)
-    return rows.select("site_id", "dataset_id").distinct()
-
-
-def site_methods(t: Tables, site_ids: SiteIds = None) -> DataFrame:
-    """Distinct (site, method) over the datasets of each site."""
-    return (
-        of_methods(t, site_datasets(t, site_ids)).select("site_id", "method_id").distinct()
-    )
+    pairs = entities(t).select("sample_group_id", "dataset_id").distinct()
+    return with_site(t, pairs, site_ids).select("site_id", "dataset_id").distinct()
 
 
 def sites_using(

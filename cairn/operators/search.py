@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from cairn.functions.semantics import best_by
 from cairn.functions.text import (
-    Term,
     clean_query,
     count_words,
+    free_terms,
+    holds_words,
+    like_pattern,
     matches,
     query_terms,
     rank,
@@ -85,16 +87,17 @@ class _Query:
 
     def __init__(self, text: str):
         self.text = text
+        self.pattern = like_pattern(text)
         self.terms = query_terms(text)
 
     def exact(self, name: Column) -> Column:
         return F.lower(name) == F.lower(F.lit(self.text))
 
     def prefix(self, name: Column) -> Column:
-        return F.lower(name).like(self.text.lower() + "%")
+        return F.lower(name).like(self.pattern.lower() + "%")
 
     def contains(self, name: Column) -> Column:
-        return name.ilike(f"%{self.text}%")
+        return name.ilike(f"%{self.pattern}%")
 
     def holds(self, name: Column) -> Column:
         return matches(name, self.terms)
@@ -256,17 +259,20 @@ def search(
     page: int = 1,
     limit: int = DEFAULT_LIMIT,
     domain: str = "",
+    *,
+    max_limit: int = MAX_LIMIT,
 ) -> DataFrame:
     """One page of scored hits, each row with the totals of the whole result.
 
-    A page past the end is one row that holds only the totals.
+    A page has ``limit`` hits, ``max_limit`` at most. A page past the end is one
+    row that holds only the totals.
     """
     if category not in _CATEGORIES:
         raise ValueError(f"unknown search category {category!r}")
     text = clean_query(query)
     if len(text) < 2:
         raise ValueError("a search needs at least two characters")
-    limit = min(max(int(limit), 1), MAX_LIMIT)
+    limit = min(max(int(limit), 1), max_limit)
     page = max(int(page), 1)
     hits = _CATEGORIES[category](t, _Query(text), _domain_method_ids(t, domain))
     hits = hits.withColumn("score", F.round("score", 6))
@@ -274,7 +280,7 @@ def search(
     order = [F.desc("score"), F.asc("site_name"), F.asc("site_id")]
     paged = hits.orderBy(*order).offset((page - 1) * limit).limit(limit)
     pages = F.ceil(F.col("total_count") / limit).cast("bigint")
-    # `paged` holds at most `limit` (50) rows and `total` exactly one.
+    # `paged` holds at most `max_limit` rows and `total` exactly one.
     return (
         total.join(F.broadcast(paged), F.lit(True), "left")
         .withColumn("total_pages", pages)
@@ -314,6 +320,14 @@ def site_texts(t: Tables) -> DataFrame:
     sampling = t["sample_group"].select("site_id", "method_id")
     named = used.union(sampling).distinct().join(t["method"], "method_id")
     add(named, method_name=5, description=2)
+    if "prep_method" in t:
+        prep = t["prep_method"]
+        if "sample_group_id" not in prep.columns:
+            keys = entities(t).select("analysis_entity_id", "sample_group_id")
+            prep = prep.join(keys, "analysis_entity_id")
+        pairs = prep.select("sample_group_id", "method_id").distinct().join(groups(t), "sample_group_id")
+        pairs = pairs.select("site_id", "method_id").distinct()
+        add(pairs.join(t["method"], "method_id"), method_name=2, description=2)
     if "abundance" in t or "abundance_flat" in t:
         pairs = abundance_facts(t).select("site_id", "taxon_id").distinct()
         ranks = F.explode(F.array("family_name", "genus_name", "order_name")).alias("name")
@@ -336,17 +350,23 @@ def free_text(t: Tables, query: str, k: int = 50, texts: DataFrame | None = None
     """The k sites with the largest weighted term count, accents ignored.
 
     The score of a site adds, over its fields, the field weight times the
-    occurrences of any query word. It is summed on the map side per site.
+    occurrences of any query word. Every quoted phrase must stand in one of its
+    fields, and nothing with a leading minus may. All is summed on the map side
+    per site.
     """
-    words = sorted({w for terms in query_terms(query) for x in terms if x.wanted for w in x.tokens})
+    words, phrases, unwanted = free_terms(query)
     rows = site_texts(t) if texts is None else texts
-    scored = (
-        rows.withColumn("hits", count_words(F.col("text"), words))
-        .where("hits > 0")
-        .groupBy("site_id")
-        .agg(F.sum(F.col("hits") * F.col("weight")).cast("bigint").alias("score"))
+    text = F.col("text")
+    flags = {f"has{i}": holds_words(text, p) for i, p in enumerate(phrases)}
+    flags |= {f"not{i}": holds_words(text, p) for i, p in enumerate(unwanted)}
+    marked = rows.withColumns({"hits": count_words(text, words), **flags})
+    some = " OR ".join(["hits > 0", *[f for f in flags if f.startswith("not")]])
+    sites = marked.where(some).groupBy("site_id").agg(
+        F.sum(F.col("hits") * F.col("weight")).cast("bigint").alias("score"),
+        *[F.bool_or(f).alias(f) for f in flags],
     )
-    best = scored.orderBy(F.desc("score"), "site_id").limit(k)
+    wanted = " AND ".join(["score > 0", *[f if f.startswith("has") else f"NOT {f}" for f in flags]])
+    best = sites.where(wanted).select("site_id", "score").orderBy(F.desc("score"), "site_id").limit(k)
     return (
         best.join(_site_names(t), "site_id", "left")
         .select("site_id", "site_name", "score")

@@ -248,26 +248,35 @@ def dating_overview(t: Tables, site_ids: SiteIds = None) -> DataFrame:
 # The measurement tables counted by the census.
 CENSUS_ROLES = (
     "abundance",
+    "aggregate_sample",
+    "analysis_entity_dimension",
     "analysis_value",
     "ceramic",
+    "dendro",
+    "dendro_date",
     "entity_age",
     "geochronology",
     "isotope",
     "measured_value",
     "prep_method",
     "relative_date",
+    "tephra_date",
 )
 
 
 def entity_census(
     t: Tables, entity_ids: SiteIds = None, roles: Sequence[str] | None = None
 ) -> DataFrame:
-    """Rows per (measurement table, entity). Tables without a row give zero.
+    """Rows per (measurement table, entity). Tables without a row, or not bound, give zero.
 
     The entity keys of all tables go through one aggregation that counts per
     table; the tables are never joined to each other.
     """
-    bound = [r for r in roles or CENSUS_ROLES if r in t or f"{r}_flat" in t]
+    asked = list(CENSUS_ROLES if roles is None else roles)
+    unknown = [r for r in asked if r not in CENSUS_ROLES]
+    if unknown:
+        raise ValueError(f"unknown tables {unknown}")
+    bound = [r for r in asked if r in t or f"{r}_flat" in t]
     key = "analysis_entity_id"
     marked = ids_of(entities(t).select(key), entity_ids, key).withColumn(
         "role", F.lit(None).cast("string")
@@ -276,7 +285,7 @@ def entity_census(
         source = t[f"{role}_flat"] if f"{role}_flat" in t else t[role]
         rows = ids_of(source.select(key), entity_ids, key)
         marked = marked.unionByName(rows.withColumn("role", F.lit(role)))
-    counts = [F.count_if(F.col("role") == role).alias(role) for role in bound]
+    counts = [F.count_if(F.col("role") == role).alias(role) for role in asked]
     known = F.count_if(F.col("role").isNull()).alias("_known")
     wide = marked.groupBy(F.col(key).alias("entity_id")).agg(known, *counts).where("_known > 0")
-    return wide.unpivot("entity_id", bound, "table_name", "n")
+    return wide.unpivot("entity_id", asked, "table_name", "n")

@@ -12,7 +12,7 @@ from cairn.operators import climate, datagroups, dating, documents, domains, eco
 from cairn.operators import search as find
 from cairn.operators import summaries, taxa, variables
 from cairn.sources import sinks
-from cairn.sources.binding import bind
+from cairn.sources.binding import bind, word_number
 from cairn.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,8 @@ DATING_METHODS = (1, 7, 12)
 CERAMIC_METHODS = (17, 18)
 ADNA_METHODS = (19,)
 ISOTOPE_METHODS = (4, 9)
-GERMINATION_CLASS = len("view")
-FELLING_CLASS = len("purchase")
+GERMINATION_CLASS = word_number("view")
+FELLING_CLASS = word_number("purchase")
 
 
 def query(name: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
@@ -228,7 +228,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("eco8_ecocode_across_sites")
 def _(t: Tables) -> DataFrame:
-    return ecocodes.ecocode_across_sites(t, 114101100)  # the word "red"
+    return ecocodes.ecocode_across_sites(t, word_number("red"))
 
 
 @query("eco9_ecocodes_for_sites_abundance")
@@ -400,6 +400,11 @@ def _(t: Tables) -> DataFrame:
     return find.search(t, "methods", "nation", limit=50, domain="adna")
 
 
+@query("srch1_sites_backslash")
+def _(t: Tables) -> DataFrame:
+    return find.search(t, "sites", "cust\\omer%1")
+
+
 @query("srch6_page_past_the_end")
 def _(t: Tables) -> DataFrame:
     return find.search(t, "sites", "customer", page=1_000_000_000, limit=1)
@@ -410,6 +415,21 @@ def _(t: Tables) -> DataFrame:
     return find.free_text(t, "furniture nation")
 
 
+@query("srch7_free_text_negated")
+def _(t: Tables) -> DataFrame:
+    return find.free_text(t, "furniture machinery -asia")
+
+
+@query("srch7_free_text_phrase")
+def _(t: Tables) -> DataFrame:
+    return find.free_text(t, '"segment furniture" nation')
+
+
+@query("srch7_free_text_accents")
+def _(t: Tables) -> DataFrame:
+    return find.free_text(t, "fürnıtüre ňatioñ")
+
+
 @query("srch7_free_text_in_lookups")
 def _(t: Tables) -> DataFrame:
     return find.free_text(t, "asia brand element f y7 high")
@@ -498,6 +518,14 @@ def _(t: Tables) -> DataFrame:
     return datagroups.group_headers(t, rows)
 
 
+@query("grp4_group_references")
+def _(t: Tables) -> DataFrame:
+    rows = datagroups.dating_values(t, method_ids=DATING_METHODS).unionByName(
+        datagroups.entity_age_values(t, method_ids=DATING_METHODS)
+    )
+    return datagroups.group_references(t, rows)
+
+
 @query("grp5_measured_values")
 def _(t: Tables) -> DataFrame:
     return datagroups.measured_values(t)
@@ -569,6 +597,7 @@ def _(t: Tables) -> DataFrame:
             "ceramic": {"method_ids": CERAMIC_METHODS},
             "adna": {"method_ids": ADNA_METHODS},
             "dendro": {},
+            "isotope": {"method_ids": ISOTOPE_METHODS},
         },
     )
     return rows.groupBy("type", "value_type").agg(

@@ -43,8 +43,7 @@ VIEWS = {
         SELECT DISTINCT p_partkey AS taxon_id, unnest(string_split(p_name, ' ')) AS word FROM part""",
     "v_code": """
         SELECT taxon_id, word,
-               CAST(ascii(word) AS BIGINT) * 1000000 + ascii(substr(word, 2, 1)) * 1000
-               + ascii(substr(word, 3, 1)) AS definition_id,
+               CAST('0x' || substr(md5(word), 1, 15) AS BIGINT) AS definition_id,
                CAST(length(word) % 3 AS BIGINT) AS group_id,
                upper(substr(word, 1, 2)) AS abbreviation
         FROM v_word""",
@@ -83,16 +82,18 @@ VIEWS = {
                CASE WHEN l_returnflag = 'N' THEN l_linenumber || '-lab' END AS dating_lab_id
         FROM v_line""",
     "v_value": """
-        SELECT event_id, user_id AS site_id, user_id * 100 + day(ts) AS sample_id,
+        SELECT event_id, user_id AS site_id,
+               -(user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))) AS sample_id,
                event_id % 50 AS dataset_id, event_type AS key,
-               CAST(length(event_type) AS BIGINT) AS value_class_id,
+               CAST('0x' || substr(md5(event_type), 1, 15) AS BIGINT) AS value_class_id,
+               CAST(length(event_type) % 2 AS BIGINT) AS value_type_id,
                CASE WHEN event_type = 'signup' THEN 'kind ' || (k % 7)
                     WHEN event_type = 'error' AND event_id % 3 = 0 THEN k || ' approx'
                     WHEN event_type = 'click' AND user_id % 5 = 0 THEN 'none'
                     ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS value
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
     "v_range": """
-        SELECT event_id, CAST(length(event_type) AS BIGINT) AS value_class_id, user_id AS site_id,
+        SELECT event_id, CAST('0x' || substr(md5(event_type), 1, 15) AS BIGINT) AS value_class_id, event_type, user_id AS site_id,
                event_id % 50 AS dataset_id,
                CASE WHEN event_id % 11 <> 0 THEN 1000 + k * 5 END AS low_value,
                CASE WHEN event_type <> 'click'
@@ -251,14 +252,12 @@ _AGE_EXTREMES = """SELECT site_id, max(CASE WHEN age_older <> 0 THEN CAST(trunc(
 oracle("sum15_dating_overview", _AGE_EXTREMES.format("age_older", "age_younger"))
 oracle(
     "sum16_entity_census",
-    """WITH e AS (SELECT entity_id, count(*) AS n,
-                         2 * count(*) AS preps FROM v_line GROUP BY 1)
-       SELECT entity_id, 'abundance' AS table_name, n FROM e
-       UNION ALL SELECT entity_id, 'ceramic', n FROM e
-       UNION ALL SELECT entity_id, 'entity_age', n FROM e
-       UNION ALL SELECT entity_id, 'isotope', n FROM e
-       UNION ALL SELECT entity_id, 'measured_value', n FROM e
-       UNION ALL SELECT entity_id, 'prep_method', preps FROM e""",
+    """WITH e AS (SELECT entity_id, count(*) AS n FROM v_line GROUP BY 1),
+       t(table_name, times) AS (VALUES ('abundance', 1), ('aggregate_sample', 0), ('analysis_entity_dimension', 0),
+         ('analysis_value', 0), ('ceramic', 1), ('dendro', 0), ('dendro_date', 0), ('entity_age', 1),
+         ('geochronology', 0), ('isotope', 1), ('measured_value', 1), ('prep_method', 2), ('relative_date', 0),
+         ('tephra_date', 0))
+       SELECT entity_id, table_name, CAST(n * times AS BIGINT) AS n FROM e, t""",
 )
 
 # --- taxa ----------------------------------------------------------------------
@@ -498,9 +497,9 @@ oracle(
               y.y AS younger, y.type AS younger_type, y.entity_id AS younger_entity
        FROM o JOIN y USING (dataset_id)""",
 )
-_DENDRO = """g AS (SELECT * FROM v_range WHERE value_class_id = 4 AND low_value <> 0
+_DENDRO = """g AS (SELECT * FROM v_range WHERE event_type = 'view' AND low_value <> 0
                QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY low_value, event_id) = 1),
-       f AS (SELECT * FROM v_range WHERE value_class_id = 8 AND high_value <> 0
+       f AS (SELECT * FROM v_range WHERE event_type = 'purchase' AND high_value <> 0
                QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY high_value DESC, event_id) = 1),
        d AS (SELECT site_id, g.low_value AS age_older, g.dataset_id AS older_dataset_id,
                     g.event_id AS older_analysis_entity_id,
@@ -558,9 +557,9 @@ oracle(
 )
 oracle(
     "den5_value_class_listing",
-    """SELECT CAST(length(event_type) AS BIGINT) AS value_class_id, min(event_type) AS name,
+    """SELECT DISTINCT CAST('0x' || substr(md5(event_type), 1, 15) AS BIGINT) AS value_class_id, event_type AS name,
               CAST(length(event_type) % 2 AS BIGINT) AS value_type_id
-       FROM events GROUP BY 1, 3""",
+       FROM events""",
 )
 
 # --- search --------------------------------------------------------------------------
@@ -710,16 +709,18 @@ oracle(
         50,
     ),
 )
+oracle("srch1_sites_backslash", _page(_site_hits("customer%1"), 1, 20))
 oracle("srch6_page_past_the_end", _page(_site_hits("customer"), 1_000_000_000, 1))
 _WORD_COUNT = "len(list_filter({0}, lambda w: list_contains({1}, w)))"
 
 
-def _weighted(texts: str, words: str, names: str) -> str:
+def _weighted(texts: str, words: str, names: str, also: str = "true") -> str:
     tokens = _TOKENS.format("strip_accents(text)")
     hits = _WORD_COUNT.format(tokens, words)
+    also = also.format(tokens)
     return f"""WITH texts AS ({texts}),
        s AS (SELECT site_id, CAST(sum(weight * {hits}) AS BIGINT) AS score FROM texts GROUP BY 1
-             HAVING sum(weight * {hits}) > 0 ORDER BY score DESC, site_id LIMIT 50)
+             HAVING sum(weight * {hits}) > 0 AND {also} ORDER BY score DESC, site_id LIMIT 50)
        SELECT s.site_id, n.site_name, s.score FROM s LEFT JOIN ({names}) n USING (site_id)"""
 
 
@@ -749,6 +750,20 @@ _SITE_TEXTS = """SELECT c_custkey AS site_id, 10 AS weight, c_name AS text FROM
          UNION ALL SELECT c_custkey, 5, (SELECT string_agg(r_name, ' ') FROM region) FROM customer"""
 _SITE_NAMES = "SELECT c_custkey AS site_id, c_name AS site_name FROM customer"
 oracle("srch7_free_text", _weighted(_SITE_TEXTS, "['furniture', 'nation']", _SITE_NAMES))
+oracle(
+    "srch7_free_text_negated",
+    _weighted(_SITE_TEXTS, "['furniture', 'machinery']", _SITE_NAMES, "NOT bool_or(list_contains({0}, 'asia'))"),
+)
+oracle(
+    "srch7_free_text_phrase",
+    _weighted(
+        _SITE_TEXTS,
+        "['segment', 'furniture', 'nation']",
+        _SITE_NAMES,
+        "bool_or(regexp_matches(lower(text), '(^|[^a-z0-9])segment[^a-z0-9]+furniture($|[^a-z0-9])'))",
+    ),
+)
+oracle("srch7_free_text_accents", _weighted(_SITE_TEXTS, "['furniture', 'nation']", _SITE_NAMES))
 oracle(
     "srch7_free_text_in_lookups",
     _weighted(_SITE_TEXTS, "['asia', 'brand', 'element', 'f', 'y7', 'high']", _SITE_NAMES),
@@ -845,6 +860,12 @@ oracle(
               min(nullif(dataset_id % 200, 0)) AS first_biblio_id
        FROM v GROUP BY 1, 2, 3""",
 )
+oracle(
+    "grp4_group_references",
+    f"""WITH {_DATED}, {_AGED}, v AS ({_DATING} UNION ALL {_AGES})
+       SELECT DISTINCT site_id, type, data_group_id, CAST(dataset_id % 200 AS BIGINT) AS biblio_id
+       FROM v WHERE dataset_id % 200 <> 0""",
+)
 _MEASURED = f"""SELECT site_id, {_value_row(
         "measured_values", "CAST(sample_id AS VARCHAR)",
         "CASE WHEN l_linenumber = 6 THEN '<' || abundance END",
@@ -853,15 +874,13 @@ _MEASURED = f"""SELECT site_id, {_value_row(
              ELSE CAST(abundance AS VARCHAR) END AS data
        FROM v_entity WHERE method_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"""
 oracle("grp5_measured_values", _MEASURED)
-oracle(
-    "grp6_isotopes",
-    f"""SELECT site_id, {_value_row("isotope", "CAST(sample_id AS VARCHAR)",
+_ISOTOPE = f"""SELECT site_id, {_value_row("isotope", "CAST(sample_id AS VARCHAR)",
         "CAST(abundance AS VARCHAR)", _NUMBER, "complex")}, n_name AS data
-       FROM v_entity JOIN nation ON n_nationkey = l_linenumber WHERE method_id IN (4, 9)""",
-)
+       FROM v_entity JOIN nation ON n_nationkey = l_linenumber WHERE method_id IN (4, 9)"""
+oracle("grp6_isotopes", _ISOTOPE)
 _CERAMIC = f"""SELECT g.site_id, 'ceramic' AS type, CAST(sample_id AS VARCHAR) AS data_group_id,
               l_suppkey AS dataset_id, sample_id AS physical_sample_id, entity_id AS analysis_entity_id,
-              {_NULL} AS method_id, 'Attribute ' || l_linenumber AS key, l_returnflag AS value_string,
+              CAST(17 + l_linenumber % 2 AS BIGINT) AS method_id, 'Attribute ' || l_linenumber AS key, l_returnflag AS value_string,
               {_NUMBER} AS value_double, 'simple' AS value_type
        FROM v_line JOIN v_group g ON g.sample_group_id = l_orderkey
        WHERE g.site_id IN (SELECT site_id FROM v_entity WHERE method_id IN (17, 18))"""
@@ -884,9 +903,9 @@ oracle("grp8_adna_values", _ranged("adna", "low_value", 19))
 oracle("grp9_dendro_values", _ranged("dendro", "high_value", 10))
 oracle(
     "grp10_value_classes_used",
-    """SELECT CAST(length(event_type) AS BIGINT) AS value_class_id, min(event_type) AS name,
+    """SELECT DISTINCT CAST('0x' || substr(md5(event_type), 1, 15) AS BIGINT) AS value_class_id, event_type AS name,
               CAST(length(event_type) % 2 AS BIGINT) AS value_type_id
-       FROM events GROUP BY 1, 3""",
+       FROM events""",
 )
 oracle(
     "grp11_dating_uncertainties",
@@ -931,7 +950,8 @@ oracle(
          SELECT {_COMMON} FROM ({_ABUNDANCE}) UNION ALL SELECT {_COMMON} FROM ({_DATING})
          UNION ALL SELECT {_COMMON} FROM ({_MEASURED}) UNION ALL SELECT {_COMMON} FROM ({_CERAMIC})
          UNION ALL SELECT {_COMMON} FROM ({_ranged("adna", "low_value", 19)})
-         UNION ALL SELECT {_COMMON} FROM ({_ranged("dendro", "low_value", 10)}))
+         UNION ALL SELECT {_COMMON} FROM ({_ranged("dendro", "low_value", 10)})
+         UNION ALL SELECT {_COMMON} FROM ({_ISOTOPE}))
        SELECT type, value_type, count(*) AS n, count(DISTINCT site_id) AS sites,
               count(DISTINCT data_group_id) AS groups
        FROM v GROUP BY 1, 2""",
@@ -1060,10 +1080,8 @@ oracle(
 )
 oracle(
     "doc14_analysis_values",
-    """WITH c AS (SELECT length(event_type) AS id, min(event_type) AS name FROM events GROUP BY 1)
-       SELECT site_id, event_id AS analysis_value_id, key, value, c.name AS class_name,
-              value_class_id % 2 AS value_type_id
-       FROM v_value LEFT JOIN c ON c.id = value_class_id""",
+    """SELECT site_id, event_id AS analysis_value_id, key, value, key AS class_name, value_type_id
+       FROM v_value""",
 )
 oracle(
     "doc15_datasets_extract",

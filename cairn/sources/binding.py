@@ -8,6 +8,8 @@ habitat codes, events as keyed values, and embeddings as climate matrices.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +35,19 @@ def _entity_id() -> Column:
     return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
 
 
-def _word_id(word: Column) -> Column:
-    code = F.lit(0).cast("bigint")
-    for place, weight in ((1, 1_000_000), (2, 1_000), (3, 1)):
-        code = code + F.ascii(F.substring(word, place, 1)).cast("bigint") * weight
-    return code
+def _word_id(word: Column | str) -> Column:
+    """A 60-bit number for a whole word."""
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint")
+
+
+def word_number(word: str) -> int:
+    """The number :func:`_word_id` gives a word."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:15], 16)
+
+
+def _event_sample_id() -> Column:
+    """A sample for each user and day; negative, as the samples of lines are positive."""
+    return -(F.col("user_id") * 100_000 + F.unix_date(F.to_date("ts")))
 
 
 def _days_before_origin(day: str) -> Column:
@@ -498,29 +508,26 @@ def bind(spark: SparkSession, folder: str) -> Tables:
         )
 
     def value_flat() -> DataFrame:
-        day = F.dayofmonth("ts").cast("bigint")
         return raw["events"].select(
             F.col("event_id").alias("analysis_value_id"),
             F.col("event_id").alias("analysis_entity_id"),
-            (F.col("user_id") * 100 + day).alias("physical_sample_id"),
-            F.concat_ws("/", F.col("user_id").cast("string"), day.cast("string")).alias(
+            _event_sample_id().alias("physical_sample_id"),
+            F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias(
                 "sample_name"
             ),
             F.col("user_id").alias("site_id"),
             (F.col("event_id") % 50).alias("dataset_id"),
-            F.length("event_type").cast("bigint").alias("value_class_id"),
+            _word_id("event_type").alias("value_class_id"),
             F.col("event_type").alias("key"),
             _event_text().alias("value"),
         )
 
     def value_class() -> DataFrame:
-        return (
-            raw["events"]
-            .select("event_type")
-            .distinct()
-            .groupBy(F.length("event_type").cast("bigint").alias("value_class_id"))
-            .agg(F.min("event_type").alias("name"))
-            .withColumn("value_type_id", F.col("value_class_id") % 2)
+        kinds = raw["events"].select("event_type").distinct()
+        return kinds.select(
+            _word_id("event_type").alias("value_class_id"),
+            F.col("event_type").alias("name"),
+            (F.length("event_type") % 2).cast("bigint").alias("value_type_id"),
         )
 
     def dating_range() -> DataFrame:
@@ -572,6 +579,7 @@ def bind(spark: SparkSession, folder: str) -> Tables:
             F.col("n_nationkey").cast("bigint").alias("ceramics_lookup_id"),
             F.concat(F.lit("Attribute "), F.col("n_nationkey").cast("string")).alias("name"),
             F.col("n_name").alias("description"),
+            (17 + F.col("n_nationkey") % 2).cast("bigint").alias("method_id"),
         )
 
     def isotope_flat() -> DataFrame:
@@ -617,6 +625,7 @@ def bind(spark: SparkSession, folder: str) -> Tables:
     # --- climate matrices -----------------------------------------------------------
 
     def mcr_matrix() -> DataFrame:
+        # A matrix has 60 columns by definition: dimensions 61 to 64 are no part of it.
         # Cell (row, column) holds 1 where dimension `column` times 50 exceeds row - 18.
         rows = raw["embeddings"].select(
             F.col("vec_id").alias("taxon_id"),

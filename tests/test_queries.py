@@ -9,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from cairn.operators import climate, ecocodes, facts, summaries, taxa
+from cairn.plans.catalog import QUERIES
+from cairn.plans.oracles import ORACLES
 from cairn.sources.binding import bind
 from tests.fixtures import rows
 from tools.compare import compare, duck
@@ -22,11 +24,12 @@ SOME = (
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no sample tables here")
-NAMES = list(entry.queries()) if os.environ.get("CAIRN_ALL_QUERIES") else SOME
+NAMES = list(QUERIES) if os.environ.get("CAIRN_ALL_QUERIES") else SOME
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -65,3 +68,17 @@ def test_partition_count_does_not_change_results(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_keys_of_the_binding_are_unique(spark):
+    t = bind(spark, FOLDER)
+    for role, key in (
+        ("site", "site_id"), ("sample_group", "sample_group_id"), ("analysis_entity", "analysis_entity_id"),
+        ("dataset", "dataset_id"), ("taxon", "taxon_id"), ("value_class", "value_class_id"), ("value_class", "name"),
+        ("ecocode_definition", "ecocode_definition_id"), ("location", "location_id"), ("value_flat", "analysis_value_id"),
+    ):
+        assert t[role].count() == t[role].select(key).distinct().count(), (role, key)
+    events = t["value_flat"].select("physical_sample_id").distinct()
+    assert events.join(t["physical_sample"], "physical_sample_id").count() == 0
+    words = {w for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect() for w in r["p_name"].split()}
+    assert t["ecocode_definition"].select("name").distinct().count() == len(words)

@@ -4,7 +4,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import semantics as sem
-from cairn.functions.text import clean_query, matches, query_terms, rank
+from cairn.functions.semantics import ids_of
+from cairn.functions.text import (
+    clean_query,
+    count_words,
+    fold_word,
+    free_terms,
+    holds_words,
+    like_pattern,
+    matches,
+    query_terms,
+    rank,
+)
 from cairn.operators.domains import domain_methods, domains
 from tests.fixtures import rows
 
@@ -97,3 +108,30 @@ def test_rank_of_one_term_counts_occurrences(spark):
     df = spark.createDataFrame([("a b a",), ("c",), (None,)], "v string")
     got = [r[0] for r in df.select(rank(F.col("v"), query_terms("a"), "B")).collect()]
     assert got == [pytest.approx(0.8 / 1.8), 0.0, 0.0]
+
+
+def test_id_lists_of_any_length_and_type(spark):
+    texts = spark.createDataFrame([(f"id-{k}",) for k in range(3000)], "entity string")
+    for n in (0, 900, 1500):
+        assert ids_of(texts, [f"id-{k}" for k in range(n)], "entity").count() == n
+    assert ids_of(texts, None, "entity").count() == 3000
+
+
+def test_accents_of_any_kind():
+    for text, word in (("šč ł ő ā", "šč"), ("Ö", "o")):
+        assert fold_word(text[0]) == fold_word(word[0]) or len(word) == 1
+    assert fold_word("ŁÓDŹ") == "lodz" and fold_word("e\u0301") == "e"
+    assert like_pattern("a\\b") == "ab" and like_pattern("a\\%_") == "a\\%_" and like_pattern("a\\") == "a\\\\"
+
+
+def test_free_terms():
+    words, phrases, unwanted = free_terms('big "old barn" -wet -"new roof" or x-y')
+    assert words == ["barn", "big", "old", "x", "y"] and phrases == [("old", "barn")]
+    assert unwanted == [("wet",), ("new", "roof")]
+
+
+def test_words_match_with_any_accents(spark):
+    rows = spark.createDataFrame([("Šč łódź",), ("s\u030cc\u030c LODZ lodz",), ("scx",)], "t string")
+    counted = rows.select(count_words(F.col("t"), ["sc", "łodz"])).collect()
+    assert [r[0] for r in counted] == [2, 3, 0]
+    assert [r[0] for r in rows.select(holds_words(F.col("t"), ("SC", "lodz"))).collect()] == [True, True, False]
