@@ -20,9 +20,13 @@ from cairn.functions.nesting import (
     stack,
 )
 from cairn.functions.semantics import SiteIds, best_by, ids_of, leading_number
+from cairn.operators.datagroups import AGE_FIELDS
+from cairn.operators.dating import site_age_summary
 from cairn.operators.facts import (
+    age_facts,
     entities,
     groups,
+    joined,
     leaf,
     methods,
     of_methods,
@@ -134,7 +138,7 @@ def _group_branch(b: _Build) -> DataFrame:
     sample_key = [*group_key, "physical_sample_id"]
     frames = [header_rows(b.with_site(t["sample_group"]), group_key, "_group")]
     for field, role in b.group_children().items():
-        frames.append(child_rows(b.with_site(t[role]), group_key, f"g_{field}"))
+        frames.append(child_rows(b.with_site(joined(t, role)), group_key, f"g_{field}"))
     if b.wants("sample_groups.physical_samples"):
         own = sample_rows(t, "physical_sample", site=False)
         frames.append(header_rows(b.with_site(own), sample_key, "_sample"))
@@ -216,8 +220,11 @@ def _dataset_branch(b: _Build) -> DataFrame:
     """
     t, key = b.t, ["site_id", "dataset_id"]
     pairs = b.with_site(entities(t).select("sample_group_id", "dataset_id"))
-    heads = pairs.select(*key).distinct().join(t["dataset"], "dataset_id")
+    heads = pairs.select(*key).distinct().join(joined(t, "dataset"), "dataset_id")
     frames = [header_rows(heads, key, "_dataset")]
+    if b.wants("datasets.contacts") and "dataset_contact" in t:
+        contacts = pairs.select(*key).distinct().join(joined(t, "dataset_contact"), "dataset_id")
+        frames.append(child_rows(contacts, key, "d_contacts"))
     place = [*key, F.xxhash64("analysis_entity_id").alias(SLICE), "analysis_entity_id"]
     if b.wants("datasets.analysis_entities"):
         members = of_methods(t, b.with_site(entities(t)))
@@ -235,9 +242,18 @@ def _dataset_branch(b: _Build) -> DataFrame:
 
 
 def _nest_datasets(rows: DataFrame) -> DataFrame:
+    own = _lists(rows, "d_")
     if "_entity" not in rows.columns:
-        dataset = F.struct("dataset_id", *_header_fields(rows, "_dataset"), _home("_dataset"))
-        return rows.groupBy("site_id", PART).agg(gather(dataset).alias("datasets"))
+        per_dataset = rows.groupBy("site_id", PART, "dataset_id").agg(
+            F.max("_dataset").alias("_dataset"), *[gather(c).alias(c) for c in own]
+        )
+        dataset = F.struct(
+            "dataset_id",
+            *_header_fields(rows, "_dataset"),
+            _home("_dataset"),
+            *[F.col(c).alias(c[2:]) for c in own],
+        )
+        return per_dataset.groupBy("site_id", PART).agg(gather(dataset).alias("datasets"))
     lists = (
         [F.sort_array(F.collect_set("_prep")).alias("prep_methods")]
         if "_prep" in rows.columns
@@ -248,6 +264,7 @@ def _nest_datasets(rows: DataFrame) -> DataFrame:
         F.max("_entity").alias("_entity"),
         F.max("_method_id").alias("_method_id"),
         *lists,
+        *[gather(c).alias(c) for c in own],
     )
     entity = F.struct(
         "analysis_entity_id",
@@ -259,6 +276,11 @@ def _nest_datasets(rows: DataFrame) -> DataFrame:
         F.max("_dataset").alias("_dataset"),
         F.max("_method_id").alias("_method_id"),
         gather(F.when(F.col("analysis_entity_id").isNotNull(), entity)).alias("analysis_entities"),
+        # Rows of the dataset itself have no entity.
+        *[
+            F.coalesce(F.max(F.when(F.col("analysis_entity_id").isNull(), F.col(c))), F.array()).alias(c)
+            for c in own
+        ],
     )
     dataset = F.struct(
         "dataset_id",
@@ -266,18 +288,31 @@ def _nest_datasets(rows: DataFrame) -> DataFrame:
         *_header_fields(rows, "_dataset", skip=["method_id"]),
         _home("_dataset"),
         "analysis_entities",
+        *[F.col(c).alias(c[2:]) for c in own],
     )
     return per_dataset.groupBy("site_id", PART).agg(gather(dataset).alias("datasets"))
 
 
 def _site_branch(b: _Build) -> DataFrame:
     t = b.t
-    frames = [header_rows(b.of_site(t["site"]), ["site_id"], "_site", first=True)]
+    header = b.of_site(t["site"])
+    if b.wants("age_summary") and ("entity_age" in t or "entity_age_flat" in t):
+        ages = site_age_summary(t, b.site_ids)
+        ages = ages.select("site_id", F.col("older").alias("age_older"), F.col("younger").alias("age_younger"))
+        header = header.join(ages, "site_id", "left")
+    frames = [header_rows(header, ["site_id"], "_site", first=True)]
     if "site_location" in t and b.wants("location"):
         places = b.of_site(t["site_location"]).join(t["location"], "location_id", "left")
         frames.append(child_rows(places, ["site_id"], "l_location"))
     for field, role in b.site_children().items():
-        frames.append(child_rows(b.of_site(t[role]), ["site_id"], f"l_{field}"))
+        frames.append(child_rows(b.of_site(joined(t, role)), ["site_id"], f"l_{field}"))
+    if b.wants("lookup_tables"):
+        frames.append(child_rows(site_lookups(t, b.site_ids), ["site_id"], "l_lookup_tables"))
+    if b.wants("analysis_entity_ages") and ("entity_age" in t or "entity_age_flat" in t):
+        ages = age_facts(t, b.site_ids)
+        fields = [c for c in AGE_FIELDS if c in ages.columns]
+        ages = ages.select("site_id", "analysis_entity_id", *fields)
+        frames.append(child_rows(ages, ["site_id"], "l_analysis_entity_ages"))
     return stack(frames)
 
 
@@ -346,7 +381,8 @@ def site_documents(
         # Both sides are partitioned by exactly these keys: no rows move.
         document = document.join(other, ["site_id", PART], "full_outer")
     document = document.withColumn(PARTS, F.lit(slices))
-    for name in ("sample_groups", "datasets", "data_groups", "location", *SITE_CHILDREN):
+    lists = ("sample_groups", "datasets", "data_groups", "location", "lookup_tables", "analysis_entity_ages")
+    for name in (*lists, *SITE_CHILDREN):
         if name in document.columns:
             document = document.withColumn(name, F.coalesce(name, F.array()))
     lead = ["site_id", PART, PARTS]
@@ -447,7 +483,7 @@ def path_table(t: Tables, path: str, site_ids: SiteIds = None) -> DataFrame:
     if above == ["sample_groups"]:
         if last == "physical_samples":
             return sample_rows(t, "physical_sample", site_ids)
-        return with_site(t, t[GROUP_CHILDREN[last]], site_ids)
+        return with_site(t, joined(t, GROUP_CHILDREN[last]), site_ids)
     if above == ["sample_groups", "physical_samples"]:
         return sample_rows(t, SAMPLE_CHILDREN[last], site_ids)
     raise KeyError(path)
@@ -478,6 +514,16 @@ def sample_group_datasets(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     return rows.distinct()
 
 
+# The columns of sample children and group coordinates that refer to a lookup.
+LOOKUP_COLUMNS = {
+    "dimension_id": "dimension",
+    "coordinate_method_id": "method",
+    "method_id": "method",
+    "unit_id": "unit",
+    "horizon_id": "horizon",
+}
+
+
 def site_lookups(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     """Distinct (site, kind, id) of every lookup entry a site refers to."""
     owned = of_methods(t, site_datasets(t, site_ids)).select("site_id", "method_id").distinct()
@@ -501,12 +547,16 @@ def site_lookups(t: Tables, site_ids: SiteIds = None) -> DataFrame:
             prep = prep.join(keys, "analysis_entity_id")
         prep = prep.select("sample_group_id", "method_id").distinct()
         parts.append(entries(with_site(t, prep, site_ids), "prep_method", "method_id"))
-    if "sample_coordinate" in t:
-        placed = sample_rows(t, "sample_coordinate", site_ids)
-        parts.append(entries(placed, "dimension", "dimension_id"))
-        parts.append(entries(placed, "method", "coordinate_method_id"))
-    if "sample_horizon" in t:
-        parts.append(entries(sample_rows(t, "sample_horizon", site_ids), "horizon", "horizon_id"))
+    for role in ("sample_coordinate", "sample_dimension", "sample_horizon", "sample_group_coordinate"):
+        if role not in t:
+            continue
+        if role.startswith("sample_group"):
+            rows = with_site(t, joined(t, role), site_ids)
+        else:
+            rows = sample_rows(t, role, site_ids)
+        for column, kind in LOOKUP_COLUMNS.items():
+            if column in rows.columns:
+                parts.append(entries(rows.select("site_id", column).distinct(), kind, column))
     if "dataset_contact" in t:
         contact = site_datasets(t, site_ids).join(t["dataset_contact"], "dataset_id")
         parts.append(entries(contact, "contact", "contact_id"))
@@ -632,7 +682,7 @@ def taxon_documents(
         .join(ecocode_tree(t, taxon_ids), "taxon_id", "left")
     )
     children = {
-        field: ids_of(t[role], taxon_ids, "taxon_id")
+        field: ids_of(joined(t, role), taxon_ids, "taxon_id")
         for field, role in TAXON_CHILDREN.items()
         if role in t
     }

@@ -26,10 +26,6 @@ def groups(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     return ids_of(t["sample_group"], site_ids).select("sample_group_id", "site_id")
 
 
-def samples(t: Tables) -> DataFrame:
-    return t["physical_sample"]
-
-
 def with_site(t: Tables, df: DataFrame, site_ids: SiteIds = None) -> DataFrame:
     """Add ``site_id`` to rows that carry ``sample_group_id``."""
     if "site_id" in df.columns:
@@ -37,6 +33,56 @@ def with_site(t: Tables, df: DataFrame, site_ids: SiteIds = None) -> DataFrame:
     return df.join(groups(t, site_ids), "sample_group_id")
 
 
+# Where the rows of a table point to, in order: role, key, kind of join, and the
+# columns taken (all that are new, if None). Roles that are not bound are passed over.
+LOOKUPS: dict[str, tuple[tuple[str, str, str, tuple[str, ...] | None], ...]] = {
+    "sample_feature": (("feature", "feature_id", "left", None), ("feature_type", "feature_type_id", "left", None)),
+    "sample_description": (("sample_description_type", "sample_description_type_id", "left", None),),
+    "sample_location": (("sample_location_type", "sample_location_type_id", "left", None),),
+    "sample_alt_ref": (("alt_ref_type", "alt_ref_type_id", "left", None),),
+    "sample_dimension": (("dimension", "dimension_id", "left", ("unit_id",)),),
+    "sample_coordinate": (("coordinate_method_dimension", "coordinate_method_dimension_id", "inner", None),),
+    "sample_horizon": (("horizon", "horizon_id", "inner", None),),
+    "sample_group_coordinate": (
+        ("coordinate_method_dimension", "coordinate_method_dimension_id", "inner", None),
+        ("dimension", "dimension_id", "inner", ("unit_id",)),
+    ),
+    "sample_group_context": (("sampling_context", "sampling_context_id", "left", None),),
+    "site_other_record": (("record_type", "record_type_id", "left", None), ("biblio", "biblio_id", "left", None)),
+    "dataset": (
+        ("method", "method_id", "left", ("method_group_id",)),
+        ("project", "project_id", "left", None),
+        ("project_type", "project_type_id", "left", None),
+    ),
+    "dataset_contact": (("contact", "contact_id", "left", None),),
+    "taxon_common_name": (("language", "language_id", "left", None),),
+    "taxon_red_list": (
+        ("rdb_code", "rdb_code_id", "inner", None),
+        ("rdb_system", "rdb_system_id", "inner", None),
+        ("location", "location_id", "inner", ("location_name", "location_type_id")),
+        ("location_type", "location_type_id", "inner", None),
+        ("biblio", "biblio_id", "inner", None),
+    ),
+    "taxon_seasonality": (
+        ("season", "season_id", "left", None),
+        ("season_type", "season_type_id", "left", None),
+        ("location", "location_id", "left", ("location_name",)),
+    ),
+    "species_association": (("association_type", "association_type_id", "inner", None),),
+}
+
+
+def joined(t: Tables, role: str) -> DataFrame:
+    """The rows of a table with the columns of the tables they point to."""
+    rows = t[role]
+    for lookup, key, how, columns in LOOKUPS.get(role, ()):
+        if lookup in t and key in rows.columns:
+            other = t[lookup]
+            taken = [c for c in columns or other.columns if c not in rows.columns]
+            rows = rows.join(other.select(key, *taken), key, how)
+    return rows
+
+
 def _with_group(t: Tables, df: DataFrame) -> DataFrame:
     if "sample_group_id" in df.columns:
         return df
@@ -50,7 +96,7 @@ def sample_rows(
     t: Tables, role: str, site_ids: SiteIds = None, *, site: bool = True
 ) -> DataFrame:
     """Rows of a sample-level child table with group and, if asked, site keys."""
-    rows = _with_group(t, t[role])
+    rows = _with_group(t, joined(t, role))
     return with_site(t, rows, site_ids) if site else rows
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.semantics import SiteIds, ids_of, truthy_text
+from cairn.functions.semantics import SiteIds, ids_of
 from cairn.operators.facts import ABUNDANCE_METHOD, abundance_facts
 from cairn.sources.tables import Tables
 
@@ -135,6 +135,29 @@ def species_associations(t: Tables, taxon_ids: SiteIds = None) -> DataFrame:
     return links.join(other, "associated_taxon_id")
 
 
-def searchable_taxa(t: Tables) -> DataFrame:
-    """Taxa whose species name is present and not empty."""
-    return t["taxon"].where(truthy_text(F.col("species")))
+# The attribute lists of a taxon that belong to the taxa of a site.
+SITE_TAXON_ATTRIBUTES = {
+    "common_names": ("taxon_common_name", "common_name"),
+    "measured_attributes": ("taxon_measured", "data"),
+    "notes": ("taxon_note", "taxonomy_notes"),
+    "seasonality": ("taxon_seasonality", "activity_type"),
+    "distribution": ("taxon_distribution_note", "distribution_text"),
+    "biology": ("taxon_biology", "biology_text"),
+}
+
+
+def site_taxon_attributes(
+    t: Tables, site_ids: SiteIds = None, language_ids: Sequence[int] = ()
+) -> DataFrame:
+    """(site_id, taxon_id, kind, value): the attributes of each taxon a site has, one row each."""
+    pairs = abundance_facts(t, site_ids).select("site_id", "taxon_id").distinct()
+    found = None
+    for kind, (role, column) in SITE_TAXON_ATTRIBUTES.items():
+        if role not in t:
+            continue
+        rows = t[role]
+        if kind == "common_names" and language_ids:
+            rows = rows.where(F.col("language_id").isin(list(language_ids)))
+        rows = rows.select("taxon_id", F.lit(kind).alias("kind"), F.col(column).cast("string").alias("value"))
+        found = rows if found is None else found.unionByName(rows)
+    return pairs.join(found, "taxon_id").select("site_id", "taxon_id", "kind", "value")

@@ -171,6 +171,11 @@ def _(t: Tables) -> DataFrame:
     return taxa.site_taxa(t)
 
 
+@query("tax5_site_taxon_attributes")
+def _(t: Tables) -> DataFrame:
+    return taxa.site_taxon_attributes(t)
+
+
 @query("tax6_species_associations")
 def _(t: Tables) -> DataFrame:
     return taxa.species_associations(t).select(
@@ -682,6 +687,49 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def _child_query(name: str, path: str, columns: str) -> None:
+    """Register the rows of one document list, with the columns that their lookups give."""
+
+    @query(name)
+    def _(t: Tables) -> DataFrame:
+        docs = documents.site_documents(t, paths=[path], slices=SLICES)
+        return documents.child_rows_of(docs, path).select(*columns.split())
+
+
+for _field, _columns in (
+    ("coordinates", "measurement position_accuracy coordinate_method_id dimension_id unit_id"),
+    ("notes", "note"),
+    ("sampling_contexts", "sampling_context_id sampling_context"),
+):
+    _child_query(f"doc2_group_{_field}", f"sample_groups.{_field}", f"site_id sample_group_id {_columns}")
+for _field, _columns in (
+    ("descriptions", "sample_description_type_id description description_type"),
+    ("locations", "sample_location_type_id location location_type"),
+    ("alt_refs", "alt_ref_type_id alt_ref alt_ref_type"),
+    ("dimensions", "dimension_id method_id dimension_value unit_id"),
+    ("horizons", "horizon_id horizon_name method_id"),
+):
+    _child_query(f"doc3_sample_{_field}", f"sample_groups.physical_samples.{_field}", f"physical_sample_id {_columns}")
+_child_query("doc5_dataset_contacts", "datasets.contacts", "site_id dataset_id contact_id contact_name")
+_child_query("doc6_other_records", "other_records", "site_id record_type_id record_type_name description")
+_child_query("doc1_site_lookup_tables", "lookup_tables", "site_id kind id")
+_child_query("doc1_site_entity_ages", "analysis_entity_ages", "site_id analysis_entity_id age age_older age_younger")
+
+
+@query("doc1_site_age_summary")
+def _(t: Tables) -> DataFrame:
+    docs = documents.site_documents(t, paths=["age_summary"], slices=SLICES)
+    return documents.site_rows_of(docs).select("site_id", "age_older", "age_younger")
+
+
+@query("doc5_dataset_projects")
+def _(t: Tables) -> DataFrame:
+    docs = documents.site_documents(t, paths=["datasets"], slices=SLICES)
+    return documents.dataset_rows_of(docs).select(
+        "site_id", "dataset_id", "method_group_id", "project_name", "project_type_name"
+    )
+
+
 @query("doc4_entity_prep_methods")
 def _(t: Tables) -> DataFrame:
     return datagroups.entity_prep_methods(t)
@@ -784,6 +832,27 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def _taxon_child_query(field: str, columns: str) -> None:
+    @query(f"doc12_taxon_{field}")
+    def _(t: Tables) -> DataFrame:
+        docs = documents.taxon_documents(t, slices=SLICES)
+        return documents.child_rows_of(docs, field, "taxon_id").select("taxon_id", *columns.split())
+
+
+for _field, _columns in (
+    ("images", "image_name"),
+    ("seasonality", "season_id season_name season_type location_name activity_type"),
+    ("distribution", "distribution_text"),
+    ("biology", "biology_text"),
+    ("rdb", "rdb_code_id category rdb_system location_name location_type"),
+    ("specimens", "specimen"),
+    ("taxonomic_order", "taxonomic_code taxonomic_order_system_id"),
+    ("identification_keys", "key_text"),
+    ("associations", "associated_taxon_id association_type"),
+):
+    _taxon_child_query(_field, _columns)
+
+
 @query("doc13_ecocode_tree")
 def _(t: Tables) -> DataFrame:
     tree = documents.ecocode_tree(t).select("taxon_id", F.explode("ecocodes").alias("s"))

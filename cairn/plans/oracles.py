@@ -1015,9 +1015,7 @@ oracle(
               n_name || ',' || r_name AS locations, 'Work ' || (c_custkey % 150) AS "references"
        FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
 )
-oracle(
-    "doc7_site_lookups",
-    """SELECT DISTINCT site_id, 'method' AS kind, method_id AS id FROM v_site_dataset
+_LOOKUP_ROWS = """SELECT DISTINCT site_id, 'method' AS kind, method_id AS id FROM v_site_dataset
        UNION SELECT site_id, 'method', method_id FROM v_group
        UNION SELECT site_id, 'unit', n_regionkey + 10 FROM v_site_dataset JOIN nation ON n_nationkey = method_id
        UNION SELECT site_id, 'prep_method', l_linenumber + 300 FROM v_entity
@@ -1025,8 +1023,18 @@ oracle(
        UNION SELECT g.site_id, 'dimension', l_linenumber FROM lineitem
              JOIN v_group g ON g.sample_group_id = l_orderkey WHERE l_tax > 0.04
        UNION SELECT g.site_id, 'method', 201 FROM lineitem
-             JOIN v_group g ON g.sample_group_id = l_orderkey WHERE l_tax > 0.04""",
-)
+             JOIN v_group g ON g.sample_group_id = l_orderkey WHERE l_tax > 0.04
+       UNION SELECT site_id, unnest(['dimension', 'method', 'unit']),
+                    unnest([l_linenumber, l_linenumber + 210, n_regionkey + 20])
+             FROM v_entity JOIN nation ON n_nationkey = l_linenumber
+       UNION SELECT site_id, unnest(['horizon', 'method']), unnest([dataset_id % 8, dataset_id % 8 + 220])
+             FROM v_entity WHERE dataset_id % 8 < 5
+       UNION SELECT o_custkey, unnest(['dimension', 'method', 'unit']),
+                    unnest([c.n_nationkey % 9, c.n_regionkey + 230, d.n_regionkey + 20])
+             FROM orders JOIN nation c ON c.n_nationkey = o_orderkey % 30 JOIN nation d ON d.n_nationkey = c.n_nationkey % 9
+       UNION SELECT site_id, 'contact', unnest([dataset_id % 5, dataset_id % 7]) FROM v_site_dataset"""
+oracle("doc7_site_lookups", _LOOKUP_ROWS)
+oracle("doc1_site_lookup_tables", _LOOKUP_ROWS)
 oracle(
     "doc8_site_biblio_lookup",
     """WITH r AS (
@@ -1143,3 +1151,110 @@ oracle(
     "src2_keyed_lookup",
     """SELECT sample_group_id, site_id, method_id FROM v_group WHERE sample_group_name = '2-HIGH'""",
 )
+
+# --- children of documents ----------------------------------------------------------------
+
+oracle(
+    "doc2_group_coordinates",
+    """SELECT o_custkey AS site_id, o_orderkey AS sample_group_id, o_totalprice AS measurement,
+              o_orderstatus AS position_accuracy, CAST(c.n_regionkey + 230 AS BIGINT) AS coordinate_method_id,
+              CAST(c.n_nationkey % 9 AS BIGINT) AS dimension_id, CAST(d.n_regionkey + 20 AS BIGINT) AS unit_id
+       FROM orders JOIN nation c ON c.n_nationkey = o_orderkey % 30 JOIN nation d ON d.n_nationkey = c.n_nationkey % 9""",
+)
+oracle(
+    "doc2_group_notes",
+    """SELECT o_custkey AS site_id, o_orderkey AS sample_group_id, lower(o_orderpriority) AS note
+       FROM orders WHERE o_orderstatus = 'F'""",
+)
+oracle(
+    "doc2_group_sampling_contexts",
+    """SELECT o_custkey AS site_id, o_orderkey AS sample_group_id, o_custkey % 5 AS sampling_context_id,
+              r_name AS sampling_context FROM orders LEFT JOIN region ON r_regionkey = o_custkey % 5""",
+)
+for _name, _key, _value, _text, _type in (
+    ("descriptions", "sample_description_type_id", "description", "'flag ' || l_returnflag", "description_type"),
+    ("locations", "sample_location_type_id", "location", "l_linestatus", "location_type"),
+    ("alt_refs", "alt_ref_type_id", "alt_ref", "'ref ' || l_partkey", "alt_ref_type"),
+):
+    oracle(
+        f"doc3_sample_{_name}",
+        f"""SELECT sample_id AS physical_sample_id, CAST(l_linenumber % 5 AS BIGINT) AS {_key}, {_text} AS {_value},
+              r_name AS {_type} FROM v_line LEFT JOIN region ON r_regionkey = l_linenumber % 5""",
+    )
+oracle(
+    "doc3_sample_dimensions",
+    """SELECT sample_id AS physical_sample_id, CAST(l_linenumber AS BIGINT) AS dimension_id,
+              CAST(l_linenumber + 210 AS BIGINT) AS method_id, l_quantity AS dimension_value,
+              CAST(n_regionkey + 20 AS BIGINT) AS unit_id
+       FROM v_line LEFT JOIN nation ON n_nationkey = l_linenumber""",
+)
+oracle(
+    "doc3_sample_horizons",
+    """SELECT sample_id AS physical_sample_id, CAST(r_regionkey AS BIGINT) AS horizon_id, r_name AS horizon_name,
+              CAST(r_regionkey + 220 AS BIGINT) AS method_id
+       FROM v_line JOIN region ON r_regionkey = l_suppkey % 8""",
+)
+oracle(
+    "doc5_dataset_contacts",
+    """SELECT site_id, dataset_id, c AS contact_id, r_name AS contact_name
+       FROM (SELECT site_id, dataset_id, unnest([dataset_id % 5, dataset_id % 7]) AS c FROM v_site_dataset)
+       LEFT JOIN region ON r_regionkey = c""",
+)
+oracle(
+    "doc5_dataset_projects",
+    """SELECT site_id, dataset_id, CAST(m.n_regionkey AS BIGINT) AS method_group_id, p.n_name AS project_name,
+              r_name AS project_type_name
+       FROM v_site_dataset LEFT JOIN nation m ON m.n_nationkey = method_id
+       LEFT JOIN nation p ON p.n_nationkey = dataset_id % 7 LEFT JOIN region ON r_regionkey = p.n_regionkey""",
+)
+oracle(
+    "doc6_other_records",
+    """SELECT c_custkey AS site_id, c_custkey % 6 AS record_type_id,
+              CASE WHEN r_name = 'ASIA' THEN 'DNA' ELSE r_name END AS record_type_name, lower(c_mktsegment) AS description
+       FROM customer LEFT JOIN region ON r_regionkey = c_custkey % 6""",
+)
+oracle(
+    "doc1_site_entity_ages",
+    "SELECT site_id, entity_id AS analysis_entity_id, age, age_older, age_younger FROM v_age",
+)
+_PART = "SELECT p_partkey AS taxon_id, {0} FROM part {1}"
+for _name, _columns, _more in (
+    ("images", "'img-' || p_partkey AS image_name", ""),
+    (
+        "seasonality",
+        """CAST(p_size % 7 AS BIGINT) AS season_id, lower(s.r_name) AS season_name, k.r_name AS season_type,
+              n_name AS location_name, lower(p_brand) AS activity_type""",
+        """LEFT JOIN region s ON s.r_regionkey = p_size % 7 LEFT JOIN region k ON k.r_regionkey = s.r_regionkey % 2
+              LEFT JOIN nation ON n_nationkey = p_size % 25""",
+    ),
+    ("distribution", "'found in ' || lower(p_type) AS distribution_text", ""),
+    ("biology", "'lives on ' || lower(p_brand) AS biology_text", ""),
+    (
+        "rdb",
+        """CAST(p_size % 30 AS BIGINT) AS rdb_code_id, c.n_name AS category, s.r_name AS rdb_system,
+              l.n_name AS location_name, k.r_name AS location_type""",
+        """JOIN nation c ON c.n_nationkey = p_size % 30 JOIN region s ON s.r_regionkey = c.n_regionkey
+              JOIN nation l ON l.n_nationkey = p_size % 25 JOIN region k ON k.r_regionkey = 1""",
+    ),
+    ("specimens", "'specimen ' || p_size AS specimen", ""),
+    ("taxonomic_order", "CAST(p_size * 10 AS BIGINT) AS taxonomic_code, CAST(p_size % 5 AS BIGINT) AS taxonomic_order_system_id", ""),
+    ("identification_keys", "upper(p_brand) AS key_text", ""),
+    ("associations", "CAST(p_size AS BIGINT) AS associated_taxon_id, r_name AS association_type", "JOIN region ON r_regionkey = p_size % 7"),
+):
+    oracle(f"doc12_taxon_{_name}", _PART.format(_columns, _more))
+oracle(
+    "tax5_site_taxon_attributes",
+    """WITH a AS (
+         SELECT p_partkey AS taxon_id, 'common_names' AS kind, unnest(string_split(p_name, ' ')) AS value FROM part
+         UNION ALL SELECT p_partkey, 'measured_attributes', CAST(p_size AS VARCHAR) || '.0' FROM part
+         UNION ALL SELECT p_partkey, 'notes', lower(p_type) FROM part WHERE p_size > 25
+         UNION ALL SELECT p_partkey, 'seasonality', lower(p_brand) FROM part
+         UNION ALL SELECT p_partkey, 'distribution', 'found in ' || lower(p_type) FROM part
+         UNION ALL SELECT p_partkey, 'biology', 'lives on ' || lower(p_brand) FROM part)
+       SELECT site_id, taxon_id, kind, value FROM (SELECT DISTINCT site_id, taxon_id FROM v_entity) JOIN a USING (taxon_id)""",
+)
+oracle(
+    "doc1_site_age_summary",
+    f"""SELECT c_custkey AS site_id, a.age_older, a.age_younger FROM customer
+       LEFT JOIN ({_AGE_EXTREMES.format("age_older", "age_younger")}) a ON a.site_id = c_custkey""",
+)

@@ -171,6 +171,97 @@ def bind(spark: SparkSession, folder: str) -> Tables:
             )
         )
 
+    def _sample_child(*columns: Column) -> DataFrame:
+        return raw["lineitem"].select(
+            _sample_id().alias("physical_sample_id"), F.col("l_orderkey").alias("sample_group_id"), *columns
+        )
+
+    line = F.col("l_linenumber").cast("bigint")
+
+    def sample_description() -> DataFrame:
+        kind = (line % 5).alias("sample_description_type_id")
+        return _sample_child(kind, F.concat(F.lit("flag "), "l_returnflag").alias("description"))
+
+    def sample_location() -> DataFrame:
+        return _sample_child((line % 5).alias("sample_location_type_id"), F.col("l_linestatus").alias("location"))
+
+    def sample_alt_ref() -> DataFrame:
+        ref = F.concat(F.lit("ref "), F.col("l_partkey").cast("string"))
+        return _sample_child((line % 5).alias("alt_ref_type_id"), ref.alias("alt_ref"))
+
+    def sample_dimension() -> DataFrame:
+        return _sample_child(
+            line.alias("dimension_id"), (line + 210).alias("method_id"), F.col("l_quantity").alias("dimension_value")
+        )
+
+    def sample_horizon() -> DataFrame:
+        return _sample_child((F.col("l_suppkey") % 8).alias("horizon_id"))
+
+    def _region_type(key: str, name: str):
+        def role() -> DataFrame:
+            return raw["region"].select(F.col("r_regionkey").cast("bigint").alias(key), F.col("r_name").alias(name))
+
+        return role
+
+    def horizon() -> DataFrame:
+        return raw["region"].select(
+            F.col("r_regionkey").cast("bigint").alias("horizon_id"),
+            F.col("r_name").alias("horizon_name"),
+            (F.col("r_regionkey") + 220).cast("bigint").alias("method_id"),
+        )
+
+    def dimension() -> DataFrame:
+        return raw["nation"].select(
+            F.col("n_nationkey").cast("bigint").alias("dimension_id"),
+            F.col("n_name").alias("dimension_name"),
+            (F.col("n_regionkey") + 20).cast("bigint").alias("unit_id"),
+        )
+
+    def coordinate_method_dimension() -> DataFrame:
+        return raw["nation"].select(
+            F.col("n_nationkey").cast("bigint").alias("coordinate_method_dimension_id"),
+            (F.col("n_regionkey") + 230).cast("bigint").alias("coordinate_method_id"),
+            (F.col("n_nationkey") % 9).cast("bigint").alias("dimension_id"),
+        )
+
+    def sample_group_coordinate() -> DataFrame:
+        return raw["orders"].select(
+            F.col("o_orderkey").alias("sample_group_id"),
+            (F.col("o_orderkey") % 30).alias("coordinate_method_dimension_id"),
+            F.col("o_totalprice").alias("measurement"),
+            F.col("o_orderstatus").alias("position_accuracy"),
+        )
+
+    def sample_group_note() -> DataFrame:
+        # Groups of one status have notes, the others show groups without any.
+        rows = raw["orders"].where(F.col("o_orderstatus") == "F")
+        return rows.select(F.col("o_orderkey").alias("sample_group_id"), F.lower("o_orderpriority").alias("note"))
+
+    def sample_group_context() -> DataFrame:
+        return raw["orders"].select(
+            F.col("o_orderkey").alias("sample_group_id"), (F.col("o_custkey") % 5).alias("sampling_context_id")
+        )
+
+    def site_other_record() -> DataFrame:
+        return raw["customer"].select(
+            F.col("c_custkey").alias("site_id"),
+            (F.col("c_custkey") % 6).alias("record_type_id"),
+            F.lower("c_mktsegment").alias("description"),
+        )
+
+    def project() -> DataFrame:
+        return raw["nation"].select(
+            F.col("n_nationkey").cast("bigint").alias("project_id"),
+            F.col("n_name").alias("project_name"),
+            F.col("n_regionkey").cast("bigint").alias("project_type_id"),
+        )
+
+    def dataset_contact() -> DataFrame:
+        return raw["supplier"].select(
+            F.col("s_suppkey").alias("dataset_id"),
+            F.explode(F.array(F.col("s_suppkey") % 5, F.col("s_suppkey") % 7)).alias("contact_id"),
+        )
+
     # --- entities, datasets, methods -----------------------------------------
 
     def entity_flat() -> DataFrame:
@@ -352,6 +443,51 @@ def bind(spark: SparkSession, folder: str) -> Tables:
             F.col("p_size").cast("double").alias("data"),
         )
 
+    def _taxon_child(*columns: Column) -> DataFrame:
+        return raw["part"].select(F.col("p_partkey").alias("taxon_id"), *columns)
+
+    size = F.col("p_size").cast("bigint")
+
+    def taxon_image() -> DataFrame:
+        return _taxon_child(F.concat(F.lit("img-"), F.col("p_partkey").cast("string")).alias("image_name"))
+
+    def taxon_seasonality() -> DataFrame:
+        return _taxon_child(
+            (size % 7).alias("season_id"), (size % 25).alias("location_id"), F.lower("p_brand").alias("activity_type")
+        )
+
+    def season() -> DataFrame:
+        return raw["region"].select(
+            F.col("r_regionkey").cast("bigint").alias("season_id"),
+            F.lower("r_name").alias("season_name"),
+            (F.col("r_regionkey") % 2).cast("bigint").alias("season_type_id"),
+        )
+
+    def taxon_distribution_note() -> DataFrame:
+        return _taxon_child(F.concat(F.lit("found in "), F.lower("p_type")).alias("distribution_text"))
+
+    def taxon_biology() -> DataFrame:
+        return _taxon_child(F.concat(F.lit("lives on "), F.lower("p_brand")).alias("biology_text"))
+
+    def taxon_red_list() -> DataFrame:
+        return _taxon_child((size % 30).alias("rdb_code_id"), (size % 25).alias("location_id"))
+
+    def rdb_code() -> DataFrame:
+        return raw["nation"].select(
+            F.col("n_nationkey").cast("bigint").alias("rdb_code_id"),
+            F.col("n_name").alias("category"),
+            F.col("n_regionkey").cast("bigint").alias("rdb_system_id"),
+        )
+
+    def taxon_specimen() -> DataFrame:
+        return _taxon_child(F.concat(F.lit("specimen "), size.cast("string")).alias("specimen"))
+
+    def taxon_order_code() -> DataFrame:
+        return _taxon_child((size * 10).alias("taxonomic_code"), (size % 5).alias("taxonomic_order_system_id"))
+
+    def taxon_identification_key() -> DataFrame:
+        return _taxon_child(F.upper("p_brand").alias("key_text"))
+
     # --- habitat codes ----------------------------------------------------------
 
     def ecocode() -> DataFrame:
@@ -683,4 +819,28 @@ def bind(spark: SparkSession, folder: str) -> Tables:
             mcr_matrix, mcr_summary, mcr_name, raw_document,
         )
     }
+    providers |= {
+        f.__name__: f
+        for f in (
+            sample_description, sample_location, sample_alt_ref, sample_dimension, sample_horizon, horizon,
+            dimension, coordinate_method_dimension, sample_group_coordinate, sample_group_note,
+            sample_group_context, site_other_record, project, dataset_contact,
+            taxon_image, taxon_seasonality, season, taxon_distribution_note, taxon_biology, taxon_red_list,
+            rdb_code, taxon_specimen, taxon_order_code, taxon_identification_key,
+        )
+    }
+    # Short tables of types: the regions under other names.
+    for role, key, name in (
+        ("sample_description_type", "sample_description_type_id", "description_type"),
+        ("sample_location_type", "sample_location_type_id", "location_type"),
+        ("alt_ref_type", "alt_ref_type_id", "alt_ref_type"),
+        ("sampling_context", "sampling_context_id", "sampling_context"),
+        ("project_type", "project_type_id", "project_type_name"),
+        ("contact", "contact_id", "contact_name"),
+        ("language", "language_id", "language_name"),
+        ("season_type", "season_type_id", "season_type"),
+        ("rdb_system", "rdb_system_id", "rdb_system"),
+        ("location_type", "location_type_id", "location_type"),
+    ):
+        providers[role] = _region_type(key, name)
     return Tables(spark, providers)

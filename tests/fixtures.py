@@ -75,7 +75,7 @@ SCHEMAS = {
     "isotope_measurement": "isotope_measurement_id long, measurement_name string",
     "unit": "unit_id long, unit_name string",
     "ceramic": "ceramics_id long, analysis_entity_id long, ceramics_lookup_id long, measurement_value string",
-    "ceramic_lookup": "ceramics_lookup_id long, name string, description string",
+    "ceramic_lookup": "ceramics_lookup_id long, name string, description string, method_id long",
 }
 
 ONES = "1" * 60
@@ -286,7 +286,7 @@ ROWS: dict[str, list[tuple]] = {
     "isotope_measurement": [(5, "d13C")],
     "unit": [(9, "per mil")],
     "ceramic": [(1, 13, 600, "red"), (2, 13, 601, "coarse")],
-    "ceramic_lookup": [(600, "Colour", "c"), (601, "Ware", "w")],
+    "ceramic_lookup": [(600, "Colour", "c", 171), (601, "Ware", "w", 172)],
 }
 
 

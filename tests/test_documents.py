@@ -78,6 +78,13 @@ def test_ceramics_keep_empty_samples(roles):
     got = {(r["physical_sample_id"], r["key"]) for r in plain(datagroups.ceramics(roles))}
     # Only site 2 has ceramics; its sample 104 has none of its own.
     assert got == {(103, "Colour"), (103, "Ware"), (104, None)}
+    chosen = datagroups.data_groups(roles, method_ids=[172], families={"ceramic": {}})
+    assert [(r["key"], r["method_id"]) for r in plain(chosen)] == [("Ware", 172)]
+
+
+def test_isotopes_join_the_united_groups(roles):
+    rows_ = plain(datagroups.data_groups(roles, families={"isotope": {"method_ids": [30]}}))
+    assert {r["type"] for r in rows_} == {"isotope"}
 
 
 def test_ranged_values(roles):
