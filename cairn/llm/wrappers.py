@@ -50,6 +50,8 @@ MAIN_WORDS = frozenset("articlebody article-body entry-content post-content stor
 FANOUT = 16
 #: Elements nested deeper than this count as part of the last one that is not.
 DEEPEST = 200
+#: Up to so many hosts their paths go to all tasks; beyond, they are joined, a host in so many copies.
+HOSTS_TO_SEND, COPIES = 20_000, 64
 
 
 def key_of(tag: str, attributes: str) -> str:
@@ -361,7 +363,14 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", page: st
     """
     found = cut(wrappers(pages, url, page).select("host", "path"))
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(page), F.lit("")).alias("page"), _host(url).alias("of"))
-    rows = rows.join(found, F.col("of") == F.col("host"), "left").select("id", "url", "page", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+    if found.count() <= HOSTS_TO_SEND:
+        rows = rows.join(F.broadcast(found), F.col("of") == F.col("host"), "left")
+    else:
+        # A host's pages are spread over several tasks, each with a copy of its path.
+        copies = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        rows = rows.withColumn("at", F.pmod(F.xxhash64("id", "url", "page"), F.lit(COPIES)))
+        rows = rows.join(copies, (F.col("of") == F.col("host")) & (F.col("at") == F.col("copy")), "left")
+    rows = rows.select("id", "url", "page", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

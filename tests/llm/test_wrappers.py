@@ -29,6 +29,12 @@ def test_articles(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_many_hosts_are_joined(spark, monkeypatch):
+    rows = [site(k, f"<article>text {k}</article>", host=f"h{k % 5}.example") for k in range(40)]
+    monkeypatch.setattr(w, "HOSTS_TO_SEND", 3)
+    assert {r["page_id"]: r["text"] for r in w.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()} == {k: f"text {k}" for k in range(40)}
+
+
 def test_main_element_without_a_name(spark):
     """No article tag: the paragraphs that differ between pages win over a longer text that all pages share."""
     rows, want = [], {}
