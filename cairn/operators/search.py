@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.semantics import best_by
@@ -36,6 +36,8 @@ from cairn.operators.taxa import taxonomy
 from cairn.sources.tables import Tables
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 50
+# Pages that end within so many hits are picked by a heap, later ones by counting.
+HEAP_ROWS = 10_000
 
 # The domains a search can be limited to.
 SEARCH_DOMAINS = {
@@ -252,6 +254,29 @@ _CATEGORIES = {
 }
 
 
+def _counted_page(hits: DataFrame, skipped: int, limit: int) -> DataFrame:
+    """The hits at places ``skipped`` to ``skipped + limit`` by score, name and site.
+
+    Hits are counted by score, then by the beginning of the name, then by the
+    name, and each time only the groups that reach into the page go on. Counts
+    are summed in order; the hits themselves are never sorted as a whole.
+    """
+    rows = hits.withColumns(
+        {"_start": F.lit(0).cast("bigint"), "_down": -F.col("score"), "_head": F.substring("site_name", 1, 8)}
+    )
+    for key in ("_down", "_head", "site_name"):
+        counts = rows.groupBy("_start", key).agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy("_start").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        first = F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+        reached = counts.withColumn("_first", first).where(
+            (F.col("_first") < skipped + limit) & (F.col("_first") + F.col("_n") > skipped)
+        )
+        rows = rows.join(reached.drop("_n"), ["_start", key]).drop("_start").withColumnRenamed("_first", "_start")
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_start").orderBy("site_id")) - 1
+    inside = rows.withColumn("_place", place).where(F.col("_place").between(skipped, skipped + limit - 1))
+    return inside.select(*hits.columns)
+
+
 def search(
     t: Tables,
     category: str,
@@ -261,6 +286,7 @@ def search(
     domain: str = "",
     *,
     max_limit: int = MAX_LIMIT,
+    heap_rows: int = HEAP_ROWS,
 ) -> DataFrame:
     """One page of scored hits, each row with the totals of the whole result.
 
@@ -278,7 +304,11 @@ def search(
     hits = hits.withColumn("score", F.round("score", 6))
     total = hits.agg(F.count(F.lit(1)).alias("total_count"))
     order = [F.desc("score"), F.asc("site_name"), F.asc("site_id")]
-    paged = hits.orderBy(*order).offset((page - 1) * limit).limit(limit)
+    skipped = (page - 1) * limit
+    if skipped + limit <= heap_rows:
+        paged = hits.orderBy(*order).offset(skipped).limit(limit)
+    else:
+        paged = _counted_page(hits, skipped, limit)
     pages = F.ceil(F.col("total_count") / limit).cast("bigint")
     # `paged` holds at most `max_limit` rows and `total` exactly one.
     return (

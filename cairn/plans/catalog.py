@@ -410,6 +410,16 @@ def _(t: Tables) -> DataFrame:
     return find.search(t, "sites", "cust\\omer%1")
 
 
+@query("srch6_counted_page")
+def _(t: Tables) -> DataFrame:
+    return find.search(t, "sites", "customer", page=4, limit=7, heap_rows=0)
+
+
+@query("srch6_counted_page_of_groups")
+def _(t: Tables) -> DataFrame:
+    return find.search(t, "sample_groups", "medium", page=2, limit=30, heap_rows=0)
+
+
 @query("srch6_page_past_the_end")
 def _(t: Tables) -> DataFrame:
     return find.search(t, "sites", "customer", page=1_000_000_000, limit=1)

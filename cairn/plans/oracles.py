@@ -640,6 +640,8 @@ _GROUP_ROWS = f"""SELECT g.site_id, c.c_name AS site_name,
         g.sample_group_id, {_NULL} AS dataset_id, {_NULL} AS method_id
         FROM v_group g JOIN customer c ON c.c_custkey = g.site_id"""
 oracle("srch2_sample_groups", _page(_best(_GROUP_ROWS, "sample_group_id"), 1, 50))
+oracle("srch6_counted_page_of_groups", _page(_best(_GROUP_ROWS, "sample_group_id"), 2, 30))
+oracle("srch6_counted_page", _page(_site_hits("customer"), 4, 7))
 _DATASET_ROWS = f"""SELECT d.site_id, c.c_name AS site_name, s_name AS matched_value,
         round({_score("s_name", "supplier", NAME_SCORES, 0.4)}, 6) AS score,
         {_flags("s_name", "supplier")},

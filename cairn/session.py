@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 SETTINGS = {
-    # Pages and rankings beyond this many rows sort on disk instead of in a heap.
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Split a hot key's join partition even where that costs one more shuffle.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -122,3 +122,25 @@ def test_taxon_path_search(roles):
     assert ids("measured_attributes.data", "12.5") == [22]  # read as 12
     assert ids("measured_attributes.data", "gt:12") == [20]
     assert ids("genus_name", "Ater") == [20, 21]
+
+
+def test_counted_pages_equal_sorted_ones(roles):
+    for page in (1, 2, 3, 9):
+        for limit in (1, 2, 3):
+            sorted_, counted = (
+                rows(find.search(roles, "sites", "a%", page, limit, heap_rows=n)) for n in (10_000, 0)
+            )
+            assert sorted_ == counted
+    assert find.search(roles, "sites", "a%", 1, 80, max_limit=80).count() >= 1
+
+
+def test_negated_and_quoted_free_text(spark, roles):
+    texts = spark.createDataFrame(
+        [(1, 2, "old barn"), (1, 3, "wet barn"), (2, 1, "barn old"), (3, 1, "dry old-barn old")], "site_id long, weight int, text string"
+    )
+    found = lambda q: [(r.site_id, r.score) for r in find.free_text(roles, q, texts=texts).collect()]
+    assert found("barn") == [(1, 5), (2, 1), (3, 1)]
+    assert found("barn -wet") == [(2, 1), (3, 1)]
+    assert found('"old barn"') == [(1, 7), (3, 3)]
+    assert found('dry "barn old" -"old barn"') == [(2, 2)]
+    assert found("-barn") == []
