@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.semantics import SiteIds, ids_of
+from cairn.operators.dating import site_age_summary
 from cairn.operators.facts import ABUNDANCE_METHOD, abundance_facts, sample_rows
 from cairn.operators.taxa import top_taxa
 from cairn.sources.tables import Tables
@@ -84,6 +85,14 @@ def site_ecocodes(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     return _bundles(t, abundance_facts(t, site_ids, [ABUNDANCE_METHOD]), ["site_id"])
 
 
+def site_ecocode_bundles(t: Tables, site_ids: SiteIds = None) -> DataFrame:
+    """:func:`site_ecocodes` with the oldest and youngest age of the site."""
+    ages = site_age_summary(t, site_ids).select(
+        "site_id", F.col("older").alias("age_older"), F.col("younger").alias("age_younger")
+    )
+    return site_ecocodes(t, site_ids).join(ages, "site_id", "left")
+
+
 def site_ecocode_taxa(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     """The taxa behind :func:`site_ecocodes`, one row each."""
     return code_members(t, abundance_facts(t, site_ids, [ABUNDANCE_METHOD]), ["site_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +94,13 @@ def value_class_listing(t: Tables) -> DataFrame:
     return t["value_class"]
 
 
-def value_classes_used(t: Tables, site_ids: SiteIds = None) -> DataFrame:
-    """The value classes that occur in values, once each."""
+def value_classes_used(
+    t: Tables, site_ids: SiteIds = None, method_ids: Sequence[int] | None = None
+) -> DataFrame:
+    """The value classes that occur in values, once each; of the given methods, if any are given."""
     used = value_facts(t, site_ids).select("value_class_id").distinct()
-    return t["value_class"].join(used, "value_class_id", "left_semi")
+    classes = ids_of(t["value_class"], method_ids, "method_id")
+    return classes.join(used, "value_class_id", "left_semi")
 
 
 def dating_uncertainties(t: Tables, class_ids: tuple[int, ...] = (134, 137)) -> DataFrame:

@@ -196,6 +196,11 @@ def _(t: Tables) -> DataFrame:
     return ecocodes.site_ecocodes(t)
 
 
+@query("eco2_site_ecocode_bundles")
+def _(t: Tables) -> DataFrame:
+    return ecocodes.site_ecocode_bundles(t)
+
+
 @query("eco2_site_ecocode_taxa")
 def _(t: Tables) -> DataFrame:
     return ecocodes.site_ecocode_taxa(t)
@@ -576,6 +581,11 @@ def _(t: Tables) -> DataFrame:
     return variables.value_classes_used(t)
 
 
+@query("grp10_value_classes_of_method")
+def _(t: Tables) -> DataFrame:
+    return variables.value_classes_used(t, None, [10])
+
+
 @query("grp11_dating_uncertainties")
 def _(t: Tables) -> DataFrame:
     return variables.dating_uncertainties(t, (GERMINATION_CLASS, FELLING_CLASS))

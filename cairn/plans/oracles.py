@@ -558,7 +558,8 @@ oracle(
 oracle(
     "den5_value_class_listing",
     """SELECT DISTINCT CAST('0x' || substr(md5(event_type), 1, 15) AS BIGINT) AS value_class_id, event_type AS name,
-              CAST(length(event_type) % 2 AS BIGINT) AS value_type_id
+              CAST(length(event_type) % 2 AS BIGINT) AS value_type_id,
+              CAST(10 + 9 * (length(event_type) % 2) AS BIGINT) AS method_id
        FROM events""",
 )
 
@@ -906,9 +907,16 @@ oracle("grp9_dendro_values", _ranged("dendro", "high_value", 10))
 oracle(
     "grp10_value_classes_used",
     """SELECT DISTINCT CAST('0x' || substr(md5(event_type), 1, 15) AS BIGINT) AS value_class_id, event_type AS name,
-              CAST(length(event_type) % 2 AS BIGINT) AS value_type_id
+              CAST(length(event_type) % 2 AS BIGINT) AS value_type_id,
+              CAST(10 + 9 * (length(event_type) % 2) AS BIGINT) AS method_id
        FROM events""",
 )
+oracle(
+    "grp10_value_classes_of_method",
+    """SELECT DISTINCT CAST('0x' || substr(md5(event_type), 1, 15) AS BIGINT) AS value_class_id, event_type AS name,
+              CAST(0 AS BIGINT) AS value_type_id, CAST(10 AS BIGINT) AS method_id
+       FROM events WHERE length(event_type) % 2 = 0""",
+)
 oracle(
     "grp11_dating_uncertainties",
     """SELECT CAST(r_regionkey AS BIGINT) AS dating_uncertainty_id, r_name AS description
@@ -1260,3 +1268,8 @@ oracle(
     f"""SELECT c_custkey AS site_id, a.age_older, a.age_younger FROM customer
        LEFT JOIN ({_AGE_EXTREMES.format("age_older", "age_younger")}) a ON a.site_id = c_custkey""",
 )
+oracle(
+    "eco2_site_ecocode_bundles",
+    f"""SELECT b.*, a.age_older, a.age_younger FROM ({_bundle("e.site_id", "WHERE e.method_id = 3")}) b
+       LEFT JOIN ({_AGE_EXTREMES.format("age_older", "age_younger")}) a USING (site_id)""",
+)

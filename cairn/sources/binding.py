@@ -664,6 +664,7 @@ def bind(spark: SparkSession, folder: str) -> Tables:
             _word_id("event_type").alias("value_class_id"),
             F.col("event_type").alias("name"),
             (F.length("event_type") % 2).cast("bigint").alias("value_type_id"),
+            (10 + 9 * (F.length("event_type") % 2)).cast("bigint").alias("method_id"),
         )
 
     def dating_range() -> DataFrame:

@@ -65,7 +65,7 @@ SCHEMAS = {
     "dating_lab": "dating_lab_id long, lab_name string",
     "analysis_value": "analysis_value_id long, analysis_entity_id long, value_class_id long, "
     "analysis_value string",
-    "value_class": "value_class_id long, name string, value_type_id long",
+    "value_class": "value_class_id long, name string, value_type_id long, method_id long",
     "dating_range": "analysis_value_id long, low_value long, high_value long, "
     "low_is_uncertain boolean, age_type_id long, dating_uncertainty_id long",
     "dating_uncertainty": "dating_uncertainty_id long, description string",
@@ -272,7 +272,7 @@ ROWS: dict[str, list[tuple]] = {
         (13, 3, 134, "x"),
         (14, 4, 137, "y"),
     ],
-    "value_class": [(134, "Germination", 1), (137, "Felling", 1), (500, "Key", 2), (501, "Unused", 2)],
+    "value_class": [(134, "Germination", 1, 10), (137, "Felling", 1, 10), (500, "Key", 2, 3), (501, "Unused", 2, 3)],
     "dating_range": [
         (1, 1200, None, True, 1, 1),
         (2, None, 1300, False, 1, 2),
