@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.jobs import cut
+from cairn.llm.jobs import cut, folded
 from cairn.llm.textblocks import Block, Hasher, blocks, mixed
 
 CELLS = 1 << 16
@@ -84,13 +84,8 @@ def counts(docs: DataFrame, target: np.ndarray, id: str, text: str) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([raw.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["part", "raw", "target"])
 
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    left = texts.rdd.getNumPartitions()
     shape = "part long, raw binary, target binary"
-    sums = texts.mapInArrow(count, shape)
-    while left > 1:
-        sums = sums.withColumn("part", F.expr("part div 16")).groupBy("part").applyInArrow(_added, shape)
-        left = -(-left // 16)
-    total = sums.collect()
+    total = folded(texts.mapInArrow(count, shape), (), _added, shape, texts.rdd.getNumPartitions()).collect()
     if not total:
         return np.zeros(KINDS * CELLS, np.int64), np.zeros(KINDS * CELLS, np.int64)
     return np.frombuffer(total[0]["raw"], np.int64), np.frombuffer(total[0]["target"], np.int64)

@@ -40,7 +40,10 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def archive(pages: DataFrame, records_a_file: int = RECORDS_A_FILE) -> DataFrame:
-    """(file, page_id, payload): pages as records, dealt to files by a hash of their id, url and text."""
+    """(file, page_id, payload): pages as records, dealt to files by a hash of their id, url and text.
+
+    A null text or url is empty, a null id an empty one. Equal rows lie in one file. Other columns are not read.
+    """
     files = max(1, -(-pages.count() // records_a_file))
     return pages.select(
         F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url", F.md5("html"))), 1, 8), 16, 10).cast("long"), F.lit(files)).alias("file"),
@@ -50,15 +53,20 @@ def archive(pages: DataFrame, records_a_file: int = RECORDS_A_FILE) -> DataFrame
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, place, page_id, start, length, digest): the records of each file by page, laid end to end."""
+    """(file, place, page_id, start, length, digest): the records of each file by page and digest, laid end to end.
+
+    Equal records of a file are one leaf, which starts at the first of them and covers all.
+    """
     found = records.select("file", "page_id", F.octet_length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("sum"))
+    found = found.groupBy("file", "page_id", "length", "sum").agg(F.count("*").alias("copies"))
     order = Window.partitionBy("file").orderBy("page_id", "sum")
+    before = F.sum(F.col("length") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = cut(found).select(
-        "file", "page_id", "length", "sum",
+        "file", "page_id", "length", "sum", "copies",
         (F.row_number().over(order) - 1).cast("long").alias("place"),
-        F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+        F.coalesce(before, F.lit(0)).alias("start"),
     )
-    digest = F.sha2(F.concat_ws(":", "start", "length", "sum"), 256)
+    digest = F.sha2(F.concat_ws(":", "start", "length", "copies", "sum"), 256)
     return found.select("file", "place", "page_id", "start", "length", digest.alias("digest"))
 
 
@@ -114,8 +122,8 @@ def audit(first: DataFrame, second: DataFrame, fanout: int = FANOUT) -> DataFram
 
 
 def files_of(records: DataFrame) -> DataFrame:
-    """(file, bytes): whole WARC files, for archives whose files fit a row; the parts come in order of page."""
-    pieces = F.array_sort(F.collect_list(F.struct("page_id", "payload")))
+    """(file, bytes): whole WARC files, for archives whose files fit a row; records as :func:`leaves` orders them."""
+    pieces = F.array_sort(F.collect_list(F.struct("page_id", F.sha2("payload", 256).alias("sum"), "payload")))
     empty = F.lit(b"")
     joined = F.aggregate(pieces, empty, lambda found, p: F.concat(found, p["payload"]))
     return records.groupBy("file").agg(joined.alias("bytes"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.jobs import cut
+from cairn.llm.jobs import cut, folded
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -47,7 +47,6 @@ BOILERPLATE_WORDS = frozenset(
     "sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_WORDS = frozenset("articlebody article-body entry-content post-content story-body main-content".split())
-FANOUT = 16
 #: Elements nested deeper than this count as part of the last one that is not.
 DEEPEST = 200
 #: Up to so many hosts their paths go to all tasks; beyond, they are joined, a host in so many copies.
@@ -342,11 +341,7 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
 
     shape = "host string, part long, wrapper string"
     texts = pages.where(F.col(page).isNotNull()).select(_host(url).alias("host"), F.col(page).alias("page"))
-    left = texts.rdd.getNumPartitions()
-    found = texts.mapInArrow(infer, shape)
-    while left > 1:
-        found = found.withColumn("part", F.expr("part div 16")).groupBy("host", "part").applyInArrow(merge, shape)
-        left = -(-left // FANOUT)
+    found = folded(texts.mapInArrow(infer, shape), ("host",), merge, shape, texts.rdd.getNumPartitions())
     return found.select("host", "wrapper").mapInArrow(point, "host string, wrapper string, path array<string>")
 
 

@@ -11,7 +11,7 @@ SCHEMA = "page_id long, url string, html string"
 
 def pages(spark, n=300):
     rows = [(k, f"https://h{k % 7}.example/{k}", f"<p>page {k}</p>" * (k % 9)) for k in range(n)]
-    return spark.createDataFrame([*rows, (None, None, None), (None, None, None), (400, "u\r\nX: y", ""), (401, "é", "é" * 9000)], SCHEMA)
+    return spark.createDataFrame([*rows, (None, None, None), (None, None, None), (400, "u\r\nX: y", ""), (401, "é", "é" * 9000), (402, "one", "first"), (402, "two", "second")], SCHEMA)
 
 
 def test_finds_what_differs(spark):
@@ -33,7 +33,9 @@ def test_offsets_point_into_the_files(spark):
     for r in warc.leaves(records).collect():
         part = files[r["file"]][r["start"] : r["start"] + r["length"]]
         assert part in payloads[r["page_id"]]
-        assert r["digest"] == hashlib.sha256(f"{r['start']}:{r['length']}:{hashlib.sha256(part).hexdigest()}".encode()).hexdigest()
+        copies = payloads[r["page_id"]].count(part)
+        assert copies == (2 if r["page_id"] is None else 1)
+        assert r["digest"] == hashlib.sha256(f"{r['start']}:{r['length']}:{copies}:{hashlib.sha256(part).hexdigest()}".encode()).hexdigest()
 
 
 def test_round_trip(spark):
