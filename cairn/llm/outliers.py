@@ -4,11 +4,16 @@ Every text gives a vector of transformed statistics: log words, mean word length
 and the square roots of the shares of repeated lines and of words in repeated three-word windows. For each language
 and source a minimum-covariance-determinant estimate is found by concentration steps: center and covariance
 of the ``part`` of the documents that are nearest by the last estimate, from a start of medians and
-quartiles, as often as ``steps`` says. A document whose squared Mahalanobis distance passes ``cut`` (scaled so that its
-group's median is that of a chi-square) is rejected, besides those that fail the base rules.
+quartiles, as often as ``steps`` says. A document whose squared Mahalanobis distance passes ``cut``, the 99.9 % quantile
+of a chi-square with five degrees of freedom, is rejected, besides those that fail the base rules. Distances are
+scaled so that the group's median is that of the chi-square, which makes up for the spread of a nearest part being
+too small. They are never scaled up: where a statistic is the same in most texts the median is that of fewer degrees.
 
 Values are counted in steps of 1/512, so all sums are exact whole numbers and reruns agree to the bit. Floors on
-the standard deviations keep estimates regular where a statistic is the same in most texts. Sources with
+the standard deviations keep estimates regular where a statistic is the same in most texts. For symbols and repeats
+they are as small as they can be for the least a text of 50 words can have (one symbol, one repeated line, one
+repeated run of three words) to be kept where no other text has any; that for log words makes up for the nearest part's
+small spread where lengths are all that differs. Sources with
 fewer than ``least`` documents are estimated together by language, and languages still below it together.
 Distances are sorted into bins of a sixteenth of an octave, so selecting the nearest part is an aggregation.
 """
@@ -35,9 +40,9 @@ MEDIAN = 4.351
 class Robust:
     part: float = 0.75
     steps: int = 4
-    cut: float = 60.0
+    cut: float = 20.515
     least: int = 200
-    floors: tuple[float, ...] = (0.5, 0.3, 0.3, 0.12, 0.12)
+    floors: tuple[float, ...] = (0.3, 0.1, 0.25, 0.032, 0.08)
     groups_to_send: int = 20_000
 
 

@@ -56,6 +56,34 @@ def test_planted_junk_goes_and_the_rest_stays(spark):
     assert sum(not got[k] for k in got if k not in junk) <= 2
 
 
+def repeating(k, words, lines):
+    """200 words in lines of three; ``words`` of them in repeated runs, ``lines`` repeated lines."""
+    rng = random.Random(k)
+    fresh = [f"w{rng.randrange(5000)}x{rng.randrange(3)}" for _ in range(600)]
+    body = [fresh[3 * j : 3 * j + 3] for j in range(66)]
+    for j in range(lines):
+        body[2 * j + 1] = list(body[2 * j])
+    text = [" ".join(line) for line in body]
+    run = " ".join(fresh[300:303])
+    return "\n".join(text) if lines else " ".join(text[: 66 - words // 3] + [f"{run} {fresh[400 + j]}" for j in range(words // 3)])
+
+
+def test_each_statistic_rejects_alone_just_under_the_base_limits(spark):
+    """Where no other text repeats anything or has symbols; the least that a text can have of each is kept."""
+    rng = random.Random(5)
+    planted = {
+        1000: repeating(1, 99, 0), 1001: repeating(2, 0, 16), 1002: repeating(3, 60, 0), 1003: repeating(4, 0, 8),
+        1004: " ".join(w + "$" * (j % 11 == 0) for j, w in enumerate(prose(6, 200, 5000).split())),
+    }
+    slight = {1100: prose(7, 200, 5000) + "$", 1101: repeating(8, 0, 1), 1102: repeating(9, 6, 0)}
+    rows = [(k, prose(k, int(60 * np.exp(rng.gauss(0.8, 0.6))) + 50, 5000), "en", "a", 1) for k in range(400)]
+    rows += [(k, text, "en", "a", 1) for k, text in {**planted, **slight}.items()]
+    got = {r["doc_id"]: r for r in o.outliers(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[k]["base_failed"] for k in [*planted, *slight])
+    assert [k for k in planted if got[k]["kept"]] == []
+    assert [k for k in slight if not got[k]["kept"]] == []
+
+
 def test_estimate_equals_numpy(spark):
     """The concentration steps, played out on arrays."""
     how = o.Robust()
