@@ -13,8 +13,12 @@ Values are counted in steps of 1/512, so all sums are exact whole numbers and re
 the standard deviations keep estimates regular where a statistic is the same in most texts. For symbols and repeats
 they are as small as they can be for the least a text of 50 words can have (one symbol, one repeated line, one
 repeated run of three words) to be kept where no other text has any; that for log words makes up for the nearest part's
-small spread where lengths are all that differs. Sources with
-fewer than ``least`` documents are estimated together by language, and languages still below it together.
+small spread where lengths are all that differs.
+
+Every source has an estimate of its own, as have every language and all rows. Center, covariance and scale of a source with
+n documents are drawn towards those of its language, and a language's towards those of all rows: its own part is
+n / (n + ``pull`` * (1 - n / ``least``)), with a fifth of ``pull`` for the center (one value a dimension, not five), and 1
+from ``least`` documents on. It grows steadily from 0, so no single document more or less changes the rule.
 Distances are sorted into bins of a sixteenth of an octave, so selecting the nearest part is an aggregation.
 """
 
@@ -42,6 +46,7 @@ class Robust:
     steps: int = 4
     cut: float = 20.515
     least: int = 200
+    pull: float = 20.0
     floors: tuple[float, ...] = (0.3, 0.1, 0.25, 0.032, 0.08)
     groups_to_send: int = 20_000
 
@@ -132,10 +137,9 @@ def _moments() -> list[tuple[str, Column]]:
     return found
 
 
-def _inverse(frame: DataFrame, covariance: dict[tuple[int, int], Column], *keep: str) -> DataFrame:
-    """``keep`` and the rows u{i}{j} of the inverted Cholesky factor of a covariance, one entry after another."""
+def _inverse(frame: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the rows u{i}{j} of the inverted Cholesky factor of the covariance c{i}{j}, one entry after another."""
     size = len(DIMENSIONS)
-    frame = frame.select(*keep, *(covariance[i, j].alias(f"c{i}{j}") for i in range(size) for j in range(i + 1)))
     for i in range(size):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") - reduce(lambda t, k: t + F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.lit(0.0))
@@ -151,6 +155,10 @@ def _centers() -> list[str]:
     return [f"m{i}" for i in range(len(DIMENSIONS))]
 
 
+def _covariances() -> list[str]:
+    return [f"c{i}{j}" for i in range(len(DIMENSIONS)) for j in range(i + 1)]
+
+
 def _distance() -> Column:
     size = len(DIMENSIONS)
     parts = [
@@ -168,9 +176,8 @@ def _first(vectors: DataFrame, how: Robust) -> DataFrame:
     found = vectors.groupBy("group").agg(*(F.percentile(d, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, d in enumerate(DIMENSIONS)))
     found = found.select("group", *(c for i in range(len(DIMENSIONS)) for c in ((F.col(f"q{i}")[1] / STEPS).alias(f"m{i}"), ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / STEPS / 1.349).alias(f"d{i}"))))
     size = range(len(DIMENSIONS))
-    return _inverse(
-        found, {(i, j): F.col(f"d{i}") ** 2 + how.floors[i] ** 2 if i == j else F.lit(0.0) for i in size for j in range(i + 1)}, "group", *_centers()
-    )
+    spread = [(F.col(f"d{i}") ** 2 + how.floors[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in size for j in range(i + 1)]
+    return _inverse(found.select("group", *_centers(), *spread), "group", *_centers())
 
 
 def _binned(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -188,12 +195,24 @@ def _concentrated(binned: DataFrame, how: Robust) -> DataFrame:
     size = range(len(DIMENSIONS))
     n = F.col("n")
     found = found.select("*", *((F.col(f"s{i}") / n / STEPS).alias(f"m{i}") for i in size))
-    covariance = {}
+    spread = []
     for i in size:
         for j in range(i + 1):
             value = F.col(f"s{i}{j}") / n / (STEPS * STEPS) - F.col(f"m{i}") * F.col(f"m{j}")
-            covariance[i, j] = value + how.floors[i] ** 2 if i == j else value
-    return _inverse(found, covariance, "group", *_centers())
+            spread.append((value + how.floors[i] ** 2 if i == j else value).alias(f"c{i}{j}"))
+    return _inverse(found.select("group", *_centers(), *spread), "group", *_centers(), *_covariances())
+
+
+def _drawn(own: DataFrame, wider: DataFrame, how: Robust) -> DataFrame:
+    """``own`` (one level's groups) with its values drawn towards those of the group ``above`` in ``wider``."""
+    names = [*_centers(), *_covariances(), "scale"]
+    n = F.col("rows")
+    part = lambda pull: n / (n + F.lit(pull) * F.greatest(F.lit(1.0) - n / how.least, F.lit(0.0)))
+    parts = {c: part(how.pull / len(DIMENSIONS) if c in _centers() else how.pull) for c in names}
+    wider = wider.select(F.col("group").alias("above"), *(F.col(c).alias(f"w_{c}") for c in names))
+    return own.join(wider, "above").select(
+        "group", "rows", *(F.when(n >= how.least, F.col(c)).otherwise(parts[c] * F.col(c) + (1 - parts[c]) * F.col(f"w_{c}")).alias(c) for c in names)
+    )
 
 
 def outliers(docs: DataFrame, how: Robust = Robust(), id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -205,32 +224,32 @@ def outliers(docs: DataFrame, how: Robust = Robust(), id: str = "doc_id", text:
     """
     frame = statistics(docs, text, F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     frame = cut(frame.withColumn("base_failed", base_failed()))
+    levels = {
+        "group": F.concat(F.lit("source"), F.to_json(F.struct("lang", "source"))),
+        "above": F.concat(F.lit("lang"), F.to_json(F.struct("lang"))),
+    }
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    vectors = frame.select("id", *counts, levels["group"].alias("group"), *_vector())
     passed = frame.where("not base_failed")
-    by_source = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    groups = by_source.withColumn("pooled", F.sum(F.when(F.col("n") < how.least, F.col("n"))).over(Window.partitionBy("lang")))
-    name = (
-        F.when(F.col("n") >= how.least, F.to_json(F.struct("lang", "source")))
-        .when(F.col("pooled") >= how.least, F.to_json(F.struct("lang")))
-        .otherwise(F.lit("all"))
-    )
-    groups = cut(groups.select("lang", "source", name.alias("group")))
-    many = groups.count()
+    every = F.explode(F.array(*levels.values(), F.lit("all"))).alias("group")
+    judged = passed.select(*_vector(), every)
+    estimate = cut(_first(judged, how))
+    many = estimate.count()
 
     def sent(side: DataFrame) -> DataFrame:
         """A row for each group; sent to all tasks up to a fixed number of them, else joined."""
         return F.broadcast(side) if many <= how.groups_to_send else side
 
-    of = sent(groups).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    vectors = frame.join(of, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    vectors = vectors.withColumn("group", F.coalesce("group", F.lit("all"))).drop("g_lang", "g_source")
-    vectors = vectors.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "group", *_vector())
-    judged = vectors.where("not base_failed").select("group", *DIMENSIONS)
-    estimate = cut(_first(judged, how))
     for _ in range(how.steps):
         estimate = cut(_concentrated(_binned(judged, sent(estimate)), how))
-    middle = _binned(judged, sent(estimate)).where("2 * before <= rows").groupBy("group").agg(F.max("bin").alias("bin"))
-    scale = middle.select("group", F.greatest((F.pow(F.lit(2.0), (F.col("bin") + 0.5) / 16) - 1) / F.lit(MEDIAN), F.lit(1.0)).alias("scale"))
-    estimate = cut(estimate.join(scale, "group"))
+    middle = _binned(judged, sent(estimate)).where("2 * before <= rows").groupBy("group").agg(F.max("bin").alias("bin"), F.max("rows").alias("rows"))
+    scale = F.greatest((F.pow(F.lit(2.0), (F.col("bin") + 0.5) / 16) - 1) / F.lit(MEDIAN), F.lit(1.0)).alias("scale")
+    own = cut(estimate.join(middle.select("group", "rows", scale), "group").select("group", "rows", *_centers(), *_covariances(), "scale"))
+    widest = own.where("group = 'all'")
+    languages = _drawn(own.where("group like 'lang%'").withColumn("above", F.lit("all")), widest, how)
+    pairs = passed.groupBy("lang", "source").agg(F.lit(1)).select(levels["group"].alias("group"), levels["above"].alias("above"))
+    sources = _drawn(own.join(pairs, "group"), languages, how)
+    estimate = cut(_inverse(sources, "group", *_centers(), "scale"))
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     judged = vectors.join(sent(estimate), "group", "left").withColumn("distance", distance)
     return judged.select(

@@ -114,6 +114,29 @@ def test_estimate_equals_numpy(spark):
     np.testing.assert_allclose([r["distance"] for r in group], d2() / scale, rtol=1e-6, atol=1e-9)
 
 
+def test_small_sources_are_judged_by_themselves_without_a_jump(spark):
+    """A text like those of a big source stands out in a small one, and a row more moves no distance by much."""
+
+    def rows(small):
+        found = [(k, prose(k, 300, 5000), "en", "big", 1) for k in range(250)]
+        wide = [(1000 + k, prose(k, 300, 5000).replace(" ", " long", 200), "en", "small", 1) for k in range(small)]
+        return [*found, *wide, (5000, prose(7777, 300, 5000), "en", "small", 1), (5001, None, "en", None, 1), (5002, prose(3, 300, 5000), "en", None, 1)]
+
+    def judged(small, **how):
+        frame = o.outliers(spark.createDataFrame(rows(small), SCHEMA), o.Robust(**how))
+        return {r["doc_id"]: r for r in frame.collect()}
+
+    some = judged(60)
+    assert not some[5000]["kept"]
+    assert all(some[1000 + k]["kept"] for k in range(60))
+    assert some[5002]["kept"] and not some[5001]["kept"]
+    before, after = judged(198), judged(199)  # 199 and 200 rows: the last step of the pull
+    for k in (5000, 1000, 1100):
+        assert abs(before[k]["distance"] - after[k]["distance"]) <= 0.1 * after[k]["distance"] + 0.1
+    joined = judged(60, groups_to_send=0)
+    assert all(joined[k]["distance"] == some[k]["distance"] for k in some)
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = o.outliers(clashing(docs)).drop("distance").collect()
