@@ -101,4 +101,70 @@ placed AS (
 SELECT CAST(file AS BIGINT) AS file, place, page_id, CAST(start AS BIGINT) AS start, length, 'damaged' AS state FROM placed WHERE page_id % 41 = 5
 """
 
-ORACLES: dict[str, str] = {"op1_mixing_curriculum": OP1, "op7_snapshot_collapse": OP7, "op8_merkle_fixity": OP8}
+#: The rules by a join on the domains above a host; the rounds of both ranks written out one after the other.
+OP11 = r"""
+WITH rules(domain, start, verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+),
+cut_ AS (
+    SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parsed AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, page_id, html,
+           translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM cut_
+),
+fits AS (
+    SELECT p.id, r.domain || r.start AS rule, r.verdict,
+           row_number() OVER (PARTITION BY p.id ORDER BY length(r.domain) + length(r.start) DESC, length(r.domain) DESC) AS place
+    FROM parsed p JOIN rules r ON (p.host = r.domain OR ends_with(p.host, '.' || r.domain)) AND starts_with(p.path, r.start)
+),
+judged AS MATERIALIZED (
+    SELECT p.id, p.page_id, p.host, p.path, f.rule, f.verdict FROM parsed p LEFT JOIN fits f ON f.id = p.id AND f.place = 1
+),
+links AS (
+    SELECT DISTINCT id, host AS src,
+           translate(regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^<>]*?href\s*=\s*["'']?([^"''\s<>]*)', 1)),
+                                    '^(?:[Hh][Tt][Tt][Pp][Ss]?:)?//([^/?#\\]*)', 1),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+    FROM parsed WHERE host <> ''
+),
+edges AS (SELECT src, dst, count(*) AS pages FROM links WHERE dst <> '' AND dst <> src GROUP BY ALL),
+both_ AS (SELECT 1 AS way, src, dst, pages FROM edges UNION ALL SELECT -1, dst, src, pages FROM edges),
+shares AS MATERIALIZED (
+    SELECT way, src, dst, pages / CAST(sum(pages) OVER (PARTITION BY way, src) AS DOUBLE) AS share FROM both_
+),
+hosts AS (
+    SELECT host, floor(count(*) FILTER (WHERE verdict = 'allow') * CAST(1073741824 AS DOUBLE) / count(*)) AS allowed,
+           floor(count(*) FILTER (WHERE verdict = 'block') * CAST(1073741824 AS DOUBLE) / count(*)) AS blocked
+    FROM judged WHERE host <> '' GROUP BY host
+),
+seeds AS MATERIALIZED (
+    SELECT 1 AS way, host, CAST(allowed AS BIGINT) AS mass FROM hosts WHERE allowed > 0
+    UNION ALL SELECT -1, host, CAST(blocked AS BIGINT) FROM hosts WHERE blocked > 0
+),
+ranks0 AS MATERIALIZED (SELECT * FROM seeds),
+@ROUNDS@
+found AS (
+    SELECT host, coalesce(sum(mass) FILTER (WHERE way = 1), 0) AS trust, coalesce(sum(mass) FILTER (WHERE way = -1), 0) AS distrust
+    FROM ranks20 GROUP BY host
+)
+SELECT j.page_id, j.host, j.path, j.rule,
+       coalesce(j.verdict, CASE WHEN f.distrust > f.trust AND f.distrust >= 536870912 THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN found f ON j.host = f.host
+""".replace(
+    "@ROUNDS@",
+    "\n".join(
+        f"""ranks{k} AS MATERIALIZED (
+    SELECT way, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
+        SELECT r.way, s.dst AS host, floor(r.mass * CAST(0.85 AS DOUBLE) * s.share) AS mass
+        FROM ranks{k - 1} r JOIN shares s ON r.way = s.way AND r.host = s.src
+        UNION ALL SELECT way, host, mass FROM seeds)
+    WHERE mass > 0 GROUP BY way, host
+),"""
+        for k in range(1, 21)
+    ),
+)
+
+ORACLES: dict[str, str] = {"op1_mixing_curriculum": OP1, "op7_snapshot_collapse": OP7, "op8_merkle_fixity": OP8, "op11_link_graph_filter": OP11}

@@ -15,6 +15,7 @@ from cairn.llm.outliers import outliers
 from cairn.llm.resample import resample
 from cairn.llm.scoring import score
 from cairn.llm.secrets import scan
+from cairn.llm.urls import judge, rule_table
 from cairn.llm.wrappers import main_texts
 
 
@@ -63,6 +64,14 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resample(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+#: The rules of the query, as (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_link_graph_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(read(spark, folder, "pages"), rule_table(spark, URL_RULES))
+
+
 QUERIES = {
     "op1_mixing_curriculum": op1_mixing_curriculum,
     "op2_robust_outliers": op2_robust_outliers,
@@ -74,4 +83,5 @@ QUERIES = {
     "op8_merkle_fixity": op8_merkle_fixity,
     "op9_html_wrappers": op9_html_wrappers,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_link_graph_filter": op11_link_graph_filter,
 }
