@@ -167,4 +167,87 @@ FROM judged j LEFT JOIN found f ON j.host = f.host
     ),
 )
 
-ORACLES: dict[str, str] = {"op1_mixing_curriculum": OP1, "op7_snapshot_collapse": OP7, "op8_merkle_fixity": OP8, "op11_link_graph_filter": OP11}
+#: Four costs a row from the last one back, then letter by letter forward; crc32 bit by bit.
+OP12 = r"""
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                   string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ord(c)::BIGINT)),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % 20 AS kind
+    FROM conversations
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM raw WHERE kind <> 0
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n
+    FROM damaged
+),
+shown AS (
+    SELECT *, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM numbered
+),
+rows_ AS MATERIALIZED (
+    SELECT conv_id, turn, role, text, i, n, body = '' AS blank, body <> '' AND seen AS duplicate,
+           body <> '' AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+           left(role, 1) AS c, CASE WHEN body = '' OR seen THEN 1000000000 ELSE 0 END AS forced,
+           CASE WHEN body <> '' AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS late
+    FROM shown
+),
+back AS (
+    SELECT conv_id, max(n) + 1 AS i, 0::BIGINT AS b0, 4::BIGINT AS b1, 2::BIGINT AS b2, 0::BIGINT AS b3 FROM rows_ GROUP BY conv_id
+    UNION ALL
+    SELECT conv_id, i, least(c0, 2 + c2, 4 + c3), least(c1, 2 + c2, 4 + c3), least(c2, 2 + c3), least(c3, 2 + c2)
+    FROM (
+        SELECT r.conv_id, r.i,
+               least(3 + b0, forced + late + least(2 + b2, CASE c WHEN 's' THEN b1 WHEN 'u' THEN b2 ELSE 1000000000 END)) AS c0,
+               least(3 + b1, forced + late + least(2 + b2, CASE c WHEN 'u' THEN b2 ELSE 1000000000 END)) AS c1,
+               least(3 + b2, forced + late + least(2 + b3, CASE c WHEN 'a' THEN b3 ELSE 1000000000 END)) AS c2,
+               least(3 + b3, forced + late + least(2 + b2, CASE c WHEN 'u' THEN b2 ELSE 1000000000 END)) AS c3
+        FROM back b JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)
+),
+costs AS MATERIALIZED (SELECT conv_id, i, [b0, b1, b2, b3] AS b FROM back),
+steps AS MATERIALIZED (
+    SELECT a.conv_id, a.i, a.b, z.b AS after_, r.role, r.text, r.c, r.forced, r.late
+    FROM costs a LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = a.i
+    LEFT JOIN costs z ON z.conv_id IS NOT DISTINCT FROM a.conv_id AND z.i = a.i + 1
+),
+trace AS (
+    SELECT conv_id, 1::BIGINT AS i, 0 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS lines, false AS done FROM rows_ GROUP BY conv_id
+    UNION ALL
+    SELECT conv_id, CASE WHEN letter IN ('I', '') THEN i ELSE i + 1 END,
+           CASE letter WHEN 'D' THEN q WHEN '' THEN q WHEN 'K' THEN kept ELSE on_ END, audit || letter,
+           CASE letter WHEN 'K' THEN list_append(lines, role || ':' || text) WHEN 'R' THEN list_append(lines, said || ':' || text)
+                       WHEN 'I' THEN list_append(lines, said || ':') ELSE lines END, letter = ''
+    FROM (
+        SELECT t.*, s.role, s.text, m.on_, m.said, m.kept,
+               CASE WHEN s.c IS NULL THEN CASE WHEN s.b[q + 1] = 0 THEN '' ELSE 'I' END
+                    WHEN 3 + s.after_[q + 1] = s.b[q + 1] THEN 'D'
+                    WHEN 2 + s.b[m.on_ + 1] = s.b[q + 1] THEN 'I'
+                    WHEN m.kept IS NOT NULL AND s.late + s.after_[m.kept + 1] = s.b[q + 1] THEN 'K' ELSE 'R' END AS letter
+        FROM trace t JOIN steps s ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.i = t.i,
+        LATERAL (SELECT CASE q WHEN 2 THEN 3 ELSE 2 END AS on_, CASE q WHEN 2 THEN 'assistant' ELSE 'user' END AS said,
+                        CASE WHEN q = 0 AND s.c = 's' THEN 1 WHEN q <> 2 AND s.c = 'u' THEN 2 WHEN q = 2 AND s.c = 'a' THEN 3 END AS kept) m
+        WHERE NOT t.done)
+),
+paired AS (SELECT conv_id, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM rows_),
+pairs AS (SELECT conv_id, count(*) AS illegal FROM paired WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+           count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated
+    FROM rows_ GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(p.illegal, 0) AS illegal, coalesce(k.b[1], 0) AS cost,
+       coalesce(t.audit, '') AS audit, sha256(coalesce(array_to_string(t.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN pairs p ON p.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN costs k ON k.conv_id IS NOT DISTINCT FROM a.conv_id AND k.i = 1
+LEFT JOIN trace t ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND t.done
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing_curriculum": OP1, "op7_snapshot_collapse": OP7, "op8_merkle_fixity": OP8, "op11_link_graph_filter": OP11, "op12_conversation_repair": OP12}

@@ -12,6 +12,7 @@ from cairn.llm.jobs import read
 from cairn.llm.mixing import mix
 from cairn.llm.neardup import NearDup, near_duplicates
 from cairn.llm.outliers import outliers
+from cairn.llm.repair import repaired
 from cairn.llm.resample import resample
 from cairn.llm.scoring import score
 from cairn.llm.secrets import scan
@@ -72,6 +73,10 @@ def op11_link_graph_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read(spark, folder, "pages"), rule_table(spark, URL_RULES))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(read(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_mixing_curriculum": op1_mixing_curriculum,
     "op2_robust_outliers": op2_robust_outliers,
@@ -84,4 +89,5 @@ QUERIES = {
     "op9_html_wrappers": op9_html_wrappers,
     "op10_importance_resampling": op10_importance_resampling,
     "op11_link_graph_filter": op11_link_graph_filter,
+    "op12_conversation_repair": op12_conversation_repair,
 }
