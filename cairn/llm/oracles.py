@@ -250,4 +250,45 @@ LEFT JOIN costs k ON k.conv_id IS NOT DISTINCT FROM a.conv_id AND k.i = 1
 LEFT JOIN trace t ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND t.done
 """
 
-ORACLES: dict[str, str] = {"op1_mixing_curriculum": OP1, "op7_snapshot_collapse": OP7, "op8_merkle_fixity": OP8, "op11_link_graph_filter": OP11, "op12_conversation_repair": OP12}
+#: Every score in full.
+OP13 = r"""
+WITH split_docs AS (
+    SELECT row_number() OVER () AS id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+),
+held AS MATERIALIZED (SELECT id, doc_id, len(terms) AS n, terms FROM split_docs WHERE len(terms) > 0),
+totals AS MATERIALIZED (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM held),
+counted AS MATERIALIZED (SELECT id, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT id, doc_id, n, unnest(terms) AS term FROM held) GROUP BY id, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), totals
+),
+asked AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT DISTINCT item_id, text, generate_subscripts(terms, 1) AS place, unnest(terms) AS term FROM (
+            SELECT item_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM benchmark))
+    GROUP BY item_id, term
+),
+scored AS (
+    SELECT a.item_id, c.id, any_value(c.doc_id) AS doc_id,
+           CAST(sum(a.times * w.w * ((1000000000 * c.tf) // (1000 * c.tf + 12 * (75 + (25 * c.n * t.docs) // t.tokens)))) AS BIGINT) AS score
+    FROM asked a JOIN counted c ON c.term = a.term JOIN weights w ON w.term = a.term, totals t GROUP BY a.item_id, c.id
+),
+ranked AS (
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_mixing_curriculum": OP1,
+    "op7_snapshot_collapse": OP7,
+    "op8_merkle_fixity": OP8,
+    "op11_link_graph_filter": OP11,
+    "op12_conversation_repair": OP12,
+    "op13_pair_bound_maxscore": OP13,
+}

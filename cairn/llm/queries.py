@@ -12,6 +12,7 @@ from cairn.llm.jobs import read
 from cairn.llm.mixing import mix
 from cairn.llm.neardup import NearDup, near_duplicates
 from cairn.llm.outliers import outliers
+from cairn.llm.ranked import search
 from cairn.llm.repair import repaired
 from cairn.llm.resample import resample
 from cairn.llm.scoring import score
@@ -77,6 +78,10 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repaired(read(spark, folder, "conversations"))
 
 
+def op13_pair_bound_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    return search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_mixing_curriculum": op1_mixing_curriculum,
     "op2_robust_outliers": op2_robust_outliers,
@@ -90,4 +95,5 @@ QUERIES = {
     "op10_importance_resampling": op10_importance_resampling,
     "op11_link_graph_filter": op11_link_graph_filter,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_pair_bound_maxscore": op13_pair_bound_maxscore,
 }
