@@ -6,13 +6,14 @@ import re
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.cover import entries_of, searched_covers, swept_covers
+
 # The characters of a token, and the rank weight of each label.
-TOKEN = r"[\p{L}\p{N}]"
+TOKEN = r"[\p{L}\p{N}\p{Mc}]"
 RANK_WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 
@@ -54,27 +55,29 @@ def _word_pattern(*words: str) -> str:
     return f"(?<!{TOKEN})(?:{'|'.join(words)})(?!{TOKEN})"
 
 
-def count_words(text: Column, words: Sequence[str]) -> Column:
-    """Tokens of the text that are among the words, ignoring case and accents.
+def count_folded(folded: Column, words: Sequence[str]) -> Column:
+    """Tokens of a folded text that are among the folded words."""
+    return F.regexp_count(folded, F.lit(_word_pattern(*words))) if words else F.lit(0)
 
-    Texts without any of them are passed over before occurrences are listed.
-    """
-    if not words:
-        return F.lit(0)
-    pattern = F.lit(_word_pattern(*[any_accent(w) for w in words]))
-    lowered = F.lower(text)
-    return F.when(F.rlike(lowered, pattern), F.regexp_count(lowered, pattern)).otherwise(F.lit(0))
+
+def holds_folded(folded: Column, words: Sequence[str]) -> Column:
+    """Whether the folded words follow each other in a folded text."""
+    gap = f"[^{TOKEN[1:]}+"
+    return F.rlike(folded, F.lit(_word_pattern(gap.join(words))))
+
+
+def count_words(text: Column, words: Sequence[str]) -> Column:
+    """Tokens of the text that are among the words, ignoring case and accents."""
+    return count_folded(fold_text(text), [fold_word(w) for w in words])
 
 
 def holds_words(text: Column, words: Sequence[str]) -> Column:
     """Whether the words follow each other in the text, ignoring case and accents."""
-    gap = f"[^{TOKEN[1:]}+"
-    pattern = f"(?<!{TOKEN}){gap.join(any_accent(w) for w in words)}(?!{TOKEN})"
-    return F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern))
+    return holds_folded(fold_text(text), [fold_word(w) for w in words])
 
 
 def free_terms(query: str) -> tuple[list[str], list[tuple[str, ...]], list[tuple[str, ...]]]:
-    """The words that score, the phrases that must stand, and what must not.
+    """The words that score, the phrases that must stand, and what must not, all folded.
 
     Quoted parts are phrases; their words score too. A leading minus excludes a
     word or a phrase. The word ``or`` says nothing.
@@ -82,7 +85,7 @@ def free_terms(query: str) -> tuple[list[str], list[tuple[str, ...]], list[tuple
     words: set[str] = set()
     phrases, unwanted = [], []
     for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
-        tokens = tuple(re.findall(r"[^\W_]+", (quoted or word).lower()))
+        tokens = tuple(fold_tokens(quoted or word))
         if not tokens or tokens == ("or",):
             continue
         if minus:
@@ -116,28 +119,36 @@ def matches(text: Column, alternatives: list[list[Term]]) -> Column:
     return found
 
 
-def rank(text: Column, alternatives: list[list[Term]], label: str) -> Column:
-    """Weight times occurrences, folded into 0..1 as r / (r + 1).
+def cover_density(text: Column, alternatives: list[list[Term]]) -> Column:
+    """The sum over all covers, before any weight."""
+    if not alternatives:
+        return F.lit(0.0)
+    named = sorted({token for terms in alternatives for term in terms for token in term.tokens})
+    tokens = token_list(F.lower(F.coalesce(text, F.lit(""))))
+    if all(term.wanted for terms in alternatives for term in terms):
+        sides = [[term.tokens for term in terms] for terms in alternatives]
+        count = lambda entries: swept_covers(entries, sides)
+    else:
+        sides = [tuple([t.tokens for t in terms if t.wanted is wanted] for wanted in (True, False)) for terms in alternatives]
+        count = lambda entries: searched_covers(entries, sides)
+    # A list of one is a name for the entries, which are used several times.
+    return F.get(F.transform(F.array(entries_of(tokens, named)), count), 0)
 
-    Exact cover density for a single term. For several terms the scarcest one
-    counts, and of several alternatives the best one; this approximates cover
-    density, while :func:`matches` stays exact.
-    """
-    best = F.lit(0.0)
-    for terms in alternatives:
-        wanted = [_occurrences(text, t) for t in terms if t.wanted]
-        if not wanted:
-            continue
-        scarcest = F.least(*wanted) if len(wanted) > 1 else wanted[0]
-        held = F.when(matches(text, [terms]), scarcest).otherwise(F.lit(0))
-        best = F.greatest(best, held * F.lit(RANK_WEIGHT[label]))
-    return best / (best + 1)
 
+def rank(text: Column, alternatives: list[list[Term]], label: str) -> Column:
+    """Cover density of a text, folded into 0..1 as r / (r + 1).
 
-# Letters that stand for a plain one without a mark of their own.
-STROKED = {"ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i"}
-# The blocks of precomposed Latin letters.
-_LATIN = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    A cover is a shortest run of the text that satisfies the query. Each cover
+    adds the weight of the label, divided by one more than the number of tokens
+    in it that the query does not name.
+    """
+    if len(alternatives) == 1 and len(alternatives[0]) == 1 and alternatives[0][0].wanted:
+        # Every occurrence is a cover without other tokens.
+        covers = _occurrences(text, alternatives[0][0]).cast("double")
+    else:
+        covers = cover_density(text, alternatives)
+    score = covers * F.lit(RANK_WEIGHT[label])
+    return score / (score + 1)
 
 
 def like_pattern(text: str) -> str:
@@ -156,22 +167,41 @@ def like_pattern(text: str) -> str:
     return "".join(out)
 
 
+# Letters that stand for a plain one without a mark of their own.
+STROKED = {"ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i"}
+
+
+def _folds() -> dict[str, str]:
+    """The small Latin, Greek and Cyrillic letters that are another letter with marks, and that letter."""
+    found = dict(STROKED)
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        letter = chr(code)
+        base = [STROKED.get(c, c) for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c) != "Mn"]
+        if letter == letter.lower() and len(base) == 1 and base[0] != letter:
+            found[letter] = base[0]
+    return found
+
+
+FOLDS = _folds()
+
+
 def fold_word(word: str) -> str:
     """Lower case, without accents."""
-    plain = unicodedata.normalize("NFD", word.lower())
-    return "".join(STROKED.get(c, c) for c in plain if not unicodedata.combining(c))
+    return "".join(FOLDS.get(c, c) for c in word.lower() if unicodedata.category(c) != "Mn")
 
 
-@cache
-def _variants(letter: str) -> str:
-    """The lower-case letters that fold to a letter."""
-    return "".join(c for c in _LATIN if c == c.lower() and c != letter and fold_word(c) == letter)
+def fold_text(text: Column) -> Column:
+    """A text as :func:`fold_word` would have it; null is empty."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_replace(F.translate(lowered, "".join(FOLDS), "".join(FOLDS.values())), r"\p{Mn}+", "")
 
 
-def any_accent(word: str) -> str:
-    """Pattern of a word that matches it with any accents, precomposed or not.
+def fold_tokens(text: str) -> list[str]:
+    """The folded tokens of a query, as :data:`TOKEN` has them."""
+    kept = (c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Mc" else " " for c in fold_word(text))
+    return "".join(kept).split()
 
-    The pattern carries the variants so that the text, which is far longer than
-    the words, need not be rewritten.
-    """
-    return "".join(f"[{c}{_variants(c)}]\\p{{M}}*" if c.isalpha() else c for c in fold_word(word))
+
+def token_list(folded: Column) -> Column:
+    """The tokens of a folded text, in order."""
+    return F.regexp_extract_all(folded, F.lit(f"{TOKEN}+"), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from cairn.functions.semantics import best_by
 from cairn.functions.text import (
     clean_query,
-    count_words,
+    count_folded,
+    fold_text,
     free_terms,
-    holds_words,
+    holds_folded,
     like_pattern,
     matches,
     query_terms,
@@ -33,10 +35,11 @@ from cairn.operators.facts import (
 )
 from cairn.operators.paths import path_matches, schema_path
 from cairn.operators.taxa import taxonomy
+from cairn.operators.textindex import StoredIndex, candidates, gram_sets, indexed_scores
 from cairn.sources.tables import Tables
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 50
-# Pages that end within so many hits are picked by a heap, later ones by counting.
+# Pages that end within so many hits are picked from the first hits of every part, later ones by ranges.
 HEAP_ROWS = 10_000
 
 # The domains a search can be limited to.
@@ -169,18 +172,40 @@ def _site_names(t: Tables) -> DataFrame:
     return t["site"].select("site_id", "site_name")
 
 
-def _site_hits(t: Tables, query: _Query, wanted: DataFrame | None) -> DataFrame:
-    rows = _site_names(t).where("site_name IS NOT NULL")
+def searchable_names(t: Tables) -> DataFrame:
+    """(category, item, text): every name that :func:`search` looks at, for :func:`index_names`."""
+    named = (
+        ("sites", "site", "site_id", "site_name"),
+        ("sample_groups", "sample_group", "sample_group_id", "sample_group_name"),
+        ("sample_groups", "sample_group", "sample_group_id", "sample_group_description"),
+        ("datasets", "dataset", "dataset_id", "dataset_name"),
+        ("methods", "method", "method_id", "method_name"),
+    )
+    parts = [
+        t[role].select(F.lit(category).alias("category"), F.col(key).cast("bigint").alias("item"), F.col(name).alias("text"))
+        for category, role, key, name in named
+    ]
+    return reduce(DataFrame.unionByName, parts).where("text IS NOT NULL")
+
+
+def _among(rows: DataFrame, items: DataFrame | None, key: str) -> DataFrame:
+    """The rows that an index leaves to look at; all without one."""
+    return rows if items is None else rows.join(items.select(F.col("item").alias(key)), key, "left_semi")
+
+
+def _site_hits(t: Tables, query: _Query, wanted: DataFrame | None, items: DataFrame | None = None) -> DataFrame:
+    rows = _among(_site_names(t).where("site_name IS NOT NULL"), items, "site_id")
     if wanted is not None:
         inside = _entities_in_domain(t, wanted).join(groups(t), "sample_group_id")
         rows = rows.join(inside.select("site_id"), "site_id", "left_semi")
     return _hits(rows, query, F.col("site_name"), SITE_SCORES, "A")
 
 
-def _group_hits(t: Tables, query: _Query, wanted: DataFrame | None) -> DataFrame:
+def _group_hits(t: Tables, query: _Query, wanted: DataFrame | None, items: DataFrame | None = None) -> DataFrame:
     rows = t["sample_group"].select(
         "sample_group_id", "site_id", "sample_group_name", "sample_group_description"
     )
+    rows = _among(rows, items, "sample_group_id")
     if wanted is not None:
         rows = rows.join(
             _entities_in_domain(t, wanted).select("sample_group_id"),
@@ -204,9 +229,9 @@ def _named(t: Tables, hits: DataFrame) -> DataFrame:
     return named.withColumn("site_name", F.coalesce("site_name", F.lit(""))).select(*HIT_COLUMNS)
 
 
-def _dataset_hits(t: Tables, query: _Query, wanted: DataFrame | None) -> DataFrame:
+def _dataset_hits(t: Tables, query: _Query, wanted: DataFrame | None, items: DataFrame | None = None) -> DataFrame:
     # Score the dataset names first: the links only carry the few that match.
-    datasets = t["dataset"].where("dataset_name IS NOT NULL")
+    datasets = _among(t["dataset"].where("dataset_name IS NOT NULL"), items, "dataset_id")
     if wanted is not None:
         datasets = datasets.join(wanted, "method_id", "left_semi")
     scored = _hits(
@@ -226,8 +251,8 @@ def _dataset_hits(t: Tables, query: _Query, wanted: DataFrame | None) -> DataFra
     return _named(t, _one_per_site(links.join(scored, "dataset_id"), "dataset_id"))
 
 
-def _method_hits(t: Tables, query: _Query, wanted: DataFrame | None) -> DataFrame:
-    named = t["method"].where("method_name IS NOT NULL")
+def _method_hits(t: Tables, query: _Query, wanted: DataFrame | None, items: DataFrame | None = None) -> DataFrame:
+    named = _among(t["method"].where("method_name IS NOT NULL"), items, "method_id")
     scored = _hits(
         named.select(
             "method_id", "method_name", F.lit(None).cast("bigint").alias("site_id"),
@@ -254,27 +279,47 @@ _CATEGORIES = {
 }
 
 
-def _counted_page(hits: DataFrame, skipped: int, limit: int) -> DataFrame:
-    """The hits at places ``skipped`` to ``skipped + limit`` by score, name and site.
+_PLACE = (1 << 33) - 1
+
 
-    Hits are counted by score, then by the beginning of the name, then by the
-    name, and each time only the groups that reach into the page go on. Counts
-    are summed in order; the hits themselves are never sorted as a whole.
+def _numbered(hits: DataFrame, order: list[Column]) -> DataFrame:
+    """The hits with their partition and their place in it.
+
+    The order ends with every column, which changes nothing, as it holds the
+    whole order already; but so both the count of a partition and its rows need the same
+    columns, and Spark computes the hits below once for both.
     """
-    rows = hits.withColumns(
-        {"_start": F.lit(0).cast("bigint"), "_down": -F.col("score"), "_head": F.substring("site_name", 1, 8)}
-    )
-    for key in ("_down", "_head", "site_name"):
-        counts = rows.groupBy("_start", key).agg(F.count(F.lit(1)).alias("_n"))
-        earlier = Window.partitionBy("_start").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        first = F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-        reached = counts.withColumn("_first", first).where(
-            (F.col("_first") < skipped + limit) & (F.col("_first") + F.col("_n") > skipped)
-        )
-        rows = rows.join(reached.drop("_n"), ["_start", key]).drop("_start").withColumnRenamed("_first", "_start")
-    place = F.col("_start") + F.row_number().over(Window.partitionBy("_start").orderBy("site_id")) - 1
-    inside = rows.withColumn("_place", place).where(F.col("_place").between(skipped, skipped + limit - 1))
-    return inside.select(*hits.columns)
+    rest = [F.col(c) for c in hits.columns]
+    rows = hits.sortWithinPartitions(*order, *rest).withColumn("_id", F.monotonically_increasing_id())
+    return rows.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit(_PLACE))})
+
+
+def _page(hits: DataFrame, order: list[Column], skipped: int, limit: int, heap_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of a page and the number of all hits, from one pass over the hits.
+
+    The hits, far fewer than the rows they are among, are dealt out once. An
+    early page is among the first rows of every part. For a later one the hits
+    are dealt by ranges of the order: the counts of the ranges, one small row a
+    part, say in which of them the page lies. Names are neither counted nor
+    numbered in one place.
+    """
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hits.repartition(parts, "site_id")
+    end = skipped + limit
+    early = end <= heap_rows
+    if not early:
+        dealt = dealt.repartitionByRange(parts, *order)
+    rows = _numbered(dealt, order)
+    counts = rows.groupBy("_part").agg(F.count("_id").alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_count"))
+    if early:
+        return rows.where(F.col("_at") < end).select(*hits.columns).orderBy(*order).offset(skipped).limit(limit), total
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a part: their number is that of the partitions, whatever the hits.
+    starts = counts.withColumn("_start", before).where((F.col("_start") < end) & (F.col("_start") + F.col("_n") > skipped))
+    place = F.col("_start") + F.col("_at")
+    paged = rows.join(F.broadcast(starts.select("_part", "_start")), "_part").where((place >= skipped) & (place < end))
+    return paged.select(*hits.columns), total
 
 
 def search(
@@ -287,11 +332,16 @@ def search(
     *,
     max_limit: int = MAX_LIMIT,
     heap_rows: int = HEAP_ROWS,
+    index: StoredIndex | None = None,
 ) -> DataFrame:
     """One page of scored hits, each row with the totals of the whole result.
 
     A page has ``limit`` hits, ``max_limit`` at most. A page past the end is one
     row that holds only the totals.
+
+    With an index of :func:`searchable_names` only the names that hold the
+    trigrams of the query are looked at; the result is the same. A query
+    with a part too short for a trigram looks at all names.
     """
     if category not in _CATEGORIES:
         raise ValueError(f"unknown search category {category!r}")
@@ -300,15 +350,14 @@ def search(
         raise ValueError("a search needs at least two characters")
     limit = min(max(int(limit), 1), max_limit)
     page = max(int(page), 1)
-    hits = _CATEGORIES[category](t, _Query(text), _domain_method_ids(t, domain))
+    wanted = _Query(text)
+    sets = None if index is None else gram_sets(wanted.pattern, wanted.terms)
+    items = None if sets is None else candidates(t.spark, index, category, sets)
+    hits = _CATEGORIES[category](t, wanted, _domain_method_ids(t, domain), items)
     hits = hits.withColumn("score", F.round("score", 6))
-    total = hits.agg(F.count(F.lit(1)).alias("total_count"))
     order = [F.desc("score"), F.asc("site_name"), F.asc("site_id")]
     skipped = (page - 1) * limit
-    if skipped + limit <= heap_rows:
-        paged = hits.orderBy(*order).offset(skipped).limit(limit)
-    else:
-        paged = _counted_page(hits, skipped, limit)
+    paged, total = _page(hits, order, skipped, limit, heap_rows)
     pages = F.ceil(F.col("total_count") / limit).cast("bigint")
     # `paged` holds at most `max_limit` rows and `total` exactly one.
     return (
@@ -376,27 +425,39 @@ def site_texts(t: Tables) -> DataFrame:
     return texts.where("text IS NOT NULL AND text <> ''")
 
 
-def free_text(t: Tables, query: str, k: int = 50, texts: DataFrame | None = None) -> DataFrame:
-    """The k sites with the largest weighted term count, accents ignored.
-
-    The score of a site adds, over its fields, the field weight times the
-    occurrences of any query word. Every quoted phrase must stand in one of its
-    fields, and nothing with a leading minus may. All is summed on the map side
-    per site.
-    """
+def scanned_scores(texts: DataFrame, query: str) -> DataFrame:
+    """(site_id, score) of the sites that a free-text query finds, by a scan of all texts."""
     words, phrases, unwanted = free_terms(query)
-    rows = site_texts(t) if texts is None else texts
+    rows = texts.select("site_id", "weight", fold_text(F.col("text")).alias("text"))
     text = F.col("text")
-    flags = {f"has{i}": holds_words(text, p) for i, p in enumerate(phrases)}
-    flags |= {f"not{i}": holds_words(text, p) for i, p in enumerate(unwanted)}
-    marked = rows.withColumns({"hits": count_words(text, words), **flags})
+    flags = {f"has{i}": holds_folded(text, p) for i, p in enumerate(phrases)}
+    flags |= {f"not{i}": holds_folded(text, p) for i, p in enumerate(unwanted)}
+    marked = rows.withColumns({"hits": count_folded(text, words), **flags})
     some = " OR ".join(["hits > 0", *[f for f in flags if f.startswith("not")]])
     sites = marked.where(some).groupBy("site_id").agg(
         F.sum(F.col("hits") * F.col("weight")).cast("bigint").alias("score"),
         *[F.bool_or(f).alias(f) for f in flags],
     )
     wanted = " AND ".join(["score > 0", *[f if f.startswith("has") else f"NOT {f}" for f in flags]])
-    best = sites.where(wanted).select("site_id", "score").orderBy(F.desc("score"), "site_id").limit(k)
+    return sites.where(wanted).select("site_id", "score")
+
+
+def free_text(
+    t: Tables, query: str, k: int = 50, texts: DataFrame | None = None, index: StoredIndex | None = None
+) -> DataFrame:
+    """The k sites with the largest weighted term count, accents ignored.
+
+    The score of a site adds, over its fields, the field weight times the
+    occurrences of any query word. Every quoted phrase must stand in one of its
+    fields, and nothing with a leading minus may. All is summed on the map side
+    per site. With an index of the texts only the postings of the query's own
+    words are read; the result is the same.
+    """
+    if index is not None:
+        sites = indexed_scores(t.spark, index, query)
+    else:
+        sites = scanned_scores(site_texts(t) if texts is None else texts, query)
+    best = sites.orderBy(F.desc("score"), "site_id").limit(k)
     return (
         best.join(_site_names(t), "site_id", "left")
         .select("site_id", "site_name", "score")
@@ -492,5 +553,6 @@ __all__ = [
     "search_documents",
     "search_sites",
     "search_taxa",
+    "searchable_names",
     "site_texts",
 ]

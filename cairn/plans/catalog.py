@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from cairn.functions.nesting import PART, PARTS
 from cairn.operators import climate, datagroups, dating, documents, domains, ecocodes, facts
 from cairn.operators import search as find
-from cairn.operators import summaries, taxa, variables
+from cairn.operators import summaries, taxa, textindex, variables
 from cairn.sources import sinks
 from cairn.sources.binding import bind, word_number
+from cairn.sources.shared import shared_folder
 from cairn.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,6 +463,46 @@ def _(t: Tables) -> DataFrame:
     return find.free_text(named, "thé que nation", texts=texts)
 
 
+@query("srch7_free_text_indexed")
+def _(t: Tables) -> DataFrame:
+    """From a stored index of all documents; only the buckets of the query's words are read."""
+    texts = t["raw_document"].select("site_id", F.lit(5).alias("weight"), "text")
+    named = t.with_roles(site=t["raw_document"].select("site_id", "site_name"))
+    index = textindex.index_texts(texts, shared_folder(t.spark, "text-index"))
+    return find.free_text(named, 'thé in "que la" -"de que" -zanzibar', index=index)
+
+
+def _documents_as_sites(t: Tables) -> Tables:
+    return t.with_roles(site=t["raw_document"].select("site_id", F.col("text").alias("site_name")))
+
+
+@query("srch1_two_terms")
+def _(t: Tables) -> DataFrame:
+    return find.search(_documents_as_sites(t), "sites", "the of", limit=50)
+
+
+@query("srch1_three_terms")
+def _(t: Tables) -> DataFrame:
+    return find.search(_documents_as_sites(t), "sites", "of the and", limit=50)
+
+
+@query("srch1_alternatives")
+def _(t: Tables) -> DataFrame:
+    return find.search(_documents_as_sites(t), "sites", "que la or the of", limit=50)
+
+
+@query("srch1_sites_indexed")
+def _(t: Tables) -> DataFrame:
+    index = textindex.index_names(find.searchable_names(t), shared_folder(t.spark, "name-index"))
+    return find.search(t, "sites", "00000012", limit=50, index=index)
+
+
+@query("srch2_sample_groups_indexed")
+def _(t: Tables) -> DataFrame:
+    index = textindex.index_names(find.searchable_names(t), shared_folder(t.spark, "name-index"))
+    return find.search(t, "sample_groups", "medium", limit=50, index=index)
+
+
 def _search_sites(t: Tables, path: str, value: str) -> DataFrame:
     return find.search_sites(t, path, value)
 

@@ -779,6 +779,58 @@ oracle(
         "SELECT doc_id AS site_id, concat_ws(' ', source, lang) AS site_name FROM documents",
     ),
 )
+_FOLLOW = "bool_or(regexp_matches(lower(strip_accents(text)), '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}]){0}[^\\p{{{{L}}}}\\p{{{{N}}}}]+{1}($|[^\\p{{{{L}}}}\\p{{{{N}}}}])'))"
+oracle(
+    "srch7_free_text_indexed",
+    _weighted(
+        "SELECT doc_id AS site_id, 5 AS weight, text FROM documents",
+        "['the', 'in', 'que', 'la']",
+        "SELECT doc_id AS site_id, concat_ws(' ', source, lang) AS site_name FROM documents",
+        f"""{_FOLLOW.format("que", "la")} AND NOT {_FOLLOW.format("de", "que")}
+            AND NOT bool_or(list_contains({{0}}, 'zanzibar'))""",
+    ),
+)
+
+
+def _covered_documents(q: str, alternatives: list[list[str]]) -> str:
+    """Hits among whole documents: the begin of the last run at every entry by running maxima; a cover where it moves."""
+    words = sorted({w for terms in alternatives for w in terms})
+    last = ", ".join(f"max(k) FILTER (WHERE token = '{w}') OVER w AS last_{w}" for w in words)
+    begins = [f"CASE WHEN {' AND '.join(f'last_{w} IS NOT NULL' for w in a)} THEN least({', '.join(f'last_{w}' for w in a)}) END" for a in alternatives]
+    held = " OR ".join("(" + " AND ".join(f"list_contains(words, '{w}')" for w in a) + ")" for a in alternatives)
+    return f"""SELECT * FROM (
+        SELECT doc_id AS site_id, text AS site_name, text AS matched_value,
+        round(CASE WHEN lower(text) = lower('{q}') THEN 6.0::DOUBLE ELSE 0 END + CASE WHEN lower(text) LIKE lower('{q}%') THEN 3.0::DOUBLE ELSE 0 END
+              + CASE WHEN text ILIKE '%{q}%' THEN 1.5::DOUBLE ELSE 0 END + coalesce(covers, 0) / (coalesce(covers, 0) + 1), 6) AS score,
+        lower(text) = lower('{q}') AS is_exact, lower(text) LIKE lower('{q}%') AND lower(text) <> lower('{q}') AS is_prefix,
+        text ILIKE '%{q}%' AND NOT lower(text) LIKE lower('{q}%') AS is_contains,
+        coalesce(({held}), false) AND NOT text ILIKE '%{q}%' AS is_fts_only, text ILIKE '%{q}%' OR coalesce(({held}), false) AS _hit,
+        {_NULL} AS sample_group_id, {_NULL} AS dataset_id, {_NULL} AS method_id
+        FROM documents LEFT JOIN (
+            SELECT doc_id, sum(1.0::DOUBLE / (1 + e.pos - b.pos - (e.k - e.b))) AS covers
+            FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY k) AS earlier FROM (
+                      SELECT doc_id, k, pos, greatest({", ".join(begins)}) AS b FROM (
+                          SELECT *, {last} FROM entries WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)))) e
+            JOIN (SELECT doc_id, k AS b, pos FROM entries) b USING (doc_id, b)
+            WHERE e.b IS NOT NULL AND (e.earlier IS NULL OR e.b > e.earlier) GROUP BY doc_id
+        ) USING (doc_id) LEFT JOIN (SELECT doc_id, list(DISTINCT token) AS words FROM entries GROUP BY doc_id) USING (doc_id)
+        WHERE text IS NOT NULL) WHERE _hit AND score > 0"""
+
+
+def _covered_page(q: str, alternatives: list[list[str]]) -> str:
+    words = ", ".join(f"'{w}'" for terms in alternatives for w in terms)
+    entries = f"""entries AS MATERIALIZED (
+        SELECT doc_id, token, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (
+            SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (
+                SELECT doc_id, list_filter({_TOKENS.format("text")}, lambda w: w <> '') AS t FROM documents)) WHERE token IN ({words}))"""
+    return _page(_covered_documents(q, alternatives), 1, 50).replace("WITH hits AS", f"WITH {entries}, hits AS", 1)
+
+
+oracle("srch1_two_terms", _covered_page("the of", [["the", "of"]]))
+oracle("srch1_three_terms", _covered_page("of the and", [["of", "the", "and"]]))
+oracle("srch1_alternatives", _covered_page("que la or the of", [["que", "la"], ["the", "of"]]))
+oracle("srch1_sites_indexed", _page(_site_hits("00000012"), 1, 50))
+oracle("srch2_sample_groups_indexed", _page(_best(_GROUP_ROWS, "sample_group_id"), 1, 50))
 oracle(
     "qry1_search_sites_equal",
     "SELECT DISTINCT site_id AS id FROM v_site_dataset WHERE method_id = 3",
