@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from cairn.operators.facts import (
     with_site,
 )
 from cairn.operators.taxa import taxonomy
+from cairn.sources.store import Store
 from cairn.sources.tables import Tables
 
 # Document field and the role that fills it, per level. Roles that are not
@@ -389,6 +391,85 @@ def site_documents(
     return document.select(*lead, *[c for c in document.columns if c not in lead])
 
 
+def site_fingerprints(
+    t: Tables,
+    site_ids: SiteIds = None,
+    *,
+    paths: Sequence[str] | None = None,
+    data_groups: DataFrame | None = None,
+) -> DataFrame:
+    """(site_id, fingerprint): equal for two states of the tables if the documents of the site are.
+
+    A document is made of rows of the flat tables joined to what they point to.
+    The fingerprint counts and adds up two digests of each of these rows, so it does not
+    depend on their order or on the number of slices, and nothing is nested or
+    gathered: a map task sends three numbers a site.
+    """
+    b = _Build(t, site_ids, paths, 1, data_groups)
+    branches = {"site": _site_branch(b)}
+    if b.wants("sample_groups"):
+        branches["sample_groups"] = _group_branch(b)
+    if b.wants("datasets"):
+        branches["datasets"] = _dataset_branch(b)
+    if data_groups is not None:
+        branches["data_groups"] = _data_branch(b)
+    digests = []
+    for name, rows in branches.items():
+        columns = sorted(c for c in rows.columns if c != SLICE)
+        # A digest passes nulls over, so rows are told with the names of the fields that are there.
+        told = F.to_json(F.struct(*columns))
+        digests.append(
+            rows.select(
+                "site_id",
+                F.xxhash64(F.lit(name), told).cast("decimal(20,0)").alias("x"),
+                F.xxhash64(told, F.lit(name)).cast("decimal(20,0)").alias("y"),
+            )
+        )
+    sums = stack(digests).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    # Rows of a site that is no longer there do not bring it back.
+    return sums.join(b.sites, "site_id", "left_semi").select("site_id", F.concat_ws(":", "n", "x", "y").alias("fingerprint"))
+
+
+def changed_sites(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """(site_id, state, fingerprint) of the sites that are new, changed or gone."""
+    if stored is None:
+        return fresh.select("site_id", F.lit("new").alias("state"), "fingerprint")
+    old, new = (f.select("site_id", F.col("fingerprint").alias(n)) for f, n in ((stored, "old"), (fresh, "new")))
+    state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(F.col("old") != F.col("new"), "changed")
+    both = old.join(new, "site_id", "full_outer").withColumn("state", state)
+    return both.where("state IS NOT NULL").select("site_id", "state", F.col("new").alias("fingerprint"))
+
+
+def refresh_documents(
+    t: Tables,
+    store: Store,
+    *,
+    paths: Sequence[str] | None = None,
+    data_groups: Callable[[Tables, DataFrame], DataFrame] | None = None,
+    slices: int,
+) -> DataFrame:
+    """Bring stored site documents up to date; returns (site_id, state) of what was done.
+
+    Only sites whose fingerprint differs from the stored one are built, gone ones
+    are taken out, and only the buckets of these sites are written. Documents
+    and fingerprints change in one commit, so a run that fails can simply be
+    run again. ``data_groups`` makes the long rows of some sites.
+    """
+    spark = t.spark
+    rows = None if data_groups is None else data_groups(t, None)
+    fresh = site_fingerprints(t, paths=paths, data_groups=rows)
+    folder = f"{store.path}/changes/{uuid.uuid4().hex}"
+    changed_sites(store.read(spark, "fingerprints"), fresh).write.parquet(folder)
+    changes = spark.read.parquet(folder)
+    built = changes.where("state <> 'gone'")
+    if not changes.isEmpty():
+        ids = built.select("site_id")
+        rows = None if data_groups is None else data_groups(t, ids)
+        documents = site_documents(t, ids, paths=paths, data_groups=rows, slices=slices)
+        store.commit({"documents": documents, "fingerprints": built.select("site_id", "fingerprint")}, changes.select("site_id"))
+    return changes.select("site_id", "state")
+
+
 # The key that the elements of a document list carry.
 LIST_KEYS = {
     "sample_groups": "sample_group_id",

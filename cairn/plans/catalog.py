@@ -14,6 +14,7 @@ from cairn.operators import summaries, taxa, textindex, variables
 from cairn.sources import sinks
 from cairn.sources.binding import bind, word_number
 from cairn.sources.shared import shared_folder
+from cairn.sources.store import Store
 from cairn.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -983,6 +984,34 @@ def _(t: Tables) -> DataFrame:
     return sinks.replace_documents(current, fresh, "site_id")
 
 
+def _later_tables(t: Tables) -> Tables:
+    """The tables after a while: sites gone and renamed, and a dataset renamed that several sites use."""
+    site, group = (t[role].where("site_id % 7 <> 0") for role in ("site", "sample_group"))
+    renamed = F.when(F.col("latitude_dd") < 20, F.upper("site_name")).otherwise(F.col("site_name"))
+    dataset = t["dataset"].withColumn("dataset_name", F.when(F.col("dataset_id") == 5, F.lit("Renamed")).otherwise(F.col("dataset_name")))
+    return t.with_roles(site=site.withColumn("site_name", renamed), sample_group=group, dataset=dataset)
+
+
+def _earlier_tables(t: Tables) -> Tables:
+    return t.with_roles(**{role: t[role].where("site_id % 11 <> 3") for role in ("site", "sample_group")})
+
+
+@query("src6_changed_sites")
+def _(t: Tables) -> DataFrame:
+    """What an incremental build would do: all lists of the documents count."""
+    stored = documents.site_fingerprints(_earlier_tables(t))
+    return documents.changed_sites(stored, documents.site_fingerprints(_later_tables(t))).select("site_id", "state")
+
+
+@query("src6_refreshed_documents")
+def _(t: Tables) -> DataFrame:
+    """Documents stored once, brought up to date, and read back."""
+    store = Store(shared_folder(t.spark, "documents"), "site_id", buckets=16, spread=2)
+    for state in (_earlier_tables(t), _later_tables(t)):
+        documents.refresh_documents(state, store, paths=["datasets"], slices=2)
+    return documents.site_rows_of(store.read(t.spark, "documents")).select("site_id", "site_name", F.col("datasets").alias("n_datasets"))
+
+
 @query("src7_domain_clauses")
 def _(t: Tables) -> DataFrame:
     return t["domain_clause"]

@@ -1203,6 +1203,19 @@ oracle(
               c_acctbal / 100 AS latitude_dd, CAST(c_nationkey AS DOUBLE) AS longitude_dd
        FROM customer""",
 )
+oracle(
+    "src6_changed_sites",
+    """SELECT c_custkey AS site_id, CASE WHEN c_custkey % 11 = 3 THEN 'new' WHEN c_custkey % 7 = 0 THEN 'gone' ELSE 'changed' END AS state
+       FROM customer
+       WHERE CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 11 <> 3
+                  ELSE c_custkey % 11 = 3 OR c_acctbal / 100 < 20 OR c_custkey IN (SELECT site_id FROM v_site_dataset WHERE dataset_id = 5) END""",
+)
+oracle(
+    "src6_refreshed_documents",
+    """SELECT c_custkey AS site_id, CASE WHEN c_acctbal / 100 < 20 THEN upper(c_name) ELSE c_name END AS site_name,
+              (SELECT count(*) FROM v_site_dataset WHERE site_id = c_custkey) AS n_datasets
+       FROM customer WHERE c_custkey % 7 <> 0""",
+)
 oracle(
     "src7_domain_clauses",
     """SELECT CAST(r_regionkey AS BIGINT) AS facet_id, lower(r_name) AS facet_code, r_name AS display_title,
