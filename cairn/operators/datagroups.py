@@ -13,7 +13,8 @@ that lookup is a join on the largest key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,12 @@ from cairn.sources.tables import Tables
 
 # The methods and method groups that make up each family.
 ABUNDANCE_METHODS = (3, 6, 8, 15, 40, 111)
+DATING_METHODS = (
+    14, 38, 39, 127, 128, 129, 130, 131, 132, 133, 134, 135, 136, 137, 138, 139, 140, 141, 142,
+    143, 144, 146, 147, 148, 149, 151, 152, 153, 154, 155, 156, 157, 158, 159, 160, 161, 162, 163,
+    164, 165, 167, 168, 169, 170, 174, 176,
+)
+DATING_METHOD_GROUPS = (19, 20, 3)
 MEASURED_METHOD_GROUPS = (2,)
 CERAMIC_METHODS = (171, 172)
 ADNA_METHODS = (175,)
@@ -158,10 +165,14 @@ RELATIVE_FIELDS = (
 def dating_values(
     t: Tables,
     site_ids: SiteIds = None,
-    method_ids: Sequence[int] = LABORATORY_DATING_METHODS,
+    method_ids: Sequence[int] | None = DATING_METHODS,
     laboratory_methods: Sequence[int] = LABORATORY_DATING_METHODS,
 ) -> DataFrame:
-    """One row per (entity, dating field); each kind of dating has its own fields."""
+    """One row per (entity, dating field); each kind of dating has its own fields.
+
+    ``method_ids`` are the methods of the family, of which ``laboratory_methods``
+    are read from laboratory measurements and the others from relative dates.
+    """
     dated = of_methods(t, dating_facts(t, laboratory_methods), method_ids)
     rows = with_site(t, dated, site_ids)
     fields = F.when(F.col("is_laboratory"), _fields(rows, LABORATORY_FIELDS)).otherwise(
@@ -190,9 +201,9 @@ AGE_FIELDS = (
 
 
 def entity_age_values(
-    t: Tables, site_ids: SiteIds = None, method_ids: Sequence[int] | None = None
+    t: Tables, site_ids: SiteIds = None, method_ids: Sequence[int] | None = DATING_METHODS
 ) -> DataFrame:
-    """One row per present, non-zero, non-empty age field."""
+    """One row per present, non-zero, non-empty age field of the dating family; of all datasets without methods."""
     ages = of_methods(t, age_facts(t, site_ids), method_ids)
     rows = ages.select("*", F.inline(_fields(ages, AGE_FIELDS))).where(
         truthy(F.col("number")) | truthy_text(F.col("text"))
@@ -413,15 +424,86 @@ def dendro_sites(t: Tables) -> DataFrame:
     return measures.unionByName(dates)
 
 
-# Family name, its methods, its method groups.
-FAMILIES = (
-    ("abundance", ABUNDANCE_METHODS, ()),
-    ("dating", LABORATORY_DATING_METHODS, ()),
-    ("measured_values", (), MEASURED_METHOD_GROUPS),
-    ("ceramic", CERAMIC_METHODS, ()),
-    ("adna", ADNA_METHODS, ()),
-    ("dendro", DENDRO_METHODS, ()),
-)
+def dated_values(
+    t: Tables,
+    site_ids: SiteIds = None,
+    method_ids: Sequence[int] | None = DATING_METHODS,
+    laboratory_methods: Sequence[int] = LABORATORY_DATING_METHODS,
+) -> DataFrame:
+    """All values of the dating family: dates and entity ages."""
+    dates = dating_values(t, site_ids, method_ids, laboratory_methods)
+    return dates.unionByName(entity_age_values(t, site_ids, method_ids))
+
+
+# --- families ------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Family:
+    """A measurement family: how its rows are made, and which sites take part in it.
+
+    ``rows(t, site_ids, **options)`` gives the columns of the module docstring
+    for the sites (all when None). A site takes part if one of its datasets has one of
+    the methods or a method of one of the groups.
+    """
+
+    name: str
+    rows: Callable[..., DataFrame]
+    methods: tuple[int, ...] = ()
+    method_groups: tuple[int, ...] = ()
+
+
+_FAMILIES: dict[str, Family] = {}
+_KINDS = dict.fromkeys(COLUMNS, "string") | dict.fromkeys(("site_id", "dataset_id", "physical_sample_id", "method_id"), "bigint") | {"value_double": "double"}
+
+
+def register_family(family: Family) -> Family:
+    """Add a family; gates and united groups know it from then on."""
+    if not family.name or family.name in _FAMILIES:
+        raise ValueError(f"the family {family.name!r} has no name or is there already")
+    if not callable(family.rows):
+        raise TypeError(f"the rows of the family {family.name!r} cannot be made")
+    for ids in (family.methods, family.method_groups):
+        if not all(isinstance(i, int) for i in ids):
+            raise TypeError(f"the methods and groups of the family {family.name!r} are whole numbers")
+    _FAMILIES[family.name] = family
+    return family
+
+
+def remove_family(name: str) -> None:
+    del _FAMILIES[name]
+
+
+def family(name: str) -> Family:
+    if name not in _FAMILIES:
+        raise ValueError(f"unknown family {name!r}")
+    return _FAMILIES[name]
+
+
+def family_names() -> list[str]:
+    return list(_FAMILIES)
+
+
+def family_rows(t: Tables, name: str, site_ids: SiteIds = None, **options: object) -> DataFrame:
+    """The rows of a family, their columns checked."""
+    rows = family(name).rows(t, site_ids, **options)
+    kinds = dict(rows.dtypes)
+    wrong = [c for c, kind in _KINDS.items() if kinds.get(c) != kind]
+    if wrong:
+        raise TypeError(f"the family {name!r} lacks {', '.join(f'{c} {_KINDS[c]}' for c in wrong)}")
+    return rows.select(*COLUMNS)
+
+
+for _family in (
+    Family("abundance", abundance_values, ABUNDANCE_METHODS),
+    Family("dating", dated_values, DATING_METHODS, DATING_METHOD_GROUPS),
+    Family("measured_values", measured_values, (), MEASURED_METHOD_GROUPS),
+    Family("ceramic", ceramics, CERAMIC_METHODS),
+    Family("adna", adna_values, ADNA_METHODS),
+    Family("dendro", dendro_values, DENDRO_METHODS),
+    Family("isotope", isotopes),
+):
+    register_family(_family)
 
 
 def family_sites(t: Tables) -> DataFrame:
@@ -429,10 +511,10 @@ def family_sites(t: Tables) -> DataFrame:
     rules = F.array(
         *[
             F.when(
-                F.col("method_id").isin(list(ids)) | F.col("method_group_id").isin(list(grouped)),
-                F.lit(name),
+                F.col("method_id").isin(list(each.methods)) | F.col("method_group_id").isin(list(each.method_groups)),
+                F.lit(each.name),
             )
-            for name, ids, grouped in FAMILIES
+            for each in _FAMILIES.values()
         ]
     )
     method_families = (
@@ -444,6 +526,11 @@ def family_sites(t: Tables) -> DataFrame:
     return used.join(method_families, "method_id").select("family", "site_id").distinct()
 
 
+def gate(t: Tables, name: str) -> DataFrame:
+    """Distinct sites that take part in a family."""
+    return sites_using(t, family(name).methods, family(name).method_groups)
+
+
 def abundance_lookups(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     """Abundance elements and modification types each site uses."""
     facts = abundance_facts(t, site_ids)
@@ -481,25 +568,19 @@ def data_groups(
     method_ids: Sequence[int] | None = None,
     *,
     families: dict[str, dict] | None = None,
+    gated: bool = False,
 ) -> DataFrame:
     """All families united, limited to the chosen methods.
 
-    ``families`` maps a family to keyword arguments that replace its method list.
+    ``families`` maps a family to keyword arguments for its rows, such as a method
+    list of its own; without it every registered family takes part. ``gated`` leaves
+    out the rows of sites that do not take part in a family.
     """
-    options = families or {}
-    builders = {
-        "abundance": abundance_values,
-        "dating": dating_values,
-        "measured_values": measured_values,
-        "ceramic": ceramics,
-        "adna": adna_values,
-        "dendro": dendro_values,
-        "isotope": isotopes,
-    }
-    chosen = options if options else {name: {} for name in builders}
     united = None
-    for name, arguments in chosen.items():
-        rows = builders[name](t, site_ids, **arguments).select(*COLUMNS)
+    for name, options in (families or {n: {} for n in _FAMILIES}).items():
+        rows = family_rows(t, name, site_ids, **options)
+        if gated:
+            rows = rows.join(gate(t, name), "site_id", "left_semi").select(*COLUMNS)
         if method_ids is not None:
             rows = rows.where(F.col("method_id").isin(list(method_ids)))
         united = rows if united is None else united.unionByName(rows)

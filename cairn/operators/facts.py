@@ -48,7 +48,7 @@ LOOKUPS: dict[str, tuple[tuple[str, str, str, tuple[str, ...] | None], ...]] = {
         ("dimension", "dimension_id", "inner", ("unit_id",)),
     ),
     "sample_group_context": (("sampling_context", "sampling_context_id", "left", None),),
-    "site_other_record": (("record_type", "record_type_id", "left", None), ("biblio", "biblio_id", "left", None)),
+    "site_other_record": (("record_type", "record_type_id", "inner", None), ("biblio", "biblio_id", "left", None)),
     "dataset": (
         ("method", "method_id", "left", ("method_group_id",)),
         ("project", "project_id", "left", None),

@@ -567,6 +567,23 @@ def _(t: Tables) -> DataFrame:
     return datagroups.dating_values(t, method_ids=DATING_METHODS).drop("data")
 
 
+@query("grp2_dating_values_of_the_family")
+def _(t: Tables) -> DataFrame:
+    return datagroups.dating_values(t).drop("data")
+
+
+@query("grp3_entity_ages_of_the_family")
+def _(t: Tables) -> DataFrame:
+    return datagroups.entity_age_values(t).drop("data")
+
+
+@query("grp13_gated_data_groups")
+def _(t: Tables) -> DataFrame:
+    """Rows of every family at the sites that take part in it, with the default methods."""
+    rows = datagroups.data_groups(t, gated=True)
+    return rows.groupBy("type", "site_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("grp3_entity_age_values")
 def _(t: Tables) -> DataFrame:
     return datagroups.entity_age_values(t, method_ids=DATING_METHODS).drop("data")

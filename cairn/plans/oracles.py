@@ -904,6 +904,11 @@ _AGES = " UNION ALL ".join(
     + [_age_field("dating_specifier", text=True)]
 )
 oracle("grp3_entity_age_values", f"WITH {_AGED} {_AGES}")
+# Of the 46 methods of the family the sample has number 14, which is not a laboratory one; of its method groups number 3.
+_OF_FAMILY = ("s.s_nationkey IN (1, 7, 12)", "s.s_nationkey = 14")
+_FAMILY_DATED, _FAMILY_AGED = _DATED.replace(*_OF_FAMILY), _AGED.replace(*_OF_FAMILY)
+oracle("grp2_dating_values_of_the_family", f"WITH {_FAMILY_DATED} {_DATING}")
+oracle("grp3_entity_ages_of_the_family", f"WITH {_FAMILY_AGED} {_AGES}")
 oracle(
     "grp4_group_headers",
     f"""WITH {_DATED}, {_AGED}, v AS ({_DATING} UNION ALL {_AGES})
@@ -986,6 +991,9 @@ oracle(
 oracle(
     "grp13_family_sites",
     """SELECT DISTINCT 'abundance' AS family, site_id FROM v_entity WHERE method_id IN (3, 6, 8, 15, 40, 111)
+       UNION ALL
+       SELECT DISTINCT 'dating', site_id FROM v_entity JOIN v_method USING (method_id)
+       WHERE method_id = 14 OR method_group_id IN (19, 20, 3)
        UNION ALL
        SELECT DISTINCT 'measured_values', site_id FROM v_entity JOIN v_method USING (method_id)
        WHERE method_group_id = 2
@@ -1008,8 +1016,8 @@ oracle(
 _COMMON = """site_id, type, data_group_id, value_type"""
 oracle(
     "grp_all_families",
-    f"""WITH {_DATED}, v AS (
-         SELECT {_COMMON} FROM ({_ABUNDANCE}) UNION ALL SELECT {_COMMON} FROM ({_DATING})
+    f"""WITH {_DATED}, {_AGED}, v AS (
+         SELECT {_COMMON} FROM ({_ABUNDANCE}) UNION ALL SELECT {_COMMON} FROM ({_DATING}) UNION ALL SELECT {_COMMON} FROM ({_AGES})
          UNION ALL SELECT {_COMMON} FROM ({_MEASURED}) UNION ALL SELECT {_COMMON} FROM ({_CERAMIC})
          UNION ALL SELECT {_COMMON} FROM ({_ranged("adna", "low_value", 19)})
          UNION ALL SELECT {_COMMON} FROM ({_ranged("dendro", "low_value", 10)})
@@ -1018,6 +1026,15 @@ oracle(
               count(DISTINCT data_group_id) AS groups
        FROM v GROUP BY 1, 2""",
 )
+oracle(
+    "grp13_gated_data_groups",
+    f"""WITH {_FAMILY_DATED}, {_FAMILY_AGED}, v AS (
+         SELECT {_COMMON} FROM ({_ABUNDANCE}) UNION ALL SELECT {_COMMON} FROM ({_DATING}) UNION ALL SELECT {_COMMON} FROM ({_AGES})
+         UNION ALL SELECT {_COMMON} FROM ({_MEASURED}) UNION ALL SELECT {_COMMON} FROM ({_ranged("dendro", "low_value", 10)}))
+       SELECT type, site_id, count(*) AS n FROM v
+       WHERE type <> 'dating' OR site_id IN (SELECT site_id FROM v_entity JOIN v_method USING (method_id) WHERE method_id = 14 OR method_group_id = 3)
+       GROUP BY 1, 2""",
+)
 
 # --- documents -----------------------------------------------------------------------
 
@@ -1286,7 +1303,7 @@ oracle(
     "doc6_other_records",
     """SELECT c_custkey AS site_id, c_custkey % 6 AS record_type_id,
               CASE WHEN r_name = 'ASIA' THEN 'DNA' ELSE r_name END AS record_type_name, lower(c_mktsegment) AS description
-       FROM customer LEFT JOIN region ON r_regionkey = c_custkey % 6""",
+       FROM customer JOIN region ON r_regionkey = c_custkey % 6""",
 )
 oracle(
     "doc1_site_entity_ages",

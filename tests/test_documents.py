@@ -44,7 +44,7 @@ def test_dating_groups(roles):
 
 
 def test_age_values_keep_present_ones(roles):
-    got = plain(datagroups.entity_age_values(roles))
+    got = plain(datagroups.entity_age_values(roles, method_ids=None))
     keys = {(r["analysis_entity_id"], r["key"]) for r in got}
     assert keys == {
         ("1", "age"), ("1", "age_range"), ("1", "chronology_id"), ("1", "dating_specifier"),
@@ -54,7 +54,8 @@ def test_age_values_keep_present_ones(roles):
 
 
 def test_group_headers(roles):
-    heads = by(datagroups.group_headers(roles, datagroups.entity_age_values(roles)), "site_id", "data_group_id")
+    ages = datagroups.entity_age_values(roles, method_ids=None)
+    heads = by(datagroups.group_headers(roles, ages), "site_id", "data_group_id")
     assert heads[4, "1004"]["analysis_entity_id"] == "8"
     assert heads[1, "1000"]["analysis_entity_id"] is None
     assert heads[1, "1000"]["first_biblio_id"] == 70
@@ -98,6 +99,49 @@ def test_ranged_values(roles):
     assert datagroups.dendro_values(roles).count() == 0  # no site uses method 10
 
 
+def test_dating_family_defaults(roles):
+    # 151 is a laboratory method; 14 stands for the others, which take relative dates.
+    renamed = roles["dataset"].withColumn("method_id", F.when(F.col("method_id") == 50, 14).otherwise(F.col("method_id")).cast("long"))
+    later = roles.with_roles(dataset=renamed)
+    kinds = {r["method_id"]: r["keys"] for r in datagroups.dating_values(later).groupBy("method_id").agg(F.collect_set("key").alias("keys")).collect()}
+    assert "lab_number" in kinds[151] and "relative_date_id" in kinds[14] and set(kinds) == {14, 151}
+    ages = {r["method_id"] for r in datagroups.entity_age_values(later).collect()}
+    assert ages and ages <= {14, 151}
+    # Method 50 is no method of the family, but its group is.
+    assert {r["site_id"] for r in datagroups.gate(roles, "dating").collect()} == {
+        r["site_id"] for r in documents.path_table(roles, "datasets").where("method_id IN (50, 151)").collect()
+    }
+
+
+def test_a_family_from_outside(roles):
+    def heights(t, site_ids=None, unit="m"):
+        rows = datagroups.measured_values(t, site_ids)
+        return rows.withColumns({"type": F.lit("heights"), "value_string": F.lit(unit)})
+
+    added = datagroups.register_family(datagroups.Family("heights", heights, methods=(30,)))
+    try:
+        assert ("heights", 1) in rows(datagroups.family_sites(roles))
+        assert rows(datagroups.gate(roles, "heights")) == [(1,)]
+        assert "heights" in {r["type"] for r in plain(datagroups.data_groups(roles))}
+        chosen = datagroups.data_groups(roles, families={"heights": {"unit": "cm"}}, gated=True)
+        assert {r["value_string"] for r in plain(chosen)} == {"cm"}
+        with pytest.raises(ValueError, match="already"):
+            datagroups.register_family(added)
+    finally:
+        datagroups.remove_family("heights")
+    for bad in (datagroups.Family("", heights), datagroups.Family("x", None), datagroups.Family("x", heights, methods=("3",))):
+        with pytest.raises((ValueError, TypeError)):
+            datagroups.register_family(bad)
+    datagroups.register_family(datagroups.Family("short", lambda t, site_ids: t["site"]))
+    try:
+        with pytest.raises(TypeError, match="lacks"):
+            datagroups.data_groups(roles, families={"short": {}})
+    finally:
+        datagroups.remove_family("short")
+    with pytest.raises(ValueError, match="unknown family"):
+        datagroups.data_groups(roles, families={"nothing": {}})
+
+
 def test_family_gate_and_union(roles):
     assert rows(datagroups.family_sites(roles)) == [
         ("abundance", 1), ("abundance", 2), ("abundance", 4), ("ceramic", 2), ("dating", 2),

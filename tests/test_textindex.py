@@ -29,7 +29,7 @@ def test_free_text_equals_a_scan(spark, roles, texts, tmp_path):
     for query in QUERIES:
         assert rows(find.free_text(roles, query, texts=texts, index=index)) == rows(find.free_text(roles, query, texts=texts)), query
     whole = index_texts(find.site_texts(roles), str(tmp_path / "sites"), buckets=8)
-    for query in ("álpha", "alpha farm", '"north alpha"', "alpha -beta"):
+    for query in ("álpha farm", '"north alpha"'):
         assert rows(find.free_text(roles, query, index=whole)) == rows(find.free_text(roles, query))
 
 
