@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.jobs import cut, text_column
+from cairn.llm.jobs import cut, send, sent, text_column
 from cairn.llm.textblocks import Block, Hasher, blocks, window_digests, word_bounds
 
 
@@ -265,10 +265,10 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Decontamination = Decon
     texts = docs.select(F.col(id).cast("long").alias("id"), text_column(text).alias("text"))
     result = spark.createDataFrame([], FOUND)
     for index in shards(items, how, item_id, item_text):
-        shared = spark.sparkContext.broadcast(index)
+        shared = send(spark, index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hasher, index = Hasher(), shared.value
+            hasher, index = Hasher(), sent(shared)
             for block in blocks(batches):
                 rows = list(hits(block, index, hasher, how))
                 if rows:
@@ -283,10 +283,10 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Decontamination = Decon
 def decontaminate(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns unchanged; rows pass through without a shuffle."""
     for index in shards(items, how, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = send(docs.sparkSession, index)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hasher, index = Hasher(), shared.value
+            hasher, index = Hasher(), sent(shared)
             for block in blocks(batches, text):
                 held = {r[0] for r in hits(block, index, hasher, how)}
                 yield block.rows.filter(pa.array([k not in held for k in range(len(block))])) if held else block.rows

@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local session without one gets a folder of its own."""
+    """The shared checkpoint folder of the session.
+
+    A session inside one machine may do without one and gets a folder of its own; on a cluster that is an error,
+    as the driver's disk is not the executors'. Spark deletes checkpoints that nothing refers to any more if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` was set when the session began.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and context.master.startswith("local"):
-            named = tempfile.mkdtemp(prefix="cairn-checkpoints-")
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoints-"))
     return context.getCheckpointDir()
 
 
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value that may hold classes of this package; :func:`sent` opens it where the package is not installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def sent(packed: Broadcast) -> object:
+    """The value of :func:`send`, opened once a task."""
+    return pickle.loads(packed.value)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the checkpoint folder, so that a lost executor does not cost its whole history."""
     checkpoint_folder(frame.sparkSession)

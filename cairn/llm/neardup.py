@@ -27,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
@@ -55,7 +55,7 @@ class NearDup:
         return self.bands * self.rows
 
 
-SKETCH = "id long, n_shingles long, digest binary, signature binary"
+SKETCH = "id long, x long, y long, n_shingles long, digest binary, signature binary"
 
 
 def sketch(batches: Iterator[pa.RecordBatch], how: NearDup) -> Iterator[pa.RecordBatch]:
@@ -78,8 +78,8 @@ def sketch(batches: Iterator[pa.RecordBatch], how: NearDup) -> Iterator[pa.Recor
             odd ^= odd >> np.uint64(32)
             digests.append(np.array([len(found), np.bitwise_xor.reduce(odd), odd.sum(), (odd * found).sum()], "<u8").tobytes())
         yield pa.RecordBatch.from_arrays(
-            [block.rows.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-            ["id", "n_shingles", "digest", "signature"],
+            [*(block.rows.column(c) for c in ("id", "x", "y")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
+            ["id", "x", "y", "n_shingles", "digest", "signature"],
         )
 
 
@@ -218,16 +218,15 @@ def _outsider_links(buckets: DataFrame, roots: DataFrame, signatures: DataFrame,
     return outsiders.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(lambda _, a, b: linked_blocks(a, b, how), "lo long, hi long")
 
 
-def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row of ``docs``.
+def keyed_texts(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
+    """(id, text, x, y): x and y are a digest of the text as it stands, which tells rows of one id apart."""
+    whole = text_column(text)
+    return docs.select(F.col(id).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("x"), F.xxhash64(F.lit(7), whole).alias("y"), *more)
 
-    ``component_id`` is the least id that links reach, ``kept`` says whether it is the row's own.
-    A null or wordless text has no shingles and links with nothing. A text of fewer words than a
-    shingle is one shingle. Rows with a null id are kept alone, with a null component. Rows that
-    share an id share a component if their texts do; of such rows all carry the same verdict.
-    Other columns are not read. An empty table gives an empty result.
-    """
-    texts = docs.select(F.col(id).cast("long").alias("id"), text_column(text).alias("text"))
+
+def row_roots(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, x, y, n_shingles, root) of every row; no root without words or an id."""
+    texts = keyed_texts(docs, id, text)
     base = cut(texts.mapInArrow(lambda b: sketch(b, how), SKETCH))
     classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.first("signature").alias("signature"))
     classes = cut(classes)
@@ -238,34 +237,50 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id
     shared = bands.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = cut(bands.join(shared, "bucket").select("bucket", "band", "id", "center"))
     in_buckets = buckets.select("id").distinct()
-    sets = cut(_sets_of(in_buckets, texts.where("id is not null"), how))
+    sets = cut(_sets_of(in_buckets, texts.select("id", "text").where("id is not null"), how))
     signatures = cut(signatures.join(in_buckets, "id", "left_semi"))
     links = _star_links(buckets, signatures, sets, how)
     roots = components(links.select("hi", "lo"))
     more = _outsider_links(buckets, roots, signatures, sets, how)
     roots = components(roots.select(F.col("node").alias("hi"), F.col("root").alias("lo")).union(more.select("hi", "lo")))
     of_class = classes.select("digest", "class").join(roots, F.col("class") == F.col("node"), "left").select("digest", F.coalesce("root", "class").alias("root"))
-    return (
-        base.select("id", "n_shingles", "digest")
-        .join(of_class, "digest", "left")
-        .select(
-            F.col("id").alias(id),
-            "n_shingles",
-            F.coalesce("root", "id").alias("component_id"),
-            F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"),
-        )
+    return base.select("id", "x", "y", "n_shingles", "digest").join(of_class, "digest", "left").select(
+        "id", "x", "y", "n_shingles", F.when(F.col("id").isNotNull(), F.col("root")).alias("root")
+    )
+
+
+def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row of ``docs``.
+
+    ``component_id`` is the least id that links reach, ``kept`` says whether it is the row's own.
+    A null or wordless text has no shingles and links with nothing. A text of fewer words than a
+    shingle is one shingle. Rows with a null id are kept alone, with a null component. Rows that
+    share an id share a component if their texts do; of such rows all carry the same verdict.
+    Other columns are not read. An empty table gives an empty result.
+    """
+    return row_roots(docs, how, id, text).select(
+        F.col("id").alias(id),
+        "n_shingles",
+        F.coalesce("root", "id").alias("component_id"),
+        F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"),
     )
 
 
 def keep_first(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, all columns unchanged.
+    """One row of each component of ``docs``, all columns unchanged: that of the least id, then of the least digest of the text.
 
-    Of rows equal in id and text one stays. Rows without words or with a null id all stay.
+    Verdicts are by id and text, as one id may come with several texts. Of rows equal in both one stays; if other
+    columns tell them apart, any one. Rows without words or with a null id all stay.
     """
-    gone = near_duplicates(docs, how, id, text).where("not kept").select(id).distinct()
-    left = docs.join(gone, id, "left_anti").select(*docs.columns)
-    again = cut(docs.groupBy(id).agg(F.count("*").alias("n")).where(F.col(id).isNotNull() & (F.col("n") > 1)).select(id))
+    found = cut(row_roots(docs, how, id, text).where("root is not null").groupBy("id", "x", "y", "root").agg(F.count("*").alias("n")))
+    first = found.groupBy("root").agg(F.min(F.struct("id", "x", "y")).alias("first"))
+    firsts = first.select(F.col("first.id").alias("of"), F.col("first.x").alias("x1"), F.col("first.y").alias("y1"))
+    gone = found.join(firsts, F.expr("id = of and x = x1 and y = y1"), "left_anti").select(*(F.col(c).alias(f"{c}0") for c in ("id", "x", "y")))
+    rows = keyed_texts(docs, id, text, F.struct(*docs.columns).alias("row")).drop("text")
+    left = rows.join(gone, F.expr("id = id0 and x = x0 and y = y0"), "left_anti")
+    again = found.where("n > 1").join(firsts, F.expr("id = of and x = x1 and y = y1"), "left_semi").select(*(F.col(c).alias(f"{c}0") for c in ("id", "x", "y")))
     if again.isEmpty():
-        return left
-    once = left.join(again, id, "left_anti").select(*docs.columns)
-    return once.union(left.join(again, id, "left_semi").select(*docs.columns).dropDuplicates([id, text]))
+        return left.select("row.*")
+    same = F.expr("id = id0 and x = x0 and y = y0")
+    once = left.join(again, same, "left_anti").select("row.*")
+    return once.union(left.join(again, same, "left_semi").dropDuplicates(["id", "x", "y"]).select("row.*"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.jobs import cut, folded, text_column
+from cairn.llm.jobs import cut, folded, send, sent, text_column
 from cairn.llm.resample import kth_largest
 from cairn.llm.textblocks import Block, Hasher, blocks, mixed
 
@@ -195,7 +195,7 @@ def count_trigrams(training: DataFrame, shared, how: Bilinear) -> DataFrame:
 
         return of
 
-    found = training.mapInArrow(lambda b: _counted(b, values(Hasher(), shared.value), ("key", "zero", "n")), "key long, zero long, n long")
+    found = training.mapInArrow(lambda b: _counted(b, values(Hasher(), sent(shared)), ("key", "zero", "n")), "key long, zero long, n long")
     return cut(found.groupBy("key").agg(F.sum("n").alias("n")))
 
 
@@ -335,7 +335,7 @@ def score(docs: DataFrame, how: Bilinear = Bilinear(), id: str = "doc_id", text:
     training = texts.where("not held_out").select("text")
     counts = count_words(training, how)
     known = vocabulary(counts, how)
-    shared = spark.sparkContext.broadcast(known)
+    shared = send(spark, known)
     grams = count_trigrams(training, shared, how)
     unigrams = np.zeros(CLASSES)
     for row in grams.groupBy((F.col("key") % CLASSES).cast("int").alias("class")).agg(F.sum("n").alias("n")).collect():
@@ -344,7 +344,7 @@ def score(docs: DataFrame, how: Bilinear = Bilinear(), id: str = "doc_id", text:
     whole = np.log10(known.tokens + known.distinct + 1)
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = Hasher(), shared.value
+        hasher, known = Hasher(), sent(shared)
         table = log_probabilities(model.value)
         in_bin = np.zeros(CLASSES)
         in_bin[1 + how.words :] = np.log10(known.bin_tokens + known.bin_distinct + 1)

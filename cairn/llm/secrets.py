@@ -52,10 +52,12 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "hex": re.compile(r"[0-9a-f]+"),
     "crc": re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END (?:RSA |EC )?PRIVATE KEY-----"),
     "card": re.compile(r"[0-9]{13,19}(?![0-9])"),
 }
+#: A JSON web token: the first part begins with ``eyJ``, two more parts follow.
+RUN = re.compile(r"[A-Za-z0-9_-]*")
+TAIL = re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 
 
 def crc_holds(body: str, check: str) -> bool:
@@ -74,12 +76,35 @@ def luhn_holds(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _jwt_holds(head: str) -> bool:
-    try:
-        found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (binascii.Error, ValueError, RecursionError):
-        return False
-    return isinstance(found, dict) and "alg" in found
+#: A head whose braces stand open this deep is no header of a token.
+DEEPEST_HEAD = 64
+
+
+def _jwt_holds(whole: str, start: int, end: int) -> bool:
+    """The part from start to end decodes to a JSON object with an ``alg``.
+
+    Longer and longer beginnings are read, so a head that is wrong early costs little, however long it is.
+    """
+    size = 64
+    while True:
+        part = whole[start : min(start + size, end)]
+        try:
+            text = base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)).decode("utf-8")
+            if text.count("{") - text.count("}") > DEEPEST_HEAD:
+                return False
+            found = json.loads(text)
+            if size >= end - start:
+                return isinstance(found, dict) and "alg" in found
+            return False  # an object that ends before the head does
+        except json.JSONDecodeError as wrong:
+            open_ = wrong.msg.startswith("Unterminated string") or wrong.pos >= len(wrong.doc) - 8
+        except UnicodeDecodeError as wrong:
+            open_ = wrong.start >= len(wrong.object) - 4
+        except (binascii.Error, ValueError, RecursionError):
+            return False
+        if size >= end - start or not open_:
+            return False
+        size *= 4
 
 
 def _pem_holds(body: str) -> bool:
@@ -105,8 +130,6 @@ def _valid(kind: str, match: re.Match) -> bool:
         return len(match[0]) >= 24
     if kind == "crc":
         return crc_holds(match[1], match[2])
-    if kind == "jwt":
-        return _jwt_holds(match[1])
     if kind == "pem":
         return _pem_holds(match[1])
     before = match.string[match.start() - 1 : match.start()]
@@ -136,6 +159,25 @@ def keywords():
     return machine
 
 
+def _tokens(text: str, starts: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of the JSON web tokens that begin at some of the starts.
+
+    All starts in one run of token characters share its end and the two parts behind it, which are looked for once.
+    """
+    found, run_end, tail = [], 0, None
+    for start in starts:
+        if start >= run_end:
+            if found and start < found[-1][1]:
+                continue
+            run_end = RUN.match(text, start).end()
+            tail = TAIL.match(text, run_end)
+        elif found and start < found[-1][1]:
+            continue
+        if tail and text.startswith("eyJ", start) and run_end > start + 3 and _jwt_holds(text, start, run_end):
+            found.append((start, tail.end()))
+    return found
+
+
 def spans(text: str, machine) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the secrets of a text, sorted."""
     # bytes.lower changes A-Z only, so places stay the same.
@@ -147,6 +189,9 @@ def spans(text: str, machine) -> list[tuple[int, int, int]]:
     found = []
     for kind, starts in candidates.items():
         name, over = KINDS[kind], 0
+        if name == "jwt":
+            found += [(start, kind, end) for start, end in _tokens(text, sorted(starts))]
+            continue
         pattern = PATTERNS[name]
         for start in sorted(starts):
             if start < over:

@@ -79,6 +79,48 @@ def test_keep_first(spark):
     assert keep_first(empty(spark)).collect() == []
 
 
+def test_keep_first_loses_no_text(spark):
+    a, b = prose(11, 60), prose(12, 60)
+    near = a.rsplit(" ", 1)[0]
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert {tuple(r) for r in keep_first(docs).collect()} == {(3, a), (5, b)}
+    docs = spark.createDataFrame([(5, a), (5, near), (6, near), (7, ""), (7, ""), (None, a), (5, a)], "doc_id long, text string")
+    kept = [tuple(r) for r in keep_first(docs).collect()]
+    assert len(kept) == 4 and sorted(kept, key=repr)[1:] == [(7, ""), (7, ""), (None, a)]
+    assert sum(r in ((5, a), (5, near)) for r in kept) == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_keep_first_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    bases = [prose(100 + k, 40, 5_000) for k in range(12)]
+    rows_ = []
+    for k in range(60):
+        words = rng.choice(bases).split()
+        if rng.random() < 0.5:
+            words[-1] = rng.choice(["changed", "other"])
+        rows_.append((rng.randrange(25), " ".join(words)))
+    texts = sorted(set(rows_))
+    sets = {r: {tuple(r[1].split()[i : i + 5]) for i in range(len(r[1].split()) - 4)} for r in texts}
+    root = {r: r for r in texts}
+
+    def find(r):
+        while root[r] != r:
+            r = root[r]
+        return r
+
+    for r in texts:
+        for q in texts:
+            if 100 * len(sets[r] & sets[q]) >= 80 * len(sets[r] | sets[q]):
+                root[find(r)] = find(q)
+    kept = [tuple(r) for r in keep_first(spark.createDataFrame(rows_, "doc_id long, text string")).collect()]
+    groups = {}
+    for r in texts:
+        groups.setdefault(find(r), []).append(r)
+    assert len(kept) == len(groups) == len({find(r) for r in kept})
+    assert all(r[0] == min(groups[find(r)])[0] for r in kept)
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     how = NearDup()
     limits = least_matches(how)

@@ -82,3 +82,15 @@ def test_awkward_rows(spark):
     left = s.redact(docs)
     assert left.columns == docs.columns and left.count() == docs.count()
     assert s.redact(empty(spark)).collect() == []
+
+
+def test_long_runs_cost_no_rescans():
+    import time
+
+    for text in ("eyJ" * 100_000, "eyJ" * 100_000 + ".a.b", "eyJhYiI6" * 40_000 + ".a.b", "eyJxeyJ" * 40_000 + ".a.b"):
+        started = time.time()
+        assert [f for f in s.spans(text, MACHINE) if f[1] == 4] == []
+        assert time.time() - started < 20
+    head = base64.urlsafe_b64encode(('{"alg":"HS256","pad":"' + "é" * 500 + '"}').encode()).decode().rstrip("=")
+    text = f"x eyJ9 {head}.abc.def eyJ"
+    assert [(a, e) for a, k, e in s.spans(text, MACHINE) if k == 4] == [(7, 7 + len(head) + 8)]
