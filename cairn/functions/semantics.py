@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,19 +54,38 @@ def half_up(value: Column) -> Column:
     return F.floor(value + F.lit(0.5))
 
 
+# A list longer than this is no IN predicate but a table of ids, and one of up to so many ids (8 bytes
+# each) is sent to all tasks.
+LISTED_IDS, SENT_IDS = 1_000, 4_000_000
+
+
+def _id_table(df: DataFrame, wanted: list) -> DataFrame:
+    """A list of ids as a table, made from one Arrow array."""
+    return df.sparkSession.createDataFrame(pa.table({"_id": pa.array(wanted)}))
+
+
 def ids_of(df: DataFrame, ids: SiteIds, column: str = "site_id") -> DataFrame:
     """Keep the rows whose ``column`` is among ``ids``.
 
-    ``None`` keeps every row and an empty list keeps none. A list becomes an IN
-    predicate that reaches the scan, whatever its length and type; a DataFrame
-    of ids becomes a left semi join, whose strategy Spark picks from its size.
+    ``None`` keeps every row and an empty list keeps none. A short list becomes an IN
+    predicate that reaches the scan. Of a long one the least and the largest id reach the
+    scan, and the ids become a table for a left semi join: below any shuffle or explode of the
+    rows, and without one itself up to :data:`SENT_IDS`. A DataFrame of ids becomes a left
+    semi join, whose strategy Spark picks from its size.
     """
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
         return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
-    wanted = list(dict.fromkeys(ids))
-    return df.where(F.col(column).isin(wanted)) if wanted else df.where(F.lit(False))
+    wanted = list(dict.fromkeys(i for i in ids if i is not None))
+    if not wanted:
+        return df.where(F.lit(False))
+    if len(wanted) <= LISTED_IDS:
+        return df.where(F.col(column).isin(wanted))
+    table = _id_table(df, wanted).withColumnRenamed("_id", column)
+    if len(wanted) <= SENT_IDS:
+        table = F.broadcast(table)
+    return df.where(F.col(column).between(min(wanted), max(wanted))).join(table, column, "left_semi")
 
 
 def best_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -85,17 +85,34 @@ def _row_aggregates(t: Tables, pairs: DataFrame, *aggregates: Column) -> DataFra
     return spread.groupBy("scope", "row").agg(*aggregates)
 
 
-def _cell_counts() -> Column:
-    """Taxa per cell of one matrix row, first column first."""
-    return F.array(
-        *[
-            F.coalesce(
-                F.sum(F.getbit(F.col("bits"), F.lit(COLUMNS - 1 - c)).cast("bigint")),
-                F.lit(0).cast("bigint"),
-            )
-            for c in range(COLUMNS)
-        ]
-    )
+def _stride(t: Tables) -> int:
+    """How far apart the cells that are counted in one number lie, so that no count runs into the next.
+
+    A taxon counts once a scope, so a count is at most the number of taxa with a
+    matrix, which is a code table.
+    """
+    taxa = t["mcr_matrix"].agg(F.count_distinct("taxon_id").alias("n")).first()["n"]
+    return next(s for s in (12, 15, 20, 30, 60) if s == COLUMNS or taxa < 1 << s)
+
+
+def _cell_sums(stride: int) -> list[Column]:
+    """Numbers that each hold the counts of the cells ``stride`` apart, as fields of ``stride`` bits.
+
+    Every stride divides a row, so shifting a row and keeping its bits at multiples
+    of the stride gives one addend for several cells at once.
+    """
+    mask = F.lit(sum(1 << at for at in range(0, COLUMNS, stride)))
+    return [
+        F.coalesce(F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(mask)), F.lit(0)).cast("bigint").alias(f"_c{k}")
+        for k in range(stride)
+    ]
+
+
+def _cell_counts(stride: int) -> Column:
+    """Taxa per cell of one matrix row, first column first, from :func:`_cell_sums`."""
+    field = F.lit((1 << stride) - 1)
+    places = range(COLUMNS - 1, -1, -1)
+    return F.array(*(F.shiftrightunsigned(f"_c{p % stride}", p // stride * stride).bitwiseAND(field).cast("bigint") for p in places))
 
 
 def _bounds(found: DataFrame, bits: str, *extra: Column) -> DataFrame:
@@ -146,9 +163,10 @@ def mcr_reconstruction_summary(
 
 def mcr_density(t: Tables, scope: str = "site", ids: SiteIds = None) -> DataFrame:
     """Taxa per cell, every cell of every scope."""
+    stride = _stride(t)
     return (
-        _row_aggregates(t, scope_taxa(t, scope, ids), _cell_counts().alias("counts"))
-        .select("scope", "row", F.posexplode("counts").alias("col", "n"))
+        _row_aggregates(t, scope_taxa(t, scope, ids), *_cell_sums(stride))
+        .select("scope", "row", F.posexplode(_cell_counts(stride)).alias("col", "n"))
         .select(
             "scope",
             F.col("row").cast("bigint").alias("row"),
@@ -169,14 +187,14 @@ LEAN_COLUMNS: Sequence[str] = (
 
 def _lean(t: Tables, pairs: DataFrame) -> DataFrame:
     """Density bounds, peak cell and climate statistics per scope."""
-    top = F.array_max("counts")
+    top, stride = F.array_max("counts"), _stride(t)
     cells = _row_aggregates(
         t,
         pairs,
         F.bit_or("bits").alias("any"),
         F.count(F.lit(1)).alias("taxa"),
-        _cell_counts().alias("counts"),
-    ).select(
+        *_cell_sums(stride),
+    ).withColumn("counts", _cell_counts(stride)).select(
         "scope",
         F.col("row").cast("bigint").alias("row"),
         F.coalesce("any", F.lit(0)).cast("bigint").alias("any"),

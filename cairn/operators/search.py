@@ -36,6 +36,7 @@ from cairn.operators.facts import (
 from cairn.operators.paths import path_matches, schema_path
 from cairn.operators.taxa import taxonomy
 from cairn.operators.textindex import StoredIndex, candidates, gram_sets, indexed_scores
+from cairn.sources.collections import is_collection, search_collection
 from cairn.sources.tables import Tables
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 50
@@ -487,9 +488,12 @@ def search_documents(documents: DataFrame, key: str, path: str, value: str) -> D
     """Ids of the documents whose value at ``path`` passes the test.
 
     Through arrays one passing value is enough; "not" wants no value that is
-    equal. A document may be spread over several parts, so the parts vote.
+    equal. A document may be spread over several parts, so the parts vote. A
+    collection read without a schema is searched by its values.
     """
     operator, wanted = path_test(value)
+    if is_collection(documents):
+        return search_collection(documents, key, path, operator, wanted)
     kind, names = schema_path(documents, path)
     first = F.col(path.split(".")[0])
     hit = (

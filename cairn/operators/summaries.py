@@ -278,14 +278,12 @@ def entity_census(
         raise ValueError(f"unknown tables {unknown}")
     bound = [r for r in asked if r in t or f"{r}_flat" in t]
     key = "analysis_entity_id"
-    marked = ids_of(entities(t).select(key), entity_ids, key).withColumn(
-        "role", F.lit(None).cast("string")
-    )
+    marked = ids_of(entities(t).select(key), entity_ids, key).withColumn("_role", F.lit(-1))
     for role in bound:
         source = t[f"{role}_flat"] if f"{role}_flat" in t else t[role]
         rows = ids_of(source.select(key), entity_ids, key)
-        marked = marked.unionByName(rows.withColumn("role", F.lit(role)))
-    counts = [F.count_if(F.col("role") == role).alias(role) for role in asked]
-    known = F.count_if(F.col("role").isNull()).alias("_known")
+        marked = marked.unionByName(rows.withColumn("_role", F.lit(asked.index(role))))
+    counts = [F.count_if(F.col("_role") == k).alias(role) for k, role in enumerate(asked)]
+    known = F.count_if(F.col("_role") == -1).alias("_known")
     wide = marked.groupBy(F.col(key).alias("entity_id")).agg(known, *counts).where("_known > 0")
     return wide.unpivot("entity_id", asked, "table_name", "n")

@@ -11,7 +11,7 @@ from cairn.functions.nesting import PART, PARTS
 from cairn.operators import climate, datagroups, dating, documents, domains, ecocodes, facts
 from cairn.operators import search as find
 from cairn.operators import summaries, taxa, textindex, variables
-from cairn.sources import sinks
+from cairn.sources import collections, sinks
 from cairn.sources.binding import bind, word_number
 from cairn.sources.shared import shared_folder
 from cairn.sources.store import Store
@@ -464,6 +464,39 @@ def _(t: Tables) -> DataFrame:
     return find.free_text(named, "thé que nation", texts=texts)
 
 
+def _stored_collection(t: Tables, paths: list[str], site_ids=None) -> DataFrame:
+    """Site documents written as JSON lines and read back without a schema."""
+    folder = shared_folder(t.spark, "collection")
+    collections.store_collection(documents.site_documents(t, site_ids, paths=paths, slices=SLICES), folder, "site_id")
+    return collections.read_collection(t.spark, folder, "site_id")
+
+
+@query("qry1_collection_equal")
+def _(t: Tables) -> DataFrame:
+    return find.search_sites(_stored_collection(t, ["datasets"]), "datasets.method_id", "3")
+
+
+@query("qry1_collection_not")
+def _(t: Tables) -> DataFrame:
+    return find.search_sites(_stored_collection(t, ["datasets"]), "datasets.method_id", "not:3")
+
+
+@query("src3_collection_projection")
+def _(t: Tables) -> DataFrame:
+    """Two fields of the documents of some sites, from JSON lines."""
+    folder = shared_folder(t.spark, "collection")
+    collections.store_collection(documents.site_documents(t, paths=["location"], slices=1), folder, "site_id")
+    fields = {"site_name": "string", "latitude_dd": "double"}
+    return collections.read_collection(t.spark, folder, "site_id", ids=range(1, 400, 3), fields=fields)
+
+
+@query("flt1_many_sites")
+def _(t: Tables) -> DataFrame:
+    """A list of a million ids: abundances of every third site."""
+    rows = facts.abundance_facts(t, range(1, 3_000_000, 3))
+    return rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("srch7_free_text_indexed")
 def _(t: Tables) -> DataFrame:
     """From a stored index of all documents; only the buckets of the query's words are read."""

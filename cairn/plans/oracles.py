@@ -831,6 +831,23 @@ oracle("srch1_three_terms", _covered_page("of the and", [["of", "the", "and"]]))
 oracle("srch1_alternatives", _covered_page("que la or the of", [["que", "la"], ["the", "of"]]))
 oracle("srch1_sites_indexed", _page(_site_hits("00000012"), 1, 50))
 oracle("srch2_sample_groups_indexed", _page(_best(_GROUP_ROWS, "sample_group_id"), 1, 50))
+oracle(
+    "qry1_collection_equal",
+    "SELECT DISTINCT site_id AS id FROM v_site_dataset WHERE method_id = 3",
+)
+oracle(
+    "qry1_collection_not",
+    """SELECT c_custkey AS id FROM customer
+       WHERE c_custkey NOT IN (SELECT site_id FROM v_site_dataset WHERE method_id = 3)""",
+)
+oracle(
+    "src3_collection_projection",
+    "SELECT c_custkey AS site_id, c_name AS site_name, c_acctbal / 100 AS latitude_dd FROM customer WHERE c_custkey < 400 AND c_custkey % 3 = 1",
+)
+oracle(
+    "flt1_many_sites",
+    "SELECT site_id, count(*) AS n FROM v_entity WHERE site_id % 3 = 1 AND site_id < 3000000 GROUP BY site_id",
+)
 oracle(
     "qry1_search_sites_equal",
     "SELECT DISTINCT site_id AS id FROM v_site_dataset WHERE method_id = 3",
