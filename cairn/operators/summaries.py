@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.distinct import id_sets, set_sizes
 from cairn.functions.semantics import SiteIds, ids_of, truthy_text
 from cairn.operators.dating import site_age_summary
 from cairn.operators.documents import path_table
@@ -45,13 +46,35 @@ def _named_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def dataset_summaries(t: Tables, site_ids: SiteIds = None) -> DataFrame:
-    """Per method: distinct sites and (site, dataset) pairs."""
-    pairs = of_methods(t, site_datasets(t, site_ids))
-    per_site = pairs.groupBy("method_id", "site_id").agg(_count().alias("datasets"))
-    counts = per_site.groupBy("method_id").agg(
-        _count().alias("site_count"), F.sum("datasets").alias("dataset_count")
-    )
+def dataset_site_sets(t: Tables, site_ids: SiteIds = None) -> DataFrame:
+    """The sites of every (method, dataset), as sets to store and merge."""
+    return id_sets(of_methods(t, site_datasets(t, site_ids)), ["method_id", "dataset_id"], "site_id")
+
+
+def method_sample_sets(t: Tables, site_ids: SiteIds = None) -> DataFrame:
+    """The samples of every method, as sets to store and merge."""
+    rows = entities(t).select("sample_group_id", "physical_sample_id", "dataset_id")
+    if site_ids is not None:
+        rows = rows.join(groups(t, site_ids).select("sample_group_id"), "sample_group_id", "left_semi")
+    return id_sets(of_methods(t, rows), ["method_id"], "physical_sample_id")
+
+
+def dataset_summaries(t: Tables, site_ids: SiteIds = None, *, sets: DataFrame | None = None) -> DataFrame:
+    """Per method: distinct sites and (site, dataset) pairs.
+
+    ``sets`` of :func:`dataset_site_sets`, from any number of loads, take the
+    place of the rows.
+    """
+    if sets is not None:
+        sites = set_sizes(sets, ["method_id"], "site_count")
+        pairs = set_sizes(sets, ["method_id", "dataset_id"], "n").groupBy("method_id").agg(F.sum("n").alias("dataset_count"))
+        counts = sites.join(pairs, "method_id")
+    else:
+        pairs = of_methods(t, site_datasets(t, site_ids))
+        per_site = pairs.groupBy("method_id", "site_id").agg(_count().alias("datasets"))
+        counts = per_site.groupBy("method_id").agg(
+            _count().alias("site_count"), F.sum("datasets").alias("dataset_count")
+        )
     names = methods(t).select("method_id", "method_name")
     return counts.join(names, "method_id", "left").select(
         "method_id", "method_name", "site_count", "dataset_count"
@@ -93,20 +116,27 @@ def domains_overview(t: Tables, site_ids: SiteIds = None) -> DataFrame:
     )
 
 
-def domain_sample_summary(t: Tables, site_ids: SiteIds = None) -> DataFrame:
+def domain_sample_summary(
+    t: Tables, site_ids: SiteIds = None, *, sets: DataFrame | None = None
+) -> DataFrame:
     """Distinct samples per method of every domain, with the domain's total.
 
     The total adds its methods up, so a sample analysed by two methods of one
     domain counts twice. Domains and methods without samples stay, with zero.
+    ``sets`` of :func:`method_sample_sets`, from any number of loads, take the
+    place of the rows.
     """
     rows = entities(t).select("sample_group_id", "physical_sample_id", "dataset_id")
     if site_ids is not None:
         rows = rows.join(groups(t, site_ids).select("sample_group_id"), "sample_group_id", "left_semi")
-    per_method = (
-        of_methods(t, rows)
-        .groupBy("method_id")
-        .agg(F.count_distinct("physical_sample_id").alias("sample_count"))
-    )
+    if sets is not None:
+        per_method = set_sizes(sets, ["method_id"], "sample_count")
+    else:
+        per_method = (
+            of_methods(t, rows)
+            .groupBy("method_id")
+            .agg(F.count_distinct("physical_sample_id").alias("sample_count"))
+        )
     listed = domain_methods(t)
     filled = listed.join(per_method, "method_id", "left").withColumn(
         "sample_count", F.coalesce("sample_count", F.lit(0)).cast("bigint")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.distinct import store_sets, stored_sets
 from cairn.functions.nesting import PART, PARTS
 from cairn.operators import climate, datagroups, dating, documents, domains, ecocodes, facts
 from cairn.operators import search as find
@@ -51,6 +52,24 @@ def _(t: Tables) -> DataFrame:
     return summaries.dataset_summaries(t)
 
 
+def _loads(t: Tables, make: Callable[[Tables, DataFrame], DataFrame]) -> DataFrame:
+    """Sets of three loads of sites that overlap, stored one after the other and read back."""
+    folder = shared_folder(t.spark, "sets")
+    for k in range(3):
+        store_sets(make(t, t["site"].where(F.col("site_id") % 3 != k).select("site_id")), folder, str(k))
+    return stored_sets(t.spark, folder)
+
+
+@query("sum1_dataset_summaries_of_loads")
+def _(t: Tables) -> DataFrame:
+    return summaries.dataset_summaries(t, sets=_loads(t, summaries.dataset_site_sets))
+
+
+@query("sum5_domain_sample_summary_of_loads")
+def _(t: Tables) -> DataFrame:
+    return summaries.domain_sample_summary(t, sets=_loads(t, summaries.method_sample_sets))
+
+
 @query("sum2_analysis_methods")
 def _(t: Tables) -> DataFrame:
     return summaries.analysis_methods(t)

@@ -162,6 +162,7 @@ oracle(
               count(*) AS dataset_count
        FROM v_site_dataset d LEFT JOIN v_method m USING (method_id) GROUP BY ALL""",
 )
+ORACLES["sum1_dataset_summaries_of_loads"] = ORACLES["sum1_dataset_summaries"]
 oracle(
     "sum2_analysis_methods",
     """SELECT d.method_id, m.method_name, m.method_group_id, m.record_type_id,
@@ -190,6 +191,7 @@ oracle(
               CAST(sum(coalesce(c.n, 0)) OVER (PARTITION BY n.n_regionkey) AS BIGINT) AS domain_sample_count
        FROM nation n LEFT JOIN c ON c.method_id = n.n_nationkey""",
 )
+ORACLES["sum5_domain_sample_summary_of_loads"] = ORACLES["sum5_domain_sample_summary"]
 oracle(
     "sum6_countries",
     """SELECT CAST(c_nationkey AS BIGINT) AS location_id, n_name AS country_name,
