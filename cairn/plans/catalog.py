@@ -11,7 +11,7 @@ from cairn.functions.distinct import store_sets, stored_sets
 from cairn.functions.nesting import PART, PARTS
 from cairn.operators import climate, datagroups, dating, documents, domains, ecocodes, facts
 from cairn.operators import search as find
-from cairn.operators import summaries, taxa, textindex, variables
+from cairn.operators import lookups, summaries, taxa, textindex, variables
 from cairn.sources import collections, sinks
 from cairn.sources.binding import bind, word_number
 from cairn.sources.shared import shared_folder
@@ -67,7 +67,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("sum5_domain_sample_summary_of_loads")
 def _(t: Tables) -> DataFrame:
-    return summaries.domain_sample_summary(t, sets=_loads(t, summaries.method_sample_sets))
+    rows = summaries.domain_sample_summary(t, sets=_loads(t, summaries.method_sample_sets))
+    return rows.withColumn("method_pos", F.col("method_pos").cast("bigint"))
 
 
 @query("sum2_analysis_methods")
@@ -902,6 +903,14 @@ def _(t: Tables) -> DataFrame:
     return documents.site_lookups(t)
 
 
+@query("doc7_site_lookup_tables")
+def _(t: Tables) -> DataFrame:
+    """Names of the codes of all kinds that describe themselves; the other kinds are in doc7_site_lookups."""
+    kinds = "biblio taxon abundance_element modification_type dating_lab dating_uncertainty value_class isotope_measurement domain".split()
+    rows = lookups.site_lookup_tables(t).where(F.col("kind").isin(kinds))
+    return rows.select("site_id", "kind", "id", "name", F.col("attributes").isNotNull().alias("described"))
+
+
 @query("doc8_site_biblio_lookup")
 def _(t: Tables) -> DataFrame:
     return documents.site_biblio_lookup(t)

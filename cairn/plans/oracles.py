@@ -1133,6 +1133,24 @@ _LOOKUP_ROWS = """SELECT DISTINCT site_id, 'method' AS kind, method_id AS id FRO
        UNION SELECT site_id, 'contact', unnest([dataset_id % 5, dataset_id % 7]) FROM v_site_dataset"""
 oracle("doc7_site_lookups", _LOOKUP_ROWS)
 oracle("doc1_site_lookup_tables", _LOOKUP_ROWS)
+oracle(
+    "doc7_site_lookup_tables",
+    """SELECT *, true AS described FROM (
+         SELECT DISTINCT site_id, 'biblio' AS kind, biblio_id AS id, 'Work ' || biblio_id AS name FROM (
+           SELECT c_custkey AS site_id, c_custkey % 150 AS biblio_id FROM customer
+           UNION ALL SELECT site_id, sample_group_id % 170 FROM v_group UNION ALL SELECT site_id, dataset_id % 200 FROM v_site_dataset)
+         UNION ALL SELECT DISTINCT site_id, 'taxon', taxon_id, genus_name || ' ' || species FROM v_entity JOIN v_taxonomy USING (taxon_id)
+         UNION ALL SELECT DISTINCT site_id, 'abundance_element', CAST(ascii(l_returnflag) AS BIGINT), 'Element ' || l_returnflag FROM v_entity
+         UNION ALL SELECT DISTINCT site_id, 'modification_type', CAST(ascii(l_linestatus) AS BIGINT), l_linestatus FROM v_entity WHERE l_returnflag = 'R'
+         UNION ALL SELECT DISTINCT site_id, 'dating_lab', CAST(l_linenumber AS BIGINT), 'Lab ' || n_name
+                   FROM v_entity JOIN nation ON n_nationkey = l_linenumber WHERE l_returnflag = 'N'
+         UNION ALL SELECT DISTINCT user_id, 'dating_uncertainty', event_id % 4, r_name FROM events JOIN region ON r_regionkey = event_id % 4
+                   WHERE event_type IN ('view', 'purchase', 'click')
+         UNION ALL SELECT DISTINCT user_id, 'value_class', CAST('0x' || substr(md5(event_type), 1, 15) AS BIGINT), event_type FROM events
+         UNION ALL SELECT DISTINCT site_id, 'isotope_measurement', CAST(l_linenumber AS BIGINT), n_name FROM v_entity JOIN nation ON n_nationkey = l_linenumber
+         UNION ALL SELECT c_custkey, 'domain', CAST(r_regionkey AS BIGINT), r_name FROM customer, region
+                   WHERE r_regionkey IN (SELECT n_regionkey FROM nation))""",
+)
 oracle(
     "doc8_site_biblio_lookup",
     """WITH r AS (

@@ -284,3 +284,16 @@ def test_sink_keeps_the_other_documents(spark, roles, tmp_path, slices):
     with pytest.raises(Exception, match="exist"):
         sinks.save_documents(changed, first, "site_id", buckets=3)
     assert sinks.site_headers(roles).columns == list(sinks.HEADER_COLUMNS)
+
+
+def test_lookup_tables_describe_every_code(roles):
+    from cairn.operators.lookups import site_lookup_tables
+
+    found = {(r["site_id"], r["kind"], r["id"]): r for r in plain(site_lookup_tables(roles))}
+    assert len(found) == site_lookup_tables(roles).count()
+    assert {(k[0], k[1], k[2]) for k in found} >= {tuple(r) for r in documents.site_lookups(roles).collect()}
+    method = found[1, "method", 3]
+    assert method["name"] == "Insect count" and '"method_group_id":5' in method["attributes"]
+    assert {k[1] for k in found} >= {"method", "biblio", "taxon", "abundance_element", "modification_type", "domain", "value_class", "isotope_measurement"}
+    some = {(r["site_id"], r["kind"], r["id"]) for r in plain(site_lookup_tables(roles, [2]))}
+    assert some == {k for k in found if k[0] == 2}
