@@ -7,10 +7,16 @@ elements that align with each other become one repeated group, elements that onl
 texts that differ become slots. Wrappers fold into each other by the same alignment, so every task folds its own
 pages and sixteen wrappers of a host at a time are folded until one is left; no host is gathered.
 
+Numbers of two digits and more inside classes and ids (``post-123``) count as one sign, so pages whose elements carry numbers of their own
+align, and the wrapper of a host stays the size of its template.
+
 In a finished wrapper the main element is the first of ``article``, ``main`` or a body of an article that holds text, or
 else the element whose own paragraphs hold most text that is no link and differs between pages. Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments inside it are left out. A page without the
-wrapper's main element is judged by its own tree.
+footers, sidebars, notices, adverts, forms, scripts, styles and comments inside it are left out. Some are told by their
+tag or by a whole class (``comments``). Where such a word is only part of a class (``social-history``, ``share-bar``) the
+wrapper decides: the element is left out if at least half of its text is links or slots that the pages of the host
+have in common word for word, while other slots differ. A page without the wrapper's main element, or with nothing
+in it, is judged by its own tree.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +42,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+DIGITS = re.compile("[0-9]{2,}")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 #: Elements that end an open paragraph, and what an element of each kind ends, up to a limit.
@@ -46,6 +54,8 @@ BOILERPLATE_WORDS = frozenset(
     "header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond share "
     "sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that tell an element even as a part of a class; of the other ones the wrapper decides then.
+PART_WORDS = frozenset("ad ads advert advertisement adverts breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer nav navbar newsletter promo sidebar sponsor sponsored subscribe".split())
 MAIN_WORDS = frozenset("articlebody article-body entry-content post-content story-body main-content".split())
 #: Elements nested deeper than this count as part of the last one that is not.
 DEEPEST = 200
@@ -54,21 +64,32 @@ HOSTS_TO_SEND, COPIES = 20_000, 64
 
 
 def key_of(tag: str, attributes: str) -> str:
-    """Tag, and class, id and role where given."""
+    """Tag, and class, id and role where given; longer numbers are one sign."""
     if not attributes or "=" not in attributes:
         return tag
-    found = {name.lower(): value.strip("\"'").lower() for name, value in NAMED.findall(attributes)}
+    found = {name.lower(): DIGITS.sub("#", value.strip("\"'").lower()) for name, value in NAMED.findall(attributes)}
     return "".join([tag, *(f"|{name}={found[name]}" for name in ("class", "id", "role") if found.get(name))])
 
 
-def boilerplate(key: str) -> bool:
+@lru_cache(maxsize=100_000)
+def _told(key: str) -> tuple[bool, bool]:
+    """Whether a key is boilerplate, and whether the wrapper has to decide."""
     tag, _, rest = key.partition("|")
     if tag in BOILERPLATE_TAGS:
-        return True
+        return True, False
     if not rest or tag in ("body", "html", "article", "main"):
-        return False
-    words = set(re.split(r"[^a-z0-9-]+", re.sub(r"(^|\|)(class|id|role)=", " ", rest)))
-    return bool(words & BOILERPLATE_WORDS or {part for w in words for part in w.split("-")} & BOILERPLATE_WORDS) and not words & MAIN_WORDS
+        return False, False
+    words = set(re.split(r"[^a-z0-9#-]+", re.sub(r"(^|\|)(class|id|role)=", " ", rest)))
+    if words & MAIN_WORDS:
+        return False, False
+    parts = {part for word in words for part in word.split("-")}
+    if words & BOILERPLATE_WORDS or parts & PART_WORDS:
+        return True, False
+    return False, bool(parts & BOILERPLATE_WORDS)
+
+
+def boilerplate(key: str, dropped: frozenset[str] = frozenset()) -> bool:
+    return key in dropped or _told(key)[0]
 
 
 def is_main(key: str) -> bool:
@@ -235,6 +256,34 @@ def _mass(node: Node, pages: int) -> int:
     return 0 if boilerplate(node.key) else sum(_mass(k, pages) for k in node.kids)
 
 
+def dropped_keys(root: Node) -> list[str]:
+    """The keys left to the wrapper whose elements are mostly links or text that the pages have in common."""
+    totals: dict[str, list[int]] = {}
+    differ = False
+
+    def walk(node: Node, inside: tuple[str, ...]) -> None:
+        nonlocal differ
+        if node.key == "#":
+            shared = node.text is not None and node.seen > 1
+            differ |= node.text is None and not inside
+            for key in inside:
+                chars = totals.setdefault(key, [0, 0, 0])
+                chars[0] += node.chars
+                chars[1] += node.links
+                chars[2] += node.chars - node.links if shared else 0
+            return
+        if _told(node.key)[0]:
+            return
+        if _told(node.key)[1] and node.key not in inside:
+            inside = (*inside, node.key)
+        for kid in node.kids:
+            walk(kid, inside)
+
+    walk(root, ())
+    # Where the pages are one text throughout, what they share says nothing.
+    return sorted(key for key, (all_, links, shared) in totals.items() if all_ and 2 * (links + (shared if differ else 0)) >= all_)
+
+
 def main_path(root: Node) -> list[str]:
     """Keys from the root to the main element, [""] if that is the whole page; empty if the tree holds no text that counts."""
     pages, named, best = root.seen, None, (0, [])
@@ -257,8 +306,8 @@ def main_path(root: Node) -> list[str]:
     return named if named is not None else best[1]
 
 
-def main_text(page: str, path: list[str]) -> str | None:
-    """Text of the elements at ``path``, boilerplate left out; None if the page has no such element."""
+def main_text(page: str, path: list[str], dropped: frozenset[str] = frozenset()) -> str | None:
+    """Text of the elements at ``path``, boilerplate and dropped keys left out; None if the page has no such element."""
     keys: list[str] = []
     found, inside, skip = path == [""], -int(path == [""]), 0
     blocks: list[str] = []
@@ -278,7 +327,7 @@ def main_text(page: str, path: list[str]) -> str | None:
         elif kind == "open":
             keys.append(key)
             if inside:
-                if skip or boilerplate(key):
+                if skip or boilerplate(key, dropped):
                     if not skip:
                         flush()
                     skip += 1
@@ -301,11 +350,12 @@ def main_text(page: str, path: list[str]) -> str | None:
     return " ".join(blocks) if found else None
 
 
-def extract(page: str, path: list[str]) -> str:
-    text = main_text(page, path) if path else None
-    if text is None:
-        own = main_path(page_tree(page))
-        text = main_text(page, own) if own else None
+def extract(page: str, path: list[str], dropped: frozenset[str] = frozenset()) -> str:
+    text = main_text(page, path, dropped) if path else None
+    if not text:
+        tree = page_tree(page)
+        own = main_path(tree)
+        text = main_text(page, own, dropped or frozenset(dropped_keys(tree))) if own else None
     return text or ""
 
 
@@ -313,7 +363,7 @@ HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 
 
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, wrapper, path): the wrapper of each host as JSON, and the keys that lead to its main element."""
+    """(host, wrapper, path, dropped): the wrapper of each host as JSON, the keys that lead to its main element, and those left out in it."""
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Node] = {}
@@ -336,13 +386,14 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [main_path(Node.unpacked(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("wrapper"), pa.array(paths, pa.list_(pa.string()))], ["host", "wrapper", "path"])
+            trees = [Node.unpacked(json.loads(w)) for w in batch.column("wrapper").to_pylist()]
+            found = [pa.array([judge(t) for t in trees], pa.list_(pa.string())) for judge in (main_path, dropped_keys)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("wrapper"), *found], ["host", "wrapper", "path", "dropped"])
 
     shape = "host string, part long, wrapper string"
     texts = pages.where(F.col(page).isNotNull()).select(_host(url).alias("host"), F.col(page).alias("page"))
     found = folded(texts.mapInArrow(infer, shape), ("host",), merge, shape, texts.rdd.getNumPartitions())
-    return found.select("host", "wrapper").mapInArrow(point, "host string, wrapper string, path array<string>")
+    return found.select("host", "wrapper").mapInArrow(point, "host string, wrapper string, path array<string>, dropped array<string>")
 
 
 def _host(url: str):
@@ -356,7 +407,7 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", page: st
     rows each give their text. White space is what Unicode calls so; comments and markup that is never closed end
     with the page. Other columns are not read. An empty table gives an empty result.
     """
-    found = cut(wrappers(pages, url, page).select("host", "path"))
+    found = cut(wrappers(pages, url, page).select("host", "path", "dropped"))
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(page), F.lit("")).alias("page"), _host(url).alias("of"))
     if found.count() <= HOSTS_TO_SEND:
         rows = rows.join(F.broadcast(found), F.col("of") == F.col("host"), "left")
@@ -365,13 +416,14 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", page: st
         copies = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
         rows = rows.withColumn("at", F.pmod(F.xxhash64("id", "url", "page"), F.lit(COPIES)))
         rows = rows.join(copies, (F.col("of") == F.col("host")) & (F.col("at") == F.col("copy")), "left")
-    rows = rows.select("id", "url", "page", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+    rows = rows.select("id", "url", "page", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("path", "dropped")))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = [extract(p, k) if p else "" for p, k in zip(part.column("page").to_pylist(), part.column("path").to_pylist(), strict=True)]
+                columns = (part.column(c).to_pylist() for c in ("page", "path", "dropped"))
+                out = [extract(p, k, frozenset(d)) if p else "" for p, k, d in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id].dataType.simpleString()

@@ -47,6 +47,50 @@ def test_main_element_without_a_name(spark):
     assert got == want
 
 
+def test_the_wrapper_decides_on_parts_of_classes(spark):
+    rows, want, alone = [], {}, {}
+    for k in range(6):
+        body = f"<article id='post-{100 + k}' class='post-{100 + k} hentry'><div class='entry-header'><h1>Head {k}</h1></div><p>{prose(k, 20)}</p>"
+        body += f"<div class='social-history'><p>{prose(50 + k, 20)}</p></div><div class='related-work'><p>{prose(90 + k, 9)}</p></div>"
+        body += "<div class='share-bar'>Tell your friends about this page</div><ul class='related-posts'><li><a href='/x'>Other</a></ul>"
+        body += f"<div class='comment-list'><p>reader {k}</p></div></article>"
+        rows.append(site(k, body, host="c.example", before=BEFORE, after=AFTER))
+        want[k] = f"Head {k} {prose(k, 20)} {prose(50 + k, 20)} {prose(90 + k, 9)}"
+        tree = w.page_tree(rows[-1][2])
+        alone[k] = w.extract(rows[-1][2], w.main_path(tree), frozenset(w.dropped_keys(tree)))
+    got = {r["page_id"]: r["text"] for r in w.main_texts(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == want
+    # Without the pages of its host a page cannot tell the bar that they share from its own text.
+    assert all("Tell your friends" in text for text in alone.values())
+    # Pages that are all the same keep their text.
+    same = [(k, "https://d.example/x", rows[0][2]) for k in range(5)]
+    kept = {r["text"] for r in w.main_texts(spark.createDataFrame(same, SCHEMA)).collect()}
+    assert kept == {alone[0]}
+
+
+def test_wrappers_are_as_large_as_their_template():
+    sizes = []
+    for n in (50, 400):
+        root = None
+        for k in range(n):
+            tree = w.page_tree(site(k, f"<article id='post-{100 + k}' class='post-{100 + k}'><p>{prose(k, 5)}</p></article>")[2])
+            root = tree if root is None else (w.fold(root, tree), root)[1]
+        sizes.append(sum(1 for _ in _nodes(root)))
+        assert w.main_path(root)[-1] == "article|class=post-#|id=post-#"
+    assert sizes[0] == sizes[1]
+
+
+def _nodes(node):
+    yield node
+    for kid in node.kids:
+        yield from _nodes(kid)
+
+
+def test_an_empty_main_element_falls_back():
+    page = "<body><article></article><div><p>text that stands elsewhere</p></div></body>"
+    assert w.extract(page, ["body", "article"]) == "text that stands elsewhere"
+
+
 def test_markup_rules():
     text = lambda body: w.main_text(f"<body><article>{body}</article></body>", ["body", "article"])
     assert text("a<b>b</b>c<br>d&nbsp; e\n\tf") == "abc d e f"
