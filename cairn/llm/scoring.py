@@ -1,15 +1,23 @@
 """Scoring texts by a log-bilinear language model.
 
-The model predicts a token's class from the classes of the two before it; the class's score is the product of
-its vector with the sum of one vector for each place before, plus a bias, normalised over all classes. A class is
-one of the ``words`` most frequent words, the end of a text, or one of the rest bins that other words fall
-into by their last three bytes. Inside a bin a word has its add-one share of the bin's training tokens, with one
-unit for words never seen.
+A token is predicted in two steps, both log-bilinear and both normalised. First its class from the classes of the two
+before it: the class's score is the product of its vector with the sum of one vector for each place before, plus a
+bias. A class is one of the ``words`` most frequent words, the end of a text, or one of the rest bins that other words
+fall into by their last three bytes. Then the word among its bin's: a word has a vector of its own, and its score
+is the product with the bin's vector of the token before, plus the log of its add-one count. As contexts of this
+step the ``contexts`` next frequent words stand for themselves and others for their class.
+
+Words with vectors are all that occur ``least`` times, so they grow with the corpus, up to the ``vectors`` most
+frequent (the model travels to the tasks, 64 bytes a word). The others of a bin share one vector and part its
+probability by their add-one counts, with one unit for words never seen.
 
 1. Words of the training texts are counted by 64-bit digests.
-2. Class trigrams of the training texts are counted; there are at most 256 ** 3 of them, whatever the corpus.
-3. The vectors are trained by noise-contrastive estimation on all counted trigrams: each task takes gradient
-   steps over its share, in batches with common noise classes, and the tasks' results are averaged, ``rounds`` times.
+2. Class trigrams and pairs (context, word) of the training texts are counted in one pass and one shuffle; there are
+   at most 256 ** 3 and ``vectors`` times 512 of them, whatever the corpus.
+3. The vectors of the classes are trained by noise-contrastive estimation on all counted trigrams: each task takes
+   gradient steps over its share, in batches with common noise classes, and the tasks' results are averaged,
+   ``rounds`` times. The bins do not depend on each other, so each is trained in the same way by one task, on its
+   counted pairs with noise words of the bin, and is normalised there by matrix products.
 4. Texts are scored in one pass. One batched matrix product gives the normalised log-probabilities of every class
    after every pair. Counts of at most ``table`` frequent words travel to the tasks; the others are joined.
 """
@@ -46,8 +54,18 @@ class Bilinear:
     batches: int = 200
     tasks: int = 16
     table: int = 1 << 19
+    contexts: int = 256
+    vectors: int = 1 << 17
+    least: int = 5
+    width: int = 16
+    passes: int = 2
+    pace: float = 0.3
     seed: int = 5
 
+    def __post_init__(self) -> None:
+        if not (0 < self.words < CLASSES - 1 and 0 <= self.contexts <= CLASSES and self.vectors <= 1 << 18):
+            raise ValueError("a pair's key has room for 512 contexts and 2^18 words of a bin")
+
     @property
     def bins(self) -> int:
         return CLASSES - 1 - self.words
@@ -131,22 +149,47 @@ def _counted(batches: Iterator[pa.RecordBatch], values, names: tuple[str, str, s
         yield from rows()
 
 
+@dataclass
+class Tokens:
+    """Every token of a block, ends included: digest, count in the table (-1 if not there), class, context as which
+    the next token sees it, its bin and row there (row 0 for words without a vector; both -1 for classes)."""
+
+    digests: np.ndarray
+    n: np.ndarray
+    classes: np.ndarray
+    contexts: np.ndarray
+    bins: np.ndarray
+    rows: np.ndarray
+
+
 @dataclass
 class Vocabulary:
-    """Corpus counts for the tasks: frequent words, which of them are classes, and each bin's tokens and distinct words."""
+    """Corpus counts for the tasks.
+
+    ``frequent`` leads to places in ``n``, ``classes``, ``contexts`` and ``rows``. Bin b has the rows from
+    ``first[b]`` to ``first[b + 1]`` of ``weights``; the first of them stands for its words without a vector.
+    """
 
     frequent: Table
-    classes: Table
+    n: np.ndarray
+    classes: np.ndarray
+    contexts: np.ndarray
+    rows: np.ndarray
+    first: np.ndarray
+    weights: np.ndarray
     tokens: int
     distinct: int
-    bin_tokens: np.ndarray
-    bin_distinct: np.ndarray
 
-    def classes_of(self, block: Block, hasher: Hasher, words: np.ndarray, how: Bilinear) -> np.ndarray:
-        """Class of every token: 0 ends a text, then words, then bins."""
-        found = self.classes.find(words)
-        bins = bins_of(block, hasher, how.bins) + 1 + how.words
-        return with_ends(block, np.where(found >= 0, found, bins), 0)
+    def read(self, block: Block, hasher: Hasher, how: Bilinear) -> Tokens:
+        digests = with_ends(block, hasher.words(block.data, block.starts, block.ends), END)
+        bins = with_ends(block, bins_of(block, hasher, how.bins), -1)
+        at = self.frequent.find(digests)
+        here = at >= 0
+        classes = np.where(bins < 0, 0, bins + 1 + how.words)
+        contexts, n, rows = classes.copy(), np.full(len(at), -1), np.where(bins < 0, -1, 0)
+        for found, known in ((classes, self.classes), (contexts, self.contexts), (n, self.n), (rows, self.rows)):
+            found[here] = known[at[here]]
+        return Tokens(digests, n, classes, contexts, np.where(rows < 0, -1, bins), rows)
 
 
 def count_words(training: DataFrame, how: Bilinear) -> DataFrame:
@@ -166,39 +209,70 @@ def vocabulary(counts: DataFrame, how: Bilinear) -> Vocabulary:
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = kth_largest(counts, "n", how.table)
     # Strictly above the count of the word in that place there are fewer words than the table holds.
-    rows = counts.where(F.col("n") > F.lit(least)) if distinct > how.table else counts
+    rows = counts.where((F.col("n") > F.lit(least)) | (F.col("bin") < 0)) if distinct > how.table else counts
     rows = rows.toArrow()
     digests, bins, n = (rows.column(c).to_numpy() for c in ("digest", "bin", "n"))
     words = np.flatnonzero(bins >= 0)
-    top = words[np.lexsort((digests[words], -n[words]))][: how.words]
-    each = counts.where("bin >= 0").groupBy("bin").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    bin_tokens, bin_distinct = np.zeros(how.bins, np.int64), np.zeros(how.bins, np.int64)
-    for row in each:
-        bin_tokens[row["bin"]], bin_distinct[row["bin"]] = row["n"], row["v"]
-    np.subtract.at(bin_tokens, bins[top], n[top])
-    np.subtract.at(bin_distinct, bins[top], 1)
-    return Vocabulary(
-        Table(digests.astype(np.int64).view(np.uint64).copy(), n.copy()),
-        Table(digests[top].astype(np.int64).view(np.uint64).copy(), np.arange(1, len(top) + 1)),
-        int(tokens), int(distinct), bin_tokens, bin_distinct,
-    )
-
-
-def count_trigrams(training: DataFrame, shared, how: Bilinear) -> DataFrame:
-    """(key, n): counts of class trigrams; a key is two classes before and the class itself, a byte each."""
+    words = words[np.lexsort((digests[words], -n[words]))]
+    top, own = words[: how.words], words[how.words :][: how.vectors]
+    own = own[n[own] >= how.least]
+    own = own[np.lexsort((digests[own], bins[own]))]
+    tokens_of, words_of = np.zeros(how.bins, np.int64), np.zeros(how.bins, np.int64)
+    for row in counts.where("bin >= 0").groupBy("bin").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens_of[row["bin"]], words_of[row["bin"]] = row["n"], row["v"]
+    for gone in (top, own):
+        np.subtract.at(tokens_of, bins[gone], n[gone])
+        np.subtract.at(words_of, bins[gone], 1)
+    many = np.bincount(bins[own], minlength=how.bins)
+    first = np.concatenate([[0], np.cumsum(many + 1)])
+    place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + 1
+    weights = np.empty(first[-1])
+    weights[first[:-1]] = tokens_of + words_of + 1
+    weights[first[bins[own]] + place] = n[own] + 1
+    classes = np.where(bins < 0, 0, bins + 1 + how.words)
+    classes[top] = np.arange(1, len(top) + 1)
+    contexts = classes.copy()
+    alone = words[how.words :][: how.contexts]
+    contexts[alone] = CLASSES + np.arange(len(alone))
+    in_bin = np.where(bins < 0, -1, 0)
+    in_bin[top] = -1
+    in_bin[own] = place
+    table = Table(digests.astype(np.int64).view(np.uint64).copy(), np.arange(len(digests)))
+    return Vocabulary(table, n.copy(), classes, contexts, in_bin, first, weights, int(tokens or 0), int(distinct))
+
+
+PAIR = 1 << 40
+
+
+def count_grams(training: DataFrame, shared, how: Bilinear) -> DataFrame:
+    """(key, n): counts of class trigrams and of pairs.
+
+    A trigram's key is two classes before and the class itself, a byte each. A pair's is :data:`PAIR`, the bin, the
+    word's row in it (19 bits) and the context before (9 bits).
+    """
 
     def values(hasher: Hasher, known: Vocabulary):
         def of(block: Block):
-            classes = known.classes_of(block, hasher, hasher.words(block.data, block.starts, block.ends), how)
-            keys = trigrams(block, classes)
-            return keys.astype(np.uint64), np.zeros(len(keys), np.int64)
+            tokens = known.read(block, hasher, how)
+            in_bin = np.flatnonzero(tokens.rows >= 0)
+            pairs = PAIR | (tokens.bins[in_bin] << 28) | (tokens.rows[in_bin] << 9) | before(block, tokens.contexts)[in_bin]
+            keys = np.concatenate([trigrams(block, tokens.classes), pairs])
+            return keys.astype(np.uint64), np.zeros(len(keys), np.int8)
 
         return of
 
-    found = training.mapInArrow(lambda b: _counted(b, values(Hasher(), sent(shared)), ("key", "zero", "n")), "key long, zero long, n long")
+    found = training.mapInArrow(lambda b: _counted(b, values(Hasher(), sent(shared)), ("key", "zero", "n")), "key long, zero byte, n long")
     return cut(found.groupBy("key").agg(F.sum("n").alias("n")))
 
 
+def before(block: Block, contexts: np.ndarray) -> np.ndarray:
+    """The context before each token; 0 before the first of a text."""
+    found = np.zeros_like(contexts)
+    found[1:] = contexts[:-1]
+    found[block.first[:-1] + np.arange(len(block))] = 0
+    return found
+
+
 def trigrams(block: Block, classes: np.ndarray) -> np.ndarray:
     """Key of every token. Every text ends with class 0, which also stands before its first token, twice."""
     one, two = np.zeros_like(classes), np.zeros_like(classes)
@@ -291,8 +365,9 @@ def fit(counts: DataFrame, unigrams: np.ndarray, how: Bilinear) -> Model:
         shared = spark.sparkContext.broadcast(model)
 
         def local(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            found = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("n", pa.int64())])).sort_by("key")
-            if found.num_rows:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                found = pa.Table.from_batches(held).sort_by("key")
                 part = TaskContext.get().partitionId()
                 keys, n = found.column("key").to_numpy(), found.column("n").to_numpy().astype(float)
                 fresh = train(shared.value, keys, n, noise, how, turn * 1_000_003 + part)
@@ -317,6 +392,126 @@ def log_probabilities(model: Model) -> np.ndarray:
     return table.ravel()
 
 
+@dataclass
+class Inner:
+    """The words' vectors by row of ``Vocabulary.weights``, and by bin and context the vectors and the log of the sum
+    of all scores' exponentials."""
+
+    words: np.ndarray
+    contexts: np.ndarray
+    norms: np.ndarray
+
+    def scores(self, tokens: Tokens, ahead: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 of each token's share of its bin, less log10 of its add-one count; 0 for classes."""
+        found = np.zeros(len(ahead))
+        at = np.flatnonzero(tokens.rows >= 0)
+        bins, ahead = tokens.bins[at], ahead[at]
+        products = np.einsum("ij,ij->i", self.words[first[bins] + tokens.rows[at]], self.contexts[bins, ahead])
+        found[at] = (products - self.norms[bins, ahead]) / np.log(10)
+        return found
+
+
+def train_bin(rows: np.ndarray, ahead: np.ndarray, counts: np.ndarray, weights: np.ndarray, how: Bilinear, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a bin's rows and contexts: noise-contrastive steps (Adagrad) over its weighted pairs.
+
+    The noise is the rows' share of ``weights``, so a word's score against the noise is its product alone. All word vectors
+    begin at zero, which is the share itself, and a word with few tokens stays near it.
+    """
+    rng = np.random.default_rng([how.seed, seed])
+    words = np.zeros((len(weights), how.width), np.float32)
+    contexts = rng.normal(0, 0.3, (CLASSES + how.contexts, how.width)).astype(np.float32)
+    sums = {id(words): np.ones_like(words), id(contexts): np.ones_like(contexts)}
+    heights = np.cumsum(weights / weights.sum())
+    lift, counts = np.float32(np.log(how.ratio)), counts.astype(np.float32)
+    size = min(how.batch, max(how.least_batch, len(rows) // how.batches))
+
+    def update(vectors: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
+        hit, inverse = np.unique(at, return_inverse=True)
+        total = np.zeros((len(hit), how.width), np.float32)
+        np.add.at(total, inverse, gradient)
+        sums[id(vectors)][hit] += total**2
+        vectors[hit] += np.float32(how.pace) * total / np.sqrt(sums[id(vectors)][hit])
+
+    for _ in range(how.passes):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), size):
+            part = order[at : at + size]
+            row, one, weight = rows[part], ahead[part], counts[part]
+            drawn = np.minimum(np.searchsorted(heights, rng.random(how.noise)), len(weights) - 1)
+            context, noise = contexts[one], words[drawn]
+            right = np.einsum("ij,ij->i", context, words[row]) - lift
+            wrong = context @ noise.T - lift
+            pull = weight / (1 + np.exp(np.clip(right, -30, 30)))
+            push = weight[:, None] * np.float32(how.ratio / how.noise) / (1 + np.exp(np.clip(-wrong, -30, 30)))
+            for_context = pull[:, None] * words[row] - push @ noise
+            for_words = np.concatenate([pull[:, None] * context, -(push.T @ context)])
+            update(words, np.concatenate([row, drawn]), for_words)
+            update(contexts, one, for_context)
+    return words, contexts
+
+
+def normalisers(words: np.ndarray, contexts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """log of the sum over rows of weight times exp(product), by context; 4,096 rows at a time."""
+    total = np.full(len(contexts), -np.inf)
+    for at in range(0, len(words), 4096):
+        scores = (contexts @ words[at : at + 4096].T).astype(float) + np.log(weights[at : at + 4096])
+        top = scores.max(axis=1)
+        total = np.logaddexp(total, top + np.log(np.exp(scores - top[:, None]).sum(axis=1)))
+    return total
+
+
+def fit_bins(pairs: DataFrame, shared, known: Vocabulary, how: Bilinear) -> Inner:
+    """One task trains one bin. A bin without pairs keeps its add-one shares."""
+
+    def local(table: pa.Table) -> pa.Table:
+        known, table = sent(shared), table.sort_by("key")
+        keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+        own = int(keys[0] >> 28) & 255
+        weights = known.weights[known.first[own] : known.first[own + 1]]
+        words, contexts = train_bin((keys >> 9) & ((1 << 19) - 1), keys & 511, n, weights, how, own)
+        found = [words.tobytes(), contexts.tobytes(), normalisers(words, contexts, weights).tobytes()]
+        return pa.table({"bin": pa.array([own], pa.int64()), **{name: pa.array([x], pa.binary()) for name, x in zip(("words", "contexts", "norms"), found, strict=True)}})
+
+    many = CLASSES + how.contexts
+    sums = np.add.reduceat(known.weights, known.first[:-1])
+    inner = Inner(
+        np.zeros((len(known.weights), how.width), np.float32),
+        np.zeros((how.bins, many, how.width), np.float32),
+        np.repeat(np.log(sums)[:, None], many, axis=1),
+    )
+    by_bin = pairs.groupBy(F.expr("shiftright(key, 28) & 255").alias("bin"))
+    for row in by_bin.applyInArrow(local, "bin long, words binary, contexts binary, norms binary").collect():
+        own = row["bin"]
+        inner.words[known.first[own] : known.first[own + 1]] = np.frombuffer(row["words"], np.float32).reshape(-1, how.width)
+        inner.contexts[own] = np.frombuffer(row["contexts"], np.float32).reshape(many, how.width)
+        inner.norms[own] = np.frombuffer(row["norms"])
+    return inner
+
+
+@dataclass
+class Learned:
+    """What the training texts give: counts of all words, the vocabulary, and the vectors of classes and words."""
+
+    counts: DataFrame
+    known: Vocabulary
+    classes: Model
+    inner: Inner
+
+
+def learn(training: DataFrame, how: Bilinear = Bilinear()) -> Learned:
+    """Train on every row of ``training``, a table with the one column ``text`` without nulls."""
+    counts = count_words(training, how)
+    known = vocabulary(counts, how)
+    shared = send(training.sparkSession, known)
+    grams = count_grams(training, shared, how)
+    threes = grams.where(F.col("key") < F.lit(PAIR))
+    unigrams = np.zeros(CLASSES)
+    for row in threes.groupBy((F.col("key") % CLASSES).cast("int").alias("class")).agg(F.sum("n").alias("n")).collect():
+        unigrams[row["class"]] = row["n"]
+    classes = fit(threes, unigrams, how)
+    return Learned(counts, known, classes, fit_bins(grams.where(F.col("key") >= F.lit(PAIR)), shared, known, how))
+
+
 SCORED = "id {0}, row long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
 
 
@@ -332,38 +527,27 @@ def score(docs: DataFrame, how: Bilinear = Bilinear(), id: str = "doc_id", text:
     held = F.crc32(F.coalesce(F.col(id).cast("string"), F.lit(""))) % 7 == 2
     texts = docs.select(F.col(id).alias("id"), text_column(text).alias("text"), held.alias("held_out"))
     spark = docs.sparkSession
-    training = texts.where("not held_out").select("text")
-    counts = count_words(training, how)
-    known = vocabulary(counts, how)
-    shared = send(spark, known)
-    grams = count_trigrams(training, shared, how)
-    unigrams = np.zeros(CLASSES)
-    for row in grams.groupBy((F.col("key") % CLASSES).cast("int").alias("class")).agg(F.sum("n").alias("n")).collect():
-        unigrams[row["class"]] = row["n"]
-    model = spark.sparkContext.broadcast(fit(grams, unigrams, how))
+    learned = learn(texts.where("not held_out").select("text"), how)
+    counts, known = learned.counts, learned.known
+    shared = send(spark, (known, learned.classes, learned.inner))
     whole = np.log10(known.tokens + known.distinct + 1)
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = Hasher(), sent(shared)
-        table = log_probabilities(model.value)
-        in_bin = np.zeros(CLASSES)
-        in_bin[1 + how.words :] = np.log10(known.bin_tokens + known.bin_distinct + 1)
+        hasher, (known, model, inner) = Hasher(), sent(shared)
+        table = log_probabilities(model)
         row = TaskContext.get().partitionId() << 33
         for block in blocks(batches):
-            words = hasher.words(block.data, block.starts, block.ends)
-            classes = known.classes_of(block, hasher, words, how)
-            tokens = with_ends(block, words, END)
+            tokens = known.read(block, hasher, how)
             of = np.repeat(np.arange(len(block)), np.diff(block.first) + 1)
-            n = known.frequent.find(tokens)
-            here = n >= 0
-            logs = np.where(here, np.log10(np.maximum(n, 0) + 1.0), 0.0)
-            binned = classes > how.words
-            scores = table[trigrams(block, classes)].astype(float) - in_bin[classes] + np.where(binned, logs, 0.0)
+            here = tokens.n >= 0
+            logs = np.where(here, np.log10(np.maximum(tokens.n, 0) + 1.0), 0.0)
+            scores = table[trigrams(block, tokens.classes)].astype(float)
+            scores += inner.scores(tokens, before(block, tokens.contexts), known.first) + np.where(tokens.rows >= 0, logs, 0.0)
             rare, times = [], []
             open_ = np.flatnonzero(~here)
             edges = np.searchsorted(of[open_], np.arange(len(block) + 1))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                own, many = np.unique(tokens[open_[a:b]], return_counts=True)
+                own, many = np.unique(tokens.digests[open_[a:b]], return_counts=True)
                 rare.append(own.view(np.int64))
                 times.append(many.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
