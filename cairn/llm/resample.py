@@ -1,12 +1,14 @@
 """Quality by importance resampling: documents are drawn by the ratio of two n-gram models.
 
 Both models are bags of hashed n-grams: one of the target (texts labelled good and not toxic), one of all raw
-texts. The n-grams of a text are, for each word, its first four and first five bytes in lower case and its last
-three bytes as written, and each pair of neighbouring words, a word hashed to eight bits. The first three are
-hashed to 16 bits, so the tables have 4 * 65,536 cells whatever the corpus.
+texts. The n-grams of a text are its words, whole and in lower case, the pairs of neighbouring words, and for each
+word its first four and first five bytes in lower case and its last three bytes as written. Each of the five kinds is
+hashed to 18 bits, so the tables have 5 * 262,144 cells whatever the corpus.
 
 An n-gram's log ratio is an upper confidence bound (``z`` standard errors of its target count) truncated at
-zero: a rare n-gram that the labelled sample happens to miss, or one common in good texts, says nothing. A
+zero: a rare n-gram that the labelled sample happens to miss, or one common in good texts, says nothing. (On half of
+the labels of a test corpus, with 2^20 cells a kind, at the cut that loses 0.1 % of good texts, the plain two-sided ratio of words and pairs
+kept 95 % of the toxic ones, a ratio bounded on both sides 1.5 %, this one 0.6 %: good n-grams outweigh the few others.) A
 text's log weight is the sum over its n-grams, divided by its words plus ``prior`` and by ``temperature``. Gumbel
 noise, fixed by the document's id, is added, and the top k keys are the sample: drawing without replacement
 by weight.
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from cairn.llm.jobs import cut, folded
 from cairn.llm.textblocks import Block, Hasher, blocks, mixed
 
-CELLS = 1 << 16
-KINDS = 4
+BITS = 18
+CELLS = 1 << BITS
+KINDS = 5
 
 
 @dataclass(frozen=True)
@@ -47,17 +50,17 @@ def ngrams(block: Block, plain: Hasher, lower: Hasher) -> tuple[np.ndarray, np.n
     """Row and cell of every n-gram of a block."""
     starts, ends = block.starts, block.ends
     row = np.repeat(np.arange(len(block)), np.diff(block.first))
-    words = plain.words(block.data, starts, ends)
+    words = lower.words(block.data, starts, ends)
+    pair = np.flatnonzero(row[1:] == row[:-1])
     found = [
+        words,
         lower.words(block.data, starts, np.minimum(ends, starts + 4)),
         lower.words(block.data, starts, np.minimum(ends, starts + 5)),
         plain.words(block.data, np.maximum(starts, ends - 3), ends),
+        words[pair] * np.uint64(3) + words[pair + 1],
     ]
-    cells = [(mixed(f + np.uint64(k)) >> np.uint64(48)).astype(np.int64) + k * CELLS for k, f in enumerate(found)]
-    small = (words >> np.uint64(56)).astype(np.int64)
-    pair = np.flatnonzero(row[1:] == row[:-1])
-    cells.append(small[pair] * 256 + small[pair + 1] + 3 * CELLS)
-    return np.concatenate([row, row, row, row[pair]]), np.concatenate(cells)
+    cells = [(mixed(f + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64) + k * CELLS for k, f in enumerate(found)]
+    return np.concatenate([row, row, row, row, row[pair]]), np.concatenate(cells)
 
 
 def _added(table: pa.Table) -> pa.Table:
