@@ -6,12 +6,13 @@ item go, secrets are masked, and the rest is mixed to the sources' target weight
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.decontaminate import decontaminate
-from cairn.llm.jobs import cut, read
+from cairn.llm.jobs import checkpoint_folder, read
 from cairn.llm.mixing import mixture
 from cairn.llm.neardup import keep_first
 from cairn.llm.resample import keep_sample
@@ -58,12 +59,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written before the next reads it."""
+    """All stages over ``documents``.
+
+    Each but the last is written as Parquet to a folder of this run below the shared checkpoint folder, and the next
+    reads it from there, so a lost executor costs the tasks of one stage.
+    """
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.schema(docs.schema).parquet(f"{folder}/{k}")
     return docs
 
 
