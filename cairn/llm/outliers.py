@@ -1,15 +1,18 @@
 """Quality rules: robust multivariate outliers by language and source.
 
-Every text gives a vector of transformed statistics: log words, mean word length, log symbols a hundred words,
+Every text gives a vector of transformed statistics: log words, log mean word length, log symbols a hundred words,
 and the square roots of the shares of repeated lines and of words in repeated three-word windows. For each language
 and source a minimum-covariance-determinant estimate is found by concentration steps: center and covariance
-of the ``part`` of the documents that are nearest by the last estimate, from a start of medians and
-quartiles, as often as ``steps`` says. A document whose squared Mahalanobis distance passes ``cut``, the 99.9 % quantile
+of the ``part`` of the documents that are nearest by the last estimate. There are four starts: medians and quartile distances;
+mean and covariance of all; and medians with the correlations of the standardized vectors' hyperbolic tangents, and of their
+directions. Each takes ``trials`` steps, the one with the smallest determinant (of equal ones the first) goes on for ``steps``
+more. A document whose squared Mahalanobis distance passes ``cut``, the 99.9 % quantile
 of a chi-square with five degrees of freedom, is rejected, besides those that fail the base rules. Distances are
 scaled so that the group's median is that of the chi-square, which makes up for the spread of a nearest part being
 too small. They are never scaled up: where a statistic is the same in most texts the median is that of fewer degrees.
 
-Values are counted in steps of 1/512, so all sums are exact whole numbers and reruns agree to the bit. Floors on
+Values are counted in steps of 1/512, so all sums are exact whole numbers and reruns agree to the bit. No value passes 26,
+as a text has less than 2^31 characters, so a sum of squares fits a long for over 5 * 10^10 documents. Floors on
 the standard deviations keep estimates regular where a statistic is the same in most texts. For symbols and repeats
 they are as small as they can be for the least a text of 50 words can have (one symbol, one repeated line, one
 repeated run of three words) to be kept where no other text has any; that for log words makes up for the nearest part's
@@ -17,8 +20,8 @@ small spread where lengths are all that differs.
 
 Every source has an estimate of its own, as have every language and all rows. Center, covariance and scale of a source with
 n documents are drawn towards those of its language, and a language's towards those of all rows: its own part is
-n / (n + ``pull`` * (1 - n / ``least``)), with a fifth of ``pull`` for the center (one value a dimension, not five), and 1
-from ``least`` documents on. It grows steadily from 0, so no single document more or less changes the rule.
+n / (n + ``pull``), with a fifth of ``pull`` for the center (one value a dimension, not five). It grows steadily
+from 0 towards 1, with no size at which the rule changes.
 Distances are sorted into bins of a sixteenth of an octave, so selecting the nearest part is an aggregation.
 """
 
@@ -43,11 +46,11 @@ MEDIAN = 4.351
 @dataclass(frozen=True)
 class Robust:
     part: float = 0.75
-    steps: int = 4
+    trials: int = 2
+    steps: int = 3
     cut: float = 20.515
-    least: int = 200
     pull: float = 20.0
-    floors: tuple[float, ...] = (0.3, 0.1, 0.25, 0.032, 0.08)
+    floors: tuple[float, ...] = (0.3, 0.02, 0.25, 0.032, 0.08)
     groups_to_send: int = 20_000
 
 
@@ -121,7 +124,7 @@ def _vector() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
     values = (
         F.log(n.cast("double")),
-        F.col("word_chars") / n,
+        F.log1p(F.col("word_chars") / n),
         F.log1p(F.lit(100.0) * F.col("n_symbols") / n),
         F.sqrt(F.col("n_dup_lines") / n),
         F.sqrt(F.col("n_repeat_words") / n),
@@ -129,25 +132,45 @@ def _vector() -> list[Column]:
     return [F.round(v * STEPS).cast("long").alias(d) for v, d in zip(values, DIMENSIONS, strict=True)]
 
 
-def _moments() -> list[tuple[str, Column]]:
-    found = [("n", F.lit(1).cast("long"))]
-    for i, a in enumerate(DIMENSIONS):
-        found.append((f"s{i}", F.col(a)))
-        found += [(f"s{i}{j}", F.col(a) * F.col(DIMENSIONS[j])) for j in range(i + 1)]
+def _moments(dimensions: tuple[str, ...] = DIMENSIONS, mark: str = "") -> list[tuple[str, Column]]:
+    found = []
+    for i, a in enumerate(dimensions):
+        found.append((f"{mark}s{i}", F.col(a)))
+        found += [(f"{mark}s{i}{j}", F.col(a) * F.col(dimensions[j])) for j in range(i + 1)]
     return found
 
 
+def _summed(mark: str = "") -> list[Column]:
+    """Means and covariances, without floors, of what :func:`_moments` gave, in units and not in steps."""
+    size, n = range(len(DIMENSIONS)), F.col("n")
+    found = [(F.col(f"{mark}s{i}") / n / STEPS).alias(f"{mark}m{i}") for i in size]
+    found += [
+        (F.col(f"{mark}s{i}{j}") / n / (STEPS * STEPS) - F.col(f"{mark}s{i}") / n / STEPS * (F.col(f"{mark}s{j}") / n / STEPS)).alias(f"{mark}c{i}{j}")
+        for i in size for j in range(i + 1)
+    ]
+    return found
+
+
+def _floored(how: Robust, entry) -> list[Column]:
+    """Covariances from ``entry(i, j)``, with the floors on the diagonal."""
+    size = range(len(DIMENSIONS))
+    return [(entry(i, j) + how.floors[i] ** 2 if i == j else entry(i, j)).alias(f"c{i}{j}") for i in size for j in range(i + 1)]
+
+
 def _inverse(frame: DataFrame, *keep: str) -> DataFrame:
     """``keep`` and the rows u{i}{j} of the inverted Cholesky factor of the covariance c{i}{j}, one entry after another."""
     size = len(DIMENSIONS)
-    for i in range(size):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - reduce(lambda t, k: t + F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.lit(0.0))
-            frame = frame.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    for i in range(size):
-        for j in range(i + 1):
-            sums = reduce(lambda t, k: t + F.col(f"l{i}{k}") * F.col(f"u{k}{j}"), range(j, i), F.lit(0.0))
-            frame = frame.withColumn(f"u{i}{j}", (F.lit(1.0) if i == j else -sums) / F.col(f"l{i}{i}"))
+    rest = lambda i, j: F.col(f"c{i}{j}") - reduce(lambda t, k: t + F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.lit(0.0))
+    for j in range(size):
+        frame = frame.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest(j, j), F.lit(1e-12))))
+        frame = frame.withColumns({f"l{i}{j}": rest(i, j) / F.col(f"l{j}{j}") for i in range(j + 1, size)})
+    for below in range(size):
+        rows = {}
+        for i in range(below, size):
+            j = i - below
+            sums = reduce(lambda t, k: t + F.col(f"l{i}{k}") * F.col(f"u{k}{j}"), range(j, i), F.lit(0.0))  # noqa: B023
+            rows[f"u{i}{j}"] = (F.lit(1.0) if i == j else -sums) / F.col(f"l{i}{i}")
+        frame = frame.withColumns(rows)
     return frame.select(*keep, *(f"u{i}{j}" for i in range(size) for j in range(i + 1)))
 
 
@@ -171,47 +194,87 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.lit(16.0) * F.log2(F.lit(1.0) + distance)).cast("int")
 
 
-def _first(vectors: DataFrame, how: Robust) -> DataFrame:
-    """Medians, and quartile distances as standard deviations."""
+def _middles(vectors: DataFrame, how: Robust) -> DataFrame:
+    """Medians m{i}, and standard deviations d{i} from quartile distances and floors, of each group."""
     found = vectors.groupBy("group").agg(*(F.percentile(d, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, d in enumerate(DIMENSIONS)))
-    found = found.select("group", *(c for i in range(len(DIMENSIONS)) for c in ((F.col(f"q{i}")[1] / STEPS).alias(f"m{i}"), ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / STEPS / 1.349).alias(f"d{i}"))))
     size = range(len(DIMENSIONS))
-    spread = [(F.col(f"d{i}") ** 2 + how.floors[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in size for j in range(i + 1)]
-    return _inverse(found.select("group", *_centers(), *spread), "group", *_centers())
+    spread = [F.sqrt(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / STEPS / 1.349) ** 2 + F.lit(how.floors[i] ** 2)).alias(f"d{i}") for i in size]
+    return found.select("group", *((F.col(f"q{i}")[1] / STEPS).alias(f"m{i}") for i in size), *spread)
+
+
+def _starts(vectors: DataFrame, middles: DataFrame, how: Robust) -> DataFrame:
+    """The four first estimates of each group, numbered by ``start``."""
+    size = range(len(DIMENSIONS))
+    known = [*_centers(), *(f"d{i}" for i in size)]
+    frame = vectors.join(middles, "group").select("*", *(((F.col(DIMENSIONS[i]) / STEPS - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i in size))
+    length = F.sqrt(reduce(lambda t, i: t + F.col(f"z{i}") ** 2, size, F.lit(0.0)))
+    frame = frame.withColumn("length", F.when(length > 0, length).otherwise(F.lit(1.0)))
+    whole = lambda c: F.round(c * STEPS).cast("long")
+    frame = frame.select("*", *(whole(F.tanh(f"z{i}")).alias(f"t{i}") for i in size), *(whole(F.col(f"z{i}") / F.col("length")).alias(f"g{i}") for i in size))
+    sums = [*_moments(), *_moments(tuple(f"t{i}" for i in size), "t"), *_moments(tuple(f"g{i}" for i in size), "g")]
+    found = frame.groupBy("group", *known).agg(F.count("*").alias("n"), *(F.sum(c).alias(name) for name, c in sums))
+    d = lambda i: F.col(f"d{i}")
+    found = cut(found.select("group", *known, *(c.alias(f"w{name}") for name, c in zip([*_centers(), *_covariances()], _summed(), strict=True)), *_summed("t"), *_summed("g")))
+
+    def related(mark: str):
+        def entry(i: int, j: int) -> Column:
+            if i == j:
+                return d(i) ** 2
+            both = F.col(f"{mark}c{i}{i}") * F.col(f"{mark}c{j}{j}")
+            return F.when(both > 0, d(i) * d(j) * F.col(f"{mark}c{i}{j}") / F.sqrt(both)).otherwise(F.lit(0.0))
+
+        return entry
+
+    def start(number: int, centers: list[Column], entry) -> DataFrame:
+        return found.select("group", F.lit(number).alias("start"), *(c.alias(f"m{i}") for i, c in enumerate(centers)), *_floored(how, entry))
+
+    medians = [F.col(m) for m in _centers()]
+    all_ = reduce(
+        DataFrame.unionByName,
+        [
+            start(0, medians, lambda i, j: d(i) ** 2 - F.lit(how.floors[i] ** 2) if i == j else F.lit(0.0)),
+            start(1, [F.col(f"wm{i}") for i in size], lambda i, j: F.col(f"wc{i}{j}")),
+            start(2, medians, related("t")),
+            start(3, medians, related("g")),
+        ],
+    )
+    return _inverse(all_, "group", "start", *_centers())
 
 
 def _binned(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Counts and moments of each group's distance bins, with the rows before and in the group."""
+    """Counts and moments of the distance bins of each group's starts, with the rows before and in the group."""
     found = vectors.join(estimate, "group").withColumn("bin", _bin(_distance()))
-    found = found.groupBy("group", "bin").agg(*(F.sum(c).alias(n) for n, c in _moments()))
-    order = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("rows", F.sum("n").over(Window.partitionBy("group")))
+    found = found.groupBy("group", "start", "bin").agg(F.count("*").alias("n"), *(F.sum(c).alias(n) for n, c in _moments()))
+    of = Window.partitionBy("group", "start")
+    order = of.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("rows", F.sum("n").over(of))
 
 
 def _concentrated(binned: DataFrame, how: Robust) -> DataFrame:
-    """Center and covariance of each group's nearest part."""
+    """Center and covariance of the nearest part of each group, by start."""
     nearest = binned.where(F.col("before") < F.lit(how.part) * F.col("rows"))
-    found = nearest.groupBy("group").agg(*(F.sum(n).alias(n) for n, _ in _moments()))
-    size = range(len(DIMENSIONS))
-    n = F.col("n")
-    found = found.select("*", *((F.col(f"s{i}") / n / STEPS).alias(f"m{i}") for i in size))
-    spread = []
-    for i in size:
-        for j in range(i + 1):
-            value = F.col(f"s{i}{j}") / n / (STEPS * STEPS) - F.col(f"m{i}") * F.col(f"m{j}")
-            spread.append((value + how.floors[i] ** 2 if i == j else value).alias(f"c{i}{j}"))
-    return _inverse(found.select("group", *_centers(), *spread), "group", *_centers(), *_covariances())
+    found = nearest.groupBy("group", "start").agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n, _ in _moments()))
+    found = found.select("group", "start", *_summed())
+    found = found.select("group", "start", *_centers(), *_floored(how, lambda i, j: F.col(f"c{i}{j}")))
+    return _inverse(found, "group", "start", *_centers(), *_covariances())
+
+
+def _smallest(estimates: DataFrame) -> DataFrame:
+    """Of each group's estimates the one with the smallest determinant, of equal ones the first."""
+    determinant = reduce(lambda t, i: t - F.log(F.col(f"u{i}{i}")), range(len(DIMENSIONS)), F.lit(0.0))
+    best = F.min_by(F.struct("*"), F.struct(determinant.alias("determinant"), "start")).alias("best")
+    return estimates.groupBy(F.col("group").alias("of")).agg(best).select("best.*")
 
 
 def _drawn(own: DataFrame, wider: DataFrame, how: Robust) -> DataFrame:
     """``own`` (one level's groups) with its values drawn towards those of the group ``above`` in ``wider``."""
     names = [*_centers(), *_covariances(), "scale"]
     n = F.col("rows")
-    part = lambda pull: n / (n + F.lit(pull) * F.greatest(F.lit(1.0) - n / how.least, F.lit(0.0)))
+    part = lambda pull: n / (n + F.lit(pull))
     parts = {c: part(how.pull / len(DIMENSIONS) if c in _centers() else how.pull) for c in names}
     wider = wider.select(F.col("group").alias("above"), *(F.col(c).alias(f"w_{c}") for c in names))
     return own.join(wider, "above").select(
-        "group", "rows", *(F.when(n >= how.least, F.col(c)).otherwise(parts[c] * F.col(c) + (1 - parts[c]) * F.col(f"w_{c}")).alias(c) for c in names)
+        "group", "rows", *((parts[c] * F.col(c) + (1 - parts[c]) * F.col(f"w_{c}")).alias(c) for c in names)
     )
 
 
@@ -233,20 +296,24 @@ def outliers(docs: DataFrame, how: Robust = Robust(), id: str = "doc_id", text:
     passed = frame.where("not base_failed")
     every = F.explode(F.array(*levels.values(), F.lit("all"))).alias("group")
     judged = passed.select(*_vector(), every)
-    estimate = cut(_first(judged, how))
-    many = estimate.count()
+    middles = cut(_middles(judged, how))
+    many = middles.count()
 
     def sent(side: DataFrame) -> DataFrame:
-        """A row for each group; sent to all tasks up to a fixed number of them, else joined."""
+        """A few rows for each group; sent to all tasks up to a fixed number of groups, else joined."""
         return F.broadcast(side) if many <= how.groups_to_send else side
 
+    estimate = cut(_starts(judged, sent(middles), how))
+    for _ in range(how.trials):
+        estimate = cut(_concentrated(_binned(judged, sent(estimate)), how))
+    estimate = cut(_smallest(estimate))
     for _ in range(how.steps):
         estimate = cut(_concentrated(_binned(judged, sent(estimate)), how))
     middle = _binned(judged, sent(estimate)).where("2 * before <= rows").groupBy("group").agg(F.max("bin").alias("bin"), F.max("rows").alias("rows"))
     scale = F.greatest((F.pow(F.lit(2.0), (F.col("bin") + 0.5) / 16) - 1) / F.lit(MEDIAN), F.lit(1.0)).alias("scale")
     own = cut(estimate.join(middle.select("group", "rows", scale), "group").select("group", "rows", *_centers(), *_covariances(), "scale"))
     widest = own.where("group = 'all'")
-    languages = _drawn(own.where("group like 'lang%'").withColumn("above", F.lit("all")), widest, how)
+    languages = _drawn(own.where("group like 'lang%'").withColumn("above", F.when(F.col("group").startswith("lang"), "all")), widest, how)
     pairs = passed.groupBy("lang", "source").agg(F.lit(1)).select(levels["group"].alias("group"), levels["above"].alias("above"))
     sources = _drawn(own.join(pairs, "group"), languages, how)
     estimate = cut(_inverse(sources, "group", *_centers(), "scale"))

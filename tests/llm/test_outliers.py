@@ -84,34 +84,107 @@ def test_each_statistic_rejects_alone_just_under_the_base_limits(spark):
     assert [k for k in slight if not got[k]["kept"]] == []
 
 
-def test_estimate_equals_numpy(spark):
-    """The concentration steps, played out on arrays."""
-    how = o.Robust()
-    frame = o.outliers(corpus(spark), how)
-    rows = [r for r in frame.collect() if not r["base_failed"]]
-    group = [r for r in rows if r["doc_id"] % 2 == 0]
-    n = np.array([r["n_words"] for r in group], float)
+def vectors(rows):
+    n = np.array([r["n_words"] for r in rows], float)
     x = np.stack(
-        [np.log(n), np.array([r["word_chars"] for r in group]) / n, np.log1p(100 * np.array([r["n_symbols"] for r in group]) / n),
-         np.sqrt(np.array([r["n_dup_lines"] for r in group]) / n), np.sqrt(np.array([r["n_repeat_words"] for r in group]) / n)], axis=1)
-    x = np.floor(x * 512 + 0.5) / 512
+        [np.log(n), np.log1p(np.array([r["word_chars"] for r in rows]) / n), np.log1p(100 * np.array([r["n_symbols"] for r in rows]) / n),
+         np.sqrt(np.array([r["n_dup_lines"] for r in rows]) / n), np.sqrt(np.array([r["n_repeat_words"] for r in rows]) / n)], axis=1)
+    return np.floor(x * 512 + 0.5) / 512
+
+
+def square_distances(x, center, cov):
+    return np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+
+
+def bins_of(x, center, cov):
+    return np.floor(16 * np.log2(1 + square_distances(x, center, cov)))
+
+
+def estimated(x, how):
+    """Center, covariance and scale by four starts and concentration steps on arrays, and the determinants of the starts."""
     floors = np.diag(np.square(how.floors))
-    q = np.percentile(x, [25, 50, 75], axis=0)
-    center, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floors
-    d2 = lambda: np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
 
-    def bins():
-        return np.floor(16 * np.log2(1 + d2()))
+    def step(center, cov):
+        b = bins_of(x, center, cov)
+        inside = np.array([(b < v).sum() < how.part * len(b) for v in b])
+        return x[inside].mean(axis=0), np.cov(x[inside].T, bias=True) + floors
 
+    q = np.percentile(x, [25, 50, 75], axis=0)
+    d = np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + np.square(how.floors))
+    z = (x - q[1]) / d
+    length = np.sqrt((z**2).sum(axis=1))
+    whole = lambda v: np.sign(v) * np.floor(np.abs(v) * 512 + 0.5) / 512
+
+    def related(v):
+        c = np.cov(v.T, bias=True)
+        s = np.sqrt(np.diag(c))
+        both = np.outer(s, s)
+        r = np.divide(c, both, out=np.zeros_like(c), where=both > 0)
+        np.fill_diagonal(r, 1)
+        return r * np.outer(d, d) + floors
+
+    tried = [
+        (q[1], np.diag(d**2)),
+        (x.mean(axis=0), np.cov(x.T, bias=True) + floors),
+        (q[1], related(whole(np.tanh(z)))),
+        (q[1], related(whole(z / np.where(length > 0, length, 1)[:, None]))),
+    ]
+    for _ in range(how.trials):
+        tried = [step(*t) for t in tried]
+    determinants = [np.linalg.slogdet(c)[1] for _, c in tried]
+    best = tried[int(np.argmin(np.round(determinants, 9)))]
     for _ in range(how.steps):
-        b = bins()
-        inside = np.array([(b < v).sum() < how.part * len(b) for v in b])
-        center = x[inside].mean(axis=0)
-        cov = np.cov(x[inside].T, bias=True) + floors
-    b = bins()
+        best = step(*best)
+    b = bins_of(x, *best)
     middle = max(v for v in b if 2 * (b < v).sum() <= len(b))
-    scale = max(1.0, (2 ** ((middle + 0.5) / 16) - 1) / o.MEDIAN)
-    np.testing.assert_allclose([r["distance"] for r in group], d2() / scale, rtol=1e-6, atol=1e-9)
+    return *best, max(1.0, (2 ** ((middle + 0.5) / 16) - 1) / o.MEDIAN), determinants
+
+
+def test_estimate_equals_numpy(spark):
+    """Starts, choice, concentration steps and the pull towards the language, played out on arrays."""
+    how = o.Robust()
+    rows = [r for r in o.outliers(corpus(spark), how).collect() if not r["base_failed"]]
+    group = [r for r in rows if r["doc_id"] % 2 == 0]
+    wide, own, n = estimated(vectors(rows), how), estimated(vectors(group), how), len(group)
+    # The only language is all rows, so only the source is drawn.
+    drawn = [n / (n + p) * a + p / (n + p) * b for p, a, b in zip((how.pull / 5, how.pull, how.pull), own, wide, strict=False)]
+    want = square_distances(vectors(group), drawn[0], drawn[1]) / drawn[2]
+    np.testing.assert_allclose([r["distance"] for r in group], want, rtol=1e-6, atol=1e-9)
+
+
+def skewed(spark):
+    """Lengths and symbols that go together in most texts, and a tight group off the line that a diagonal start takes in."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):
+        n = int(np.exp(rng.gauss(5.5, 0.8))) + 60
+        share = min(0.9, 0.02 * (n / 200) ** 1.5) if k % 4 else 0.9
+        n = n if k % 4 else 70
+        rows.append((k, " ".join(w + "$" * (rng.random() < share) for w in prose(k, n, 5000).split()), "en", "a", 1))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_the_smallest_determinant_wins(spark):
+    how = o.Robust()
+    rows = [r for r in o.outliers(skewed(spark), how).collect() if not r["base_failed"]]
+    center, cov, scale, determinants = estimated(vectors(rows), how)
+    assert max(determinants) - min(determinants) > 0.01  # the starts do differ
+    want = square_distances(vectors(rows), center, cov) / scale
+    np.testing.assert_allclose([r["distance"] for r in rows], want, rtol=1e-6, atol=1e-9)
+
+
+def test_very_long_words_do_not_overflow(spark):
+    """Means of 100,000 characters a word: squares of raw means, summed as longs, would pass 2^63."""
+    rows = spark.range(4_000).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(60).cast("long").alias("n_words"), (F.lit(6_000_000_000) + F.col("id")).alias("word_chars"),
+        *(F.lit(0).cast("long").alias(c) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")),
+    )
+    judged = rows.select(*o._vector(), F.lit("all").alias("group"))
+    how = o.Robust()
+    found = o._concentrated(o._binned(judged, o._starts(judged, o._middles(judged, how), how)), how).collect()
+    assert len(found) == 4 and all(abs(r["m1"] - np.log(100_000_000)) < 0.01 for r in found)
+    text = " ".join("x" * 100_000 for _ in range(51))
+    assert len(o.outliers(spark.createDataFrame([(k, f"{text} {k}", "en", "a", 1) for k in range(3)], SCHEMA)).collect()) == 3
 
 
 def test_small_sources_are_judged_by_themselves_without_a_jump(spark):
@@ -130,7 +203,7 @@ def test_small_sources_are_judged_by_themselves_without_a_jump(spark):
     assert not some[5000]["kept"]
     assert all(some[1000 + k]["kept"] for k in range(60))
     assert some[5002]["kept"] and not some[5001]["kept"]
-    before, after = judged(198), judged(199)  # 199 and 200 rows: the last step of the pull
+    before, after = judged(198), judged(199)
     for k in (5000, 1000, 1100):
         assert abs(before[k]["distance"] - after[k]["distance"]) <= 0.1 * after[k]["distance"] + 0.1
     joined = judged(60, groups_to_send=0)
