@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +74,8 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part").slice(0, 1), "raw": total("raw"), "target": total("target")})
 
 
-def counts(docs: DataFrame, target: np.ndarray, id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every cell over all texts, and over those whose id is in ``target`` (sorted).
+def counted(docs: DataFrame, target: np.ndarray, id: str, text: str) -> DataFrame:
+    """One row (raw, target): counts of every cell over all texts, and over those whose id is in ``target`` (sorted).
 
     Each task sums its own texts; four sums (84 MB) at a time are added on the executors until one is left.
     """
@@ -93,7 +94,12 @@ def counts(docs: DataFrame, target: np.ndarray, id: str, text: str) -> tuple[np.
 
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     shape = "part long, raw binary, target binary"
-    total = folded(texts.mapInArrow(count, shape), (), _added, shape, texts.rdd.getNumPartitions(), 4).collect()
+    return folded(texts.mapInArrow(count, shape), (), _added, shape, texts.rdd.getNumPartitions(), 4)
+
+
+def counts(docs: DataFrame, target: np.ndarray, id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The two counts of :func:`counted` as arrays of the driver."""
+    total = counted(docs, target, id, text).collect()
     if not total:
         return np.zeros(KINDS * CELLS, np.int64), np.zeros(KINDS * CELLS, np.int64)
     return np.frombuffer(total[0]["raw"], np.int64), np.frombuffer(total[0]["target"], np.int64)
@@ -120,7 +126,16 @@ def known(docs: DataFrame, labels: DataFrame, id: str) -> DataFrame:
 def fit(docs: DataFrame, flags: DataFrame, how: Resampling, id: str, text: str) -> np.ndarray:
     """The log ratio of every cell. Without good labelled rows all are zero."""
     ids = flags.where("good and not tried").orderBy(F.xxhash64("id"), "id").limit(how.sample).select("id").toArrow().column("id").to_numpy()
-    return log_ratios(*counts(docs, np.sort(ids), id, text), how.z)
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, own in zip(batch.column("raw"), batch.column("target"), strict=True):
+                found = log_ratios(np.frombuffer(raw.as_buffer(), np.int64), np.frombuffer(own.as_buffer(), np.int64), how.z)
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["ratios"])
+
+    # Counts stay on the executors; the driver gets the ratios only (10 MB).
+    found = counted(docs, np.sort(ids), id, text).mapInArrow(ratios, "ratios binary").collect()
+    return np.frombuffer(found[0]["ratios"]) if found else np.zeros(KINDS * CELLS)
 
 
 def draw_size(scored: DataFrame, flags: DataFrame, id: str) -> int:
@@ -143,9 +158,9 @@ def draw_size(scored: DataFrame, flags: DataFrame, id: str) -> int:
     return scored.where(at >= middle).count()
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, how: Resampling, text: str, column: str) -> DataFrame:
-    """``docs`` with the log weight of each text in ``column``."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+def weighted(docs: DataFrame, ratios: np.ndarray | Broadcast, how: Resampling, text: str, column: str) -> DataFrame:
+    """``docs`` with the log weight of each text in ``column``. Ratios used more than once are better broadcast by the caller."""
+    shared = ratios if isinstance(ratios, Broadcast) else docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, lower, ratios = Hasher(lower=False), Hasher(), shared.value
@@ -191,7 +206,7 @@ def resample(docs: DataFrame, labels: DataFrame, how: Resampling = Resampling(),
     """
     texts = docs.select(id, text)
     flags = known(texts, labels, id)
-    ratios = fit(texts, flags, how, id, text)
+    ratios = docs.sparkSession.sparkContext.broadcast(fit(texts, flags, how, id, text))
     scored = cut(weighted(texts, ratios, how, text, "log_weight").select(id, "log_weight", _key("log_weight", id, how).alias("sample_key")))
     least = kth_largest(scored, "sample_key", draw_size(scored, flags, id))
     return scored if least is None else scored.where(F.col("sample_key") >= F.lit(least))
@@ -201,7 +216,7 @@ def keep_sample(docs: DataFrame, labels: DataFrame, how: Resampling = Resampling
     """The drawn rows of ``docs``, all columns unchanged; the texts are read once more and not shuffled."""
     texts = docs.select(id, text)
     flags = known(texts, labels, id)
-    ratios = fit(texts, flags, how, id, text)
+    ratios = docs.sparkSession.sparkContext.broadcast(fit(texts, flags, how, id, text))
     scored = cut(weighted(texts, ratios, how, text, "log_weight").select(id, "log_weight", _key("log_weight", id, how).alias("sample_key")))
     least = kth_largest(scored, "sample_key", draw_size(scored, flags, id))
     if least is None:
