@@ -66,18 +66,18 @@ def ngrams(block: Block, plain: Hasher, lower: Hasher) -> tuple[np.ndarray, np.n
 
 def _added(table: pa.Table) -> pa.Table:
     def total(column: str) -> pa.Array:
-        sums = np.zeros(KINDS * CELLS, np.int64)
+        sums = np.zeros(CELLS, np.int64)
         for value in table.column(column):
             sums += np.frombuffer(value.as_buffer(), np.int64)
         return pa.array([sums.tobytes()], pa.binary())
 
-    return pa.table({"part": table.column("part").slice(0, 1), "raw": total("raw"), "target": total("target")})
+    return pa.table({"kind": table.column("kind").slice(0, 1), "part": table.column("part").slice(0, 1), "raw": total("raw"), "target": total("target")})
 
 
 def counted(docs: DataFrame, target: np.ndarray, id: str, text: str) -> DataFrame:
-    """One row (raw, target): counts of every cell over all texts, and over those whose id is in ``target`` (sorted).
+    """A row (kind, part, raw, target) for each kind of n-gram: counts of every cell over all texts, and over those whose id is in ``target`` (sorted).
 
-    Each task sums its own texts; four sums (84 MB) at a time are added on the executors until one is left.
+    Each task sums its own texts; four sums of a kind (17 MB) at a time are added on the executors until one is left.
     """
     shared = docs.sparkSession.sparkContext.broadcast(target)
 
@@ -90,25 +90,28 @@ def counted(docs: DataFrame, target: np.ndarray, id: str, text: str) -> DataFram
             hit = np.isin(block.rows.column("id").fill_null(-1).to_numpy(), target) & block.rows.column("id").is_valid().to_numpy(zero_copy_only=False)
             own += np.bincount(cell[hit[row]], minlength=len(own))
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([raw.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["part", "raw", "target"])
+        for kind in range(KINDS):
+            cells = slice(kind * CELLS, (kind + 1) * CELLS)
+            columns = [pa.array([kind], pa.int32()), pa.array([part], pa.int64()), pa.array([raw[cells].tobytes()], pa.binary()), pa.array([own[cells].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "part", "raw", "target"])
 
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    shape = "part long, raw binary, target binary"
-    return folded(texts.mapInArrow(count, shape), (), _added, shape, texts.rdd.getNumPartitions(), 4)
+    shape = "kind int, part long, raw binary, target binary"
+    return folded(texts.mapInArrow(count, shape), ("kind",), _added, shape, texts.rdd.getNumPartitions(), 4)
 
 
 def counts(docs: DataFrame, target: np.ndarray, id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """The two counts of :func:`counted` as arrays of the driver."""
-    total = counted(docs, target, id, text).collect()
+    total = sorted(counted(docs, target, id, text).collect(), key=lambda r: r["kind"])
     if not total:
         return np.zeros(KINDS * CELLS, np.int64), np.zeros(KINDS * CELLS, np.int64)
-    return np.frombuffer(total[0]["raw"], np.int64), np.frombuffer(total[0]["target"], np.int64)
+    return tuple(np.concatenate([np.frombuffer(r[c], np.int64) for r in total]) for c in ("raw", "target"))
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, z: float) -> np.ndarray:
     """Upper bound of log(target share / raw share) of each cell, zero at most."""
     found = []
-    for own, good in zip(raw.reshape(KINDS, CELLS), target.reshape(KINDS, CELLS), strict=True):
+    for own, good in zip(raw.reshape(-1, CELLS), target.reshape(-1, CELLS), strict=True):
         expected = own * (good.sum() / max(1, own.sum()))
         bound = (good + z * np.sqrt(good) + z * z / 2 + 0.5) / np.maximum(expected, 1e-9)
         found.append(np.minimum(0.0, np.log(bound)) if good.sum() else np.zeros(CELLS))
@@ -129,13 +132,13 @@ def fit(docs: DataFrame, flags: DataFrame, how: Resampling, id: str, text: str)
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, own in zip(batch.column("raw"), batch.column("target"), strict=True):
+            for kind, raw, own in zip(*(batch.column(c) for c in ("kind", "raw", "target")), strict=True):
                 found = log_ratios(np.frombuffer(raw.as_buffer(), np.int64), np.frombuffer(own.as_buffer(), np.int64), how.z)
-                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["ratios"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind.as_py()], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["kind", "ratios"])
 
     # Counts stay on the executors; the driver gets the ratios only (10 MB).
-    found = counted(docs, np.sort(ids), id, text).mapInArrow(ratios, "ratios binary").collect()
-    return np.frombuffer(found[0]["ratios"]) if found else np.zeros(KINDS * CELLS)
+    found = sorted(counted(docs, np.sort(ids), id, text).mapInArrow(ratios, "kind int, ratios binary").collect())
+    return np.concatenate([np.frombuffer(r["ratios"]) for r in found]) if found else np.zeros(KINDS * CELLS)
 
 
 def draw_size(scored: DataFrame, flags: DataFrame, id: str) -> int:
