@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from cairn.llm.jobs import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges a task, at most about so many: a pass over few edges has few tasks and files, whatever the number of shuffle partitions.
+EDGES = 20_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every neighbour above a node moves to the least of the node and its neighbours."""
     both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(edges.select("lo", "hi"))
     least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
-    return (
-        both.join(least, "node").where("other > node and other <> root").select(F.col("other").alias("hi"), F.col("root").alias("lo")).distinct()
-    )
+    moved = both.join(least, "node").where("other > node and other <> root").select(F.col("other").alias("hi"), F.col("root").alias("lo"))
+    return moved.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """A node and its lower neighbours move to the least of these."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("root"))
     moved = edges.join(least, "hi").where("lo <> root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
-    return moved.union(least.select("hi", F.col("root").alias("lo"))).distinct()
+    return moved.union(least.select("hi", F.col("root").alias("lo"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("hi", "lo").distinct())
     seen = state(edges)
     while True:
-        edges = cut(_small_star(_large_star(edges)))
+        # A pass makes at most one edge of an edge's either end.
+        tasks = seen[0] // EDGES + 1
+        edges = cut(_small_star(_large_star(edges.coalesce(tasks), tasks), tasks))
         now = state(edges)
         if now == seen:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

@@ -1,7 +1,7 @@
 """Near-duplicate documents: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
 1. One pass turns every whole text into its set of word shingles, the set's digest and a signature.
-   Documents with equal sets form a class; only the class's least id goes on.
+   Documents with equal sets form a class; only the class's least row goes on.
 2. Bands of the signatures put classes into buckets. Every class of a bucket is compared with the
    bucket's least one, never with all others.
 3. A comparison reads the two signatures in batches. After each batch the posterior of the
@@ -225,27 +225,33 @@ def keyed_texts(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame
 
 
 def row_roots(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, x, y, n_shingles, root) of every row; no root without words or an id."""
+    """(id, x, y, n_shingles, root, least) of every row: its component and the least id in it; both null without words or an id.
+
+    A class goes by a hash of its least row's id and text, as several texts may share an id.
+    """
     texts = keyed_texts(docs, id, text)
     base = cut(texts.mapInArrow(lambda b: sketch(b, how), SKETCH))
-    classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.first("signature").alias("signature"))
-    classes = cut(classes)
-    signatures = classes.groupBy(F.col("class").alias("id")).agg(F.min("signature").alias("signature"))
+    classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "x", "y")).alias("row"), F.first("signature").alias("signature"))
+    classes = cut(classes.select("digest", "row.id", F.xxhash64("row.id", "row.x", "row.y").alias("class"), "signature"))
+    signatures = classes.select(F.col("class").alias("id"), "signature")
     width = 2 * how.rows
-    bands = classes.select(F.col("class").alias("id"), "signature", F.explode(F.sequence(F.lit(0), F.lit(how.bands - 1))).alias("band"))
+    bands = signatures.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(how.bands - 1))).alias("band"))
     bands = bands.select("id", "band", F.expr(f"xxhash64(band, substring(signature, band * {width} + 1, {width}))").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = cut(bands.join(shared, "bucket").select("bucket", "band", "id", "center"))
     in_buckets = buckets.select("id").distinct()
-    sets = cut(_sets_of(in_buckets, texts.select("id", "text").where("id is not null"), how))
+    named = texts.where("id is not null").select(F.xxhash64("id", "x", "y").alias("id"), "text")
+    sets = cut(_sets_of(in_buckets, named, how).dropDuplicates(["id"]))
     signatures = cut(signatures.join(in_buckets, "id", "left_semi"))
     links = _star_links(buckets, signatures, sets, how)
     roots = components(links.select("hi", "lo"))
     more = _outsider_links(buckets, roots, signatures, sets, how)
     roots = components(roots.select(F.col("node").alias("hi"), F.col("root").alias("lo")).union(more.select("hi", "lo")))
-    of_class = classes.select("digest", "class").join(roots, F.col("class") == F.col("node"), "left").select("digest", F.coalesce("root", "class").alias("root"))
+    of_class = classes.join(roots, F.col("class") == F.col("node"), "left").select("digest", "id", F.coalesce("root", "class").alias("root"))
+    least = of_class.groupBy("root").agg(F.min("id").alias("least"))
+    of_class = of_class.drop("id").join(least, "root")
     return base.select("id", "x", "y", "n_shingles", "digest").join(of_class, "digest", "left").select(
-        "id", "x", "y", "n_shingles", F.when(F.col("id").isNotNull(), F.col("root")).alias("root")
+        "id", "x", "y", "n_shingles", *(F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("root", "least"))
     )
 
 
@@ -261,8 +267,8 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id: str = "doc_id
     return row_roots(docs, how, id, text).select(
         F.col("id").alias(id),
         "n_shingles",
-        F.coalesce("root", "id").alias("component_id"),
-        F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"),
+        F.coalesce("least", "id").alias("component_id"),
+        F.coalesce(F.coalesce("least", "id") == F.col("id"), F.lit(True)).alias("kept"),
     )
 
 

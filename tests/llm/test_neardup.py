@@ -138,3 +138,18 @@ def test_components_of_long_chains(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "hi long, lo long")).collect()}
     assert found == {k: 0 for k in range(1, 61)} | {100: 70, 71: 70}
     assert components(spark.createDataFrame([], "hi long, lo long")).collect() == []
+
+
+def test_components_have_few_tasks_whatever_the_partitions(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(30)], "hi long, lo long").repartition(64)
+    found = components(edges)
+    assert found.rdd.getNumPartitions() == 1
+    assert {r["root"] for r in found.collect()} == {0}
+
+
+def test_texts_of_one_id_are_classes_of_their_own(spark):
+    one, other = prose(1, 60, 5_000), prose(2, 60, 5_000)
+    docs = spark.createDataFrame([(5, one), (5, other), (6, one), (7, other), (7, prose(3, 60, 5_000))], "doc_id long, text string")
+    assert {tuple(r) for r in keep_first(docs).collect()} == {(5, one), (5, other), (7, prose(3, 60, 5_000))}
+    found = {(r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()}
+    assert found == {(5, 5), (6, 5), (7, 5), (7, 7)}
