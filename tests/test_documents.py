@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import datagroups, documents
+from cairn.operators.facts import joined
 from cairn.sources import sinks
 from tests.fixtures import ROWS, by, rows
 
@@ -297,3 +298,9 @@ def test_lookup_tables_describe_every_code(roles):
     assert {k[1] for k in found} >= {"method", "biblio", "taxon", "abundance_element", "modification_type", "domain", "value_class", "isotope_measurement"}
     some = {(r["site_id"], r["kind"], r["id"]) for r in plain(site_lookup_tables(roles, [2]))}
     assert some == {k for k in found if k[0] == 2}
+
+
+def test_other_records_of_unknown_types_stay(spark, roles):
+    records = spark.createDataFrame([(1, 3, "a"), (1, 99, "b"), (2, None, "c")], "site_id long, record_type_id long, description string")
+    got = joined(roles.with_roles(site_other_record=records), "site_other_record")
+    assert {(r["description"], r["record_type_name"]) for r in got.collect()} == {("a", "Age"), ("b", None), ("c", None)}
