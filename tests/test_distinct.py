@@ -31,3 +31,11 @@ def test_summaries_of_sets(roles):
     assert rows(summaries.dataset_summaries(roles, sets=summaries.dataset_site_sets(roles))) == rows(summaries.dataset_summaries(roles))
     sets = summaries.method_sample_sets(roles, [1, 2]).union(summaries.method_sample_sets(roles, [2, 4]))
     assert rows(summaries.domain_sample_summary(roles, sets=sets)) == rows(summaries.domain_sample_summary(roles, [1, 2, 4]))
+
+
+def test_sets_of_scattered_ids_stay_small(spark):
+    ids = spark.range(2_000).selectExpr("id % 500 as a", "id * 1000003 as id")
+    sets = id_sets(ids, ["a"], "id")
+    assert sets.count() == 2_000 and dict(sets.dtypes)["bitmap"] == "bigint"
+    assert {r["n"] for r in set_sizes(sets, ["a"], "n").collect()} == {4}
+    assert id_sets(spark.range(-64, 64), [], "id").count() == 2
