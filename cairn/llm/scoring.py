@@ -123,7 +123,7 @@ def _pooled(chunks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarra
 
 
 def _counted(batches: Iterator[pa.RecordBatch], values, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
-    """Counts of ``values(block)`` (keys, companions), pooled while a task's distinct keys fit 2^20."""
+    """Counts of ``values(block)`` (keys, companions), pooled while a task's distinct keys fit 2^18."""
     chunks: list[tuple[np.ndarray, ...]] = []
     held = 0
 
@@ -138,10 +138,10 @@ def _counted(batches: Iterator[pa.RecordBatch], values, names: tuple[str, str, s
         own, first, counts = np.unique(keys, return_index=True, return_counts=True)
         chunks.append((own, also[first], counts))
         held += len(own)
-        if held > 1 << 21:
+        if held > 1 << 19:
             chunks[:] = [_pooled(chunks)]
             held = len(chunks[0][0])
-            if held > 1 << 20:
+            if held > 1 << 18:
                 yield from rows()
                 chunks.clear()
                 held = 0

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from cairn.llm import scoring as m
 from cairn.llm.textblocks import Hasher
@@ -210,3 +211,17 @@ def test_a_bin_is_trained_towards_its_pairs():
     alone = (counts * np.log(weights / weights.sum())[rows]).sum() / counts.sum()
     best = (counts * np.log(counts / np.bincount(ahead, counts)[ahead])).sum() / counts.sum()
     assert given > alone + 0.7 * (best - alone), (alone, given, best)
+
+
+def test_counting_holds_few_keys():
+    taken = []
+
+    def values(block):
+        taken.append(len(taken))
+        return np.arange(100_000, dtype=np.uint64) + np.uint64(100_000 * len(taken)), np.zeros(100_000, np.int8)
+
+    batches = (pa.RecordBatch.from_arrays([pa.array(["a"])], ["text"]) for _ in range(12))
+    counted = m._counted(batches, values, ("key", "also", "n"))
+    first = next(counted).num_rows
+    assert len(taken) <= 6
+    assert first + sum(b.num_rows for b in counted) == 1_200_000 and len(taken) == 12
