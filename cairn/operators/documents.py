@@ -635,9 +635,14 @@ def site_lookups(t: Tables, site_ids: SiteIds = None) -> DataFrame:
             rows = with_site(t, joined(t, role), site_ids)
         else:
             rows = sample_rows(t, role, site_ids)
-        for column, kind in LOOKUP_COLUMNS.items():
-            if column in rows.columns:
-                parts.append(entries(rows.select("site_id", column).distinct(), kind, column))
+        # All codes of a row in one pass; the distinct below combines them on the map side.
+        codes = [
+            F.struct(F.lit(kind).alias("kind"), F.col(column).cast("bigint").alias("id"))
+            for column, kind in LOOKUP_COLUMNS.items()
+            if column in rows.columns
+        ]
+        if codes:
+            parts.append(rows.select("site_id", F.inline(F.array(*codes))))
     if "dataset_contact" in t:
         contact = site_datasets(t, site_ids).join(t["dataset_contact"], "dataset_id")
         parts.append(entries(contact, "contact", "contact_id"))

@@ -238,6 +238,14 @@ def test_lookups(roles):
     ]
 
 
+def test_lookups_read_a_table_of_sample_children_once(roles):
+    # A filter marks every read of the table in the plan.
+    marked = roles.with_roles(sample_coordinate=roles["sample_coordinate"].where("coordinate_method_id <> 987654"))
+    found = documents.site_lookups(marked)
+    assert rows(found) == rows(documents.site_lookups(roles))
+    assert found._jdf.queryExecution().analyzed().toString().count("987654") == 1
+
+
 def test_fullest_reference_wins(roles):
     got = by(documents.site_biblio_lookup(roles), "site_id", "biblio_id")
     assert got[1, 70]["authors"] == "X"
