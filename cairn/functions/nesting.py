@@ -36,10 +36,11 @@ def child_rows(
 def header_rows(df: DataFrame, keys: Sequence[str], field: str, *, first: bool = False) -> DataFrame:
     """Like :func:`child_rows` for the one row that describes the key itself.
 
-    ``first`` puts it into part 0.
+    ``first`` puts it into part 0. That is computed, as a constant part would fall
+    out of the join of the branches, and the nested rows would move once more.
     """
     rest = [c for c in df.columns if c not in keys]
-    home = F.lit(0).cast("bigint") if first else F.xxhash64(*keys)
+    home = F.pmod(F.xxhash64(*keys), F.lit(1)) if first else F.xxhash64(*keys)
     return df.select(*keys, home.alias(SLICE), F.struct(*rest).alias(field))
 
 

@@ -138,7 +138,7 @@ def _group_branch(b: _Build) -> DataFrame:
     t = b.t
     group_key = ["site_id", "sample_group_id"]
     sample_key = [*group_key, "physical_sample_id"]
-    frames = [header_rows(b.with_site(t["sample_group"]), group_key, "_group")]
+    frames = [header_rows(ids_of(t["sample_group"], b.site_ids), group_key, "_group")]
     for field, role in b.group_children().items():
         frames.append(child_rows(b.with_site(joined(t, role)), group_key, f"g_{field}"))
     if b.wants("sample_groups.physical_samples"):

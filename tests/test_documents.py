@@ -312,3 +312,16 @@ def test_other_records_of_unknown_types_stay(spark, roles):
     records = spark.createDataFrame([(1, 3, "a"), (1, 99, "b"), (2, None, "c")], "site_id long, record_type_id long, description string")
     got = joined(roles.with_roles(site_other_record=records), "site_other_record")
     assert {(r["description"], r["record_type_name"]) for r in got.collect()} == {("a", "Age"), ("b", None), ("c", None)}
+
+
+@pytest.mark.parametrize("path", ["sample_groups.physical_samples.features", "datasets.contacts"])
+def test_nested_rows_do_not_move_again(spark, roles, path):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = documents.site_documents(roles, paths=[path], slices=3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # One exchange for the sites' own rows, one for the others: both by site and part, at the caller's word.
+    moved = [line for line in plan.splitlines() if "hashpartitioning(site_id#" in line]
+    assert len(moved) == 2 and all("part#" in line and "REPARTITION_BY_COL" in line for line in moved)
