@@ -52,17 +52,43 @@ def write_index(rows: DataFrame, path: str, buckets: int, owner: str, spread: in
     return StoredIndex(path, buckets)
 
 
+def _places(tokens: Column) -> Column:
+    """Per distinct token of a list, the token and its positions. One sort of the list; its runs are cut apart."""
+    placed = F.array_sort(F.transform(tokens, lambda w, k: F.struct(w.alias("token"), k.alias("at"))))
+
+    def runs(rows: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(rows) - 1),
+            lambda k: (k == 0) | (F.get(rows, k)["token"] != F.get(rows, F.greatest(k - 1, F.lit(0)))["token"]),
+        )
+
+        def cut(edges: Column) -> Column:
+            return F.transform(
+                edges,
+                lambda a, n: F.struct(
+                    F.get(rows, a)["token"].alias("token"),
+                    F.slice(rows, a + 1, F.coalesce(F.get(edges, n + 1), F.size(rows)) - a)["at"].alias("positions"),
+                ),
+            )
+
+        return F.when(F.size(rows) > 0, F.get(F.transform(F.array(starts), cut), 0))
+
+    # A list of one is a name for the sorted list, which is used several times.
+    return F.get(F.transform(F.array(placed), runs), 0)
+
+
 def postings(texts: DataFrame) -> DataFrame:
     """One row per (token, text) of (site_id, weight, text): the positions of the token.
 
-    Equal texts of a site and weight are one field with a number of copies. The
-    tokens of a text meet on the map side, so a row leaves its task once a token.
+    Equal texts of a site and weight are one field with a number of copies. A text
+    is one row, so its tokens are gathered within it and no token is shuffled here.
     """
     fields = texts.groupBy("site_id", F.col("weight").cast("int").alias("weight"), "text").agg(F.count(F.lit(1)).alias("copies"))
-    fields = fields.withColumn("field", F.xxhash64("weight", "text"))
-    each = fields.select("site_id", "weight", "field", "copies", F.posexplode(token_list(fold_text(F.col("text")))).alias("at", "token"))
-    found = each.groupBy("token", "site_id", "weight", "field", "copies").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return found.select("token", "site_id", "weight", "field", "copies", "positions")
+    listed = fields.select(
+        "site_id", "weight", F.xxhash64("weight", "text").alias("field"), "copies", token_list(fold_text(F.col("text"))).alias("tokens")
+    )
+    each = listed.select("site_id", "weight", "field", "copies", F.explode(_places(F.col("tokens"))).alias("e"))
+    return each.select("e.token", "site_id", "weight", "field", "copies", "e.positions")
 
 
 def index_texts(texts: DataFrame, path: str, buckets: int = 256, spread: int = 8) -> StoredIndex:

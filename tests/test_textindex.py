@@ -2,13 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.text import fold_tokens, query_terms
 from cairn.operators import search as find
-from cairn.operators.textindex import bucket_of, gram_sets, index_names, index_texts
+from cairn.operators.textindex import bucket_of, gram_sets, index_names, index_texts, postings
 from tests.fixtures import rows
 
 QUERIES = [
@@ -33,6 +34,18 @@ def test_free_text_equals_a_scan(spark, roles, texts, tmp_path):
         assert rows(find.free_text(roles, query, index=whole)) == rows(find.free_text(roles, query))
 
 
+def test_postings_are_gathered_without_a_shuffle_of_tokens(spark, texts):
+    found = postings(texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    wanted = {}
+    for (site, weight, text), copies in Counter(map(tuple, texts.where("text IS NOT NULL").collect())).items():
+        for at, token in enumerate(fold_tokens(text)):
+            wanted.setdefault((site, weight, text, copies, token), []).append(at)
+    named = {(r["weight"], r["field"]): r["text"] for r in texts.select("weight", "text", F.xxhash64("weight", "text").alias("field")).collect()}
+    assert {(r["site_id"], r["weight"], named[r["weight"], r["field"]], r["copies"], r["token"]): r["positions"] for r in found.collect()} == wanted
+
+
 def test_only_the_buckets_of_the_words_are_read(spark, texts, tmp_path):
     index = index_texts(texts, str(tmp_path / "texts"), buckets=64)
     scan = index.rows(spark, ["alpha", "b"])
