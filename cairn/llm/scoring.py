@@ -38,6 +38,8 @@ from cairn.llm.resample import kth_largest
 from cairn.llm.textblocks import Block, Hasher, blocks, mixed
 
 CLASSES = 256
+# Every token of a block has some 300 bytes of arrays, beside the model that each task holds.
+BLOCK = 1 << 19
 END = np.uint64(0xE17D0FE17D0FE17D)
 
 
@@ -85,7 +87,7 @@ class Table:
         self.digests, self.values = self.digests[order], self.values[order]
         self.bits = max(1, int(len(self.digests)).bit_length() + 1)
         heads = (self.digests >> np.uint64(64 - self.bits)).astype(np.int64)
-        self.starts = np.searchsorted(heads, np.arange((1 << self.bits) + 1))
+        self.starts = np.searchsorted(heads, np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def find(self, digests: np.ndarray) -> np.ndarray:
         """The value of each digest, -1 where there is none."""
@@ -133,7 +135,7 @@ def _counted(batches: Iterator[pa.RecordBatch], values, names: tuple[str, str, s
             part = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(also[part]), pa.array(counts[part])], list(names))
 
-    for block in blocks(batches):
+    for block in blocks(batches, limit=BLOCK):
         keys, also = values(block)
         own, first, counts = np.unique(keys, return_index=True, return_counts=True)
         chunks.append((own, also[first], counts))
@@ -201,7 +203,7 @@ def count_words(training: DataFrame, how: Bilinear) -> DataFrame:
             with_ends(block, bins_of(block, hasher, how.bins), -1),
         )
 
-    found = training.mapInArrow(lambda b: _counted(b, values(Hasher()), ("digest", "bin", "n")), "digest long, bin long, n long")
+    found = training.mapInArrow(lambda b: _counted(b, values(Hasher(size=BLOCK)), ("digest", "bin", "n")), "digest long, bin long, n long")
     return cut(found.groupBy("digest").agg(F.min("bin").alias("bin"), F.sum("n").alias("n")))
 
 
@@ -237,8 +239,9 @@ def vocabulary(counts: DataFrame, how: Bilinear) -> Vocabulary:
     in_bin = np.where(bins < 0, -1, 0)
     in_bin[top] = -1
     in_bin[own] = place
-    table = Table(digests.astype(np.int64).view(np.uint64).copy(), np.arange(len(digests)))
-    return Vocabulary(table, n.copy(), classes, contexts, in_bin, first, weights, int(tokens or 0), int(distinct))
+    table = Table(digests.astype(np.int64).view(np.uint64).copy(), np.arange(len(digests), dtype=np.int32))
+    narrow = (classes.astype(np.int16), contexts.astype(np.int16), in_bin.astype(np.int32))
+    return Vocabulary(table, n.copy(), *narrow, first, weights, int(tokens or 0), int(distinct))
 
 
 PAIR = 1 << 40
@@ -261,7 +264,7 @@ def count_grams(training: DataFrame, shared, how: Bilinear) -> DataFrame:
 
         return of
 
-    found = training.mapInArrow(lambda b: _counted(b, values(Hasher(), sent(shared)), ("key", "zero", "n")), "key long, zero byte, n long")
+    found = training.mapInArrow(lambda b: _counted(b, values(Hasher(size=BLOCK), sent(shared)), ("key", "zero", "n")), "key long, zero byte, n long")
     return cut(found.groupBy("key").agg(F.sum("n").alias("n")))
 
 
@@ -533,10 +536,10 @@ def score(docs: DataFrame, how: Bilinear = Bilinear(), id: str = "doc_id", text:
     whole = np.log10(known.tokens + known.distinct + 1)
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, (known, model, inner) = Hasher(), sent(shared)
+        hasher, (known, model, inner) = Hasher(size=BLOCK), sent(shared)
         table = log_probabilities(model)
         row = TaskContext.get().partitionId() << 33
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             tokens = known.read(block, hasher, how)
             of = np.repeat(np.arange(len(block)), np.diff(block.first) + 1)
             here = tokens.n >= 0

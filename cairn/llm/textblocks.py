@@ -43,12 +43,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Digests of words; keeps the powers it needs between blocks."""
+    """Digests of words; keeps the powers it needs between blocks, of ``size`` bytes at first."""
 
-    def __init__(self, lower: bool = True):
+    def __init__(self, lower: bool = True, size: int = BLOCK_BYTES):
         self.values = _byte_values(lower)
-        self.up = _powers(_BASE, BLOCK_BYTES)
-        self.down = _powers(_INVERSE, BLOCK_BYTES)
+        self.up = _powers(_BASE, size)
+        self.down = _powers(_INVERSE, size)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(data) > len(self.up):

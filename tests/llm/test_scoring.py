@@ -225,3 +225,15 @@ def test_counting_holds_few_keys():
     first = next(counted).num_rows
     assert len(taken) <= 6
     assert first + sum(b.num_rows for b in counted) == 1_200_000 and len(taken) == 12
+
+
+def test_a_task_holds_little(spark):
+    """The bytes of a vocabulary and of the powers for digests."""
+    known = m.vocabulary(m.count_words(spark.range(5000).selectExpr("concat('w', id) AS text"), m.Bilinear()), m.Bilinear())
+    held = (known.frequent.digests, known.frequent.values, known.frequent.starts, known.n, known.classes, known.contexts, known.rows)
+    assert len(known.n) == 5001 and sum(a.nbytes for a in held) <= 50 * len(known.n)
+    hasher = Hasher(size=m.BLOCK)
+    assert hasher.up.nbytes + hasher.down.nbytes <= 8 << 20
+    whole = np.frombuffer(b"one Two " + b"x" * 300, np.uint8)
+    starts, ends = np.array([0, 4, 8]), np.array([3, 7, 308])
+    assert (Hasher(size=4).words(whole, starts, ends) == hasher.words(whole, starts, ends)).all()
