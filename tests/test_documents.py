@@ -326,3 +326,20 @@ def test_nested_rows_do_not_move_again(spark, roles, paths):
     # One exchange for the sites' own rows and one for each other branch, by site and part; none above them.
     moved = re.findall(r"hashpartitioning\(site_id#\d+L?(, part#\d+|, \d)?, \d+\), (\w+)", plan)
     assert [(bool(part), why) for part, why in moved] == [(True, "REPARTITION_BY_COL")] * (1 + len(paths))
+
+
+def test_fingerprints_add_up_by_group_before_the_site(roles):
+    whole = documents.site_fingerprints(roles)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (sample_group_id") <= 12
+    of = {r["site_id"]: r["fingerprint"] for r in whole.collect()}
+    some = sorted(of)[:2]
+    assert {r["site_id"]: r["fingerprint"] for r in documents.site_fingerprints(roles, some).collect()} == {s: of[s] for s in some}
+    # A group that goes to another site changes both.
+    group = roles["sample_group"]
+    first = group.agg(F.min("sample_group_id")).first()[0]
+    source = group.where(F.col("sample_group_id") == first).first()["site_id"]
+    target = next(s for s in of if s != source)
+    place = F.when(F.col("sample_group_id") == first, F.lit(target)).otherwise(F.col("site_id")).cast(group.schema["site_id"].dataType)
+    moved = documents.site_fingerprints(roles.with_roles(sample_group=group.withColumn("site_id", place)))
+    assert {r["site_id"] for r in moved.collect() if of.get(r["site_id"]) != r["fingerprint"]} == {source, target}
