@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +28,7 @@ from cairn.operators.facts import (
     abundance_facts,
     entities,
     groups,
+    joined,
     methods,
     of_methods,
     sample_rows,
@@ -42,6 +43,8 @@ from cairn.sources.tables import Tables
 DEFAULT_LIMIT, MAX_LIMIT = 20, 50
 # Pages that end within so many hits are picked from the first hits of every part, later ones by ranges.
 HEAP_ROWS = 10_000
+# Up to so many references that matter to a free-text query are named in a filter; of more all are read.
+LISTED = 1_000
 
 # The domains a search can be limited to.
 SEARCH_DOMAINS = {
@@ -370,12 +373,13 @@ def search(
     )
 
 
-def site_texts(t: Tables) -> DataFrame:
+def site_texts(t: Tables, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """(site_id, weight, text): every searchable field of a site.
 
     Names that belong to a lookup (methods, taxa, datasets, references) appear
     once per site however often the site uses them. Tables that are not bound
-    leave their fields out.
+    leave their fields out. With ``wanted`` texts that do not pass it may be left out:
+    lookups are asked first, and one of which no text passes is not joined to its sites.
     """
     parts: list[DataFrame] = []
 
@@ -386,36 +390,61 @@ def site_texts(t: Tables) -> DataFrame:
                 text = F.col(column).alias("text")
                 parts.append(df.select("site_id", F.lit(weight).alias("weight"), text))
 
+    def passing(df: DataFrame, *columns: str) -> Column:
+        """Whether a row has a text that passes."""
+        named = [c for c in columns if c in df.columns]
+        return F.lit(True) if wanted is None else reduce(lambda a, b: a | b, [F.coalesce(wanted(F.col(c)), F.lit(False)) for c in named], F.lit(False))
+
+    def some(*asked: tuple[DataFrame, Sequence[str]]) -> bool:
+        """Whether any row of any table has a text that passes; the first one found ends the search."""
+        return wanted is None or any(not df.where(passing(df, *columns)).select(F.lit(1)).isEmpty() for df, columns in asked)
+
     add(t["site"], site_name=10, site_description=5, national_site_identifier=2)
     if "site_location" in t:
         add(t["site_location"].join(t["location"], "location_id"), location_name=5)
     if "site_reference" in t:
         add(t["site_reference"], title=10, authors=5, full_reference=5, isbn=2, year=2)
     if "group_reference" in t:
-        lookup = site_biblio_lookup(t)
-        add(lookup, title=2, isbn=2, year=2, authors=2, full_reference=2)
+        fields = ("title", "isbn", "year", "authors", "full_reference")
+        cited = t
+        if wanted is not None:
+            # A reference counts with one of its records, so it matters if any record has a text that passes.
+            roles = {role: t[role] for role in ("site_reference", "group_reference", "dataset_reference")}
+            found = reduce(DataFrame.union, [df.where(passing(df, *fields)).select("biblio_id") for df in roles.values()])
+            ids = [r[0] for r in found.distinct().limit(LISTED + 1).collect()]
+            if len(ids) <= LISTED:
+                named = F.col("biblio_id").isin([i for i in ids if i is not None]) | (F.col("biblio_id").isNull() & F.lit(None in ids))
+                cited = t.with_roles(**{role: df.where(named) for role, df in roles.items()}) if ids else None
+        if cited is not None:
+            add(site_biblio_lookup(cited), **dict.fromkeys(fields, 2))
     owned = site_datasets(t)
-    add(owned.join(t["dataset"].select("dataset_id", "dataset_name"), "dataset_id"), dataset_name=10)
-    used = of_methods(t, owned).select("site_id", "method_id")
-    sampling = t["sample_group"].select("site_id", "method_id")
-    named = used.union(sampling).distinct().join(t["method"], "method_id")
-    add(named, method_name=5, description=2)
-    if "prep_method" in t:
-        prep = t["prep_method"]
-        if "sample_group_id" not in prep.columns:
-            keys = entities(t).select("analysis_entity_id", "sample_group_id")
-            prep = prep.join(keys, "analysis_entity_id")
-        pairs = prep.select("sample_group_id", "method_id").distinct().join(groups(t), "sample_group_id")
-        pairs = pairs.select("site_id", "method_id").distinct()
-        add(pairs.join(t["method"], "method_id"), method_name=2, description=2)
+    if some((t["dataset"], ("dataset_name",))):
+        add(owned.join(t["dataset"].select("dataset_id", "dataset_name"), "dataset_id"), dataset_name=10)
+    if some((t["method"], ("method_name", "description"))):
+        used = of_methods(t, owned).select("site_id", "method_id")
+        sampling = t["sample_group"].select("site_id", "method_id")
+        named = used.union(sampling).distinct().join(t["method"], "method_id")
+        add(named, method_name=5, description=2)
+        if "prep_method" in t:
+            prep = t["prep_method"]
+            if "sample_group_id" not in prep.columns:
+                keys = entities(t).select("analysis_entity_id", "sample_group_id")
+                prep = prep.join(keys, "analysis_entity_id")
+            pairs = prep.select("sample_group_id", "method_id").distinct().join(groups(t), "sample_group_id")
+            pairs = pairs.select("site_id", "method_id").distinct()
+            add(pairs.join(t["method"], "method_id"), method_name=2, description=2)
     if "abundance" in t or "abundance_flat" in t:
-        pairs = abundance_facts(t).select("site_id", "taxon_id").distinct()
-        ranks = F.explode(F.array("family_name", "genus_name", "order_name")).alias("name")
-        names = taxonomy(t).select("taxon_id", ranks)
-        add(pairs.join(names, "taxon_id").select("site_id", "name").distinct(), name=5)
-        add(abundance_lookups(t), name=2)
+        ranks = ("family_name", "genus_name", "order_name")
+        taxa = taxonomy(t).select("taxon_id", *ranks)
+        if some((taxa, ranks)):
+            pairs = abundance_facts(t).select("site_id", "taxon_id").distinct()
+            names = taxa.select("taxon_id", F.explode(F.array(*ranks)).alias("name"))
+            add(pairs.join(names, "taxon_id").select("site_id", "name").distinct(), name=5)
+        if some((t["abundance_element"], ("element_name",)), (t["modification"], ("modification_type_name",))):
+            add(abundance_lookups(t), name=2)
     if "sample_feature" in t:
-        add(sample_rows(t, "sample_feature"), feature_type_name=8)
+        if some((joined(t, "sample_feature"), ("feature_type_name",))):
+            add(sample_rows(t, "sample_feature"), feature_type_name=8)
     if "domain_clause" in t:
         # The titles of all domains belong to every site: one text of a few words.
         titles = domains(t).agg(F.concat_ws(" ", F.sort_array(F.collect_set("title"))).alias("titles"))
@@ -426,6 +455,17 @@ def site_texts(t: Tables) -> DataFrame:
     return texts.where("text IS NOT NULL AND text <> ''")
 
 
+def _matters(query: str) -> Callable[[Column], Column]:
+    """Whether a text has a part in the score of a site or speaks against it."""
+    words, _, unwanted = free_terms(query)
+
+    def test(text: Column) -> Column:
+        folded = fold_text(text)
+        return reduce(lambda a, p: a | holds_folded(folded, p), unwanted, count_folded(folded, words) > 0)
+
+    return test
+
+
 def scanned_scores(texts: DataFrame, query: str) -> DataFrame:
     """(site_id, score) of the sites that a free-text query finds, by a scan of all texts."""
     words, phrases, unwanted = free_terms(query)
@@ -457,7 +497,7 @@ def free_text(
     if index is not None:
         sites = indexed_scores(t.spark, index, query)
     else:
-        sites = scanned_scores(site_texts(t) if texts is None else texts, query)
+        sites = scanned_scores(site_texts(t, _matters(query)) if texts is None else texts, query)
     best = sites.orderBy(F.desc("score"), "site_id").limit(k)
     return (
         best.join(_site_names(t), "site_id", "left")

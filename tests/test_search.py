@@ -1,6 +1,7 @@
 """Name search, free text and document path search."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators import search as find
 from cairn.operators.documents import site_documents, taxon_documents
@@ -144,3 +145,15 @@ def test_negated_and_quoted_free_text(spark, roles):
     assert found('"old barn"') == [(1, 7), (3, 3)]
     assert found('dry "barn old" -"old barn"') == [(2, 2)]
     assert found("-barn") == []
+
+
+def test_free_text_asks_lookups_before_they_meet_their_sites(roles, monkeypatch):
+    whole = find.site_texts(roles)
+    words = [r[0] for r in whole.select(F.explode(F.split("text", "[^A-Za-z0-9]+"))).where("col <> ''").distinct().orderBy(F.expr("crc32(cast(col AS binary))")).limit(3).collect()]
+    for query in [*words, "nothing", f"{words[0]} -{words[1]}"]:
+        found = rows(find.free_text(roles, query))
+        assert found == rows(find.free_text(roles, query, texts=whole)), query
+        monkeypatch.setattr(find, "LISTED", 0)
+        assert found == rows(find.free_text(roles, query)), query
+        monkeypatch.undo()
+    assert find.site_texts(roles, find._matters("nothing"))._jdf.queryExecution().optimizedPlan().toString().count("Join") < 4
