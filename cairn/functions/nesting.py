@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 SLICE, PART, PARTS = "_slice", "part", "parts"
@@ -54,6 +54,15 @@ def into_parts(rows: DataFrame, key: str, slices: int) -> DataFrame:
     return placed.repartition(key, PART)
 
 
+def grouped(rows: DataFrame, *keys: str) -> GroupedData:
+    """Group rows that lie by their first keys, sorted.
+
+    The levels of a nesting group by fewer and fewer of the same keys: the sort of the lowest
+    one serves them all, and no level holds or spills its groups.
+    """
+    return rows.sortWithinPartitions(*keys).groupBy(*keys)
+
+
 def gather(column: Column | str) -> Column:
     """The non-null values of a bounded part as a sorted list."""
     return F.sort_array(F.collect_list(column))
@@ -69,7 +78,8 @@ def flat_documents(
     fields = [c for c in header.columns if c != key]
     branches = [header_rows(header, [key], "_header", first=True)]
     branches += [child_rows(df, [key], name) for name, df in children.items()]
-    nested = into_parts(stack(branches), key, slices).groupBy(key, PART).agg(
+    nested = into_parts(stack(branches), key, slices)
+    nested = grouped(nested, key, PART).agg(
         F.max("_header").alias("_header"), *[gather(name).alias(name) for name in children]
     )
     return nested.select(

@@ -16,6 +16,7 @@ from cairn.functions.nesting import (
     child_rows,
     flat_documents,
     gather,
+    grouped,
     header_rows,
     into_parts,
     stack,
@@ -193,9 +194,7 @@ def _nest_groups(rows: DataFrame) -> DataFrame:
     group_rows = rows
     if has_samples:
         # Group rows have no sample id: they form one extra row beside the samples.
-        per_sample = rows.groupBy(
-            "site_id", PART, "sample_group_id", "physical_sample_id"
-        ).agg(
+        per_sample = grouped(rows, "site_id", PART, "sample_group_id", "physical_sample_id").agg(
             F.max("_group").alias("_group"),
             F.max("_sample").alias("_sample"),
             *[gather(c).alias(c) for c in (*group_lists, *sample_lists)],
@@ -215,7 +214,7 @@ def _nest_groups(rows: DataFrame) -> DataFrame:
         group_rows = per_sample
     else:
         lists = [gather(c).alias(c) for c in group_lists]
-    per_group = group_rows.groupBy("site_id", PART, "sample_group_id").agg(
+    per_group = grouped(group_rows, "site_id", PART, "sample_group_id").agg(
         F.max("_group").alias("_group"), *lists
     )
     group = F.struct(
@@ -225,7 +224,7 @@ def _nest_groups(rows: DataFrame) -> DataFrame:
         *[F.col(c).alias(c[2:]) for c in group_lists],
         *(["physical_samples"] if has_samples else []),
     )
-    return per_group.groupBy("site_id", PART).agg(gather(group).alias("sample_groups"))
+    return grouped(per_group, "site_id", PART).agg(gather(group).alias("sample_groups"))
 
 
 def _dataset_heads(b: _Build) -> list[DataFrame]:
@@ -261,15 +260,39 @@ def _dataset_entities(b: _Build) -> list[DataFrame]:
     return frames
 
 
+def _whole_entities(b: _Build) -> DataFrame:
+    """One row per entity of a group, with its preparation methods, so that these do not go to their site one by one."""
+    t, keys = b.t, ["sample_group_id", "dataset_id", "analysis_entity_id"]
+    members = of_methods(t, entities(t)).select(
+        *keys, F.col("method_id").alias("_method_id"), F.struct("physical_sample_id").alias("_own")
+    )
+    used = _prep_rows(t).select(*keys, F.col("method_id").alias("_prep"))
+    rows = stack([members, used]).repartition("sample_group_id")
+    whole = grouped(rows, *keys).agg(
+        F.max("_method_id").alias("_method_id"), F.max("_own").alias("_own"), F.collect_set("_prep").alias("_preps")
+    )
+    return whole.join(b.groups, "sample_group_id").select(
+        "site_id",
+        "dataset_id",
+        F.xxhash64("analysis_entity_id").alias(SLICE),
+        "analysis_entity_id",
+        "_method_id",
+        F.when(F.col("_own").isNotNull(), F.struct("_own.physical_sample_id", "sample_group_id")).alias("_entity"),
+        "_preps",
+    )
+
+
 def _dataset_branch(b: _Build) -> DataFrame:
-    """Dataset headers, entities and preparation methods, as rows of one table."""
+    """Dataset headers, and entities with their preparation methods, as rows of one table."""
+    if b.wants("datasets.analysis_entities.prep_methods") and "prep_method" in b.t:
+        return stack([*_dataset_heads(b), _whole_entities(b)])
     return stack([*_dataset_heads(b), *_dataset_entities(b)])
 
 
 def _nest_datasets(rows: DataFrame) -> DataFrame:
     own = _lists(rows, "d_")
     if "_entity" not in rows.columns:
-        per_dataset = rows.groupBy("site_id", PART, "dataset_id").agg(
+        per_dataset = grouped(rows, "site_id", PART, "dataset_id").agg(
             F.max("_dataset").alias("_dataset"), *[gather(c).alias(c) for c in own]
         )
         dataset = F.struct(
@@ -278,13 +301,13 @@ def _nest_datasets(rows: DataFrame) -> DataFrame:
             _home("_dataset"),
             *[F.col(c).alias(c[2:]) for c in own],
         )
-        return per_dataset.groupBy("site_id", PART).agg(gather(dataset).alias("datasets"))
+        return grouped(per_dataset, "site_id", PART).agg(gather(dataset).alias("datasets"))
     lists = (
-        [F.sort_array(F.collect_set("_prep")).alias("prep_methods")]
-        if "_prep" in rows.columns
+        [F.sort_array(F.array_distinct(F.flatten(F.collect_list("_preps")))).alias("prep_methods")]
+        if "_preps" in rows.columns
         else []
     )
-    per_entity = rows.groupBy("site_id", PART, "dataset_id", "analysis_entity_id").agg(
+    per_entity = grouped(rows, "site_id", PART, "dataset_id", "analysis_entity_id").agg(
         F.max("_dataset").alias("_dataset"),
         F.max("_entity").alias("_entity"),
         F.max("_method_id").alias("_method_id"),
@@ -297,7 +320,7 @@ def _nest_datasets(rows: DataFrame) -> DataFrame:
         "_entity.sample_group_id",
         *(["prep_methods"] if lists else []),
     )
-    per_dataset = per_entity.groupBy("site_id", PART, "dataset_id").agg(
+    per_dataset = grouped(per_entity, "site_id", PART, "dataset_id").agg(
         F.max("_dataset").alias("_dataset"),
         F.max("_method_id").alias("_method_id"),
         gather(F.when(F.col("analysis_entity_id").isNotNull(), entity)).alias("analysis_entities"),
@@ -315,7 +338,7 @@ def _nest_datasets(rows: DataFrame) -> DataFrame:
         "analysis_entities",
         *[F.col(c).alias(c[2:]) for c in own],
     )
-    return per_dataset.groupBy("site_id", PART).agg(gather(dataset).alias("datasets"))
+    return grouped(per_dataset, "site_id", PART).agg(gather(dataset).alias("datasets"))
 
 
 def _site_branch(b: _Build) -> DataFrame:
@@ -343,7 +366,7 @@ def _site_branch(b: _Build) -> DataFrame:
 
 def _nest_site(rows: DataFrame) -> DataFrame:
     lists = _lists(rows, "l_")
-    nested = rows.groupBy("site_id", PART).agg(
+    nested = grouped(rows, "site_id", PART).agg(
         F.max("_site").alias("_site"), *[gather(c).alias(c) for c in lists]
     )
     return nested.select(
@@ -364,12 +387,12 @@ def _data_branch(b: _Build) -> DataFrame:
 
 
 def _nest_data_groups(rows: DataFrame) -> DataFrame:
-    per_group = rows.groupBy("site_id", PART, "type", "data_group_id").agg(
+    per_group = grouped(rows, "site_id", PART, "type", "data_group_id").agg(
         F.sort_array(F.collect_set("_value.method_id")).alias("method_ids"),
         gather("_value").alias("values"),
     )
     group = F.struct("type", "data_group_id", "method_ids", "values")
-    return per_group.groupBy("site_id", PART).agg(gather(group).alias("data_groups"))
+    return grouped(per_group, "site_id", PART).agg(gather(group).alias("data_groups"))
 
 
 def site_documents(

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows that are sorted by their group are aggregated in passing, not hashed and sorted again.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
 }
 
 

@@ -343,3 +343,21 @@ def test_fingerprints_add_up_by_group_before_the_site(roles):
     place = F.when(F.col("sample_group_id") == first, F.lit(target)).otherwise(F.col("site_id")).cast(group.schema["site_id"].dataType)
     moved = documents.site_fingerprints(roles.with_roles(sample_group=group.withColumn("site_id", place)))
     assert {r["site_id"] for r in moved.collect() if of.get(r["site_id"]) != r["fingerprint"]} == {source, target}
+
+
+def test_all_levels_of_nesting_use_one_sort(roles):
+    plan = documents.site_documents(roles, slices=3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan
+    # The rows of groups and datasets are sorted down to their innermost key.
+    assert len(re.findall(r"Sort \[site_id#\d+L? ASC NULLS FIRST, part#\d+ ASC NULLS FIRST, \w+#", plan)) >= 2
+
+
+def test_entities_go_to_their_site_with_their_methods(roles):
+    prep = roles["prep_method"].union(roles["prep_method"])
+    sites = documents.site_documents(roles.with_roles(prep_method=prep), paths=["datasets.analysis_entities.prep_methods"], slices=3)
+    assert rows(documents.entity_rows_of(sites)) == rows(
+        documents.entity_rows_of(documents.site_documents(roles, paths=["datasets.analysis_entities.prep_methods"], slices=3))
+    )
+    build = documents._Build(roles, None, None, 3, None)
+    moved = documents._dataset_branch(build).where("analysis_entity_id IS NOT NULL")
+    assert moved.count() == moved.select("analysis_entity_id").distinct().count() == roles["analysis_entity"].count()
