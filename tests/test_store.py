@@ -90,3 +90,24 @@ def test_a_failed_commit_leaves_the_old_state(spark, tmp_path):
     # All of a bucket may go.
     store.commit({"documents": frame.where("false")}, frame.select("id"))
     assert store.read(spark, "documents") is None
+
+
+def test_lists_that_follow_from_other_rows_are_not_built_for_fingerprints(roles):
+    def kinds(paths):
+        plan = documents.site_fingerprints(roles, paths=paths)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("AS kind#")
+
+    # The whole document holds every row that its lookups are made of; lookups alone are built.
+    assert kinds(None) == 0
+    assert kinds(["lookup_tables"]) > 0 and kinds(["lookup_tables", "sample_groups", "datasets"]) > 0
+
+
+def test_the_unit_of_a_method_is_part_of_its_sites_lookups(roles):
+    before = {r["site_id"]: r["fingerprint"] for r in documents.site_fingerprints(roles).collect()}
+    table = "analysis_method" if "analysis_method" in roles else "method"
+    unit = F.when(F.col("method_id") == 3, F.lit(77).cast("long")).otherwise(F.col("unit_id"))
+    later = roles.with_roles(**{table: roles[table].withColumn("unit_id", unit)})
+    after = {r["site_id"]: r["fingerprint"] for r in documents.site_fingerprints(later).collect()}
+    lookups = [{(r["site_id"], r["kind"], r["id"]) for r in documents.site_lookups(t).collect()} for t in (roles, later)]
+    changed = {site for site, _, _ in lookups[0] ^ lookups[1]}
+    assert changed and changed <= {s for s in before if before[s] != after[s]}
