@@ -361,3 +361,25 @@ def test_entities_go_to_their_site_with_their_methods(roles):
     build = documents._Build(roles, None, None, 3, None)
     moved = documents._dataset_branch(build).where("analysis_entity_id IS NOT NULL")
     assert moved.count() == moved.select("analysis_entity_id").distinct().count() == roles["analysis_entity"].count()
+
+
+def test_branches_meet_as_they_are_sorted(roles):
+    plan = documents.site_documents(roles, slices=3)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[site_id#\d+L? ASC NULLS FIRST, part#", plan)) == 3
+
+
+def test_groups_without_a_known_site_stay(roles):
+    group = roles["sample_group"]
+    first, second = sorted(r[0] for r in group.select("sample_group_id").collect())[:2]
+    place = F.when(F.col("sample_group_id") == second, F.lit(999).cast("long")).when(F.col("sample_group_id") != first, F.col("site_id"))
+    moved = roles.with_roles(sample_group=group.withColumn("site_id", place))
+    for slices in (1, 3):
+        docs = documents.site_documents(moved, slices=slices).cache()
+        homes = documents.child_rows_of(docs, "sample_groups").where("is_home").select("site_id", "sample_group_id")
+        want = moved["sample_group"].select("site_id", "sample_group_id")
+        assert sorted(map(tuple, homes.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert docs.groupBy("site_id", "part").count().where("count > 1").count() == 0
+        assert docs.where(f"part < 0 OR part >= {slices}").count() == 0
+        lists = [f.name for f in docs.schema.fields if f.dataType.typeName() == "array"]
+        assert docs.where("part > 0").where(" AND ".join(f"size({c}) = 0" for c in lists)).count() == 0
+        docs.unpersist()
